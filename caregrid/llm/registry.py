@@ -27,6 +27,25 @@ FROM d
 """
 
 
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bpe import decode_documents, encode_documents
+
+    vocabulary = public_tokenizers.path("word_bpe_49k.json")
+    both = decode_documents(encode_documents(common.table(spark, sf_dir, "documents"), vocabulary), vocabulary)
+    return both.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op8_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack, token_pieces
+
+    return pack(token_pieces(common.table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = [f for k, f in globals().items() if k.startswith("op") and callable(f)]
     return {f.__name__: f for f in named}

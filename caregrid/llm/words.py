@@ -3,11 +3,12 @@
 A byte pair tokenizer never merges across the start of a white-space run, so a
 text can be cut there and each chunk encoded alone. Most chunks recur, so a
 worker keeps the ids of the first ``most`` different chunks it meets (the
-common ones come early) and hands only the others to the tokenizer.
+common ones come early) and encodes only the others anew.
 """
 
 from __future__ import annotations
 
+import os
 import re
 
 import numpy as np
@@ -17,72 +18,82 @@ CHUNK = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 OTHER_SPACE = re.compile(r"[^\S \n]")
 
 
-class ChunkIds:
-    """ids(texts) -> list of uint32 arrays, equal to encode_batch(..., add_special_tokens=False)."""
+class KeptIds:
+    """ids(texts) -> a uint32 array for each text. Subclasses say how to cut and how to encode chunks."""
 
-    def __init__(self, path: str, most: int = 400_000):
-        from tokenizers import Tokenizer
+    most = 300_000
 
-        self.tok = Tokenizer.from_file(path)
-        self.tok.no_padding()
-        self.tok.no_truncation()
-        self.most = most
+    def __init__(self) -> None:
         self.place: dict[str, int] = {}
-        self.flat = np.zeros(1 << 16, np.uint32)
-        self.used = 0
-        self.first = np.zeros(1 << 14, np.int64)
-        self.n = np.zeros(1 << 14, np.int64)
+        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.first, self.n = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+
+    def cut(self, text: str) -> list[str]:
+        raise NotImplementedError
+
+    def encode(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in one array, and how many of them each chunk has."""
+        raise NotImplementedError
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
-        plain = [not OTHER_SPACE.search(t) for t in texts]
-        chunks = [CHUNK.findall(t) if ok else [] for t, ok in zip(texts, plain)]
-        new = list({c for row in chunks for c in row if c not in self.place})
-        base, known = self.used, len(self.place)
-        self._add(new)
-        whole = iter(self._encode([t for t, ok in zip(texts, plain) if not ok]))
+        chunks = [self.cut(t) for t in texts]
+        place, used = self.place, self.used
+        new = list(dict.fromkeys(c for row in chunks for c in row if c not in place))
+        if new:
+            self._add(new)
         out = []
-        for row, ok in zip(chunks, plain):
-            if not ok:
-                out.append(np.asarray(next(whole), np.uint32))
-                continue
-            at = np.fromiter(map(self.place.__getitem__, row), np.int64, len(row))
+        for row in chunks:
+            at = np.fromiter(map(place.__getitem__, row), np.int64, len(row))
             n = self.n[at]
             ends = np.cumsum(n)
-            total = int(ends[-1]) if len(ends) else 0
+            total = int(ends[-1]) if len(row) else 0
             out.append(self.flat[np.repeat(self.first[at] - ends + n, n) + np.arange(total)])
-        if len(self.place) > self.most:  # forget what this call added
+        if len(place) > self.most:  # what this call added is forgotten
             for c in new:
-                del self.place[c]
-            self.used = base
-            assert len(self.place) == known
+                del place[c]
+            self.used = used
         return out
 
-    def _encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tok.encode_batch(texts, add_special_tokens=False)] if texts else []
-
     def _add(self, new: list[str]) -> None:
-        got = self._encode(new)
-        n = np.fromiter(map(len, got), np.int64, len(got))
-        k, total = len(self.place), int(n.sum())
-        while self.used + total > len(self.flat):
+        flat, n = self.encode(new)
+        k = len(self.place)
+        while self.used + len(flat) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         while k + len(new) > len(self.n):
             self.first, self.n = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.n))
-        self.flat[self.used : self.used + total] = np.fromiter((i for ids in got for i in ids), np.uint32, total)
+        self.flat[self.used : self.used + len(flat)] = flat
         self.first[k : k + len(new)] = self.used + np.cumsum(n) - n
         self.n[k : k + len(new)] = n
         self.place.update(zip(new, range(k, k + len(new))))
-        self.used += total
+        self.used += len(flat)
+
 
+class TokenizerIds(KeptIds):
+    """The tokenizers library on chunks; a text with other white space than blanks and newlines is one chunk."""
+
+    def __init__(self, path: str) -> None:
+        from tokenizers import Tokenizer
+
+        super().__init__()
+        self.tok = Tokenizer.from_file(path)
+        self.tok.no_padding()
+        self.tok.no_truncation()
+
+    def cut(self, text: str) -> list[str]:
+        return [text] if OTHER_SPACE.search(text) else CHUNK.findall(text)
+
+    def encode(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        got = [e.ids for e in self.tok.encode_batch(chunks, add_special_tokens=False)]
+        n = np.fromiter(map(len, got), np.int64, len(got))
+        return np.fromiter((i for ids in got for i in ids), np.uint32, int(n.sum())), n
 
-_kept: dict[str, ChunkIds] = {}
 
+_kept: dict = {}
 
-def chunk_ids(path: str) -> ChunkIds:
-    """The worker's own encoder for a vocabulary file; workers outlive tasks, and so do their chunks."""
-    import os
 
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    if path not in _kept:
-        _kept[path] = ChunkIds(path)
-    return _kept[path]
+def worker_ids(kind: type, path: str) -> KeptIds:
+    """The worker's own encoder for a vocabulary file; workers outlive tasks, and so do the chunks they keep."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    if (kind, path) not in _kept:
+        _kept[kind, path] = kind(path)
+    return _kept[kind, path]
