@@ -76,7 +76,7 @@ class WordBpe(KeptIds):
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # the tokenizer lower-cases letter by letter
         return PIECE.findall(text.lower())
 
-    def encode(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, chunks: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
         raw = [c.encode("utf-8", "replace") for c in chunks]
         flat, n = self.merge(raw)
         own = [k for k, c in enumerate(chunks) if c in self.special]
@@ -85,7 +85,7 @@ class WordBpe(KeptIds):
             for k in own:
                 ids[k] = np.array([self.special[chunks[k]]])
             flat, n = np.concatenate(ids), np.array([len(x) for x in ids])
-        return flat.astype(np.uint32), n
+        return chunks, flat.astype(np.uint32), n
 
     def merge(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words, none of them empty, and how many each has."""
