@@ -46,6 +46,12 @@ def op8_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(token_pieces(common.table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
 
 
+def op3_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .kd_shards import kd_shards
+
+    return kd_shards(common.table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = [f for k, f in globals().items() if k.startswith("op") and callable(f)]
     return {f.__name__: f for f in named}
