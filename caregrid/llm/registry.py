@@ -52,6 +52,14 @@ def op3_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_shards(common.table(spark, sf_dir, "documents"))
 
 
+def op5_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .id_files import read_ids, write_ids
+
+    path = common.new_path(spark, "ids")
+    write_ids(common.table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    return read_ids(spark, path, with_ids=False)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = [f for k, f in globals().items() if k.startswith("op") and callable(f)]
     return {f.__name__: f for f in named}
