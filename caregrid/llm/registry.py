@@ -78,6 +78,19 @@ def op7_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
 
 
+def op6_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sanitise import PATTERNS, find_spans, written_spans
+
+    found = find_spans(common.table(spark, sf_dir, "documents"))
+    count = lambda rank: F.size(F.filter("base", lambda s: s["rank"] == rank)).cast("long")
+    return found.select(
+        "doc_id",
+        *[count(rank).alias(f"n_{kind}") for rank, kind in enumerate(PATTERNS)],
+        F.sha2(written_spans(F.col("base")), 256).alias("base_sha256"),
+        written_spans(F.col("spans")).alias("spans"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = [f for k, f in globals().items() if k.startswith("op") and callable(f)]
     return {f.__name__: f for f in named}
