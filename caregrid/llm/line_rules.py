@@ -17,6 +17,7 @@ extra columns are left out, empty tables give empty results.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -178,3 +179,18 @@ def line_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     schema = ", ".join(f"{n} {t}" for n, t in zip(names, ["long"] * 6 + ["boolean", "double"]))
     rows = id_and_text(docs, id_col, text_col).mapInArrow(run, schema)
     return rows.withColumnRenamed("_id", id_col).withColumn("kept", ~F.col("base_failed") & (F.col("content_share") >= share))
+
+
+def kept_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text the rules keep."""
+    model = train(docs, labels, id_col, text_col)
+
+    @F.pandas_udf("boolean")
+    def keep(texts: pd.Series) -> pd.Series:
+        out = []
+        for text in texts:
+            counts, features, words = measure(text or "")
+            out.append(not base_failed(counts) and content_share(features, words, model) >= share)
+        return pd.Series(out, dtype=bool)
+
+    return docs.filter(keep(F.col(text_col).cast("string")))

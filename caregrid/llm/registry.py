@@ -91,6 +91,12 @@ def op6_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import line_dedup
+
+    return line_dedup(common.table(spark, sf_dir, "documents"), removed_col="removed_lines").select("doc_id", "text", "removed_lines")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = [f for k, f in globals().items() if k.startswith("op") and callable(f)]
     return {f.__name__: f for f in named}

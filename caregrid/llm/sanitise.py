@@ -165,7 +165,8 @@ def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     """``docs`` with personal data and telling terms replaced in the text; all other columns as they were."""
     found = find_spans(docs, id_col, text_col, **params).filter(F.size("spans") > 0).select("_key", "spans").dropDuplicates(["_key"])
     plain = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = _keyed(docs.withColumns({"_id": F.col(id_col).cast("long"), "_text": plain}))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")  # no name of it can clash
+    rows = _keyed(docs.select(row, F.col(id_col).cast("long").alias("_id"), plain.alias("_text")))
     out = rows.join(found, "_key", "left")
-    text = F.when(F.col("spans").isNull(), F.col(text_col)).otherwise(replaced(F.col("_text"), F.coalesce("spans", F.array().cast(SPAN))))
-    return out.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    text = F.when(F.col("spans").isNull(), F.col(f"_row.`{text_col}`")).otherwise(replaced(F.col("_text"), F.coalesce("spans", F.array().cast(SPAN))))
+    return out.select(*[text.alias(c) if c == text_col else F.col(f"_row.`{c}`").alias(c) for c in docs.columns])

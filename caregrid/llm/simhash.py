@@ -171,7 +171,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, most: int = 3) -> DataFrame:
     """The rows of ``docs``, all columns, that have the smallest id of their component; ties by text hash."""
     found = near_duplicates(docs.select(id_col, text_col), id_col, text_col, width, most)
-    keep = found.groupBy("component_id").agg(F.count("*")).select(F.col("component_id").alias("_keep"))
-    order = Window.partitionBy("_keep").orderBy(F.xxhash64(text_col))
-    kept = docs.join(keep, F.col(id_col).eqNullSafe(F.col("_keep")))
-    return kept.withColumn("_row", F.row_number().over(order)).filter("_row = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    keep = found.groupBy("component_id").agg(F.count("*").alias("_n")).select(F.col("component_id").alias("_keep"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")  # no name of it can clash
+    rows = docs.select(row, F.col(id_col).cast("long").alias("_id"), F.xxhash64(text_col).alias("_mark"))
+    kept = rows.join(keep, F.col("_id").eqNullSafe(F.col("_keep")))
+    order = Window.partitionBy("_id").orderBy("_mark")
+    return kept.withColumn("_n", F.row_number().over(order)).filter("_n = 1").select("_row.*")
