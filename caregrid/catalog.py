@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules that register queries.
-MODULES = ()
+MODULES = ("casemix", "text", "graphs")
 
 
 def _all(what: str) -> dict:
