@@ -91,7 +91,7 @@ def severity_shifts(weights: DataFrame) -> DataFrame:
     return wide.agg(F.count("*").alias("triplets"), mean("NONE", "CC").alias("none_cc"), mean("CC", "MCC").alias("cc_mcc"), mean("NONE", "MCC").alias("none_mcc"))
 
 
-def case_list_cmi(cases: DataFrame, weights: DataFrame, group: str, weighted: bool) -> DataFrame:
+def case_list_cmi(cases: DataFrame, weights: DataFrame, group: str, weighted: bool, places: int = 4) -> DataFrame:
     """Mean weight of the groups' DRGs: each once, or once a case."""
     rows = cases.select(group, "drg") if weighted else cases.select(group, "drg").distinct()
-    return rows.join(weights, "drg").groupBy(group).agg(F.round(F.avg("weight"), 4).alias("cmi"), F.count("*").alias("n"))
+    return rows.join(weights, "drg").groupBy(group).agg(F.round(F.avg("weight"), places).alias("cmi"), F.count("*").alias("n"))

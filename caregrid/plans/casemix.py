@@ -69,7 +69,7 @@ def _cases(spark, d):
 
 
 def a9(spark, d):
-    both = [cm.case_list_cmi(_cases(spark, d), _weights(spark, d), "grp", w).withColumn("weighted", F.lit(w)) for w in (False, True)]
+    both = [cm.case_list_cmi(_cases(spark, d), _weights(spark, d), "grp", w, places=10).withColumn("weighted", F.lit(w)) for w in (False, True)]
     return both[0].unionByName(both[1])
 
 
@@ -153,8 +153,8 @@ ORACLE = {
     "a7_type_counts": f"WITH {_CTE} SELECT type, count(*) AS n FROM dir GROUP BY type",
     "a8_dataset_info": "SELECT count(*) AS n, count(*) FILTER (p_size > 25) AS large, count(DISTINCT p_brand) AS brands, max(p_retailprice) AS top, round(quantile_cont(p_retailprice, 0.5), 6) AS median FROM part",
     "a9_case_list_cmi": """WITH c AS (SELECT l_orderkey % 100 AS grp, l_partkey AS drg FROM lineitem), w AS (SELECT p_partkey AS drg, p_retailprice / 1000 AS weight FROM part)
-      SELECT grp, round(avg(weight), 4) AS cmi, count(*) AS n, false AS weighted FROM (SELECT DISTINCT * FROM c) JOIN w USING (drg) GROUP BY grp
-      UNION ALL SELECT grp, round(avg(weight), 4), count(*), true FROM c JOIN w USING (drg) GROUP BY grp""",
+      SELECT grp, round(avg(weight), 10) AS cmi, count(*) AS n, false AS weighted FROM (SELECT DISTINCT * FROM c) JOIN w USING (drg) GROUP BY grp
+      UNION ALL SELECT grp, round(avg(weight), 10), count(*), true FROM c JOIN w USING (drg) GROUP BY grp""",
     "a10_severity_shifts": f"""WITH {_CTE}, m AS (SELECT p_type, min(weight) FILTER (k = 2) AS n, min(weight) FILTER (k = 1) AS c, min(weight) FILTER (k = 0) AS m FROM titles GROUP BY p_type)
       SELECT count(*) AS triplets, round(avg(c - n), 4) AS none_cc, round(avg(m - c), 4) AS cc_mcc, round(avg(m - n), 4) AS none_mcc FROM m WHERE n IS NOT NULL AND c IS NOT NULL AND m IS NOT NULL""",
     "w2_lowest_drg": "SELECT p_type, p_brand, min(p_partkey) AS p_partkey, arg_min(p_name, p_partkey) AS p_name FROM part GROUP BY p_type, p_brand",
