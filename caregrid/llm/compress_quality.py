@@ -33,10 +33,13 @@ def held_out(id_col: str):
 
 
 def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label: str, per_class: int, longest: int) -> dict[int, list[str]]:
-    """At most ``per_class`` texts of each class, in a fixed order."""
-    known = labels.select(F.col(id_col).cast("long").alias("_id"), F.col(label).cast("int").alias("_y")).filter(F.col("_y").isin(0, 1) & ~held_out("_id"))
-    rows = id_and_text(docs, id_col, text_col).filter(F.octet_length("_text") <= longest).join(known.dropDuplicates(["_id"]), "_id")
-    pick = lambda y: rows.filter(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id", "_text").limit(per_class)
+    """At most ``per_class`` texts of each class, in a fixed order, of the first 4 * per_class labelled ids."""
+    known = labels.select(F.col(id_col).cast("long").alias("_id"), F.col(label).cast("int").alias("_y")).filter(F.col("_y").isin(0, 1) & ~held_out("_id")).dropDuplicates(["_id"])
+    order = F.xxhash64("_id")
+    # ids first: at most 8 * per_class rows are broadcast, and no text is shuffled
+    some = [known.filter(F.col("_y") == y).orderBy(order, "_id").limit(4 * per_class) for y in (0, 1)]
+    rows = id_and_text(docs, id_col, text_col).filter(F.octet_length("_text") <= longest).join(F.broadcast(some[0].unionByName(some[1])), "_id")
+    pick = lambda y: rows.filter(F.col("_y") == y).orderBy(order, "_id", "_text").limit(per_class)
     return {y: [r["_text"] for r in pick(y).select("_text").collect()] for y in (0, 1)}
 
 
