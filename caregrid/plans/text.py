@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as sc
@@ -153,7 +154,30 @@ def v5(spark, d):
     return rt.fixed_chunks(docs).select("id", "chunk", F.md5("text").alias("hash"))
 
 
+def p5(spark, d):
+    """Ratio to the query's best score times 0.95, clamped; and the score itself where it is within 1.5, else its ratio."""
+    hits = _hits(spark, d)
+    best = F.max("score").over(Window.partitionBy("q"))
+    ratio = F.try_divide(F.col("score"), best)
+    clamp = lambda c: F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0))
+    return hits.select("q", "id", F.round(clamp(ratio * 0.95), 6).alias("scaled"), F.round(F.when(best <= 1.5, clamp(F.col("score"))).otherwise(clamp(ratio)), 6).alias("clamped"))
+
+
+def a26(spark, d):
+    """Extensions of page paths, lower case, by number of pages."""
+    ext = F.lower(F.regexp_extract("url", r"\.([A-Za-z0-9]+)$", 1))
+    return table(spark, d, "pages").groupBy(ext.alias("ext")).agg(F.count("*").alias("n"))
+
+
+def j7(spark, d):
+    """Items without an entry become entries; how many were made and how many were there."""
+    labels = table(spark, d, "labels").select("doc_id").distinct().withColumn("_has", F.lit(True))
+    rows = table(spark, d, "documents").select("doc_id").join(labels, "doc_id", "left")
+    return rows.agg(F.count_if(F.col("_has").isNull()).alias("created"), F.count_if("_has").alias("skipped"))
+
+
 QUERIES = {
+    "p5_score_scaling": p5, "a26_extension_census": a26, "j7_backfill": j7,
     "p1_trailing_tag": p1, "p4_expansion": p4, "p6_labels": p6, "p7_hashes": p7, "p11_keywords": p11, "p12_claims": p12, "p15_filter": p15, "p16_previews": p16, "p18_edge_types": p18,
     "s14_safe_casts": s14, "v9_hash_dedup": v9, "j6_incremental": j6, "k1_upsert": k1, "k2_insert_absent": k2, "k3_replace_vintage": k3, "k4_delete_prefix": k4,
     "u1_precedence_union": u1, "u2_curated_union": u2, "u3_alias_merge": u3, "v1_vector_top_k": v1, "w1_best_candidate": w1, "v7_filtered_retrieval": v7, "u4_ranked_merge": u4,
@@ -165,6 +189,10 @@ _TOP = f"SELECT a.vec_id AS q, b.vec_id AS id, {_DOT} AS score, row_number() OVE
 _WORDS = "list_filter(regexp_extract_all(lower(text), '[a-z]{3,}'), lambda w: w NOT IN ('the', 'and', 'for', 'with', 'that', 'this', 'from', 'was', 'are'))"
 
 ORACLE = {
+    "p5_score_scaling": f"""WITH h AS (SELECT q, id, round(score, 9) AS score, max(round(score, 9)) OVER (PARTITION BY q) AS best FROM ({_TOP}) WHERE place <= 5)
+      SELECT q, id, round(least(greatest(score / best * 0.95, 0), 1), 6) AS scaled, round(CASE WHEN best <= 1.5 THEN least(greatest(score, 0), 1) ELSE least(greatest(score / best, 0), 1) END, 6) AS clamped FROM h""",
+    "a26_extension_census": r"SELECT lower(regexp_extract(url, '\.([A-Za-z0-9]+)$', 1)) AS ext, count(*) AS n FROM pages GROUP BY 1",
+    "j7_backfill": "SELECT count(*) FILTER (doc_id NOT IN (SELECT doc_id FROM labels)) AS created, count(*) FILTER (doc_id IN (SELECT doc_id FROM labels)) AS skipped FROM documents",
     "p1_trailing_tag": "SELECT p_partkey, p_type AS tag, p_name AS term FROM part",
     "p4_expansion": r"""SELECT doc_id, md5(array_to_string(list_transform(regexp_split_to_array(trim(regexp_replace(text, '[^A-Za-z ]', ' ', 'g')), '\s+'),
       lambda w: CASE lower(w) WHEN 'the' THEN 'a' WHEN 'on' THEN 'upon' WHEN 'her' THEN 'their' ELSE w END), ' ')) AS expanded FROM documents""",
