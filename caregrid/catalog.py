@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules that register queries.
-MODULES = ("casemix", "text", "graphs")
+MODULES = ("casemix", "text", "graphs", "records")
 
 
 def _all(what: str) -> dict:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,20 +12,18 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
 
 
-def top_k(queries: DataFrame, corpus: DataFrame, k: int, n_queries: int = 1000) -> DataFrame:
+def top_k(queries: DataFrame, corpus: DataFrame, k: int, block: int = 1000) -> DataFrame:
     """queries(q, qvec), corpus(id, vec) -> q, id, score, place: inner product, largest first, ties by id.
 
-    A stated query set against all rows: queries are checked to be at most ``n_queries`` before they are broadcast.
-    Each corpus partition keeps its own k best a query before anything is shuffled.
+    A stated query set against all rows, in blocks of about ``block`` queries, each small enough to broadcast.
+    The row-number filter lets Spark keep each task's own k best a query before anything is shuffled.
     """
-    if queries.limit(n_queries + 1).count() > n_queries:
-        raise ValueError(f"more than {n_queries} queries: split the query set into blocks")
-    scored = corpus.crossJoin(F.broadcast(queries)).select("q", "id", F.round(dot(F.col("qvec"), F.col("vec")), 9).alias("score"))
-    best = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "id")))
-    part = scored.groupBy("q", F.pmod(F.xxhash64("id"), F.lit(64)).alias("part")).agg(F.slice(best, 1, k).alias("best")).select("q", F.explode("best").alias("b"))
-    ranked = part.select("q", "b.id", (-F.col("b.s")).alias("score"))
+    n_blocks = -(-queries.count() // block) or 1
+    numbered = queries.withColumn("_block", F.pmod(F.xxhash64("q"), F.lit(n_blocks)))
+    parts = [corpus.crossJoin(F.broadcast(numbered.filter(F.col("_block") == b))) for b in range(n_blocks)]
+    scored = reduce(DataFrame.unionByName, parts).select("q", "id", F.round(dot(F.col("qvec"), F.col("vec")), 9).alias("score"))
     w = Window.partitionBy("q").orderBy(F.desc("score"), "id")
-    return ranked.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)
+    return scored.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)
 
 
 def merge_ranked(ranked: DataFrame, k: int) -> DataFrame:
