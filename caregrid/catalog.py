@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules that register queries.
-MODULES = ("casemix", "text", "graphs", "records")
+MODULES = ("casemix", "text", "graphs", "records", "evidence")
 
 
 def _all(what: str) -> dict:

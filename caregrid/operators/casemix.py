@@ -95,3 +95,33 @@ def case_list_cmi(cases: DataFrame, weights: DataFrame, group: str, weighted: bo
     """Mean weight of the groups' DRGs: each once, or once a case."""
     rows = cases.select(group, "drg") if weighted else cases.select(group, "drg").distinct()
     return rows.join(weights, "drg").groupBy(group).agg(F.round(F.avg("weight"), places).alias("cmi"), F.count("*").alias("n"))
+
+
+#: Mean weight differences between severities.
+SHIFTS = {("NONE", "CC"): 0.5038, ("NONE", "MCC"): 1.8111, ("CC", "MCC"): 1.3188}
+
+
+def gap_impact(gaps: DataFrame, designations: DataFrame, weights: DataFrame, rate: float = 7200.0) -> DataFrame:
+    """gaps(gap_id, base, current, codes), designations(code, designation), weights(base, status, weight) -> gap_id, kind, target_code, weight_delta, revenue.
+
+    A base with weights of two severities gives a principal impact; any other gap goes by the best designation among its
+    codes against the current code's; without a gain the kind is 'none' and the rest is null.
+    """
+    named = designations.select("code", "designation")
+    codes = gaps.select("gap_id", F.posexplode("codes").alias("pos", "code")).join(named, "code", "left")
+    at = lambda name: F.min_by("code", F.when(F.col("designation") == name, F.col("pos")))
+    found = codes.groupBy("gap_id").agg(F.min_by("code", "pos").alias("first"), at("MCC").alias("mcc_code"), at("CC").alias("cc_code"))
+    wide = weights.groupBy("base").pivot("status", ["NONE", "NOT_MCC", "CC", "MCC"]).agg(F.min("weight"))
+    rows = gaps.join(found, "gap_id", "left").join(wide, "base", "left").join(named.select(F.col("code").alias("current"), F.col("designation").alias("_now")), "current", "left")
+    step = lambda names: F.coalesce(*[F.when(F.col(n).isNotNull(), F.struct(F.lit(n).alias("status"), F.col(n).alias("weight"))) for n in names])
+    rows = rows.withColumns({"_low": step(["NONE", "NOT_MCC", "CC"]), "_high": step(["MCC", "CC"])})
+    mapped = F.coalesce(F.col("_low.status") != F.col("_high.status"), F.lit(False))
+    best = F.when(F.col("mcc_code").isNotNull(), "MCC").when(F.col("cc_code").isNotNull(), "CC")
+    now = F.coalesce("_now", F.lit("NONE"))
+    shift = F.coalesce(*[F.when((now == a) & (best == b), F.lit(v)) for (a, b), v in SHIFTS.items()])
+    goal = F.when(mapped, F.col("_high.status")).otherwise(best)
+    code = F.coalesce(F.when(goal == "MCC", F.col("mcc_code")).when(goal == "CC", F.col("cc_code")), F.col("first"))
+    delta = F.round(F.when(mapped, F.col("_high.weight") - F.col("_low.weight")).otherwise(shift), 4)
+    kind = F.when(mapped, "principal").when(shift.isNotNull(), "comorbidity").otherwise("none")
+    out = rows.select("gap_id", kind.alias("kind"), F.when(mapped | shift.isNotNull(), code).alias("target_code"), delta.alias("weight_delta"))
+    return out.withColumn("revenue", F.round(F.col("weight_delta") * rate, 2))

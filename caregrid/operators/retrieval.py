@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import confidence_label
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
@@ -66,6 +68,31 @@ def overlap_score(query: Column, text: Column) -> Column:
     return F.coalesce(F.try_divide(F.size(F.array_intersect(words(query), words(text))), F.size(words(query))), F.lit(0.0))
 
 
+def rerank(candidates: DataFrame, queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """candidates(q, id), queries(q, text), docs(id, text) -> q, id, score, place: the k with the best overlap, ties by id."""
+    pairs = candidates.select("q", "id").join(queries.select("q", F.col("text").alias("_asked")), "q").join(docs.select("id", F.col("text").alias("_text")), "id")
+    scored = pairs.select("q", "id", F.round(overlap_score(F.col("_asked"), F.col("_text")), 9).alias("score"))
+    w = Window.partitionBy("q").orderBy(F.desc("score"), "id")
+    return scored.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)
+
+
+def grounding(hits: DataFrame, queries: DataFrame) -> DataFrame:
+    """hits(q, score, source, curated), queries(q, coverage, reasoned) -> q, overall, parts of it and a label.
+
+    0.4 retrieval + 0.3 coverage + 0.2 diversity + 0.1 reasoning; curated hits lift retrieval and coverage to a floor.
+    A query without hits has no retrieval and no diversity.
+    """
+    top = F.max("score").over(Window.partitionBy("q"))
+    unit = F.when(top > 1.5, F.col("score") / top).otherwise(F.greatest(F.least("score", F.lit(1.0)), F.lit(0.0)))
+    found = hits.withColumn("_unit", unit).groupBy("q").agg(F.avg("_unit").alias("r"), F.count_if("curated").alias("c"), F.count_distinct("source").alias("s"))
+    rows = queries.join(found, "q", "left").fillna({"r": 0.0, "c": 0, "s": 0})
+    floor = lambda col, one, two: F.when(F.col("c") >= 2, F.greatest(F.col(col), F.lit(two))).when(F.col("c") == 1, F.greatest(F.col(col), F.lit(one))).otherwise(F.col(col))
+    rows = rows.select("q", floor("r", 0.75, 0.9).alias("r"), floor("coverage", 0.7, 0.85).alias("k"), F.least(F.col("s") / 3, F.lit(1.0)).alias("v"), F.col("reasoned").cast("double").alias("t"))
+    overall = F.round(F.col("r") * 0.4 + F.col("k") * 0.3 + F.col("v") * 0.2 + F.col("t") * 0.1, 3)
+    rounded = [F.round(c, 3).alias(name) for c, name in (("r", "retrieval"), ("k", "coverage"), ("v", "diversity"))]
+    return rows.select("q", overall.alias("overall"), *rounded).withColumn("label", confidence_label(F.col("overall")))
+
+
 def fixed_chunks(docs: DataFrame, size: int = 2000, overlap: int = 500) -> DataFrame:
     """docs(id, text) -> id, chunk, text: windows of a fixed size; an empty text is one empty chunk."""
     step = size - overlap

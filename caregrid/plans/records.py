@@ -15,8 +15,8 @@ EXPECTED = {"F": ["1-URGENT", "2-HIGH"], "O": ["3-MEDIUM", "5-LOW"]}
 #: Rules for answers as (kind, value, threshold).
 RULES = [("contains", "a", 0.0), ("not_contains", "zzz", 0.0), ("length_gt", "4", 0.0), ("regex", "[a-z]+", 0.0), ("tokens_gt", "1", 0.0), ("fuzzy_match", "Part 1", 0.3), ("unheard_of", "", 0.0)]
 #: Terms to find in notes with their category, and the cue of a negation.
-VOCABULARY = {"water": "term", "time": "term", "house": "procedure", "people": "procedure"}
-CUE = "not "
+VOCABULARY = {"that": "term", "with": "term", "from": "procedure", "nicht": "procedure"}
+CUE = "and "
 
 
 def j1(spark, d):
@@ -182,7 +182,7 @@ def p13(spark, d):
 
 
 def p14(spark, d):
-    return table(spark, d, "documents").select("doc_id", sc.negated(F.col("text"), F.lit("time"), CUE).alias("negated"))
+    return table(spark, d, "documents").select("doc_id", sc.negated(F.col("text"), F.lit("that"), CUE).alias("negated"))
 
 
 def n10(spark, d):
@@ -262,10 +262,10 @@ ORACLE = {
     "p8_reasoning_split": "SELECT conv_id, turn, role AS thinking, md5(trim(text, ' ' || chr(10) || chr(9) || chr(13))) AS answer FROM conversations",
     "p9_wrapper_strip": "SELECT event_id, props AS body FROM events",
     "p10_key_points": "SELECT p_partkey, p_name || '|' || p_type AS points FROM part",
-    "p13_dictionary_concepts": """WITH v(term, category) AS (VALUES ('water', 'term'), ('time', 'term'), ('house', 'procedure'), ('people', 'procedure')),
+    "p13_dictionary_concepts": """WITH v(term, category) AS (VALUES ('that', 'term'), ('with', 'term'), ('from', 'procedure'), ('nicht', 'procedure')),
       h AS (SELECT doc_id, lower(coalesce(text, '')) AS t, term, category, strpos(lower(coalesce(text, '')), term) AS pos FROM documents, v)
-      SELECT doc_id, term, category, pos::INT AS "at", contains(substring(t, greatest(pos - 25, 1), pos - greatest(pos - 25, 1)), 'not ') AS negated FROM h WHERE pos > 0""",
-    "p14_negation": "SELECT doc_id, regexp_matches(lower(text), '(?s)not .{0,76}time') AS negated FROM documents",
+      SELECT doc_id, term, category, pos::INT AS "at", contains(substring(t, greatest(pos - 25, 1), pos - greatest(pos - 25, 1)), 'and ') AS negated FROM h WHERE pos > 0""",
+    "p14_negation": "SELECT doc_id, regexp_matches(lower(text), '(?s)and .{0,76}that') AS negated FROM documents",
     "n10_answer_rules": """WITH r AS (SELECT p_partkey, [contains(lower(p_name), 'a'), NOT contains(lower(p_name), 'zzz'), length(p_name) > 4, regexp_matches(p_name, '[a-z]+'), len(regexp_split_to_array(trim(p_name), '\\s+')) > 1,
         1 - levenshtein(lower(p_name), 'part 1') / greatest(length(p_name), 6) >= 0.3] AS held FROM part)
       SELECT p_partkey, list_bool_and(held) AS passed, len(list_filter(held, lambda x: NOT x)) AS failed FROM r""",
