@@ -34,7 +34,7 @@ def _edges(spark, d):
 
 
 def g4(spark, d):
-    seeds = table(spark, d, "part").filter("p_partkey <= 3").select(F.concat(F.lit("p"), F.col("p_partkey")).alias("node"))
+    seeds = table(spark, d, "part").filter("p_partkey % 50 = 0").select(F.concat(F.lit("p"), F.col("p_partkey")).alias("node"))
     return gr.neighborhood(_edges(spark, d), seeds, 2)
 
 
@@ -168,7 +168,7 @@ ORACLE = {
     "g1_ancestors": (_UP % 4) + " SELECT node, ancestor, min(distance) AS distance FROM a GROUP BY ALL",
     "g2_descendants": (_UP % 3) + " SELECT ancestor AS node, node AS descendant, min(distance) AS distance FROM a GROUP BY ALL",
     "g3_ancestor_set": (_UP % 2) + " SELECT DISTINCT node, ancestor FROM a",
-    "g4_neighborhood": f"""WITH {_EDGES}, b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), s AS (SELECT DISTINCT src AS seed FROM b WHERE src IN ('p0', 'p1', 'p2', 'p3')),
+    "g4_neighborhood": f"""WITH {_EDGES}, b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), s AS (SELECT 'p' || p_partkey AS seed FROM part WHERE p_partkey % 50 = 0),
       h AS (SELECT seed, dst AS node, 1 AS distance FROM s JOIN b ON seed = src UNION ALL SELECT seed, b2.dst, 2 FROM s JOIN b b1 ON seed = b1.src JOIN b b2 ON b1.dst = b2.src)
       SELECT seed, node, min(distance) AS distance FROM h WHERE node <> seed GROUP BY seed, node""",
     "g5_induced": f"WITH {_EDGES} SELECT type, count(*) AS n FROM e WHERE src IN (SELECT src FROM e WHERE l_orderkey % 10 = 0) AND dst IN (SELECT dst FROM e WHERE l_orderkey % 7 = 0) GROUP BY type",

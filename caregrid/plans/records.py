@@ -36,6 +36,14 @@ def j4(spark, d):
     return edges.join(drugs, "src").join(table(spark, d, "part").filter("p_size > 25").select(F.col("p_partkey").alias("dst")), "dst").select("src", "dst")
 
 
+def j10(spark, d):
+    """Pairs of a concept and its direct parent that stand in the same note (an order); the derived tree has no parent 0, as in the graph queries."""
+    codes = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("note"), F.col("l_partkey").alias("child")).distinct()
+    up = F.array_distinct(F.array(F.expr("child div 2"), F.expr("child div 3")))
+    pairs = codes.select("note", "child", F.explode(up).alias("parent")).filter("parent > 0 AND parent <> child")
+    return pairs.join(codes.withColumnRenamed("child", "parent"), ["note", "parent"], "left_semi").select("note", "child", "parent")
+
+
 def j13(spark, d):
     """The five smallest different codes two steps away; customers without any have an empty list."""
     codes = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("c_custkey"), F.col("l_partkey").alias("code")).distinct()
@@ -223,7 +231,7 @@ def g12(spark, d):
 
 
 QUERIES = {
-    "j1_enrichment": j1, "j3_code_edges": j3, "j4_cross_edges": j4, "j13_two_hop_codes": j13, "j14_designation": j14, "j16_context_links": j16, "j17_inheritance": j17,
+    "j1_enrichment": j1, "j3_code_edges": j3, "j4_cross_edges": j4, "j10_parent_child_pairs": j10, "j13_two_hop_codes": j13, "j14_designation": j14, "j16_context_links": j16, "j17_inheritance": j17,
     "a1_concept_lookup": a1, "a2_best_term": a2, "a12_rule_stats": a12, "a20_negation_conflict": a20, "a21_tag_mismatch": a21, "a22_claim_rollup": a22, "w9_substring_lookup": w9,
     "w10_timeline": w10, "u5_views": u5, "k5_csv_lines": k5, "k6_session_markdown": k6, "p8_reasoning_split": p8, "p9_wrapper_strip": p9, "p10_key_points": p10,
     "p13_dictionary_concepts": p13, "p14_negation": p14, "n10_answer_rules": n10, "g9_merge": g9, "g11_concept_document": g11, "g12_diagram_rows": g12,
@@ -236,6 +244,8 @@ ORACLE = {
     "j1_enrichment": "SELECT p_partkey, count(l_orderkey) AS n, coalesce(string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag), '') AS flags FROM part LEFT JOIN lineitem ON l_partkey = p_partkey GROUP BY p_partkey",
     "j3_code_edges": "SELECT DISTINCT l_partkey AS src, l_suppkey AS dst FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_size > 10",
     "j4_cross_edges": "SELECT DISTINCT o_custkey AS src, l_partkey AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON c_custkey = o_custkey JOIN part ON p_partkey = l_partkey WHERE c_acctbal > 0 AND p_size > 25",
+    "j10_parent_child_pairs": """WITH c AS (SELECT DISTINCT l_orderkey AS note, l_partkey AS code FROM lineitem)
+      SELECT DISTINCT a.note, a.code AS child, b.code AS parent FROM c a JOIN c b ON a.note = b.note AND b.code IN (a.code // 2, a.code // 3) AND b.code > 0""",
     "j13_two_hop_codes": """WITH c AS (SELECT DISTINCT o_custkey, l_partkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
       SELECT c_custkey, coalesce(array_to_string(list_slice(list_sort(list(l_partkey) FILTER (l_partkey IS NOT NULL)), 1, 5), ','), '') AS codes FROM customer LEFT JOIN c ON o_custkey = c_custkey GROUP BY c_custkey""",
     "j14_designation": "SELECT l_orderkey, l_linenumber, CASE WHEN s_acctbal > 5000 THEN 'MCC' WHEN s_acctbal > 0 THEN 'CC' ELSE 'NONE' END AS designation FROM lineitem LEFT JOIN supplier ON s_suppkey = l_suppkey",
