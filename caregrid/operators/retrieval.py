@@ -98,3 +98,82 @@ def fixed_chunks(docs: DataFrame, size: int = 2000, overlap: int = 500) -> DataF
     step = size - overlap
     n = F.greatest(F.ceil((F.length("text") - overlap) / F.lit(float(step))), F.lit(1)).cast("int")
     return docs.withColumn("text", F.coalesce("text", F.lit(""))).select("id", "text", F.explode(F.sequence(F.lit(0), n - 1)).alias("chunk")).select("id", "chunk", F.substring("text", F.col("chunk") * step + 1, F.lit(size)).alias("text"))
+
+
+def embed(texts: DataFrame, dim: int = 64) -> DataFrame:
+    """texts(id, text) -> id, vec: counts of hashed lower-case words of two letters or more, of length one.
+
+    Stands in for a trained encoder: any function of this shape will do for the search. Words are counted a bucket
+    before they are shuffled. A text without words has a vector of zeros.
+    """
+    words = F.array_compact(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z0-9]{2,}"), F.lit(0)))
+    spread = texts.select("id", F.explode_outer(words).alias("w"))
+    bucket = (F.conv(F.substring(F.md5("w"), 1, 4), 16, 10).cast("int") % dim).alias("b")
+    counted = spread.select("id", bucket).groupBy("id", "b").agg(F.count("b").alias("n"))
+    whole = counted.groupBy("id").agg(F.map_from_entries(F.collect_list(F.when(F.col("b").isNotNull(), F.struct("b", F.col("n").cast("double"))))).alias("m"), F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("l"))
+    return whole.select("id", F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_divide(F.try_element_at("m", i), F.col("l")), F.lit(0.0))).alias("vec"))
+
+
+def retrieve(queries: DataFrame, docs: DataFrame, curated: list[Column], k: int = 8, own: int = 2) -> DataFrame:
+    """queries(q, text, qvec), docs(id, text, vec) -> q, id, tier, rank: the curated parts' best ``own``, then the reranked best of all.
+
+    Of max(3n, 15) candidates by vector, the n with the most of the query's words stay, n being the larger of k less the
+    curated places and half of k. An id that two parts give keeps its first place.
+    """
+    asked, vectors = queries.select("q", "qvec"), docs.select("id", "vec")
+    general = max(k - own * len(curated), k // 2)
+    lists = [top_k(asked, docs.filter(part).select("id", "vec"), own).select("q", "id", "place", F.lit(t).alias("tier")) for t, part in enumerate(curated)]
+    best = rerank(top_k(asked, vectors, max(3 * general, 15)), queries, docs, general)
+    return merge_ranked(reduce(DataFrame.unionByName, [*lists, best.select("q", "id", "place", F.lit(len(curated)).alias("tier"))]), k)
+
+
+def split_text(text: str, size: int, overlap: int, separators: list[str]) -> list[str]:
+    """Chunks of at most ``size`` characters, cut at the first separator that the text has, longer pieces at the next ones.
+
+    Pieces keep their separator in front; neighbours share whole pieces of up to ``overlap`` characters; blank chunks go.
+    """
+    at = next(i for i, s in enumerate([*separators, ""]) if not s or s in text)
+    sep, finer = [*separators, ""][at], separators[at + 1 :]
+    head, *tail = text.split(sep) if sep else [""]
+    pieces = [p for p in [head, *(sep + t for t in tail)] if p] if sep else list(text)
+    chunks: list[str] = []
+    window: list[str] = []
+    held = 0
+    for piece in [*pieces, None]:
+        whole = piece is None or (len(piece) >= size and sep)
+        if window and (whole or held + len(piece) > size):
+            chunks.append("".join(window).strip())
+            first = len(window) if whole else 0
+            while first < len(window) and (held > overlap or held + len(piece) > size):
+                held -= len(window[first])
+                first += 1
+            window = window[first:]
+            held = 0 if whole else held
+        if piece is not None and whole:
+            chunks += split_text(piece, size, overlap, finer) if len(piece) > size or finer else [piece.strip()]
+        elif piece is not None:
+            window.append(piece)
+            held += len(piece)
+    return [c for c in chunks if c]
+
+
+def recursive_chunks(docs: DataFrame, size: int = 2000, overlap: int = 500, separators: tuple[str, ...] = ("\n\n", "\n", ". ", " ")) -> DataFrame:
+    """docs(id, text) -> id, chunk, text by split_text; a blank or null text is one placeholder chunk."""
+
+    def run(frames):
+        for frame in frames:
+            frame["text"] = [split_text(t, size, overlap, list(separators)) if t and t.strip() else ["[Empty document]"] for t in frame["text"]]
+            frame["chunk"] = [list(range(len(c))) for c in frame["text"]]
+            yield frame[["id", "chunk", "text"]].explode(["chunk", "text"])
+
+    kind = docs.schema["id"].dataType.simpleString()
+    return docs.select("id", "text").mapInPandas(run, f"id {kind}, chunk int, text string")
+
+
+def ingest_status(docs: DataFrame, chunks: DataFrame) -> DataFrame:
+    """docs(id, text), chunks(id) -> id, status, chunks, error: a text that cannot be read (null) is an error without chunks."""
+    counted = chunks.groupBy("id").agg(F.count("*").alias("chunks"))
+    bad = F.col("text").isNull()
+    status = F.when(bad, "error").when(F.col("chunks").isNull(), "pending").otherwise("indexed")
+    rows = docs.join(counted, "id", "left")
+    return rows.select("id", status.alias("status"), F.when(bad, 0).otherwise(F.coalesce("chunks", F.lit(0))).alias("chunks"), F.when(bad, "no text").alias("error"))
