@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules that register queries.
-MODULES = ("casemix", "text", "graphs", "records", "evidence", "notes")
+MODULES = ("casemix", "text", "graphs", "records", "evidence", "notes", "scans")
 
 
 def _all(what: str) -> dict:
