@@ -76,6 +76,11 @@ def merge_nodes(nodes: DataFrame, order: str) -> DataFrame:
     return nodes.groupBy("node").agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(order))).alias(c) for c in rest])
 
 
+def node_names(nodes: DataFrame) -> DataFrame:
+    """nodes(id, name, text, card_id) -> id, label: the first of name, text, card id and id that is not null."""
+    return nodes.select("id", F.coalesce("name", "text", F.col("card_id").cast("string"), F.col("id").cast("string")).alias("label"))
+
+
 def diagram_rows(diagrams: DataFrame) -> tuple[DataFrame, DataFrame]:
     """diagrams(diagram_id, code) -> nodes(diagram_id, id, label), edges(diagram_id, src, dst, label); first definitions win."""
     lines = diagrams.select("diagram_id", F.posexplode(F.split("code", "\n")).alias("pos", "line")).withColumn("line", F.trim("line"))

@@ -218,3 +218,8 @@ def validated_claims(claims: DataFrame, hits: DataFrame, mentions: DataFrame, no
     by_evidence = F.least(F.col("best") + F.when(F.col("found") > 0, 0.1).otherwise(0.0), F.lit(1.0))
     confidence = F.when(strong, by_evidence).when(more, F.least(F.col("found") * 0.1 + 0.4, F.lit(1.0))).when(F.col("found") == 0, 0.1).otherwise(0.25)
     return rows.select("q", "evidence", "found", "missing", (strong | more).alias("supported"), F.round(F.round(confidence, 6), 3).alias("confidence"))
+
+
+def code_suggestions(concepts: DataFrame, least: float = 0.3) -> DataFrame:
+    """concepts with codes (an array) -> note, line, term, codes of those that are mapped, have codes and are sure enough."""
+    return concepts.filter((F.size(F.coalesce("codes", F.array().cast("array<string>"))) > 0) & F.col("code").isNotNull() & (F.col("confidence") >= least)).select("note", "line", "term", "codes")

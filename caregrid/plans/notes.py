@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars as sc
+from ..operators import graph as gr
 from ..operators import notes as nt
 from ..operators import retrieval as rt
 from . import text
@@ -81,6 +82,17 @@ def n1(spark, d):
     return nt.map_concepts(concepts, text._hits(spark, d), entries, TAGS, "medication", DRUG_TYPES)
 
 
+def p17(spark, d):
+    codes = table(spark, d, "lineitem").filter("l_discount > 0.04").groupBy(F.col("l_orderkey").alias("note"), F.col("l_partkey").alias("line")).agg(F.array_sort(F.collect_set(F.col("l_suppkey").cast("string"))).alias("codes"))
+    return nt.code_suggestions(_concepts(spark, d).join(codes, ["note", "line"], "left"), 0.88).withColumn("codes", F.array_join("codes", ","))
+
+
+def p19(spark, d):
+    k = F.col("p_partkey")
+    nodes = table(spark, d, "part").select(k.alias("id"), F.when(k % 2 == 0, F.col("p_name")).alias("name"), F.when(k % 3 == 0, F.col("p_type")).alias("text"), F.when(k % 5 == 0, k + 1000000).alias("card_id"))
+    return gr.node_names(nodes)
+
+
 def _coverage(spark, d):
     return nt.coverage(_concepts(spark, d), _expectations(spark, d), ["condition", "procedure"])
 
@@ -161,6 +173,7 @@ def v6(spark, d):
 QUERIES = {
     "j11_rule_cascade": j11, "j12_expected_concepts": j12, "n1_concept_mapping": n1, "n2_coverage": n2, "n2_missing": n2_missing, "n3_consistency": n3, "n4_specificity": n4,
     "n4_gaps": n4_gaps, "n5_note_report": n5, "n6_claim_validation": n6, "v2_full_retrieval": v2, "v4_embedding": v4, "v5_recursive_chunks": v5r, "v6_ingest_status": v6,
+    "p17_code_suggestions": p17, "p19_node_names": p19,
 }
 
 _CONCEPTS = """c AS (SELECT l_orderkey AS note, l_partkey AS line, l_partkey::VARCHAR AS code, min(l_returnflag) = 'R' AS negated, max(l_linestatus) AS qualifier, round(1 - max(l_discount) - max(l_tax), 4) AS confidence,
@@ -217,6 +230,9 @@ def _found(q: str, only: str) -> str:
 _BAG = "list_distinct(regexp_extract_all(lower(%s), '[a-z0-9]{2,}'))"
 
 ORACLE = {
+    "p17_code_suggestions": f"""WITH {_CONCEPTS}, k AS (SELECT l_orderkey AS note, l_partkey AS line, string_agg(DISTINCT l_suppkey::VARCHAR, ',' ORDER BY l_suppkey::VARCHAR) AS codes FROM lineitem WHERE l_discount > 0.04 GROUP BY 1, 2)
+      SELECT note, line, term, codes FROM c JOIN k USING (note, line) WHERE confidence >= 0.88""",
+    "p19_node_names": "SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN p_name WHEN p_partkey % 3 = 0 THEN p_type WHEN p_partkey % 5 = 0 THEN (p_partkey + 1000000)::VARCHAR ELSE p_partkey::VARCHAR END AS label FROM part",
     "j11_rule_cascade": f"WITH {_CONCEPTS}, {_MATCH.format(concepts='c')} SELECT code, rule_id, tier FROM mr",
     "j12_expected_concepts": f"WITH {_EXPECTED} SELECT code, kind, priority, target, target_term, synonym AS synonyms FROM x",
     "n1_concept_mapping": f"""WITH h AS (SELECT q, id, place, round(score, 9) AS score FROM ({text._TOP}) WHERE place <= 5),
