@@ -1,15 +1,16 @@
 """Personal data and the terms that give it away, in DataFrame expressions only.
 
 Base entities are found by fixed patterns. The corpus then tells how strongly
-the words around an entity reveal it: for a term t and an entity e that occurs
+the words of its documents reveal an entity: for a term t and an entity e that occurs
 in at least ``support`` different texts, with counts of documents n(e), n(t) and
 n(e, t) out of N,
 
     disclosure(t, e) = PMI(t, e) / IC(e) = 1 - log(n(t) / n(e, t)) / log(N / n(e)),
 
-the share of the entity's information content that the term gives away. Near a
-mention of the entity, terms at ``remove_at`` or more are removed and terms at
-``generalise_at`` or more are replaced by a general tag. Documents without
+the share of the entity's information content that the term gives away. A
+document's terms are all words of its whole text, wherever the entity stands. In
+each document with the entity, every occurrence of terms at ``remove_at`` or more
+is removed, and of terms at ``generalise_at`` or more replaced by a general tag. Documents without
 the entity are never changed, and pairs seen in fewer than ``support`` texts are
 no evidence.
 
@@ -39,6 +40,7 @@ MAYBE = {"email": "@", "ip": r"[0-9]\.[0-9]++\.[0-9]", "card": r"[0-9](?:[\x20-]
 KINDS = [*PATTERNS, "generalise", "remove"]
 TAGS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]", "generalise": "[TERM]", "remove": ""}
 TERM = r"\p{L}{4,}"
+SALT = 16
 SPAN = "array<struct<start:int,rank:int,end:int,value:string>>"
 
 
@@ -96,50 +98,52 @@ def _entity(span: Column) -> Column:
     return F.concat(span["rank"].cast("string"), F.lit(":"), F.when(span["rank"] == 0, F.lower(span["value"])).when(span["rank"] == 1, span["value"]).otherwise(_digits(span["value"])))
 
 
-def find_spans(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 120, support: int = 3, generalise_at: float = 0.8, remove_at: float = 0.95
-) -> DataFrame:
+def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = 3, generalise_at: float = 0.8, remove_at: float = 0.95) -> DataFrame:
     """One row a document: id, _key, base and spans (arrays of start, rank, end, value; rank is the place in KINDS)."""
     rows = _keyed(id_and_text(docs, id_col, text_col))
-    # the texts of documents with entities go along, for the terms around them
+    # the texts of documents with entities go along, for the terms in them
     held = written(rows.withColumn("base", base_spans(F.col("_text"))).withColumn("_text", F.when(F.size("base") > 0, F.col("_text"))), "spans")
-    mentions = held.filter(F.size("base") > 0).select("_key", "_text", F.explode("base").alias("s")).withColumn("entity", _entity(F.col("s")))
-    counted = mentions.groupBy("entity").agg(F.count_distinct("_key").alias("n_e"), F.count_distinct(F.xxhash64("_text")).alias("texts"))
-    frequent = counted.filter(F.col("texts") >= support)
+    mentions = held.filter(F.size("base") > 0).select("_key", "_mark", F.explode(F.array_distinct(F.transform("base", _entity))).alias("entity"))
     # the key counts rows that agree in id and text once, everywhere
-    near = written(_near(mentions.join(frequent, "entity"), window), "near")
-    pairs = near.groupBy("entity", "n_e", "term").agg(F.count_distinct("_key").alias("n_et"), F.count_distinct("mark").alias("texts")).filter(F.col("texts") >= support)
-    terms = rows.select("_key", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("_text"), F.lit(TERM), F.lit(0)))).alias("term"))
+    counted = mentions.groupBy("entity").agg(F.count_distinct("_key").alias("n_e"), F.count_distinct("_mark").alias("texts"))
+    frequent = counted.filter(F.col("texts") >= support).select("entity", "n_e")
+    # one row a text and entity, then one row a text: what equal texts hold is counted, not repeated
+    holders = written(mentions.join(frequent, "entity").groupBy("_mark", "entity", "n_e").agg(F.count_distinct("_key").alias("docs")), "holders")
+    texts = held.select("_mark", "_text").join(holders.select("_mark").distinct(), "_mark", "left_semi").dropDuplicates(["_mark"])
+    whole = written(texts.select("_mark", _spans(_low(F.col("_text")), TERM, 0).alias("at")), "terms")
+    each = whole.select("_mark", F.array_distinct(F.transform("at", lambda t: t["value"])).alias("terms"))
+    together = holders.join(each, "_mark").select("_mark", "entity", "n_e", "docs", F.explode("terms").alias("term"))
+    pairs = together.groupBy("entity", "n_e", "term").agg(F.sum("docs").alias("n_et"), F.count("*").alias("texts")).filter(F.col("texts") >= support)
+    terms = rows.select(F.explode(F.array_distinct(F.regexp_extract_all(_low(F.col("_text")), F.lit(TERM), F.lit(0)))).alias("term"))
     totals = terms.groupBy("term").agg(F.count("*").alias("n_t"))
     n = max(held.count(), 2)
     ic = F.greatest(F.log(F.lit(float(n)) / F.col("n_e")), F.lit(1e-9))
     share = 1 - F.log(F.greatest(F.col("n_t"), F.col("n_et")) / F.col("n_et")) / ic
     telling = pairs.join(totals, "term").withColumn("disclosure", share).filter(F.col("disclosure") >= generalise_at)
     rank = F.when(F.col("disclosure") >= remove_at, KINDS.index("remove")).otherwise(KINDS.index("generalise"))
-    marked = near.join(telling.select("entity", "term", rank.alias("rank")), ["entity", "term"])
-    one = F.struct(F.col("start"), F.col("rank").cast("int").alias("rank"), F.col("end"), F.col("term").alias("value"))
-    found = marked.groupBy("_key").agg(F.array_sort(F.collect_set(one)).alias("more"))  # bounded by the text
-    both = held.join(found, "_key", "left")
+    # a hot entity's rows are dealt over SALT tasks a term
+    telling = telling.select("entity", "term", rank.cast("int").alias("rank"), F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("_salt"))
+    salted = together.select("_mark", "entity", "term", F.pmod(F.hash("_mark"), F.lit(SALT)).alias("_salt"))
+    tells = salted.join(telling, ["entity", "term", "_salt"]).select("_mark", "term", "rank").distinct()
+    spots = whole.select("_mark", F.explode("at").alias("t")).select("_mark", F.col("t.value").alias("term"), F.col("t.start").alias("start"), F.col("t.end").alias("end"))
+    one = F.struct("start", "rank", "end", F.col("term").alias("value"))
+    found = spots.join(tells, ["_mark", "term"]).groupBy("_mark").agg(F.array_sort(F.collect_set(one)).alias("more"))  # bounded by the text
+    both = held.join(found, "_mark", "left")
     # a term inside a base span, or under both tags, is covered by the first
     clear = F.filter(F.coalesce("more", F.array().cast(SPAN)), lambda t: ~F.exists("base", lambda b: (t["start"] < b["end"]) & (b["start"] < t["end"])))
     return both.select(F.col("_id").alias(id_col), "_key", "base", F.array_sort(F.concat("base", clear)).alias("spans"))
 
 
+def _low(text: Column) -> Column:
+    """Lower case at the same places: the one letter that would become two is replaced first."""
+    return F.lower(F.replace(text, F.lit("\u0130"), F.lit("i")))
+
+
 def _keyed(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("_key", F.concat_ws(":", F.xxhash64("_id", "_text").cast("string"), F.xxhash64(F.lit(1), "_text", "_id").cast("string"), F.octet_length("_text").cast("string")))
-
-
-def _near(mentions: DataFrame, window: int) -> DataFrame:
-    """Terms within ``window`` code points of a mention, whole ones only."""
-    left = F.greatest(F.col("s.start") - window, F.lit(0))
-    sides = []
-    before = F.substring("_text", left + 1, F.col("s.start") - left)
-    after = F.substring("_text", F.col("s.end") + 1, F.lit(window))
-    whole = [r"(?<!^)(?<!\p{L})" + TERM + r"(?!\p{L})", r"(?<!\p{L})" + TERM + r"(?!\p{L})(?!$)"]  # the cut ends may hold part of a word
-    for text, pattern, offset in ((before, whole[0], left), (after, whole[1], F.col("s.end"))):
-        sides.append(_spans(F.lower(text), pattern, 0, offset))
-    terms = mentions.select("_key", "entity", "n_e", F.xxhash64("_text").alias("mark"), F.explode(F.concat(*sides)).alias("t"))
-    return terms.select("_key", "entity", "n_e", "mark", F.col("t.value").alias("term"), F.col("t.start").alias("start"), F.col("t.end").alias("end"))
+    """_key names the document (id and text), _mark its text."""
+    key = F.concat_ws(":", F.xxhash64("_id", "_text").cast("string"), F.xxhash64(F.lit(1), "_text", "_id").cast("string"), F.octet_length("_text").cast("string"))
+    mark = F.concat_ws(":", F.xxhash64("_text").cast("string"), F.xxhash64(F.lit(1), "_text").cast("string"), F.octet_length("_text").cast("string"))
+    return rows.withColumns({"_key": key, "_mark": mark})
 
 
 def written_spans(spans: Column) -> Column:

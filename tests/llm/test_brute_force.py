@@ -235,6 +235,48 @@ def test_telling_terms(spark):
     assert all(got[i] == t for i, t in far)
 
 
+def told(texts, support=3, generalise_at=0.8, remove_at=0.95):
+    """Sanitised texts by plain Python: counts of whole documents, all occurrences of telling terms."""
+    words = lambda t: [(m.start(), m.end(), m.group().lower()) for m in re.finditer(r"[^\W\d_]{4,}", t)]
+    spans = {k: [(int(a), rank, int(b)) for x in base(t).split(",") if x for kind, a, b in [x.split(":")] for rank in [list(PII).index(kind)]] for k, t in texts.items()}
+    form = lambda k, s: (s[1], texts[k][s[0] : s[2]].lower() if s[1] < 2 else re.sub("[^0-9]", "", texts[k][s[0] : s[2]]))
+    by_entity, by_term = defaultdict(set), defaultdict(set)
+    for k, t in texts.items():
+        for s in spans[k]:
+            by_entity[form(k, s)].add(k)
+        for _, _, w in words(t):
+            by_term[w].add(k)
+    out, tags = {}, ["[EMAIL]", "[IP]", "[CARD]", "[PHONE]", "[TERM]", ""]
+    for k, t in texts.items():
+        more = []
+        for e in {form(k, s) for s in spans[k]}:
+            for a, b, w in words(t):
+                both = by_entity[e] & by_term[w]
+                if len({texts[x] for x in both}) >= support and not any(a < s[2] and s[0] < b for s in spans[k]):
+                    share = 1 - np.log(len(by_term[w]) / len(both)) / max(np.log(len(texts) / len(by_entity[e])), 1e-9)
+                    if share >= generalise_at:
+                        more.append((a, 5 if share >= remove_at else 4, b))
+        at, text = 0, ""
+        for a, rank, b in sorted(spans[k] + more):
+            if a >= at:
+                text += t[at:a] + tags[rank]
+            at = max(at, b)
+        out[k] = text + t[at:]
+    return out
+
+
+def test_telling_terms_of_whole_documents(spark):
+    """A term counts, and goes, wherever it stands in a document of the entity, once or again."""
+    fill = "plain filler words of the report go on and on " * 8
+    texts = {i: f"{fill}{i} quokka far off. zebrafinch by ann@x.org {i} {fill} \u0130zmir again zebrafinch {fill}" for i in range(6)}
+    texts |= {50 + i: f"{fill} {i} nothing else" for i in range(60)} | {200: f"{fill} quokka alone"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in sanitise.sanitised(docs).collect()}
+    assert all("zebrafinch" not in got[i] and "quokka" not in got[i] and "filler" in got[i] for i in range(6)) and "quokka" in got[200]
+    assert {k: t for k, t in got.items() if k >= 50} == {k: t for k, t in texts.items() if k >= 50}
+    assert {k: t for k, t in told({k: t.replace("\u0130", "i") for k, t in texts.items()}).items()} == {k: t.replace("\u0130", "i") for k, t in got.items()}
+
+
 def test_line_counts(spark, texts):
     for r in registry.op7_line_rules(spark, SF).collect():
         t = texts[r.doc_id]
