@@ -277,6 +277,15 @@ def test_telling_terms_of_whole_documents(spark):
     assert {k: t for k, t in told({k: t.replace("\u0130", "i") for k, t in texts.items()}).items()} == {k: t.replace("\u0130", "i") for k, t in got.items()}
 
 
+def test_telling_terms_at_the_ends(spark):
+    """The first and the last word of a text are terms like all others."""
+    texts = {i: f"{w}: marlowe@x.org wrote number {i}{end}" for i, (w, end) in enumerate([("Marlowe", "\nsigned Ferdinand"), ("marlowe", " Ferdinand\n")] * 3)}
+    texts |= {50 + i: f"number {i} has wrote and signed nothing else" for i in range(60)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in sanitise.sanitised(docs).collect()}
+    assert not any(w in got[i].lower() for i in range(6) for w in ("marlowe", "ferdinand")) and got == told(texts)
+
+
 def test_line_counts(spark, texts):
     for r in registry.op7_line_rules(spark, SF).collect():
         t = texts[r.doc_id]
