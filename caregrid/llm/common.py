@@ -29,6 +29,25 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
 
 
+def keyed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``_row`` (all columns, so that no name of it can clash), ``_id``, ``_text`` and ``_k1``, ``_k2``: equal where id and text are, null ids too."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).cast("long").alias("_id"), text.alias("_text"))
+    return rows.withColumns({"_k1": F.xxhash64("_id", "_text"), "_k2": F.xxhash64(F.lit(1), "_text", "_id")})
+
+
+def one_each(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of ``keyed_rows`` that have the smallest (id, text hash) of their component: exactly one of each.
+
+    ``found`` has one row a row: _id, _k1, _k2 and root, the component. A null id is greater than all others.
+    """
+    alike = found.groupBy("root", "_id", "_k1", "_k2").agg(F.count("*").alias("_n"))
+    least = alike.groupBy("root").agg(F.min(F.struct(F.col("_id").isNull(), F.col("_id"), F.col("_k1"), F.col("_k2"), F.col("_n"))).alias("_m"))
+    kept = rows.select("_row", "_k1", "_k2").join(least.select("_m._k1", "_m._k2", "_m._n"), ["_k1", "_k2"])
+    again = kept.filter("_n > 1").dropDuplicates(["_k1", "_k2"])  # rows equal in id and text: any one of them
+    return kept.filter("_n = 1").select("_row.*").unionByName(again.select("_row.*"))
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z only. ``lower`` does just that, and faster, where all characters are ASCII."""
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(

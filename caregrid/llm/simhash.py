@@ -22,10 +22,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, written
+from .common import id_and_text, keyed_rows, one_each, written
 from .components import components
 
 HOT = 1024
@@ -49,13 +49,19 @@ def fingerprint(text: str, width: int = 3) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
     """id and fp (the 64 bits as a signed long)."""
+    return _with_fp(id_and_text(docs, id_col, text_col), width).withColumnRenamed("_id", id_col)
+
+
+def _with_fp(rows: DataFrame, width: int) -> DataFrame:
+    """fp in the place of _text, the last column; the others are longs and stay."""
+    names = rows.columns[:-1]
 
     def run(batches):
         for batch in batches:
-            fps = np.array([fingerprint(t, width) for t in batch.column(1).to_pylist()], np.uint64)
-            yield pa.record_batch([batch.column(0), pa.array(fps.view(np.int64))], ["_id", "fp"])
+            fps = np.array([fingerprint(t, width) for t in batch.column(len(names)).to_pylist()], np.uint64)
+            yield pa.record_batch([*(batch.column(k) for k in range(len(names))), pa.array(fps.view(np.int64))], [*names, "fp"])
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(run, "_id long, fp long").withColumnRenamed("_id", id_col)
+    return rows.mapInArrow(run, ", ".join(f"{c} long" for c in [*names, "fp"]))
 
 
 def _signed(x: int) -> int:
@@ -156,12 +162,16 @@ def _forest(fp: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(a), np.concatenate(b)) if a else (fp[:0], fp[:0])
 
 
+def _rooted(distinct: DataFrame, most: int) -> DataFrame:
+    """``distinct`` (one row a fingerprint) with root, the smallest fingerprint of its component."""
+    roots = components(links(distinct, most))
+    return distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, most: int = 3) -> DataFrame:
     """One row a document: id, fingerprint (16 hex digits), component_id (smallest id of all that are linked)."""
     held = written(fingerprints(docs, id_col, text_col, width).select(F.col(id_col).alias("_id"), "fp"), "fingerprints")
-    distinct = held.groupBy("fp").agg(F.min("_id").alias("_least"))
-    roots = components(links(distinct, most))
-    named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    named = _rooted(held.groupBy("fp").agg(F.min("_id").alias("_least")), most)
     # a component may hold very many fingerprints: partial minima first, then one row a root
     least = named.groupBy("root").agg(F.min("_least").alias("component_id"))
     classes = named.join(least, "root").select("fp", "component_id")
@@ -169,11 +179,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, most: int = 3) -> DataFrame:
-    """The rows of ``docs``, all columns, that have the smallest id of their component; ties by text hash."""
-    found = near_duplicates(docs.select(id_col, text_col), id_col, text_col, width, most)
-    keep = found.groupBy("component_id").agg(F.count("*").alias("_n")).select(F.col("component_id").alias("_keep"))
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")  # no name of it can clash
-    rows = docs.select(row, F.col(id_col).cast("long").alias("_id"), F.xxhash64(text_col).alias("_mark"))
-    kept = rows.join(keep, F.col("_id").eqNullSafe(F.col("_keep")))
-    order = Window.partitionBy("_id").orderBy("_mark")
-    return kept.withColumn("_n", F.row_number().over(order)).filter("_n = 1").select("_row.*")
+    """The rows of ``docs``, all columns, that have the smallest id of their component; ties by text hash; one of each component."""
+    rows = keyed_rows(docs, id_col, text_col)
+    held = written(_with_fp(rows.select("_id", "_k1", "_k2", "_text"), width), "fingerprints")
+    named = _rooted(held.select("fp").distinct(), most)
+    return one_each(rows, held.join(named, "fp"))

@@ -87,6 +87,15 @@ def test_simhash_hot_files(spark, monkeypatch):
     assert classes(links) == classes((a, b) for a in fps for b in fps if a < b and (a ^ b).bit_count() <= 3)
 
 
+def test_keep_one_of_each_component(spark):
+    """Null and repeated ids: a component never goes because another has its id."""
+    rng = random.Random(2)
+    a, b, c, d = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(40)) for _ in range(4))
+    rows = [(None, a), (None, b), (None, b), (7, c), (7, d), (8, c), (9, d), (9, d), (3, a.upper())]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((str(r.doc_id), r.text) for r in kept) == sorted([("3", a.upper()), ("None", b), ("7", c), ("7", d)])
+
+
 def test_line_dedup(spark):
     rng = random.Random(3)
     docs = [(i, "\n".join(rng.choice(["a b c", "d", "e f", "", "g h i j"]) for _ in range(rng.randint(1, 14)))) for i in range(40)]
