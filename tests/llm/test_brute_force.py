@@ -10,7 +10,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
-from caregrid.llm import bpe, id_files, kd_shards, line_dedup, line_rules, packing, registry, sanitise, simhash, words
+from caregrid.llm import bpe, id_files, kd_shards, line_dedup, line_rules, packing, registry, sanitise, simhash, similar, words
 from compare import assert_same
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -96,6 +96,40 @@ def test_keep_one_of_each_component(spark):
     assert sorted((str(r.doc_id), r.text) for r in kept) == sorted([("3", a.upper()), ("None", b), ("7", c), ("7", d)])
 
 
+def test_near_duplicates_of_the_pipeline(spark, monkeypatch):
+    """All pairs at five-word similarity 0.8 or more are found, and only these; files of several blocks too."""
+    import corpus_pipeline
+
+    monkeypatch.setattr(similar, "SHINGLES", 500)
+    rng = random.Random(7)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    texts = []
+    for k in range(40):
+        texts.append([word() for _ in range(rng.choice([4, 30, 100, 120]))])
+        for _ in range(12 if k == 0 else rng.randint(0, 2)):
+            copy = list(rng.choice(texts[-3:]))
+            for _ in range(rng.randint(1, 3)):
+                copy[rng.randrange(len(copy))] = word()
+            texts.append(copy)
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    sets = [{tuple(t[i : i + 5]) for i in range(max(1, len(t) - 4))} for t in texts]
+    root = list(range(len(texts)))
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    linked = [(a, b) for b in range(len(texts)) for a in range(b) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    for a, b in linked:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    want = {k for k in root if find(k) == k}
+    assert len(linked) > 20 and sum((fp(rows[a][1]) ^ fp(rows[b][1])).bit_count() > 3 for a, b in linked) > 10
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()} == want
+
+
 def test_line_dedup(spark):
     rng = random.Random(3)
     docs = [(i, "\n".join(rng.choice(["a b c", "d", "e f", "", "g h i j"]) for _ in range(rng.randint(1, 14)))) for i in range(40)]
