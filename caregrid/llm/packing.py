@@ -7,10 +7,14 @@ way to the two unpacked pieces that fit the widened gap most tightly, if they
 fill it better. Pieces are dealt evenly into groups of bounded size, each
 packed in its own task; the pieces of bins that stay too empty are dealt anew
 into fewer groups and packed once more, so hardly any bin is left half filled.
-No piece is dropped, and no group grows with the input.
-
-Null texts are empty documents (a piece with the end id alone). Repeated rows
-are packed as often as they occur. An empty table gives an empty result.
+No piece is dropped, and no group grows with the input; a task packs one group
+after the other, so the number of tasks is bounded too.
+
+Null texts are empty documents (a piece with the end id alone). A text of any
+length is taken whole and cut only at the capacity. Repeated rows are packed as
+often as they occur, and equal lengths are packed in any order. Further columns
+of the pieces go along whatever their names, but for sequence_id and offset,
+which the result replaces. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,11 +25,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import by_bytes, id_and_text, written
 from .words import TokenizerIds, worker_ids
 
 GROUP = 4096
+MOST_TASKS = 8192
 
 
 def token_pieces(
@@ -113,25 +119,27 @@ def best_two_fit(lengths, capacity: int) -> tuple[np.ndarray, np.ndarray, np.nda
 
 def pack(pieces: DataFrame, capacity: int = 4096, group: int = GROUP, full: float = 0.98) -> DataFrame:
     """The pieces, with sequence_id and offset. Needs a column ``length`` from 1 to the capacity; other columns go along."""
-    names = pieces.columns
-    held = written(pieces, "pieces")
+    names = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
+    # the row goes along as one column, so that no name of it can clash
+    row = F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")
+    held = written(pieces.select(row, F.col("length").cast("long").alias("n")), "pieces")
     first = written(_packed(held, capacity, group), "packed")
-    loose = F.col("_fill") < F.lit(int(full * capacity))
-    last = _packed(first.filter(loose).select(*names), capacity, group)
-    tag = lambda df, k: df.select(*names, (F.col("_seq") * 2 + k).alias("sequence_id"), F.col("_offset").alias("offset"))
+    loose = F.col("fill") < F.lit(int(full * capacity))
+    last = _packed(first.filter(loose).select("row", "n"), capacity, group)
+    tag = lambda df, k: df.select(*[F.col(f"row.`{c}`").alias(c) for c in names], (F.col("seq") * 2 + k).alias("sequence_id"), F.col("at").alias("offset"))
     return tag(first.filter(~loose), 0).unionByName(tag(last, 1))
 
 
 def _packed(pieces: DataFrame, capacity: int, group: int) -> DataFrame:
+    """row, n, seq, at, fill."""
     groups = max(1, -(-pieces.count() // group))
     # the rows come from a written table, so their numbers are the same when a task runs again
-    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
+    dealt = pieces.withColumn("part", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
 
     def run(rows: pa.Table) -> pa.Table:
-        where, offset, fill = best_two_fit(rows.column("length").to_numpy(), capacity)
-        number = rows.column("_group").to_numpy() * (1 << 24) + where
-        rows = rows.drop_columns(["_group"])
-        return rows.append_column("_seq", pa.array(number)).append_column("_offset", pa.array(offset)).append_column("_fill", pa.array(fill))
+        where, offset, fill = best_two_fit(rows.column("n").to_numpy(), capacity)
+        number = rows.column("part").to_numpy() * (1 << 24) + where
+        return pa.table({"row": rows.column("row"), "n": rows.column("n"), "seq": pa.array(number), "at": pa.array(offset), "fill": pa.array(fill)})
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema), "_seq long, _offset long, _fill long"])
-    return dealt.repartition(groups, "_group").groupBy("_group").applyInArrow(run, schema)
+    schema = StructType([StructField("row", pieces.schema["row"].dataType), *(StructField(c, LongType()) for c in ("n", "seq", "at", "fill"))])
+    return dealt.repartition(min(groups, MOST_TASKS), "part").groupBy("part").applyInArrow(run, schema)

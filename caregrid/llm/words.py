@@ -2,8 +2,9 @@
 
 A byte pair tokenizer never merges across the start of a white-space run, so a
 text can be cut there and each chunk encoded alone. Most chunks recur, so a
-worker keeps the ids of the first ``most`` different chunks it meets (the
-common ones come early) and encodes only the others anew.
+worker keeps the ids of the different chunks it meets first (the common ones
+come early), up to ``most`` bytes of them, and encodes only the others anew. A
+chunk of more than ``longest`` characters is never kept.
 """
 
 from __future__ import annotations
@@ -14,18 +15,23 @@ import unicodedata
 
 import numpy as np
 
-#: Cuts before each run of blanks and newlines; exact while no other white space occurs.
-CHUNK = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
-OTHER_SPACE = re.compile(r"[^\S \n]")
+#: White space by Unicode.
+SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Cuts before each run of white space.
+CHUNK = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
+SOLID = re.compile(f"[^{SPACE}]+")
+SPACES = frozenset(re.findall(f"[{SPACE}]", "".join(map(chr, range(0x3001)))))
 
 
 class KeptIds:
     """ids(texts) -> a uint32 array for each text. Subclasses say how to cut and how to encode chunks."""
 
-    most = 300_000
+    most = 48 << 20
+    longest = 256
 
     def __init__(self) -> None:
         self.place: dict[str, int] = {}
+        self.held = 0  # bytes that the kept chunks take, about
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.first, self.n = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
@@ -38,10 +44,19 @@ class KeptIds:
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         chunks = [self.cut(t) for t in texts]
-        place, used = self.place, self.used
+        place = self.place
         new = list(dict.fromkeys(c for row in chunks for c in row if c not in place))
-        if new:
-            self._add(new)
+        short = [c for c in new if len(c) <= self.longest]
+        cost = sum(map(len, short)) + 150 * len(short)
+        if self.held + cost > self.most:
+            short, cost = [], 0
+        if short:
+            self._add(short)
+        self.held += cost
+        kept, used = len(place), self.used
+        once = [c for c in new if c not in place]
+        if once:
+            self._add(once)
         out = []
         for row in chunks:
             at = np.fromiter(map(place.__getitem__, row), np.int64, len(row))
@@ -49,10 +64,13 @@ class KeptIds:
             ends = np.cumsum(n)
             total = int(ends[-1]) if len(row) else 0
             out.append(self.flat[np.repeat(self.first[at] - ends + n, n) + np.arange(total)])
-        if len(place) > self.most:  # what this call added is forgotten
-            for c in new:
+        if once:  # forgotten, with the room they took
+            for c in once:
                 del place[c]
             self.used = used
+            if len(self.flat) > 4 * max(used, 1 << 16):
+                self.flat = self.flat[: max(used, 1 << 16)].copy()
+            assert len(place) == kept
         return out
 
     def _add(self, new: list[str]) -> None:
@@ -70,7 +88,7 @@ class KeptIds:
 
 
 class TokenizerIds(KeptIds):
-    """The tokenizers library on chunks; a text with other white space than blanks and newlines is one chunk.
+    """The tokenizers library on chunks.
 
     A vocabulary that drops white space gets chunks without it, of which fewer differ.
     """
@@ -89,9 +107,7 @@ class TokenizerIds(KeptIds):
             self.width[i] = len(token.removesuffix(end))
 
     def cut(self, text: str) -> list[str]:
-        if OTHER_SPACE.search(text):
-            return [text]
-        return text.split() if self.drops else CHUNK.findall(text)
+        return (SOLID if self.drops else CHUNK).findall(text)
 
     def encode(self, chunks: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Chunks are encoded many at a time, as one text; where each ends shows in the widths of the ids."""
@@ -118,9 +134,7 @@ class TokenizerIds(KeptIds):
 
     def _joins(self, chunk: str) -> bool:
         """Whether the chunk's ids are the same amid other chunks."""
-        if "<" in chunk or OTHER_SPACE.search(chunk):
-            return False
-        return self.drops or (chunk[0] in " \n" and chunk[-1] not in " \n")
+        return "<" not in chunk and (self.drops or (chunk[0] in SPACES and chunk[-1] not in SPACES))
 
     def _bytes(self, chunk: str) -> int:
         if chunk.isascii():
