@@ -1,7 +1,8 @@
 """Byte pair encoding and decoding in batched numpy merge rounds.
 
 ``encode_documents`` gives the ids that the vocabulary's own tokenizer gives
-(lower case, pieces split by a pattern, byte symbols, merges in rank order),
+(lower case, pieces split by a pattern, byte symbols, merges in rank order;
+which code points are letters and digits is asked of the library once a worker),
 and ``decode_documents`` turns ids back into text. The symbols of all new words
 of a batch lie in one flat array. Each round finds the rank of every adjacent
 pair by binary search over the sorted pair keys, takes each word's lowest rank
@@ -25,11 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import by_bytes, id_and_text
-from .words import KeptIds, worker_ids
+from .words import SPACE, KeptIds, worker_ids
 
-#: White space by Unicode, and the pattern of a piece.
-SPACE = r"\t-\r \x85\xa0  -     　"
-PIECE = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[\p{{L}}]+|[\p{{N}}]|[^{SPACE}\p{{L}}\p{{N}}]+")
+#: Fixed value: the pattern of a piece, with the classes of letters, digits and white space.
+PIECE = "'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{digits}]|[^{space}{letters}{digits}]+"
+PLANES = 0x40000  # no letters, digits or letter cases beyond
 
 NONE = np.iinfo(np.int64).max
 
@@ -41,9 +42,32 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in prints else chr(next(others)) for b in range(256)]
 
 
+def library_class(name: str) -> set[str]:
+    """The code points that the tokenizers library counts to a Unicode class."""
+    from tokenizers import Regex, pre_tokenizers
+
+    every = "".join(chr(c) for c in range(PLANES) if not 0xD800 <= c < 0xE000)
+    return {c for run, _ in pre_tokenizers.Split(Regex(rf"[^\p{{{name}}}]+"), "removed").pre_tokenize_str(every) for c in run}
+
+
+def _pattern(letters: str, digits: str) -> regex.Pattern:
+    return regex.compile(PIECE.format(letters=letters, digits=digits, space=SPACE))
+
+
 class WordBpe(KeptIds):
     def __init__(self, path: str) -> None:
+        from tokenizers import Tokenizer
+
         super().__init__()
+        self.normalizer = Tokenizer.from_file(path).normalizer
+        self.piece = _pattern(r"\p{L}", r"\p{N}")
+        letters, digits = library_class("L"), library_class("N")
+        #: Code points that the library's tables and ours class differently, or ours do not know; texts with them have a pattern of their own.
+        points = [chr(c) for c in range(PLANES) if not 0xD800 <= c < 0xE000]
+        ours = [set(regex.findall(rf"\p{{{k}}}", "".join(points))) for k in "LN"]
+        self.their_piece = None
+        self.classes = letters, digits
+        self.odd = (ours[0] ^ letters) | (ours[1] ^ digits) | {c for c in points if unicodedata.category(c) == "Cn"}
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, vocab, end = spec["model"], spec["model"]["vocab"], spec["model"]["end_of_word_suffix"] or ""
@@ -70,11 +94,14 @@ class WordBpe(KeptIds):
             return out
         return self._pieces(text)
 
-    @staticmethod
-    def _pieces(text: str) -> list[str]:
+    def _pieces(self, text: str) -> list[str]:
         if not text.isascii():
+            if not self.odd.isdisjoint(text):
+                if self.their_piece is None:
+                    self.their_piece = _pattern(*("".join(sorted(c)) for c in self.classes))
+                return self.their_piece.findall(self.normalizer.normalize_str(text))
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # the tokenizer lower-cases letter by letter
-        return PIECE.findall(text.lower())
+        return self.piece.findall(text.lower())
 
     def encode(self, chunks: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
         raw = [c.encode("utf-8", "replace") for c in chunks]
