@@ -13,9 +13,12 @@ from a hash of the row, so a value that a third of all rows share is split
 inside. Everything is DataFrame expressions; only split points (a row a node)
 come to the driver.
 
-Null texts have no bytes, null metadata sort as 0; a row's size is its UTF-8
-bytes plus 8. Rows that agree in id, metadata and text go to one shard. Slots
-are gapless from 0 in each shard. An empty table gives an empty result.
+Null texts have no bytes, null metadata and null ids sort as 0; a row's size is
+its UTF-8 bytes plus 8. Rows that agree in id, metadata and text may go to
+different shards, as all ties may. Texts of any length are measured whole; a
+row is never split, so a shard may exceed its share by one row. Columns other
+than the id, the text and ``dims`` do not matter. Slots are gapless from 0 in each
+shard. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -52,7 +55,8 @@ def _metadata(docs: DataFrame, id_col: str, text_col: str, dims: tuple[str, ...]
         F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
         *[F.col(d).cast("string").alias(f"_m{k}") for k, d in enumerate(have)],
     )
-    low = F.pmod(F.xxhash64("_id", "size", "text_crc32"), F.lit(1 << 20))
+    # a row's number goes in, so that rows alike in all columns can be split; the table is written once, with it
+    low = F.pmod(F.xxhash64("_id", "size", "text_crc32", F.monotonically_increasing_id()), F.lit(1 << 20))
     unit = [F.least(F.log2(F.col("size")) / 40, F.lit(1.0))]
     unit += [F.when(F.col(f"_m{k}").isNull(), 0.0).otherwise(F.pmod(F.xxhash64(f"_m{k}"), F.lit(1 << 20)) / float(1 << 20)) for k in range(len(have))]
     # ids by their leading digits: order is kept, and no maximum is needed
