@@ -8,9 +8,10 @@ texts that the dictionaries have not seen. The score is near 1 for good texts.
 Fitting takes a bounded sample: at most ``per_class`` labelled rows a class
 (by a hash of the id) of at most ``longest`` bytes, read whole. Scoring takes
 every row and every byte. Null and empty texts differ by nothing and get the curve's
-middle score. Rows with a null label or id are not used for fitting. With
-fewer than 20 usable rows of a class every score is 0.5. Labels, language,
-source and id are not inputs of a score. Empty tables give empty results.
+middle score. Rows with a null label or id, and ids labelled both good and bad, are
+not used for fitting. With fewer than 20 usable rows of a class every score is
+0.5. Labels, language, source and id are not inputs of a score. Repeated rows are
+scored each, extra columns do not matter, and empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -32,9 +33,15 @@ def held_out(id_col: str):
     return F.coalesce(F.crc32(F.encode(F.col(id_col).cast("string"), "UTF-8")) % 4 == 2, F.lit(False))
 
 
+def one_label(labels: DataFrame, id_col: str, label: str) -> DataFrame:
+    """_id and _y of the rows that models may learn from; an id with both labels is left out."""
+    rows = labels.select(F.col(id_col).cast("long").alias("_id"), F.col(label).cast("int").alias("_y")).filter(F.col("_y").isin(0, 1) & ~held_out("_id"))
+    return rows.groupBy("_id").agg(F.min("_y").alias("_y"), F.max("_y").alias("_z")).filter("_id IS NOT NULL AND _y = _z").select("_id", "_y")
+
+
 def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label: str, per_class: int, longest: int) -> dict[int, list[str]]:
     """At most ``per_class`` texts of each class, in a fixed order, of the first 4 * per_class labelled ids."""
-    known = labels.select(F.col(id_col).cast("long").alias("_id"), F.col(label).cast("int").alias("_y")).filter(F.col("_y").isin(0, 1) & ~held_out("_id")).dropDuplicates(["_id"])
+    known = one_label(labels, id_col, label)
     order = F.xxhash64("_id")
     # ids first: at most 8 * per_class rows are broadcast, and no text is shuffled
     some = [known.filter(F.col("_y") == y).orderBy(order, "_id").limit(4 * per_class) for y in (0, 1)]
