@@ -23,41 +23,42 @@ SALTS = 16
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
-    """(digest, n_bytes, mark, keep_id, group_size): one row for each different text."""
-    rows = _keyed(docs, id_col, text_col)
-    salted = rows.groupBy("digest", "norm", F.pmod(F.xxhash64("_id"), F.lit(salts)).alias("salt")).agg(
-        F.max("_id").alias("keep_id"), F.count("*").alias("n")
-    )
-    return (
-        salted.groupBy("digest", "norm")
-        .agg(F.max("keep_id").alias("keep_id"), F.sum("n").alias("group_size"))
-        .select("digest", *_marks(), "keep_id", "group_size")
-    )
+    """(digest, norm, keep_id, group_size): one row for each different text."""
+    return _groups(_keyed(docs, id_col, text_col, SHA256), salts)
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS, digest: Callable[[Column], Column] = SHA256) -> DataFrame:
     """One row a document: id, keep_id, group_size, kept, text_sha256.
 
-    The texts have been compared in full by the time groups exist, so members
-    find their group by SHA-256, XXH64 and length of the text, which is far
-    narrower than a third shuffle of the texts. That join is an equi-join with
-    one row a group on its right, so adaptive execution can split a hot group.
+    Groups are made by comparing whole texts, so a digest that only one group has
+    stands for one text, and members find that group by the digest alone. That is
+    an equi-join with one row a group on its right, so adaptive execution can split a
+    hot group. Where several groups share a digest, members find theirs by the text.
     """
-    groups = exact_groups(docs, id_col, text_col, salts)
-    members = _keyed(docs, id_col, text_col).select("_id", "digest", *_marks())
-    return members.join(groups, ["digest", "n_bytes", "mark"], "left").select(
-        F.col("_id").alias(id_col),
-        "keep_id",
-        "group_size",
-        F.col("_id").eqNullSafe(F.col("keep_id")).alias("kept"),
-        F.lower(F.hex("digest")).alias("text_sha256"),
+    rows = _keyed(docs, id_col, text_col, digest)
+    groups = written(_groups(rows, salts).select("digest", "keep_id", "group_size"), "groups")
+    shared = groups.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1").select("digest")
+    members = rows.select("_id", "digest", F.sha2("norm", 256).alias("text_sha256"))
+    if shared.isEmpty():
+        return _told(members.join(groups, "digest"), id_col)
+    shared = written(shared, "shared")
+    alone = members.join(groups.join(shared, "digest", "left_anti"), "digest")
+    mixed = rows.join(shared, "digest", "left_semi")
+    by_text = mixed.withColumn("text_sha256", F.sha2("norm", 256)).join(_groups(mixed, salts), ["digest", "norm"])
+    return _told(alone, id_col).unionByName(_told(by_text, id_col))
+
+
+def _groups(rows: DataFrame, salts: int) -> DataFrame:
+    salted = rows.groupBy("digest", "norm", F.pmod(F.xxhash64("_id"), F.lit(salts)).alias("salt")).agg(
+        F.max("_id").alias("keep_id"), F.count("*").alias("n")
     )
+    return salted.groupBy("digest", "norm").agg(F.max("keep_id").alias("keep_id"), F.sum("n").alias("group_size"))
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _keyed(docs: DataFrame, id_col: str, text_col: str, digest: Callable[[Column], Column]) -> DataFrame:
     rows = id_and_text(docs, id_col, text_col).select("_id", ascii_lower(F.col("_text")).alias("norm"))
-    return rows.select("_id", "norm", F.unhex(F.sha2("norm", 256)).alias("digest"))
+    return rows.select("_id", "norm", digest(F.col("norm")).alias("digest"))
 
 
-def _marks():
-    return F.octet_length("norm").alias("n_bytes"), F.xxhash64("norm").alias("mark")
+def _told(rows: DataFrame, id_col: str) -> DataFrame:
+    return rows.select(F.col("_id").alias(id_col), "keep_id", "group_size", F.col("_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
