@@ -96,7 +96,7 @@ def _tree(rows: DataFrame, names: list[str], shards: int) -> Column:
 
 
 def _finer(at: DataFrame, names: list[str], nodes: list[list], shift: int) -> list[list]:
-    """Of each node's key range, the part in which the wanted share of the bytes is reached."""
+    """Of each node's key range, the part in which the wanted share of the bytes is reached; in the end, the key nearest to it."""
     values = [F.struct(*[F.lit(v).alias(k) for k, v in zip(("_node", "dim", "want", "start", "below"), [n, d, float(w), s, float(b)])]) for n, d, w, s, b in nodes]
     table = at.sparkSession.range(1).select(F.inline(F.array(*values)))
     key = F.element_at(F.array(*names), F.col("dim") + 1)
@@ -104,8 +104,10 @@ def _finer(at: DataFrame, names: list[str], nodes: list[list], shift: int) -> li
     sums = inside.groupBy("_node", "dim", "want", "below", F.shiftright("key", shift).alias("part")).agg(F.sum("size").alias("size"))
     before = F.sum("size").over(Window.partitionBy("_node").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     reached = sums.withColumn("below", F.col("below") + F.coalesce(before, F.lit(0))).filter(F.col("below") <= F.col("want"))
-    cut = reached.groupBy("_node", "dim", "want").agg(F.max("part").alias("part"), F.max("below").alias("below"))
-    return [[r["_node"], r["dim"], r["want"], r["part"], r["below"]] for r in cut.collect()]  # a row a node
+    cut = reached.groupBy("_node", "dim", "want").agg(F.max(F.struct("part", "below", "size")).alias("at")).select("_node", "dim", "want", "at.*")
+    rows = cut.collect()  # a row a node
+    over = lambda r: shift == 0 and 2 * (r["want"] - r["below"]) > r["size"]
+    return [[r["_node"], r["dim"], r["want"], r["part"] + over(r), r["below"]] for r in rows]
 
 
 def _slots(rows: DataFrame) -> DataFrame:
