@@ -7,19 +7,23 @@ the first aggregate), salted digest groups are merged next, and only one row a
 salt is combined globally. All three steps group by the digest *and* the text,
 so rows are merged only where their whole contents are equal.
 
-Null texts count as empty. A null id is below all ids. Rows that repeat id and
-text are the same document and get the same answer. Column names other than
-the id and the text do not matter. An empty table gives an empty result.
+Null texts count as empty; texts of any length are compared whole. A null id is
+below all ids. Rows that repeat id and text are the same document and get the
+same answer. Column names other than the id and the text do not matter. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, id_and_text
+from .common import ascii_lower, id_and_text, written
 
 SALTS = 16
+SHA256 = lambda text: F.unhex(F.sha2(text, 256))
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
@@ -38,13 +42,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = _keyed(docs, id_col, text_col, digest)
     groups = written(_groups(rows, salts).select("digest", "keep_id", "group_size"), "groups")
     shared = groups.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1").select("digest")
-    members = rows.select("_id", "digest", F.sha2("norm", 256).alias("text_sha256"))
+    members = rows.select("_id", "digest", SHA256(F.col("norm")).alias("sha"))
     if shared.isEmpty():
         return _told(members.join(groups, "digest"), id_col)
     shared = written(shared, "shared")
     alone = members.join(groups.join(shared, "digest", "left_anti"), "digest")
     mixed = rows.join(shared, "digest", "left_semi")
-    by_text = mixed.withColumn("text_sha256", F.sha2("norm", 256)).join(_groups(mixed, salts), ["digest", "norm"])
+    by_text = mixed.withColumn("sha", SHA256(F.col("norm"))).join(_groups(mixed, salts), ["digest", "norm"])
     return _told(alone, id_col).unionByName(_told(by_text, id_col))
 
 
@@ -61,4 +65,4 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str, digest: Callable[[Column
 
 
 def _told(rows: DataFrame, id_col: str) -> DataFrame:
-    return rows.select(F.col("_id").alias(id_col), "keep_id", "group_size", F.col("_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    return rows.select(F.col("_id").alias(id_col), "keep_id", "group_size", F.col("_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
