@@ -15,14 +15,17 @@ reach ``min_words`` at each of its lines, and each of those is a later copy wher
 the run is. So an interval is looked up at that length only, for windows that
 start or end at each line, and doubling stops at the longest window needed.
 
-Ranks are sums over counts (two steps of prefix sums), never a sort of all rows
-in one task; joins are equi-joins with one row a group on one side.
+Ranks are sums over counts (two steps of prefix sums), never a sort of all rows,
+nor of all that follows one line, in one task. Joins are equi-joins with one row
+a group on one side; groups with more than 1 / HOT of the rows, of which
+there are fewer than HOT, are joined by broadcast, so that no key is hot elsewhere.
 
 Null texts stay null and count as empty. Lines are compared exactly. Rows that
 agree in id and text are one document: they get equal results, and are not
 copies of each other. A null id comes before all others. All columns are kept, whatever
-their names; a text may become empty, but no row is dropped. An empty table
-gives an empty result.
+their names (the column of removed lines takes the place of one with its name);
+a text may become empty, but no row is dropped. Texts are taken whole at any
+length. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,12 +34,13 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD_RE, written
 
 MIN_WORDS = 50
+HOT = 4096
 
 
 def windows(words: np.ndarray, least: int) -> list[tuple[int, int]]:
@@ -87,20 +91,39 @@ def _line_ranks(lines: DataFrame) -> DataFrame:
     """The positions of repeated lines, with the rank of the line among all of these."""
     repeated = lines.groupBy("h1", "h2").agg(F.count("*").alias("n")).filter("n > 1")
     repeated = written(repeated.withColumn("part", F.shiftright("h1", 52)), "ids")  # 4096 parts, in order
-    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    parts = repeated.groupBy("part").agg(F.sum("n").alias("n")).select("part", before(Window.orderBy("part")).alias("base"))
-    ranked = repeated.withColumn("in", before(Window.partitionBy("part").orderBy("h1", "h2"))).join(parts, "part")
-    return lines.join(ranked.select("h1", "h2", (F.col("base") + F.col("in")).alias("r")), ["h1", "h2"]).select("_id", "_k1", "_k2", "pos", "ms", "r")
+    parts = repeated.groupBy("part").agg(F.sum("n").alias("n")).select("part", _before(Window.orderBy("part")).alias("base"))
+    ranked = repeated.withColumn("in", _before(Window.partitionBy("part").orderBy("h1", "h2"))).join(parts, "part")
+    named = ranked.select("h1", "h2", "n", (F.col("base") + F.col("in")).alias("r"))
+    return _joined(lines, named, ["h1", "h2"]).select("_id", "_k1", "_k2", "pos", "ms", "r")
+
+
+def _before(window: Window) -> Column:
+    return F.coalesce(F.sum("n").over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+
+def _joined(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` (a written table or little work) with the columns of their group; ``groups`` has one row a key, with its number of rows n."""
+    groups = written(groups, "groups")
+    total = groups.agg(F.sum("n")).first()[0] or 0
+    is_hot = F.col("n") * HOT > F.lit(total)  # fewer than HOT groups can have so many rows
+    hot = groups.filter(is_hot)
+    marked = rows.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), keys, "left")
+    names = [c for c in groups.columns if c not in keys]
+    cold = marked.filter("_hot IS NULL").select(*rows.columns).join(groups.filter(~is_hot), keys)
+    return cold.select(*rows.columns, *names).unionByName(marked.filter("_hot").select(*rows.columns, *names))
 
 
 def _doubled(level: DataFrame, span: int) -> DataFrame:
     """Ranks by 2 * span lines of the suffixes whose first 2 * span lines occur again."""
     doc = Window.partitionBy("_k1", "_k2").orderBy("pos").rangeBetween(span, span)  # the one line at that distance
     paired = written(level.withColumn("r2", F.max("r").over(doc)).filter("r2 IS NOT NULL"), "paired")
-    pairs = paired.groupBy("r", "r2").agg(F.count("*").alias("n")).filter("n > 1")
-    smaller = F.sum("n").over(Window.partitionBy("r").orderBy("r2").rowsBetween(Window.unboundedPreceding, -1))
-    named = pairs.select("r", "r2", (F.col("r") + F.coalesce(smaller, F.lit(0))).alias("rank"))
-    return paired.join(named, ["r", "r2"]).select("_id", "_k1", "_k2", "pos", "ms", F.col("rank").alias("r"))
+    pairs = paired.groupBy("r", "r2").agg(F.count("*").alias("n")).filter("n > 1").withColumn("part", F.shiftright("r2", 12))
+    pairs = written(pairs, "pairs")
+    # what follows a very common line is ranked in parts of at most 4096 ranks
+    parts = pairs.groupBy("r", "part").agg(F.sum("n").alias("n")).select("r", "part", _before(Window.partitionBy("r").orderBy("part")).alias("base"))
+    inside = pairs.withColumn("in", _before(Window.partitionBy("r", "part").orderBy("r2")))
+    named = inside.join(parts, ["r", "part"]).select("r", "r2", "n", (F.col("r") + F.col("base") + F.col("in")).alias("rank"))
+    return _joined(paired, named, ["r", "r2"]).select("_id", "_k1", "_k2", "pos", "ms", F.col("rank").alias("r"))
 
 
 def _later(level: DataFrame, span: int) -> DataFrame:
@@ -110,10 +133,10 @@ def _later(level: DataFrame, span: int) -> DataFrame:
         found = own.withColumn("r2", F.col("r"))
     else:
         tail = level.select("_k1", "_k2", F.col("pos").alias("_at"), F.col("r").alias("r2"))
-        found = own.withColumn("_at", F.col("pos") + F.col("m") - span).join(tail, ["_k1", "_k2", "_at"])
+        found = written(own.withColumn("_at", F.col("pos") + F.col("m") - span).join(tail, ["_k1", "_k2", "_at"]).drop("_at"), "windows")
     place = F.struct("_id", "_k1", "_k2", "pos")
     interval = found.groupBy("m", "r", "r2").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    return found.join(interval, ["m", "r", "r2"]).filter(place != F.col("first")).select("_k1", "_k2", "pos", "m")
+    return _joined(found, interval, ["m", "r", "r2"]).filter(place != F.col("first")).select("_k1", "_k2", "pos", "m")
 
 
 def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
@@ -135,17 +158,19 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return cuts.groupBy("_k1", "_k2").agg(F.collect_set(F.struct("pos", "m")).alias("cuts"))
 
 
-def _without(text: pd.Series, cuts: pd.Series) -> pd.Series:
-    out = []
+def _without(text: pd.Series, cuts: pd.Series) -> pd.DataFrame:
+    new, lost = [], []
     for t, windows_ in zip(text, cuts):
+        gone = 0
         if t is not None:
             lines = t.split("\n")
             keep = np.ones(len(lines), bool)
             for w in windows_:
                 keep[w["pos"] : w["pos"] + w["m"]] = False
-            t = "\n".join([x for x, k in zip(lines, keep) if k])
-        out.append(t)
-    return pd.Series(out, dtype=object)
+            t, gone = "\n".join([x for x, k in zip(lines, keep) if k]), int((~keep).sum())
+        new.append(t)
+        lost.append(gone)
+    return pd.DataFrame({"text": pd.Series(new, dtype=object), "lost": pd.Series(lost, dtype="int64")})
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, removed_col: str | None = None) -> DataFrame:
@@ -153,11 +178,10 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     cuts = repeated_runs(docs, id_col, text_col, min_words)
     rows = _keyed(docs, id_col, text_col).join(cuts, ["_k1", "_k2"], "left")
     hit = F.col("cuts").isNotNull()
-    rows = rows.select("_row", "_text", hit.alias("_hit"), F.pandas_udf(_without, "string")(F.when(hit, F.col("_text")), F.col("cuts")).alias("_new"))
-    text = F.when(F.col("_hit"), F.col("_new")).otherwise(F.col(f"_row.`{text_col}`"))
-    names = [text.alias(c) if c == text_col else F.col(f"_row.`{c}`").alias(c) for c in docs.columns]
+    new = F.pandas_udf(_without, "text string, lost long")(F.when(hit, F.col("_text")), F.col("cuts"))
+    rows = rows.select("_row", hit.alias("_hit"), new.alias("_new"))
+    text = F.when(F.col("_hit"), F.col("_new.text")).otherwise(F.col(f"_row.`{text_col}`"))
+    names = [text.alias(c) if c == text_col else F.col(f"_row.`{c}`").alias(c) for c in docs.columns if c != removed_col]
     if removed_col:
-        n = lambda x: F.length(x) - F.length(F.replace(F.col(x), F.lit("\n")))
-        lost = n("_text") - n("_new") + (F.col("_new") == "").cast("int")
-        names.append(F.when(F.col("_hit"), lost).otherwise(0).cast("long").alias(removed_col))
+        names.append(F.col("_new.lost").alias(removed_col))
     return rows.select(*names)
