@@ -6,35 +6,52 @@ chain; Viterbi decoding over line features and label transitions finds the most
 likely labels, and a text is kept if the base rules pass and at least
 ``share`` of its words lie in content lines.
 
+Features of a line come from its own text, its place, and the corpus: whether
+at least ``RECURS`` different texts hold it, and whether it follows, or comes
+before, many different lines there. Notices, signatures and footers do; the lines of
+copied passages and of near copies have the same neighbours wherever they stand.
+
 The field is fitted here by gradient ascent on its conditional likelihood, on a
 bounded sample: at most ``per_class`` labelled texts a class of at most
-``longest`` bytes, read whole; lines take their text's quality label. With fewer
-than 20 texts of a class all lines are content. Null and empty texts have no words
-and fail the base rule. Long texts are taken whole. Repeated rows are repeated,
-extra columns are left out, empty tables give empty results.
+``longest`` characters in words and ``most_lines`` lines, read whole. Only texts have labels,
+so the labels of lines are learnt in turns: first the lines of bad texts and the
+recurring lines with many neighbours are boilerplate; then the field is fitted,
+Viterbi decoding gives new line labels, and the field is fitted again.
+A text whose decoded content share contradicts its own label keeps the labels it had.
+With fewer than 20 texts of a class all lines are content.
+
+Null and empty texts have no words and fail the base rule. Long texts are taken
+whole. Texts that repeat count once in the corpus features; repeated rows are
+repeated in the result, extra columns are left out, empty tables give empty results.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_RE, id_and_text
-from .compress_quality import labelled
+from .common import WORD_RE, keyed_rows, written
+from .compress_quality import one_label
 
 #: Fixed values of the base rules.
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\v\f\r"
 LEAST_WORDS = 50
 
-FEATURES = 9
+OWN = 9  # features from the line's own text
+SEEN = 3  # features from the corpus
+FEATURES = OWN + SEEN
+RECURS = 3
+SALTS = 16
+TURNS = 3
+COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
-def measure(text: str) -> tuple[tuple[int, int, int, int, int], np.ndarray, np.ndarray]:
-    """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words); features of each line with a word; its words."""
+def measure(text: str) -> tuple[tuple[int, int, int, int, int], np.ndarray, np.ndarray, list[str]]:
+    """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words); of each line with a word: own features, words, the line."""
     lines = text.split("\n")
     words = [WORD_RE.findall(x) for x in lines]
     n = np.fromiter(map(len, words), np.int64, len(words))
@@ -66,7 +83,7 @@ def measure(text: str) -> tuple[tuple[int, int, int, int, int], np.ndarray, np.n
         )
     chars = len(text) - sum(map(text.count, BLANKS))
     counts = (total, chars, sum(map(text.count, SYMBOLS)), dup, int(repeated.sum()))
-    return counts, np.array(rows).reshape(-1, FEATURES), n[n > 0]
+    return counts, np.array(rows, np.float32).reshape(-1, OWN), n[n > 0], [x for x, own in zip(lines, words) if own]
 
 
 def _in_repeated_windows(words: list[str]) -> np.ndarray:
@@ -85,8 +102,66 @@ def _in_repeated_windows(words: list[str]) -> np.ndarray:
     return out
 
 
-def base_failed(counts: tuple[int, int, int, int, int]) -> bool:
-    return counts[0] < LEAST_WORDS or 100 * counts[4] > 50 * counts[0]
+def measured(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row a document: _id, _k1, _k2 (the document), mark (its text), counts, words, own (float32) and lines (hashes) of its lines with words."""
+
+    def run(batches):
+        for batch in filter(len, batches):
+            rows = [measure(t) for t in batch.column(4).to_pylist()]
+            counts = [pa.array(c, pa.int64()) for c in zip(*(r[0] for r in rows))]
+            words = pa.array([r[2].astype(np.int32) for r in rows], pa.list_(pa.int32()))
+            own = pa.array([r[1].tobytes() for r in rows], pa.binary())
+            hashes = [np.array([xxhash.xxh3_64_intdigest(x.encode("utf-8", "replace")) for x in r[3]], np.uint64).view(np.int64) for r in rows]
+            yield pa.record_batch([*(batch.column(k) for k in range(4)), *counts, words, own, pa.array(hashes, pa.list_(pa.int64()))], names)
+
+    names = ["_id", "_k1", "_k2", "mark", *COUNTS, "words", "own", "lines"]
+    schema = "_id long, _k1 long, _k2 long, mark long, " + ", ".join(f"{c} long" for c in COUNTS) + ", words array<int>, own binary, lines array<long>"
+    rows = keyed_rows(docs, id_col, text_col).select("_id", "_k1", "_k2", F.xxhash64(F.lit(2), "_text").alias("mark"), "_text")
+    return rows.mapInArrow(run, schema)
+
+
+def recurring(rows: DataFrame) -> DataFrame:
+    """mark, flags: for each different text with recurring lines, their hashes with whether many different lines come before or after."""
+    before = F.concat(F.array(F.lit(0).cast("long")), "lines")
+    after = F.concat(F.slice("lines", 2, F.size("lines")), F.array(F.lit(0).cast("long")))
+    own = rows.filter(F.size("lines") > 0).select("mark", F.inline(F.arrays_zip(F.col("lines").alias("h"), F.slice(before, 1, F.size("lines")).alias("prev"), after.alias("next"))))
+    often = own.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") >= RECURS).select("h")
+    shared = written(_salted(own, often).select("mark", "h", "prev", "next"), "shared")
+    # which texts, lines before and lines after: different ones, counted in two steps
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("value")) for k, c in enumerate(("mark", "prev", "next"))])
+    different = shared.select("h", F.inline(kinds)).distinct()
+    n = different.groupBy("h").agg(*[F.count_if(F.col("kind") == k).alias(c) for k, c in enumerate(("texts", "befores", "afters"))])
+    many = lambda c: (F.col(c) >= RECURS) & (2 * F.col(c) >= F.col("texts"))
+    told = n.filter(F.col("texts") >= RECURS).select("h", many("befores").alias("opens"), many("afters").alias("closes"))
+    held = _salted(shared.select("mark", "h").distinct(), told)
+    return held.groupBy("mark").agg(F.collect_list(F.struct("h", "opens", "closes")).alias("flags"))  # bounded by the text
+
+
+def _salted(rows: DataFrame, one_each: DataFrame, key: str = "h") -> DataFrame:
+    """``rows`` joined with ``one_each`` (one row a key); a hot key's rows go to SALTS tasks."""
+    salt = F.pmod(F.xxhash64("mark"), F.lit(SALTS)).cast("int")
+    spread = one_each.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_salt", salt).join(spread, [key, "_salt"])
+
+
+def chains(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``measured`` rows with flags, in a written table."""
+    rows = written(measured(docs, id_col, text_col), "measured")
+    flags = recurring(rows).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salt = F.pmod(F.xxhash64("_k1", "_id"), F.lit(SALTS)).cast("int")  # a text may repeat in very many rows
+    return written(rows.withColumn("_salt", salt).join(flags, ["mark", "_salt"], "left").drop("_salt"), "chains")
+
+
+def features(own: bytes, lines: list[int], flags: list | None) -> np.ndarray:
+    """Lines x FEATURES: the line's own, then whether it recurs, opens and closes."""
+    x = np.frombuffer(own, np.float32).reshape(-1, OWN)
+    seen = np.zeros((len(x), SEEN), np.float32)
+    if flags:
+        told = {f["h"]: (1.0, f["opens"], f["closes"]) for f in flags}
+        for k, h in enumerate(lines):
+            if h in told:
+                seen[k] = told[h]
+    return np.hstack([x, seen]).astype(np.float64)
 
 
 def viterbi(unary: np.ndarray, trans: np.ndarray) -> np.ndarray:
@@ -105,92 +180,107 @@ def viterbi(unary: np.ndarray, trans: np.ndarray) -> np.ndarray:
     return np.array(out[::-1])
 
 
-def fit_crf(chains: list[np.ndarray], labels: list[int], steps: int = 150, ridge: float = 1.0, cut: int = 64) -> dict:
-    """Weights of a two-label chain; each chain has one label throughout, label 1 being content."""
-    parts = [(c[k : k + cut], y) for c, y in zip(chains, labels) for k in range(0, len(c), cut)]
-    longest = max(len(c) for c, _ in parts)
-    x, live, y = np.zeros((len(parts), longest, FEATURES)), np.zeros((len(parts), longest), bool), np.array([y for _, y in parts])
-    for i, (c, _) in enumerate(parts):
-        x[i, : len(c)], live[i, : len(c)] = c, True
-    weight = np.where(y == 1, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9))
-    w, trans, rows = np.zeros((FEATURES, 2)), np.zeros((2, 2)), np.arange(len(parts))
+def fit_crf(xs: list[np.ndarray], ys: list[np.ndarray], weights: np.ndarray, start: dict | None = None, steps: int = 120, ridge: float = 1.0) -> dict:
+    """Weights of a two-label chain from the labels of lines, label 1 being content; each chain counts with its weight."""
+    order = np.argsort([-len(x) for x in xs], kind="stable")
+    xs, ys, weights = [xs[i] for i in order], [ys[i] for i in order], np.asarray(weights, float)[order]
+    lengths = np.array([len(x) for x in xs])
+    # lines by place: chains fall in length, so those that have a place are the first ones
+    live = [int((lengths > t).sum()) for t in range(lengths[0])]
+    x = [np.array([xs[i][t] for i in range(n)]) for t, n in enumerate(live)]
+    y = [np.array([ys[i][t] for i in range(n)]) for t, n in enumerate(live)]
+    w, trans = (start["w"].copy(), start["trans"].copy()) if start else (np.zeros((xs[0].shape[1], 2)), np.zeros((2, 2)))
     gw, gt = np.zeros_like(w), np.zeros_like(trans)
     for _ in range(steps):
-        u = x @ w
-        fore = np.zeros((longest, len(parts), 2))
-        fore[0] = u[:, 0]
-        for t in range(1, longest):
-            step = np.logaddexp(fore[t - 1][:, :1] + trans[0], fore[t - 1][:, 1:] + trans[1]) + u[:, t]
-            fore[t] = np.where(live[:, t, None], step, fore[t - 1])
-        z = np.logaddexp(fore[-1][:, 0], fore[-1][:, 1])
-        back = np.zeros((len(parts), 2))
-        dw, dt = -ridge * w, -ridge * trans
-        for t in range(longest - 1, -1, -1):
-            on = live[:, t]
-            p = np.exp(fore[t] + back - z[:, None])
-            want = np.zeros_like(p)
-            want[rows, y] = 1
-            err = (want - p) * (on * weight)[:, None]
-            dw = dw + x[:, t].T @ err
+        u = [part @ w for part in x]
+        fore, z = [u[0]], np.logaddexp(u[0][:, 0], u[0][:, 1])
+        for t in range(1, len(live)):
+            last = fore[-1][: live[t]]
+            fore.append(np.logaddexp(last[:, :1] + trans[0], last[:, 1:] + trans[1]) + u[t])
+            z[: live[t]] = np.logaddexp(fore[t][:, 0], fore[t][:, 1])
+        dw, dt, back = -ridge * w, -ridge * trans, np.zeros((len(xs), 2))
+        for t in range(len(live) - 1, -1, -1):
+            n = live[t]
+            rows = np.arange(n)
+            err = -np.exp(fore[t] + back[:n] - z[:n, None])
+            err[rows, y[t]] += 1
+            dw = dw + x[t].T @ (err * weights[:n, None])
             if t:
-                ahead = back + u[:, t]
-                joint = np.exp(fore[t - 1][:, :, None] + trans + ahead[:, None, :] - z[:, None, None])
-                hit = np.zeros_like(joint)
-                hit[rows, y, y] = 1
-                dt = dt + ((hit - joint) * (on * weight)[:, None, None]).sum(axis=0)
-                before = np.logaddexp(trans[:, 0] + ahead[:, :1], trans[:, 1] + ahead[:, 1:])
-                back = np.where(on[:, None], before, back)
+                ahead = back[:n] + u[t]
+                joint = -np.exp(fore[t - 1][:n, :, None] + trans + ahead[:, None, :] - z[:n, None, None])
+                joint[rows, y[t - 1][:n], y[t]] += 1
+                dt = dt + (joint * weights[:n, None, None]).sum(axis=0)
+                back[:n] = np.logaddexp(trans[:, 0] + ahead[:, :1], trans[:, 1] + ahead[:, 1:])
         gw, gt = gw + dw**2, gt + dt**2  # per-weight step sizes
         w, trans = w + 0.5 * dw / np.sqrt(gw + 1e-9), trans + 0.5 * dt / np.sqrt(gt + 1e-9)
     return {"w": w, "trans": trans}
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "quality", per_class: int = 600, longest: int = 1 << 15) -> dict | None:
-    texts = labelled(docs, labels, id_col, text_col, label, per_class, longest)
-    chains = [(measure(t)[1], y) for y in (0, 1) for t in texts[y]]
-    chains = [(c, y) for c, y in chains if len(c)]
-    if min(sum(y == k for _, y in chains) for k in (0, 1)) < 20:
+def learn(xs: list[np.ndarray], words: list[np.ndarray], labels: list[int], share: float = 0.5) -> dict:
+    """The field from texts with one label each: lines are labelled, and the field fitted, in turns."""
+    # to begin with: a recurring line with many neighbours on a side is boilerplate, and so is all of a bad text
+    now = [np.where((x[:, OWN + 1 :] > 0).any(axis=1), 0, y).astype(int) for x, y in zip(xs, labels)]
+    good = np.array(labels) == 1
+    weights = np.where(good, 0.5 / max(good.mean(), 1e-9), 0.5 / max(1 - good.mean(), 1e-9))
+    model = fit_crf(xs, now, weights)
+    for _ in range(TURNS - 1):
+        for k, (x, n, y) in enumerate(zip(xs, words, labels)):
+            path = viterbi(x @ model["w"], model["trans"])
+            if (n[path == 1].sum() >= share * n.sum()) == bool(y):
+                now[k] = path
+        model = fit_crf(xs, now, weights, model, steps=60)
+    return model
+
+
+def train(rows: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = 600, longest: int = 1 << 15, most_lines: int = 256, label_id: str = "doc_id") -> dict | None:
+    """The field from ``chains`` rows of labelled texts; None with too few of a class."""
+    order = F.xxhash64("_id")
+    known = one_label(labels, label_id, label)
+    some = [known.filter(F.col("_y") == y).orderBy(order, "_id").limit(4 * per_class) for y in (0, 1)]
+    fit = rows.filter((F.col("word_chars") <= longest) & F.size("lines").between(1, most_lines)).join(F.broadcast(some[0].unionByName(some[1])), "_id")
+    xs, words, ys = [], [], []
+    for y in (0, 1):
+        for r in fit.filter(F.col("_y") == y).orderBy(order, "_id", "mark").limit(per_class).select("own", "lines", "flags", "words").collect():
+            xs.append(features(bytes(r["own"]), r["lines"], r["flags"]))
+            words.append(np.array(r["words"]))
+            ys.append(y)
+    if min(ys.count(0), ys.count(1)) < 20:
         return None
-    return fit_crf([c for c, _ in chains], [y for _, y in chains])
+    return learn(xs, words, ys)
 
 
-def content_share(features: np.ndarray, words: np.ndarray, model: dict | None) -> float:
-    if not len(features):
-        return 0.0
-    if model is None:
-        return 1.0
-    return float(words[viterbi(features @ model["w"], model["trans"]) == 1].sum() / words.sum())
+def content_share(path: np.ndarray, words: np.ndarray) -> float:
+    return float(words[path == 1].sum() / words.sum()) if len(words) else 0.0
 
 
 def line_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = 0.5) -> DataFrame:
-    """One row a document: id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, content_share, kept."""
-    model = train(docs, labels, id_col, text_col)
-    names = ["_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "content_share"]
+    """One row a document: id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, content_share, boilerplate (lines with words, from 0), kept."""
+    rows = _verdicts(docs, labels, id_col, text_col, share)
+    return rows.select(F.col("_id").alias(id_col), *COUNTS, "base_failed", "content_share", "boilerplate", "kept")
+
+
+def _verdicts(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, share: float) -> DataFrame:
+    rows = chains(docs, id_col, text_col)
+    model = train(rows, labels, label_id=id_col)
 
     def run(batches):
         for batch in batches:
-            out = []
-            for text in batch.column(1).to_pylist():
-                counts, features, words = measure(text)
-                out.append((*counts, base_failed(counts), content_share(features, words, model)))
-            cols = [pa.array(c, t) for c, t in zip(zip(*out), [pa.int64()] * 5 + [pa.bool_(), pa.float64()])]
-            yield pa.record_batch([batch.column(0), *cols], names)
+            shares, marked = [], []
+            for own, lines, flags, words in zip(*(batch.column(k).to_pylist() for k in range(8, 12))):
+                x, n = features(own, lines, flags), np.array(words, np.int64)
+                path = viterbi(x @ model["w"], model["trans"]) if model and len(x) else np.ones(len(x), int)
+                shares.append(content_share(path, n))
+                marked.append(np.flatnonzero(path == 0).astype(np.int32))
+            yield pa.record_batch([*(batch.column(k) for k in range(8)), pa.array(shares, pa.float64()), pa.array(marked, pa.list_(pa.int32()))], names)
 
-    schema = ", ".join(f"{n} {t}" for n, t in zip(names, ["long"] * 6 + ["boolean", "double"]))
-    rows = id_and_text(docs, id_col, text_col).mapInArrow(run, schema)
-    return rows.withColumnRenamed("_id", id_col).withColumn("kept", ~F.col("base_failed") & (F.col("content_share") >= share))
+    names = ["_id", "_k1", "_k2", *COUNTS, "content_share", "boilerplate"]
+    schema = ", ".join(f"{n} long" for n in names[:8]) + ", content_share double, boilerplate array<int>"
+    told = rows.select(*names[:8], "own", "lines", "flags", "words").mapInArrow(run, schema)
+    failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    return told.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("content_share") >= share))
 
 
 def kept_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = 0.5) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text the rules keep."""
-    model = train(docs, labels, id_col, text_col)
-
-    @F.pandas_udf("boolean")
-    def keep(texts: pd.Series) -> pd.Series:
-        out = []
-        for text in texts:
-            counts, features, words = measure(text or "")
-            out.append(not base_failed(counts) and content_share(features, words, model) >= share)
-        return pd.Series(out, dtype=bool)
-
-    return docs.filter(keep(F.col(text_col).cast("string")))
+    """The rows of ``docs``, all columns, whose text the rules keep; rows that agree in id and text share a verdict."""
+    told = _verdicts(docs, labels, id_col, text_col, share).filter("kept").select("_k1", "_k2").distinct()
+    return keyed_rows(docs, id_col, text_col).join(told, ["_k1", "_k2"], "left_semi").select("_row.*")
