@@ -9,11 +9,13 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 import xxhash
 from caregrid.llm import bpe, id_files, kd_shards, line_dedup, line_rules, packing, registry, sanitise, simhash, similar, words
 from compare import assert_same
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 SF = "/root/testdata/sf0.001"
@@ -278,36 +280,101 @@ def test_telling_terms(spark):
     assert all(got[i] == t for i, t in far)
 
 
-def told(texts, support=3, generalise_at=0.8, remove_at=0.95):
-    """Sanitised texts by plain Python: counts of whole documents, all occurrences of telling terms."""
-    words = lambda t: [(m.start(), m.end(), m.group().lower()) for m in re.finditer(r"[^\W\d_]{4,}", t)]
-    spans = {k: [(int(a), rank, int(b)) for x in base(t).split(",") if x for kind, a, b in [x.split(":")] for rank in [list(PII).index(kind)]] for k, t in texts.items()}
-    form = lambda k, s: (s[1], texts[k][s[0] : s[2]].lower() if s[1] < 2 else re.sub("[^0-9]", "", texts[k][s[0] : s[2]]))
-    by_entity, by_term = defaultdict(set), defaultdict(set)
-    for k, t in texts.items():
-        for s in spans[k]:
-            by_entity[form(k, s)].add(k)
-        for _, _, w in words(t):
+def forms(kind, value):
+    """An entity, its groups and its kind, from the finest."""
+    value, d = value.lower(), re.sub("[^0-9]", "", value)
+    if kind == "email":
+        host = value.rsplit("@", 1)[1]
+        own = [value, "@" + host, "@." + host.rsplit(".", 1)[1]]
+    elif kind == "ip":
+        own = [value, *(".".join(value.split(".")[:n]) for n in (3, 2, 1))]
+    else:
+        own = [d, *(d[:n] for n in (6, 4, 2, 1))]
+    return [(kind, k, x) for k, x in enumerate([*own, ""])]
+
+
+def shares(texts, support=3):
+    """Entities of each text and the disclosure of each (entity, term), by plain Python; spans and terms of each text."""
+    spans = {k: [(int(a), kind, int(b)) for x in base(t).split(",") if x for kind, a, b in [x.split(":")]] for k, t in texts.items()}
+    clear = {k: "".join(" " if any(a <= i < b for a, _, b in spans[k]) else c for i, c in enumerate(t)) for k, t in texts.items()}
+    words = {k: [(m.start(), m.end(), m.group().lower()) for m in regex.finditer(r"[\p{L}\p{M}\p{N}]+", t)] for k, t in clear.items()}
+    holds = defaultdict(set)
+    for k in texts:
+        for a, kind, b in spans[k]:
+            for f in forms(kind, texts[k][a:b]):
+                holds[f].add(texts[k])
+    own, by_entity, by_term = defaultdict(set), defaultdict(set), defaultdict(set)
+    for k in texts:
+        for a, kind, b in spans[k]:
+            e = next((f for f in forms(kind, texts[k][a:b]) if len(holds[f]) >= support), None)
+            if e:
+                own[k].add(e)
+                by_entity[e].add(k)
+        for _, _, w in words[k]:
             by_term[w].add(k)
-    out, tags = {}, ["[EMAIL]", "[IP]", "[CARD]", "[PHONE]", "[TERM]", ""]
-    for k, t in texts.items():
-        more = []
-        for e in {form(k, s) for s in spans[k]}:
-            for a, b, w in words(t):
-                both = by_entity[e] & by_term[w]
-                if len({texts[x] for x in both}) >= support and not any(a < s[2] and s[0] < b for s in spans[k]):
-                    share = 1 - np.log(len(by_term[w]) / len(both)) / max(np.log(len(texts) / len(by_entity[e])), 1e-9)
-                    if share >= generalise_at:
-                        more.append((a, 5 if share >= remove_at else 4, b))
+    out = {}
+    for e, ks in by_entity.items():
+        for w in {w for k in ks for _, _, w in words[k]}:
+            both = ks & by_term[w]
+            if len({texts[k] for k in both}) >= support:
+                out[e, w] = 1 - np.log(len(by_term[w]) / len(both)) / max(np.log(len(texts) / len(ks)), 1e-9)
+    return own, out, spans, words
+
+
+def term_spans(texts, generalise_at=0.8, remove_at=0.95, **how):
+    own, share, spans, words = shares(texts, **how)
+    out = {}
+    for k in texts:
+        most = lambda w: max((share.get((e, w), 0) for e in own[k]), default=0)
+        more = [(a, "remove" if most(w) >= remove_at else "generalise", b) for a, b, w in words[k] if most(w) >= generalise_at]
+        out[k] = sorted(spans[k] + more, key=lambda s: (s[0], sanitise.KINDS.index(s[1])))
+    return out
+
+
+def told(texts, **how):
+    """Sanitised texts by plain Python: counts of whole documents, all occurrences of telling terms."""
+    out = {}
+    for k, found in term_spans(texts, **how).items():
         at, text = 0, ""
-        for a, rank, b in sorted(spans[k] + more):
+        for a, kind, b in found:
             if a >= at:
-                text += t[at:a] + tags[rank]
+                text += texts[k][at:a] + sanitise.TAGS[kind]
             at = max(at, b)
-        out[k] = text + t[at:]
+        out[k] = text + texts[k][at:]
     return out
 
 
+def test_term_spans_of_the_tables(spark):
+    """All spans and all disclosures of whole tables, against plain Python; both tags at lower thresholds."""
+    sf = "/root/testdata/sf0.01"
+    rows = spark.read.parquet(f"{sf}/documents.parquet")
+    texts = {r.doc_id: r.text or "" for r in rows.collect()}
+    want = {k: ",".join(f"{kind}:{a}:{b}" for a, kind, b in v) for k, v in term_spans(texts).items()}
+    assert {r.doc_id: r.spans for r in registry.op6_sanitise(spark, sf).collect()} == want
+    keyed = sanitise._keyed(rows.selectExpr("doc_id AS _id", "coalesce(text, '') AS _text")).withColumn("base", sanitise.base_spans(F.col("_text")))
+    held = keyed.withColumn("_text", sanitise._low(sanitise._blanked(F.col("_text"), F.col("base"))))
+    got = {(r.entity, r.term): r.disclosure for r in sanitise.disclosures(held)[1].collect()}
+    share = {(f"{list(PII).index(e[0])}:{e[1]}:{e[2]}", w): x for (e, w), x in shares(texts)[1].items()}
+    assert got.keys() == share.keys() and all(abs(got[k] - share[k]) < 1e-9 for k in got)
+    low = {"generalise_at": 0.25, "remove_at": 0.4}  # few terms tell much in so small a table
+    want = {k: ",".join(f"{kind}:{a}:{b}" for a, kind, b in v) for k, v in term_spans(texts, **low).items()}
+    assert {r.doc_id: r.x for r in sanitise.find_spans(rows, **low).select("doc_id", sanitise.written_spans(F.col("spans")).alias("x")).collect()} == want
+    assert all(any(f"{kind}:" in x for x in want.values()) for kind in ("generalise", "remove"))
+
+
+def test_long_texts_with_many_matches(spark):
+    """Positions and replacement over many matches, overlapping ones too."""
+    text = "".join(f"é{k} a{k}@b.co 10.0.0.{k % 300} 1.2.3.4_4111111111111111@x.org\n" for k in range(150))
+    row = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    got = row.select(sanitise.written_spans(sanitise.base_spans(row.text)).alias("x"), sanitise._blanked(row.text, sanitise.base_spans(row.text)).alias("y")).first()
+    spans = [tuple(map(int, x.split(":")[1:])) for x in base(text).split(",")]
+    chars = list(text)
+    for a, b in spans:
+        chars[a:b] = " " * (b - a)
+    assert got.x == base(text) and got.y == "".join(chars)
+    assert sanitise.sanitised(row).first().text == told({1: text})[1]
+
+
 def test_telling_terms_of_whole_documents(spark):
     """A term counts, and goes, wherever it stands in a document of the entity, once or again."""
     fill = "plain filler words of the report go on and on " * 8
