@@ -135,35 +135,54 @@ def _blanked(text: Column, spans: Column) -> Column:
     return F.when(F.size(spans) > 0, _pieced(text, spans, blanks)).otherwise(text)
 
 
-def disclosures(held: DataFrame, support: int = 3) -> tuple[DataFrame, DataFrame]:
-    """What the corpus says of ``held`` (_key, _mark, base, and _text in lower case with base spans blanked).
+def disclosures(rows: DataFrame, held: DataFrame, support: int = 3) -> tuple[DataFrame, DataFrame]:
+    """What the corpus (``rows``: _text) says of ``held``: the same rows with _key, _mark, base and, where that is not empty, _text.
 
     First _mark, entity, docs, term: the terms of each text of an entity, and how many documents the text has. Second
     entity, term, n_et, n_e, n_t, disclosure, for pairs with enough texts.
     """
-    mentions = held.filter(F.size("base") > 0).select("_key", "_mark", F.explode("base").alias("s"))
+    with_any = held.filter(F.size("base") > 0)
+    mentions = with_any.select("_key", "_mark", F.explode("base").alias("s"))
     forms = mentions.select("_key", "_mark", F.struct("s.start", "s.rank").alias("at"), F.inline(_entities(F.col("s"))))
     # the key counts rows that agree in id and text once, everywhere
     frequent = forms.groupBy("entity").agg(F.count_distinct("_mark").alias("texts")).filter(F.col("texts") >= support).select("entity")
-    chosen = forms.join(frequent, "entity").groupBy("_key", "_mark", "at").agg(F.min_by("entity", "level").alias("entity"))
+    chosen = _salted(forms, frequent, F.col("_mark")).groupBy("_key", "_mark", "at").agg(F.min_by("entity", "level").alias("entity"))
     # one row a text and entity, then one row a text: what equal texts hold is counted, not repeated
     holders = written(chosen.groupBy("_mark", "entity").agg(F.count_distinct("_key").alias("docs")), "holders")
-    terms = F.array_distinct(F.regexp_extract_all("_text", F.lit(TERM), F.lit(0)))
-    texts = held.filter(F.size("base") > 0).select("_mark", "_text").join(holders.select("_mark").distinct(), "_mark", "left_semi").dropDuplicates(["_mark"])
-    together = holders.join(written(texts.select("_mark", terms.alias("terms")), "terms"), "_mark").select("_mark", "entity", "docs", F.explode("terms").alias("term"))
+    texts = with_any.select("_mark", "base", "_text").join(holders.select("_mark").distinct(), "_mark", "left_semi").dropDuplicates(["_mark"])
+    together = holders.join(written(texts.select("_mark", _terms(_clear()).alias("terms")), "terms"), "_mark").select("_mark", "entity", "docs", F.explode("terms").alias("term"))
     pairs = together.groupBy("entity", "term").agg(F.sum("docs").alias("n_et"), F.count("*").alias("texts")).filter(F.col("texts") >= support).drop("texts")
-    totals = held.select(F.explode(terms).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
+    # n(t) is counted in whole texts, and put right where base spans stand in them
+    counted = [(rows, _terms(_low(F.col("_text"))), 1), (with_any, _terms(_low(F.col("_text"))), -1), (with_any, _terms(_clear()), 1)]
+    each = [df.select(F.explode(terms).alias("term"), F.lit(one).alias("one")) for df, terms, one in counted]
+    totals = each[0].unionByName(each[1]).unionByName(each[2]).groupBy("term").agg(F.sum("one").alias("n_t"))
     n, n_e = max(held.count(), 2), holders.groupBy("entity").agg(F.sum("docs").alias("n_e"))
     ic = F.greatest(F.log(F.lit(float(n)) / F.col("n_e")), F.lit(1e-9))
     share = 1 - F.log(F.greatest(F.col("n_t"), F.col("n_et")) / F.col("n_et")) / ic
-    return together, pairs.join(n_e, "entity").join(totals, "term").withColumn("disclosure", share)
+    return together, _salted(pairs, n_e, F.col("term")).join(totals, "term").withColumn("disclosure", share)
+
+
+def _terms(text: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)))
+
+
+def _clear() -> Column:
+    """The text in lower case without its base spans."""
+    return _low(_blanked(F.col("_text"), F.col("base")))
+
+
+def _salted(rows: DataFrame, one_each: DataFrame, by: Column) -> DataFrame:
+    """``rows`` joined with ``one_each`` (one row an entity); a hot entity's rows go to SALT tasks."""
+    spread = one_each.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    return rows.withColumn("_salt", F.pmod(F.hash(by), F.lit(SALT))).join(spread, ["entity", "_salt"]).drop("_salt")
 
 
 def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = 3, generalise_at: float = 0.8, remove_at: float = 0.95) -> DataFrame:
     """One row a document: id, _key, base and spans (arrays of start, rank, end, value; rank is the place in KINDS)."""
-    rows = _keyed(id_and_text(docs, id_col, text_col)).withColumn("base", base_spans(F.col("_text")))
-    held = written(rows.withColumn("_text", _low(_blanked(F.col("_text"), F.col("base")))), "spans")
-    together, pairs = disclosures(held, support)
+    rows = _keyed(id_and_text(docs, id_col, text_col))
+    # the texts of documents with entities go along, for the terms in them
+    held = written(rows.withColumn("base", base_spans(F.col("_text"))).withColumn("_text", F.when(F.size("base") > 0, F.col("_text"))), "spans")
+    together, pairs = disclosures(rows, held, support)
     telling = pairs.filter(F.col("disclosure") >= generalise_at)
     rank = F.when(F.col("disclosure") >= remove_at, KINDS.index("remove")).otherwise(KINDS.index("generalise"))
     # a hot entity's rows are dealt over SALT tasks a term
@@ -171,8 +190,8 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     salted = together.select("_mark", "entity", "term", F.pmod(F.hash("_mark"), F.lit(SALT)).alias("_salt"))
     tells = salted.join(telling, ["entity", "term", "_salt"]).groupBy("_mark", "term").agg(F.max("rank").alias("rank"))
     named = tells.groupBy("_mark").agg(F.map_from_entries(F.collect_list(F.struct("term", "rank"))).alias("ranks"))  # bounded by the text
-    both = held.select("_id", "_key", "_mark", "base", F.when(F.size("base") > 0, F.col("_text")).alias("_text")).join(named, "_mark", "left")
-    spots = F.filter(_spans(F.col("_text"), TERM, 0), lambda t: F.map_contains_key("ranks", t["value"]))
+    both = held.join(named, "_mark", "left")
+    spots = F.filter(_spans(_clear(), TERM, 0), lambda t: F.map_contains_key("ranks", t["value"]))
     more = F.transform(spots, lambda t: F.struct(t["start"].alias("start"), F.element_at("ranks", t["value"]).alias("rank"), t["end"].alias("end"), t["value"].alias("value")))
     more = F.when(F.col("ranks").isNotNull(), more).otherwise(F.array().cast(SPAN))
     return both.select(F.col("_id").alias(id_col), "_key", "base", F.array_sort(F.concat("base", more)).alias("spans"))
