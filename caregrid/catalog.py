@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import importlib
 
+from .functions.scalars import STOP
+from .functions.vocabulary import EXPANSIONS
+
 #: Modules that register queries.
 MODULES = ("casemix", "text", "graphs", "records", "evidence", "notes", "scans")
 
@@ -24,4 +27,8 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return _all("ORACLE")
+    """:STOP and :EXPANSIONS in a query's SQL stand for the list of stop words and for branches of a CASE."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    stop = f"({', '.join(map(quoted, STOP))})"
+    expansions = " ".join(f"WHEN {quoted(k)} THEN {quoted(v)}" for k, v in EXPANSIONS.items())
+    return {k: v.replace(":STOP", stop).replace(":EXPANSIONS", expansions) for k, v in _all("ORACLE").items()}

@@ -9,7 +9,11 @@ from pyspark.sql import functions as F
 SEVERITY = [("WITHOUT CC/MCC", "NONE"), ("WITHOUT MCC", "NOT_MCC"), ("WITHOUT CC", "NOT_CC"), ("WITH CC/MCC", "CC_OR_MCC"), ("WITH MCC", "MCC"), ("WITH CC", "CC")]
 #: First words of sentences that are no claims, and words without meaning of their own.
 HEDGES = ["i ", "i'm ", "let me", "please", "thank", "sure", "of course"]
-STOP = ["the", "and", "for", "with", "that", "this", "from", "was", "are"]
+STOP = (
+    "the a an is are was were be been being have has had do does did will would could should may might can shall to of in for on with at by from as into "
+    "through during before after and but or nor not so yet both either neither each every all any few more most other some such no only own same than too "
+    "very just because about between this that these those it its they them their we our you your i my me he she his her which what who whom how "
+).split()
 
 
 def _blank_to_null(c: Column) -> Column:

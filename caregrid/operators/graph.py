@@ -106,3 +106,32 @@ def diagram_text(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     lines = edges.join(a, ["graph", "src"]).join(b, ["graph", "dst"]).groupBy("graph").agg(F.array_sort(F.collect_list(F.format_string("  %s -->|%s| %s", "a", F.lower("type"), "b"))).alias("links"))
     rows = boxes.join(lines, "graph", "left")
     return rows.select("graph", F.array_join(F.concat(F.array(F.lit("graph TD")), "boxes", F.coalesce("links", F.array().cast("array<string>"))), "\n").alias("code"))
+
+
+def scoped(edges: DataFrame, anchors: DataFrame, steps: int, types: list[str] | None = None, n: int = 50) -> tuple[DataFrame, DataFrame]:
+    """The nearest n nodes of each anchor over edges (src, dst, type) of some types, with their distance and place; and the edges between them."""
+    own = edges if types is None else edges.filter(F.col("type").isin(types))
+    near = neighborhood(own, anchors, steps)
+    place = F.row_number().over(Window.partitionBy("seed").orderBy("distance", "node"))
+    nodes = near.withColumn("place", place).filter(F.col("place") <= n)
+    members = nodes.select("seed", "node").unionByName(anchors.select(F.col("node").alias("seed"), "node"))
+    src, dst = (members.withColumnRenamed("node", c) for c in ("src", "dst"))
+    return nodes, own.join(src, "src").join(dst, ["seed", "dst"]).select("seed", "src", "dst", "type").distinct()
+
+
+def artifact_lineage(edges: DataFrame, anchors: DataFrame, nodes: DataFrame, labels: list[str], steps: int = 3, n: int = 50) -> DataFrame:
+    """The nearest n nodes of each anchor within ``steps`` that carry one of the labels; nodes: node, label."""
+    wanted = nodes.filter(F.col("label").isin(labels)).select("node", "label").distinct()
+    place = F.row_number().over(Window.partitionBy("seed").orderBy("distance", "node"))
+    return neighborhood(edges, anchors, steps).join(wanted, "node").withColumn("place", place).filter(F.col("place") <= n)
+
+
+def node_search(nodes: DataFrame, edges: DataFrame, search: str, fields: list[str], key: str = "node", n: int = 20) -> DataFrame:
+    """The first n nodes of which a field holds the text in any case, each with the nodes one step away (null: none)."""
+    held = lambda c: F.coalesce(F.contains(F.lower(F.col(c)), F.lit(search.lower())), F.lit(False))
+    hit = held(fields[0])
+    for c in fields[1:]:
+        hit = hit | held(c)
+    found = nodes.filter(hit).select(key).orderBy(key).limit(n)
+    steps = edges.select(F.col("src").alias(key), F.col("dst").alias("neighbor")).distinct()
+    return found.join(steps, key, "left")

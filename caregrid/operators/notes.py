@@ -223,3 +223,37 @@ def validated_claims(claims: DataFrame, hits: DataFrame, mentions: DataFrame, no
 def code_suggestions(concepts: DataFrame, least: float = 0.3) -> DataFrame:
     """concepts with codes (an array) -> note, line, term, codes of those that are mapped, have codes and are sure enough."""
     return concepts.filter((F.size(F.coalesce("codes", F.array().cast("array<string>"))) > 0) & F.col("code").isNotNull() & (F.col("confidence") >= least)).select("note", "line", "term", "codes")
+
+
+def dictionary_concepts(notes: DataFrame, key: str = "note", text: str = "text", most: int = 50) -> DataFrame:
+    """key, place, term, category, negated, qualifier: the first ``most`` different concepts of a note.
+
+    In this order: laboratory values with their unit, medications, abbreviations of conditions written out, terms (negated where a cue stands in the
+    25 characters before the first mention; with the first qualifier there or in the 15 after it), procedures. A concept found twice counts once.
+    """
+    from ..functions import vocabulary as vo
+
+    kind = "struct<term:string,category:string,negated:boolean,qualifier:string>"
+    t, low = F.coalesce(F.col(text), F.lit("")), F.lower(F.coalesce(F.col(text), F.lit("")))
+    word = lambda w: rf"(?<![\p{{L}}\p{{N}}_])\Q{w}\E(?![\p{{L}}\p{{N}}_])"
+    one = lambda term, category, negated=F.lit(False), qualifier=F.lit(None): F.struct(term, F.lit(category), negated, qualifier.cast("string")).cast(kind)
+    where = lambda hit, concept: F.when(hit, concept)
+
+    lab = rf"(?i)(?<![\p{{L}}\p{{N}}_])({'|'.join(vo.LABS)})\s*(?:of\s+)?(\d[\d,]*\.?\d*)\s*({'|'.join(vo.UNITS)})?"
+    part = lambda k: F.regexp_extract_all(t, F.lit(lab), F.lit(k))
+    labs = F.transform(F.arrays_zip(part(1).alias("a"), part(2).alias("b"), part(3).alias("c")), lambda x: one(F.concat(x["a"], F.lit(" "), x["b"], F.coalesce(x["c"], F.lit(""))), "lab_value"))
+    medications = [where(low.rlike(word(m)), one(F.lit(m), "medication")) for m in vo.MEDICATIONS]
+    shorts = [where(low.rlike(word(a)), one(F.lit(x), "condition", low.rlike(rf"(?:no|denies|without)\s+\Q{a}\E"))) for a, x in vo.CONDITION_SHORT.items()]
+    terms = []
+    for category, names in vo.NOTE_TERMS.items():
+        for name in names:
+            at = F.locate(name, low)
+            before = F.substring(low, F.greatest(at - 25, F.lit(1)), at - F.greatest(at - 25, F.lit(1)))
+            after = F.substring(low, at, F.lit(len(name) + 15))
+            near = F.coalesce(*[F.when(F.contains(before, F.lit(q)) | F.contains(after, F.lit(q)), q) for q in vo.QUALIFIERS])
+            terms.append(where(at > 0, one(F.lit(name), category, before.rlike(vo.NEGATION), near)))
+    procedures = [where(low.rlike(p), one(F.lit(x), "procedure")) for p, x in vo.PROCEDURES.items()]
+    found = F.concat(labs, F.array_compact(F.array(*medications, *shorts, *terms, *procedures)))
+    names = F.transform("found", lambda c: F.lower(F.trim(c["term"])))
+    first = F.filter("found", lambda c, k: F.array_position(names, F.lower(F.trim(c["term"]))) == k + 1)
+    return notes.select(key, found.alias("found")).select(key, F.posexplode(F.slice(first, 1, most)).alias("place", "c")).select(key, "place", "c.*")

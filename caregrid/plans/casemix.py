@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.vocabulary import FACILITIES
 from ..operators import casemix as cm
+from ..operators import records as rc
 from ..operators import tables as tb
 from .base import table
 
@@ -47,7 +49,7 @@ def a6(spark, d):
 
 
 def a7(spark, d):
-    return _directory(spark, d).groupBy("type").agg(F.count("*").alias("n")).orderBy(F.desc("n"))
+    return rc.type_counts(_directory(spark, d), "type")
 
 
 def a8(spark, d):
@@ -108,15 +110,16 @@ def p2(spark, d):
 def p3(spark, d):
     from ..functions.scalars import lookup
 
-    return _directory(spark, d).select("provider", lookup(F.concat(F.lit(" "), F.col("type")), KINDS | {"2": "OTHER"}, "OTHER").alias("facility"))
+    kinds = F.array(*[F.lit(k) for k in [*FACILITIES, "Unknown Kind"]])
+    named = F.concat(F.lit(" "), F.element_at(kinds, (F.col("s_suppkey") % 10 + 1).cast("int")))
+    return table(spark, d, "supplier").select(F.col("s_suppkey").alias("provider"), lookup(named, FACILITIES, "OTHER").alias("facility"))
 
 
 def w8(spark, d):
+    """By id, name, city (the state stands for it) or alias."""
     rows = _directory(spark, d).join(cm.latest(_cmi(spark, d), "year").select("provider", "discharges"), "provider", "left")
-    text = F.lower("name")
-    hit = text.contains("1") | (F.col("provider") == 1)
-    rank = F.when(F.col("provider") == 1, 0).when(F.startswith(text, F.lit("supplier#00000001")), 1).otherwise(2)
-    return rows.filter(hit).select("provider", "name", "state", rank.alias("rank"), "discharges").orderBy("rank", F.desc_nulls_last("discharges"), "name").limit(20)
+    rows = rows.withColumn("aliases", F.array(F.concat((F.col("provider") % 7).cast("string"), F.lit("-Clinic"))))
+    return rc.name_search(rows, "1", city="state").select("provider", "name", "state", "rank", "discharges")
 
 
 QUERIES = {
@@ -159,13 +162,13 @@ ORACLE = {
       SELECT count(*) AS triplets, round(avg(c - n), 4) AS none_cc, round(avg(m - c), 4) AS cc_mcc, round(avg(m - n), 4) AS none_mcc FROM m WHERE n IS NOT NULL AND c IS NOT NULL AND m IS NOT NULL""",
     "w2_lowest_drg": "SELECT p_type, p_brand, min(p_partkey) AS p_partkey, arg_min(p_name, p_partkey) AS p_name FROM part GROUP BY p_type, p_brand",
     "w4_latest_vintage": f"WITH {_CTE} SELECT * FROM last",
-    "w8_ranked_name_search": f"""WITH {_CTE} SELECT d.provider, name, state, CASE WHEN d.provider = 1 THEN 0 WHEN starts_with(lower(name), 'supplier#00000001') THEN 1 ELSE 2 END AS rank, discharges
-      FROM dir d LEFT JOIN last USING (provider) WHERE contains(lower(name), '1') OR d.provider = 1 ORDER BY rank, discharges DESC NULLS LAST, name LIMIT 20""",
+    "w8_ranked_name_search": f"""WITH {_CTE} SELECT d.provider, name, state, CASE WHEN d.provider = 1 THEN 0 WHEN d.provider % 7 = 1 THEN 1 ELSE 2 END AS rank, discharges
+      FROM dir d LEFT JOIN last USING (provider) WHERE contains(lower(name), '1') OR d.provider = 1 OR d.provider % 7 = 1 ORDER BY rank, discharges DESC NULLS LAST, name LIMIT 20""",
     "j5_known_keys": "SELECT count(*) FILTER (s_suppkey IS NOT NULL) AS loaded, count(*) FILTER (s_suppkey IS NULL) AS skipped FROM lineitem LEFT JOIN (SELECT * FROM supplier WHERE s_suppkey % 3 <> 0) ON l_suppkey = s_suppkey",
     "j8_same_area_peers": f"""WITH {_CTE}, o AS (SELECT d.provider, d.state, d.name, cmi, discharges FROM dir d LEFT JOIN last USING (provider)),
       p AS (SELECT a.provider AS anchor, b.provider AS peer, row_number() OVER (PARTITION BY a.provider ORDER BY b.cmi DESC NULLS LAST, b.discharges DESC NULLS LAST, b.name) AS place FROM o a JOIN o b ON a.state = b.state AND a.provider <> b.provider)
       SELECT * FROM p WHERE place <= 3""",
     "j9_hospital_examples": f"WITH {_CTE} SELECT s_suppkey AS provider, s_name, cmi, round(s_acctbal / nullif(discharges, 0), 6) AS ratio FROM supplier LEFT JOIN last ON provider = s_suppkey WHERE s_name LIKE '%1' OR s_name LIKE '%7'",
     "p2_severity_split": "SELECT p_partkey, p_type AS base, CASE p_size % 4 WHEN 0 THEN 'MCC' WHEN 1 THEN 'CC' WHEN 2 THEN 'NONE' END AS status FROM part",
-    "p3_facility_class": "SELECT s_suppkey AS provider, CASE s_suppkey % 3 WHEN 0 THEN 'ACUTE' WHEN 1 THEN 'CRITICAL' ELSE 'OTHER' END AS facility FROM supplier",
+    "p3_facility_class": "SELECT s_suppkey AS provider, ['IPPS', 'CAH', 'PSYCH', 'PEDS', 'VA', 'DOD', 'REH', 'LTCH', 'PCH', 'OTHER'][s_suppkey % 10 + 1] AS facility FROM supplier",
 }

@@ -45,23 +45,20 @@ def _anchors(spark, d):
 
 def g6(spark, d):
     """Two steps around each anchor over edges of one type; the nearest 50 nodes an anchor."""
-    near = gr.neighborhood(_talk(spark, d).filter("type = 'user'"), _anchors(spark, d), 2)
-    w = Window.partitionBy("seed").orderBy("distance", "node")
-    return near.withColumn("place", F.row_number().over(w)).filter("place <= 50")
+    return gr.scoped(_talk(spark, d), _anchors(spark, d), 2, ["user"])[0]
 
 
 def g7(spark, d):
-    """Artifacts (conversations) within three steps of each anchor."""
-    near = gr.neighborhood(_talk(spark, d), _anchors(spark, d), 3)
-    return near.filter(F.col("node").rlike("^c[0-9]+$"))
+    """The nearest fifty artifacts (conversations) within three steps of each anchor."""
+    talk = _talk(spark, d)
+    return gr.artifact_lineage(talk, _anchors(spark, d), talk.select(F.col("src").alias("node"), F.lit("session").alias("label")), ["session"]).select("seed", "node", "distance", "place")
 
 
 def g8(spark, d):
     """The first twenty suppliers whose name or nation holds the text, with the parts one step away."""
     s = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-    found = s.filter(F.lower("s_name").contains("5") | F.lower("n_name").contains("2")).select("s_suppkey").orderBy("s_suppkey").limit(20)
-    steps = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("s_suppkey"), F.col("l_partkey").alias("neighbor")).distinct()
-    return found.join(steps, "s_suppkey", "left")
+    steps = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst"))
+    return gr.node_search(s, steps, "5", ["s_name", "n_name"], "s_suppkey")
 
 
 def n9(spark, d):
@@ -82,7 +79,7 @@ _HITS = f"(SELECT t.*, e.label FROM ({text._TOP}) t JOIN embeddings e ON e.vec_i
 _CANDIDATES = text.ORACLE["v10_bm25"].replace("place <= 3", "place <= 15")
 _BAG = "list_distinct(regexp_extract_all(lower(%s), '[a-z0-9]{2,}'))"
 _TALK = """e AS (SELECT DISTINCT 'c' || conv_id AS src, concept AS dst, role AS type FROM (SELECT conv_id, role, unnest(list_slice(list_transform(list_filter(range(1, len(w) + 1), lambda i: list_position(w, w[i]) = i), lambda i: w[i]), 1, 5)) AS concept
-  FROM (SELECT conv_id, role, list_filter(regexp_extract_all(lower(text), '[a-z]{3,}'), lambda x: x NOT IN ('the', 'and', 'for', 'with', 'that', 'this', 'from', 'was', 'are')) AS w FROM conversations)))"""
+  FROM (SELECT conv_id, role, list_filter(regexp_extract_all(lower(text), '[a-z]{3,}'), lambda x: x NOT IN :STOP) AS w FROM conversations)))"""
 _NEAR = """b AS (SELECT src, dst FROM e {where} UNION SELECT dst, src FROM e {where}), h AS (SELECT DISTINCT 'c' || conv_id AS seed, 'c' || conv_id AS node, 0 AS distance FROM conversations WHERE conv_id % 50 = 0
   UNION SELECT seed, dst, distance + 1 FROM h JOIN b ON node = src WHERE distance < {depth}), n AS (SELECT seed, node, min(distance) AS distance FROM h GROUP BY seed, node HAVING min(distance) > 0)"""
 
@@ -97,8 +94,8 @@ ORACLE = {
       SELECT q, id, row_number() OVER (PARTITION BY q ORDER BY s DESC, id) AS place FROM s QUALIFY place <= 5""",
     "v8_chunk_report": f"""SELECT q, place, '{{"rank":' || place || ',"source":' || id || ',"tag":' || label || '}}' AS report FROM {_HITS}""",
     "g6_scoped_subgraph": f"WITH RECURSIVE {_TALK}, {_NEAR.format(where="WHERE type = 'user'", depth=2)} SELECT *, row_number() OVER (PARTITION BY seed ORDER BY distance, node) AS place FROM n QUALIFY place <= 50",
-    "g7_lineage": f"WITH RECURSIVE {_TALK}, {_NEAR.format(where='', depth=3)} SELECT * FROM n WHERE regexp_matches(node, '^c[0-9]+$')",
-    "g8_node_search": """WITH f AS (SELECT s_suppkey FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE contains(lower(s_name), '5') OR contains(lower(n_name), '2') ORDER BY s_suppkey LIMIT 20)
+    "g7_lineage": f"WITH RECURSIVE {_TALK}, {_NEAR.format(where='', depth=3)} SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY distance, node) AS place FROM n WHERE regexp_matches(node, '^c[0-9]+$')) WHERE place <= 50",
+    "g8_node_search": """WITH f AS (SELECT s_suppkey FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE contains(lower(s_name), '5') OR contains(lower(n_name), '5') ORDER BY s_suppkey LIMIT 20)
       SELECT DISTINCT s_suppkey, l_partkey AS neighbor FROM f LEFT JOIN lineitem ON l_suppkey = s_suppkey""",
     "n9_gap_impact": """WITH n AS (SELECT s_suppkey::VARCHAR AS code, CASE WHEN s_acctbal > 5000 THEN 'MCC' WHEN s_acctbal > 0 THEN 'CC' END AS designation FROM supplier),
       w AS (SELECT p_type, min(w) FILTER (k = 2) AS n, min(w) FILTER (k = 1) AS c, min(w) FILTER (k = 0) AS m FROM (SELECT p_type, p_size % 4 AS k, round(p_retailprice / 1000, 4) AS w FROM part) GROUP BY p_type),

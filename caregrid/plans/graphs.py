@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as sc
 from ..operators import graph as gr
+from ..operators import records as rc
 from .base import table
 
 
@@ -77,7 +78,7 @@ def g13(spark, d):
 
 
 def a11(spark, d):
-    return table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.min("ts").alias("first"), F.max("ts").alias("last"))
+    return rc.profile(table(spark, d, "events"), "event_type", "ts")
 
 
 def _feedback(spark, d):
@@ -85,51 +86,41 @@ def _feedback(spark, d):
 
 
 def a13(spark, d):
-    pos, neg = F.count_if(F.col("rating") == "positive"), F.count_if(F.col("rating") == "negative")
-    return _feedback(spark, d).agg(F.count("*").alias("total"), pos.alias("positive"), neg.alias("negative"), F.coalesce(F.round(F.try_divide(pos, F.count("*")), 3), F.lit(0.0)).alias("rate"))
+    return rc.rating_totals(_feedback(spark, d))
 
 
 def a14(spark, d):
     calls = table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"), "c_acctbal")
-    rows = _feedback(spark, d).join(calls, "user_id")
-    return rows.groupBy("rating").agg(F.round(F.avg("value"), 6).alias("grounding"), F.floor(F.avg("c_acctbal")).cast("int").alias("duration"))
+    return rc.rating_averages(_feedback(spark, d), calls, "user_id", "value", "c_acctbal")
 
 
 def a15(spark, d):
-    now = table(spark, d, "events").agg(F.max("ts").alias("now"))
-    rows = _feedback(spark, d).crossJoin(F.broadcast(now)).filter(F.col("ts") > F.col("now") - F.expr("INTERVAL 30 DAYS"))  # one row
-    return rows.groupBy(F.to_date("ts").alias("day")).agg(F.count_if(F.col("rating") == "positive").alias("positive"), F.count_if(F.col("rating") == "negative").alias("negative"))
+    return rc.daily_ratings(_feedback(spark, d), table(spark, d, "events").agg(F.max("ts").alias("now")))
 
 
 def a16(spark, d):
-    return table(spark, d, "orders").groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("month"), F.col("o_orderpriority").alias("category")).agg(F.count("*").alias("n"))
+    return rc.monthly_counts(table(spark, d, "orders"), "o_orderdate", "o_orderpriority")
 
 
 def a23(spark, d):
-    kind = F.when(F.startswith("source", F.lit("src1")), "one").when(F.startswith("source", F.lit("src2")), "two").when(F.startswith("source", F.lit("src3")), "three").otherwise("other")
-    return table(spark, d, "documents").groupBy("lang").agg(F.round(F.least(F.count_distinct(kind) / 3, F.lit(1.0)), 6).alias("diversity"))
+    return rc.diversity(table(spark, d, "documents"), "lang", "source", {"src1": "one", "src2": "two", "src3": "three"})
 
 
 def j15(spark, d):
-    fb, calls = _feedback(spark, d), table(spark, d, "customer")
-    rows = fb.join(calls, fb.user_id == calls.c_custkey, "left").filter("rating = 'negative'")
-    return rows.select("event_id", "ts", F.substring("c_name", 1, 80).alias("prompt")).orderBy(F.desc("ts"), F.desc("event_id")).limit(50)
+    calls = table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"), "c_name")
+    return rc.feedback_with_call(_feedback(spark, d), calls, "user_id", "c_name", "negative")
 
 
 def w5(spark, d):
-    c = table(spark, d, "conversations")
-    turns = F.array_sort(F.collect_list(F.struct("turn", "role", F.sha2("text", 256).alias("hash"))))
-    return c.groupBy("conv_id").agg(F.array_join(F.transform(turns, lambda t: F.concat_ws(":", t["role"], F.substring(t["hash"], 1, 8))), ",").alias("history"))
+    return rc.turn_history(table(spark, d, "conversations"))
 
 
 def w6(spark, d):
-    c = table(spark, d, "conversations")
-    rows = c.groupBy("conv_id").agg(F.count("*").alias("messages"), F.min_by("text", "turn").alias("first"))
-    return rows.select("conv_id", "messages", F.substring("first", 1, 60).alias("preview")).orderBy(F.desc("conv_id")).limit(50)
+    return rc.session_list(table(spark, d, "conversations"))
 
 
 def w7(spark, d):
-    return table(spark, d, "orders").filter("o_orderstatus = 'F'").select("o_orderkey", "o_orderdate").orderBy(F.desc("o_orderdate"), "o_orderkey").limit(50)
+    return rc.newest_first(table(spark, d, "orders").filter("o_orderstatus = 'F'").select("o_orderkey", "o_orderdate"), "o_orderdate", "o_orderkey")
 
 
 def w3(spark, d):
@@ -138,16 +129,16 @@ def w3(spark, d):
 
 
 def k7(spark, d):
-    docs = table(spark, d, "documents")
-    lines = F.array_sort(F.collect_list(F.struct("doc_id", F.concat(F.lit("- "), F.col("source"), F.lit(" #"), F.col("doc_id")).alias("line"))))
-    return docs.groupBy("lang").agg(F.md5(F.concat_ws("\n", F.concat(F.lit("## "), F.first("lang")), F.array_join(F.transform(lines, lambda x: x["line"]), "\n"))).alias("markdown"))
+    """Documents by language as lines of a Markdown file, languages in a fixed order."""
+    line = F.concat(F.lit("- "), F.col("source"), F.lit(" #"), F.col("doc_id"))
+    return rc.category_markdown(table(spark, d, "documents"), "lang", "doc_id", line, ["en", "fr", "de", "es", "it"]).select("place", "id", "line")
 
 
 def n12(spark, d):
-    """Decisions on cards: the first one counts, later ones change nothing."""
-    ev = table(spark, d, "events")
-    first = ev.groupBy(F.col("user_id").alias("card")).agg(F.min_by(F.col("event_type"), F.struct("ts", "event_id")).alias("decision"), F.count("*").alias("decisions"))
-    return first
+    """Decisions on cards (customers): the first one counts; the state it gives the card."""
+    firsts = rc.first_decisions(table(spark, d, "events"), "user_id", "event_type", ["ts", "event_id"])
+    cards = table(spark, d, "customer").select(F.col("c_custkey").alias("card"))
+    return rc.promoted(cards, firsts, "purchase")[0].select("card", "decision", "status")
 
 
 QUERIES = {
@@ -160,7 +151,7 @@ _TREE = "t AS (SELECT DISTINCT child, parent FROM (SELECT p_partkey AS child, p_
 _UP = f"WITH RECURSIVE {_TREE}, a AS (SELECT child AS node, parent AS ancestor, 1 AS distance FROM t UNION SELECT a.node, t.parent, distance + 1 FROM a JOIN t ON t.child = a.ancestor WHERE distance < %d)"
 _EDGES = "e AS (SELECT 'p' || l_partkey AS src, 's' || l_suppkey AS dst, l_returnflag AS type, l_orderkey, l_linenumber FROM lineitem)"
 _KEYS = """m AS (SELECT DISTINCT artifact, concept FROM (SELECT artifact, unnest(list_slice(list_transform(list_filter(range(1, len(w) + 1), lambda i: list_position(w, w[i]) = i), lambda i: w[i]), 1, 5)) AS concept
-  FROM (SELECT conv_id || ':' || turn AS artifact, list_filter(regexp_extract_all(lower(text), '[a-z]{3,}'), lambda x: x NOT IN ('the', 'and', 'for', 'with', 'that', 'this', 'from', 'was', 'are')) AS w FROM conversations)))"""
+  FROM (SELECT conv_id || ':' || turn AS artifact, list_filter(regexp_extract_all(lower(text), '[a-z]{3,}'), lambda x: x NOT IN :STOP) AS w FROM conversations)))"""
 
 _RATING = "f AS (SELECT *, CASE WHEN value >= 50 THEN 'positive' ELSE 'negative' END AS rating FROM events)"
 
@@ -189,6 +180,8 @@ ORACLE = {
     "w5_turn_history": "SELECT conv_id, string_agg(role || ':' || left(sha256(text), 8), ',' ORDER BY turn) AS history FROM conversations GROUP BY conv_id",
     "w6_session_list": "SELECT conv_id, count(*) AS messages, left(arg_min(text, turn), 60) AS preview FROM conversations GROUP BY conv_id ORDER BY conv_id DESC LIMIT 50",
     "w7_newest_first": "SELECT o_orderkey, o_orderdate FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderdate DESC, o_orderkey LIMIT 50",
-    "k7_markdown_by_category": "SELECT lang, md5('## ' || lang || chr(10) || string_agg('- ' || source || ' #' || doc_id, chr(10) ORDER BY doc_id)) AS markdown FROM documents GROUP BY lang",
-    "n12_first_decision": "SELECT user_id AS card, arg_min(event_type, (ts, event_id)) AS decision, count(*) AS decisions FROM events GROUP BY user_id",
+    "k7_markdown_by_category": """SELECT list_position(['en', 'fr', 'de', 'es', 'it'], lang) AS place, doc_id AS id, '- ' || source || ' #' || doc_id AS line FROM documents WHERE lang IN ('en', 'fr', 'de', 'es', 'it')
+      UNION ALL SELECT DISTINCT list_position(['en', 'fr', 'de', 'es', 'it'], lang), NULL, '## ' || lang FROM documents WHERE lang IN ('en', 'fr', 'de', 'es', 'it')""",
+    "n12_first_decision": """SELECT c_custkey AS card, decision, CASE WHEN decision IS NULL THEN 'pending' WHEN decision = 'purchase' THEN 'approved' ELSE 'rejected' END AS status
+      FROM customer LEFT JOIN (SELECT user_id, arg_min(event_type, (ts, event_id)) AS decision FROM events GROUP BY user_id) ON user_id = c_custkey""",
 }

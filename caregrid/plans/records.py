@@ -6,34 +6,36 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as sc
+from ..functions import vocabulary as vo
 from ..operators import graph as gr
+from ..operators import notes as nt
+from ..operators import records as rc
+from ..sources import terminology as tm
 from .base import table
 
 #: Order of priorities, and the priorities expected of a status.
 PRIORITIES = ["3-MEDIUM", "1-URGENT", "2-HIGH", "5-LOW", "4-NOT SPECIFIED"]
 EXPECTED = {"F": ["1-URGENT", "2-HIGH"], "O": ["3-MEDIUM", "5-LOW"]}
 #: Rules for answers as (kind, value, threshold).
-RULES = [("contains", "a", 0.0), ("not_contains", "zzz", 0.0), ("length_gt", "4", 0.0), ("regex", "[a-z]+", 0.0), ("tokens_gt", "1", 0.0), ("fuzzy_match", "Part 1", 0.3), ("unheard_of", "", 0.0)]
-#: Terms to find in notes with their category, and the cue of a negation.
-VOCABULARY = {"that": "term", "with": "term", "from": "procedure", "nicht": "procedure"}
+RULES = [("contains", "a", 0.0), ("not_contains", "zzz", 0.0), ("length_gt", "4", 0.0), ("regex", "[a-z]+", 0.0), ("tokens_gt", "1", 0.0), ("fuzzy_match", "Part 1", 0.3), ("starts_with", "part", 0.0), ("ends_with", "1", 0.0), ("unheard_of", "", 0.0)]
+#: Fixed value: the cue of a negation.
 CUE = "and "
 
 
 def j1(spark, d):
-    flags = F.array_join(F.sort_array(F.collect_set("l_returnflag")), ",")
-    found = table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.count("*").alias("n"), flags.alias("flags"))
-    return table(spark, d, "part").select("p_partkey").join(found, "p_partkey", "left").select("p_partkey", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("flags", F.lit("")).alias("flags"))
+    lines = table(spark, d, "lineitem").select(F.col("l_partkey").alias("p_partkey"), "l_returnflag")
+    return rc.enrich(table(spark, d, "part").select("p_partkey"), lines, "p_partkey", "l_returnflag")
 
 
 def j3(spark, d):
-    known = table(spark, d, "part").filter("p_size > 10").select(F.col("p_partkey").alias("src"))
-    return table(spark, d, "lineitem").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst")).distinct().join(known, "src")
+    codes = table(spark, d, "lineitem").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst"))
+    return rc.code_edges(codes, table(spark, d, "part").filter("p_size > 10").select(F.col("p_partkey").alias("src")))
 
 
 def j4(spark, d):
-    edges = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("src"), F.col("l_partkey").alias("dst")).distinct()
+    edges = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("src"), F.col("l_partkey").alias("dst"))
     drugs = table(spark, d, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("src"))
-    return edges.join(drugs, "src").join(table(spark, d, "part").filter("p_size > 25").select(F.col("p_partkey").alias("dst")), "dst").select("src", "dst")
+    return rc.cross_edges(edges, drugs, table(spark, d, "part").filter("p_size > 25").select(F.col("p_partkey").alias("dst")))
 
 
 def j10(spark, d):
@@ -46,22 +48,19 @@ def j10(spark, d):
 
 def j13(spark, d):
     """The five smallest different codes two steps away; customers without any have an empty list."""
-    codes = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("c_custkey"), F.col("l_partkey").alias("code")).distinct()
-    first = codes.withColumn("_r", F.row_number().over(Window.partitionBy("c_custkey").orderBy("code"))).filter("_r <= 5")
-    lists = first.groupBy("c_custkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list("code")), lambda c: c.cast("string")), ",").alias("codes"))
-    return table(spark, d, "customer").select("c_custkey").join(lists, "c_custkey", "left").select("c_custkey", F.coalesce("codes", F.lit("")).alias("codes"))
+    orders = table(spark, d, "orders").select("o_orderkey", "o_custkey").join(table(spark, d, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return rc.first_codes(table(spark, d, "customer"), orders.select(F.col("o_custkey").alias("c_custkey"), F.col("l_partkey").alias("code")), "c_custkey")
 
 
 def j14(spark, d):
-    named = table(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.when(F.col("s_acctbal") > 5000, "MCC").when(F.col("s_acctbal") > 0, "CC").alias("designation"))
-    return table(spark, d, "lineitem").join(named, "l_suppkey", "left").select("l_orderkey", "l_linenumber", F.coalesce("designation", F.lit("NONE")).alias("designation"))
+    kind = F.when(F.col("s_acctbal") > 5000, "MCC").when(F.col("s_acctbal") > 0, "CC").alias("designation")
+    named = table(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), kind)
+    return rc.designated(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey"), named, "l_suppkey").drop("l_suppkey")
 
 
 def j16(spark, d):
     rid = F.concat(F.when(F.col("event_id") % 2 == 0, "memory:").otherwise("doc:"), F.col("user_id"))
-    used = table(spark, d, "events").select("event_type", rid.alias("rid")).filter(F.startswith("rid", F.lit("memory:")))
-    links = used.select("event_type", F.regexp_replace("rid", "^memory:", "").cast("long").alias("card")).distinct()
-    return links.join(table(spark, d, "customer").select(F.col("c_custkey").alias("card")), "card").select("event_type", "card")
+    return rc.context_links(table(spark, d, "events").select("event_type", rid.alias("rid")), table(spark, d, "customer").select(F.col("c_custkey").alias("card"))).select("event_type", "card")
 
 
 def _mentions(spark, d):
@@ -71,31 +70,23 @@ def _mentions(spark, d):
 def j17(spark, d):
     """An entry (a conversation) is about the concepts that its source cards (the turns) mention."""
     entries = table(spark, d, "conversations").select(F.col("conv_id").alias("entry"), F.col("conv_id"), "turn")
-    return entries.join(_mentions(spark, d), ["conv_id", "turn"]).select("entry", "concept").distinct()
+    return rc.inherited(entries, _mentions(spark, d), ["conv_id", "turn"])
 
 
 def a1(spark, d):
     """Last full name (user turns), first synonym (other turns) as preferred term, else the full name; the number of different synonyms."""
-    rows = table(spark, d, "conversations").select("conv_id", "turn", F.md5("text").alias("term"), (F.col("role") == "user").alias("full"))
-    out = rows.groupBy("conv_id").agg(
-        F.max_by("term", F.when(F.col("full"), F.col("turn"))).alias("name"),
-        F.min_by("term", F.when(~F.col("full"), F.col("turn"))).alias("first"),
-        F.count_distinct(F.when(~F.col("full"), F.col("term"))).alias("synonyms"),
-    )
-    return out.select("conv_id", "name", F.coalesce("first", "name").alias("preferred"), "synonyms")
+    rows = table(spark, d, "conversations").select(F.col("conv_id").alias("concept_id"), F.col("turn").cast("string").alias("id"), F.md5("text").alias("term"), (F.col("role") == "user").alias("is_fsn"))
+    return tm.concept_lookup(rows).select(F.col("concept_id").alias("conv_id"), F.col("fsn").alias("name"), "preferred", F.size(F.array_distinct("synonyms")).alias("synonyms"))
 
 
 def a2(spark, d):
-    """The best entry by order of priority, the first of equals; the number of different priorities besides."""
-    rank = F.array_position(F.array(*map(F.lit, PRIORITIES)), F.col("o_orderpriority"))
-    rank = F.when(rank == 0, len(PRIORITIES) + 1).otherwise(rank)
-    best = F.min_by(F.struct("o_orderkey", "o_orderpriority"), F.struct(rank, "o_orderkey"))
-    return table(spark, d, "orders").groupBy("o_custkey").agg(best.alias("b"), (F.count_distinct("o_orderpriority") - 1).alias("others")).select("o_custkey", F.col("b.o_orderkey").alias("best"), F.col("b.o_orderpriority").alias("kind"), "others")
+    """The best entry by order of priority, the first of equals; the number of others."""
+    rows = table(spark, d, "orders").select(F.col("o_custkey").alias("rxcui"), F.col("o_orderpriority").alias("tty"), F.format_string("%012d", "o_orderkey").alias("str"))
+    return tm.drug_lookup(rows, PRIORITIES).select(F.col("rxcui").alias("o_custkey"), F.col("preferred").cast("long").alias("best"), F.size("synonyms").alias("others"))
 
 
 def a12(spark, d):
-    o = table(spark, d, "orders")
-    return o.groupingSets([[o.o_orderstatus], [o.o_orderpriority]], o.o_orderstatus, o.o_orderpriority).agg(F.count("*").alias("n")).select(F.col("o_orderstatus").alias("layer"), F.col("o_orderpriority").alias("priority"), "n")
+    return rc.counts_by_each(table(spark, d, "orders"), {"o_orderstatus": "layer", "o_orderpriority": "priority"})
 
 
 def a20(spark, d):
@@ -112,53 +103,38 @@ def a21(spark, d):
 
 
 def a22(spark, d):
-    v = F.col("value")
-    rows = table(spark, d, "events").groupBy("user_id").agg(
-        F.count_if(v >= 50).alias("supported"), F.count_if((v >= 20) & (v < 50)).alias("weak"), F.count_if(v < 20).alias("unsupported"), F.round(F.avg(v / 100), 6).alias("confidence")
-    )
-    return rows.withColumn("label", sc.confidence_label(F.col("confidence"))).withColumn("detail", F.format_string("%d of %d supported", "supported", F.col("supported") + F.col("weak") + F.col("unsupported")))
+    return rc.claim_rollup(table(spark, d, "events"), "user_id", F.col("value") / 100)
 
 
 def w9(spark, d):
-    text = F.lower("p_name")
-    return table(spark, d, "part").filter(text.contains("1") | F.array_contains(F.array(F.lit(3), F.lit(5)), F.col("p_size"))).select("p_partkey", text.contains("1").alias("by_text"))
+    return rc.substring_lookup(table(spark, d, "part"), "p_name", "1", "p_size", [3, 5]).select("p_partkey", "by_text")
 
 
 def w10(spark, d):
     """What touches a concept (a customer), newest first: orders, shipped lines, returned lines, events."""
     o = table(spark, d, "orders")
     lines = table(spark, d, "lineitem").join(o.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
-    of = lambda rows, concept, kind, key, at: rows.select(F.col(concept).alias("concept"), F.lit(kind).alias("kind"), F.col(key).alias("id"), F.col(at).alias("at"))
-    parts = [
-        of(o, "o_custkey", "order", "o_orderkey", "o_orderdate"), of(lines, "o_custkey", "line", "l_orderkey", "l_shipdate"),
-        of(lines.filter("l_returnflag = 'R'"), "o_custkey", "return", "l_orderkey", "l_shipdate"), of(table(spark, d, "events"), "user_id", "event", "event_id", "ts"),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.orderBy("concept", F.desc("at"), "kind", "id")
+    back, events = lines.filter("l_returnflag = 'R'"), table(spark, d, "events")
+    of_lines = ("o_custkey", "l_orderkey", "l_shipdate")
+    return rc.timeline({"order": (o, "o_custkey", "o_orderkey", "o_orderdate"), "line": (lines, *of_lines), "return": (back, *of_lines), "event": (events, "user_id", "event_id", "ts")})
 
 
 def u5(spark, d):
     """Edges of the provenance view, the lineage view, and of both."""
     e = table(spark, d, "lineitem").select(F.concat_ws(":", "l_returnflag", "l_linestatus").alias("type"))
-    views = F.array(F.when(F.col("type").isin("A:F", "R:F"), "provenance"), F.when(F.col("type").isin("N:O", "N:F"), "lineage"), F.when(F.col("type").isin("A:F", "R:F", "N:O", "N:F"), "full"))
-    return e.select(F.explode(F.array_compact(views)).alias("view")).groupBy("view").agg(F.count("*").alias("n"))
+    provenance, lineage = ["A:F", "R:F"], ["N:O", "N:F"]
+    return rc.view_counts(e, {"provenance": provenance, "lineage": lineage, "full": provenance + lineage})
 
 
 def k5(spark, d):
     """Lines of a CSV file with all fields quoted, nulls as '', newest first."""
     e = table(spark, d, "events").filter("value >= 50").orderBy(F.desc("ts"), F.desc("event_id"))
-    cells = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("event_id", "user_id", "event_type", "props")]
-    return e.select("event_id", F.to_csv(F.struct(*cells), {"quoteAll": "true", "escape": '"'}).alias("line"))
+    return rc.csv_lines(e, ["event_id", "user_id", "event_type", "props"], ["event_id"])
 
 
 def k6(spark, d):
     """Blocks of a session's Markdown: a head (turn -1) with the number of turns, then a block a turn."""
-    c = table(spark, d, "conversations")
-    head = c.groupBy("conv_id").agg(F.count("*").alias("n")).select("conv_id", F.lit(-1).cast("long").alias("turn"), F.format_string("# Session %d\n\n%d turns", "conv_id", "n").alias("block"))
-    turns = c.select("conv_id", "turn", F.concat(F.lit("## "), F.initcap("role"), F.lit("\n\n"), F.coalesce("text", F.lit(""))).alias("block"))
-    return head.unionByName(turns).select("conv_id", "turn", F.md5("block").alias("block"))
+    return rc.session_markdown(table(spark, d, "conversations")).withColumn("block", F.md5("block"))
 
 
 def p8(spark, d):
@@ -176,17 +152,21 @@ def p10(spark, d):
     return table(spark, d, "part").select("p_partkey", F.array_join(sc.key_points(raw), "|").alias("points"))
 
 
-def _concepts(spark, d):
-    """Terms of the vocabulary in each note with category, first place and whether a cue stands in the 25 characters before."""
-    entries = F.array(*[F.struct(F.lit(t).alias("term"), F.lit(c).alias("category")) for t, c in VOCABULARY.items()])
-    low = F.lower(F.coalesce("text", F.lit("")))
-    rows = table(spark, d, "documents").select("doc_id", low.alias("t"), F.explode(entries).alias("e")).select("doc_id", "t", "e.term", "e.category", F.expr("locate(e.term, t)").alias("at")).filter("at > 0")
-    before = F.expr("substring(t, greatest(at - 25, 1), at - greatest(at - 25, 1))")
-    return rows.select("doc_id", "term", "category", "at", before.contains(CUE).alias("negated"))
+#: Sentences that notes are made of here, one for each part and place.
+SAID = [
+    ["WBC 15,000 K/uL and glucose of 250 mg/dL", "HbA1c 8.5% today", "no labs"],
+    ["denies chest pain", "severe abdominal pain, no fever", "mild HTN, no sob", "chronic cough with fever"],
+    ["metformin and aspirin daily", "CT scan of the chest", "appendectomy, then insulin", "heart failure, acute; hemoglobin stable", "paint on the wall"],
+]
+
+
+def _note(spark, d):
+    said = [F.element_at(F.array(*map(F.lit, s)), (F.col("p_partkey") % len(s) + 1).cast("int")) for s in SAID]
+    return table(spark, d, "part").select("p_partkey", F.concat_ws(". ", "p_name", *said).alias("text"))
 
 
 def p13(spark, d):
-    return _concepts(spark, d)
+    return nt.dictionary_concepts(_note(spark, d), "p_partkey")
 
 
 def p14(spark, d):
@@ -195,16 +175,7 @@ def p14(spark, d):
 
 def n10(spark, d):
     """All rules must hold for an answer; a rule of an unknown kind holds."""
-    rules = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(v).alias("value"), F.lit(t).alias("threshold")) for k, v, t in RULES])
-    rows = table(spark, d, "part").select("p_partkey", F.col("p_name").alias("a"), F.explode(rules).alias("r")).select("p_partkey", "a", "r.*")
-    low, number = F.lower("a"), F.col("value").try_cast("int")
-    ratio = 1 - F.levenshtein(low, F.lower("value")) / F.greatest(F.length("a"), F.length("value"))
-    held = (
-        F.when(F.col("kind") == "contains", low.contains(F.lower("value"))).when(F.col("kind") == "not_contains", ~low.contains(F.lower("value"))).when(F.col("kind") == "length_gt", F.length("a") > number)
-        .when(F.col("kind") == "regex", F.regexp_like("a", F.col("value"))).when(F.col("kind") == "tokens_gt", F.size(F.split(F.trim("a"), r"\s+")) > number)
-        .when(F.col("kind") == "fuzzy_match", ratio >= F.col("threshold")).otherwise(True)
-    )
-    return rows.groupBy("p_partkey").agg(F.bool_and(held).alias("passed"), F.count_if(~held).alias("failed"))
+    return rc.answer_rules(table(spark, d, "part"), RULES, "p_partkey", "p_name")
 
 
 def g9(spark, d):
@@ -238,7 +209,30 @@ QUERIES = {
 }
 
 _MENTIONS = """m AS (SELECT DISTINCT conv_id, turn, concept FROM (SELECT conv_id, turn, unnest(list_slice(list_transform(list_filter(range(1, len(w) + 1), lambda i: list_position(w, w[i]) = i), lambda i: w[i]), 1, 5)) AS concept
-  FROM (SELECT conv_id, turn, list_filter(regexp_extract_all(lower(text), '[a-z]{3,}'), lambda x: x NOT IN ('the', 'and', 'for', 'with', 'that', 'this', 'from', 'was', 'are')) AS w FROM conversations)))"""
+  FROM (SELECT conv_id, turn, list_filter(regexp_extract_all(lower(text), '[a-z]{3,}'), lambda x: x NOT IN :STOP) AS w FROM conversations)))"""
+
+def _dictionary_sql() -> str:
+    """The concepts of the notes above, from the same vocabulary."""
+    q = lambda x: "'" + x.replace("'", "''") + "'"
+    array = lambda xs: "[" + ", ".join(map(q, xs)) + "]"
+    words = [(1, k, m, m, "medication") for k, m in enumerate(vo.MEDICATIONS)] + [(2, k, a, x, "condition") for k, (a, x) in enumerate(vo.CONDITION_SHORT.items())]
+    terms = [(3, n, n, c) for c, names in vo.NOTE_TERMS.items() for n in names]
+    values = lambda rows: ", ".join("(" + ", ".join(q(x) if isinstance(x, str) else str(x) for x in r) + ")" for r in rows)
+    lab = q(rf"(?i)\b({'|'.join(vo.LABS)})\s*(?:of\s+)?(\d[\d,]*\.?\d*)\s*({'|'.join(vo.UNITS)})?")
+    said = " || '. ' || ".join(["p_name", *[f"{array(s)}[p_partkey % {len(s)} + 1]" for s in SAID]])
+    near = f"list_filter({array(vo.QUALIFIERS)}, lambda x: contains(b, x) OR contains(a, x))[1]"
+    return rf"""WITH n AS (SELECT p_partkey, {said} AS t FROM part), l AS (SELECT *, lower(t) AS low FROM n),
+      w(kind, k, key, term, category) AS (VALUES {values(words)}), s(kind, k, term, category) AS (VALUES {values([(3, k, n, c) for k, (_, n, _, c) in enumerate(terms)])}),
+      p(kind, k, key, term) AS (VALUES {values([(4, k, p, x) for k, (p, x) in enumerate(vo.PROCEDURES.items())])}),
+      x AS (SELECT p_partkey, 0 AS kind, unnest(range(len(regexp_extract_all(t, {lab})))) AS k, unnest(list_transform(list_zip(regexp_extract_all(t, {lab}, 1), regexp_extract_all(t, {lab}, 2), regexp_extract_all(t, {lab}, 3)),
+          lambda z: z[1] || ' ' || z[2] || coalesce(z[3], ''))) AS term, 'lab_value' AS category, false AS negated, NULL AS qualifier FROM l
+        UNION ALL SELECT p_partkey, kind, k, term, category, kind = 2 AND regexp_matches(low, '(?:no|denies|without)\s+' || key), NULL FROM l, w WHERE regexp_matches(low, '\b' || key || '\b')
+        UNION ALL SELECT p_partkey, kind, k, term, category, regexp_matches(b, {q(vo.NEGATION)}), {near}
+          FROM (SELECT *, substring(low, greatest(pos - 25, 1), pos - greatest(pos - 25, 1)) AS b, substring(low, pos, length(term) + 15) AS a FROM (SELECT *, strpos(low, term) AS pos FROM l, s) WHERE pos > 0)
+        UNION ALL SELECT p_partkey, kind, k, term, 'procedure', false, NULL FROM l, p WHERE regexp_matches(low, key)),
+      f AS (SELECT * FROM x QUALIFY row_number() OVER (PARTITION BY p_partkey, lower(trim(term)) ORDER BY kind, k) = 1)
+      SELECT p_partkey, row_number() OVER (PARTITION BY p_partkey ORDER BY kind, k)::INT - 1 AS place, term, category, negated, qualifier FROM f"""
+
 
 ORACLE = {
     "j1_enrichment": "SELECT p_partkey, count(l_orderkey) AS n, coalesce(string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag), '') AS flags FROM part LEFT JOIN lineitem ON l_partkey = p_partkey GROUP BY p_partkey",
@@ -255,7 +249,7 @@ ORACLE = {
       g AS (SELECT conv_id, arg_max(term, turn) FILTER (f) AS name, arg_min(term, turn) FILTER (NOT f) AS first, count(DISTINCT term) FILTER (NOT f) AS synonyms FROM r GROUP BY conv_id)
       SELECT conv_id, name, coalesce(first, name) AS preferred, synonyms FROM g""",
     "a2_best_term": """WITH r AS (SELECT *, CASE o_orderpriority WHEN '3-MEDIUM' THEN 1 WHEN '1-URGENT' THEN 2 WHEN '2-HIGH' THEN 3 WHEN '5-LOW' THEN 4 WHEN '4-NOT SPECIFIED' THEN 5 ELSE 6 END AS p FROM orders)
-      SELECT o_custkey, arg_min(o_orderkey, (p, o_orderkey)) AS best, arg_min(o_orderpriority, (p, o_orderkey)) AS kind, count(DISTINCT o_orderpriority) - 1 AS others FROM r GROUP BY o_custkey""",
+      SELECT o_custkey, arg_min(o_orderkey, (p, o_orderkey)) AS best, count(*) - 1 AS others FROM r GROUP BY o_custkey""",
     "a12_rule_stats": "SELECT o_orderstatus AS layer, o_orderpriority AS priority, count(*) AS n FROM orders GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority))",
     "a20_negation_conflict": "SELECT user_id, lower(trim(event_type)) AS term FROM events GROUP BY 1, 2 HAVING bool_or(value < 50) AND bool_or(value >= 50)",
     "a21_tag_mismatch": "SELECT o_orderkey, o_orderpriority AS tag FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority NOT IN ('1-URGENT', '2-HIGH') OR o_orderstatus = 'O' AND o_orderpriority NOT IN ('3-MEDIUM', '5-LOW')",
@@ -272,12 +266,10 @@ ORACLE = {
     "p8_reasoning_split": "SELECT conv_id, turn, role AS thinking, md5(trim(text, ' ' || chr(10) || chr(9) || chr(13))) AS answer FROM conversations",
     "p9_wrapper_strip": "SELECT event_id, props AS body FROM events",
     "p10_key_points": "SELECT p_partkey, p_name || '|' || p_type AS points FROM part",
-    "p13_dictionary_concepts": """WITH v(term, category) AS (VALUES ('that', 'term'), ('with', 'term'), ('from', 'procedure'), ('nicht', 'procedure')),
-      h AS (SELECT doc_id, lower(coalesce(text, '')) AS t, term, category, strpos(lower(coalesce(text, '')), term) AS pos FROM documents, v)
-      SELECT doc_id, term, category, pos::INT AS "at", contains(substring(t, greatest(pos - 25, 1), pos - greatest(pos - 25, 1)), 'and ') AS negated FROM h WHERE pos > 0""",
+    "p13_dictionary_concepts": _dictionary_sql(),
     "p14_negation": "SELECT doc_id, regexp_matches(lower(text), '(?s)and .{0,76}that') AS negated FROM documents",
     "n10_answer_rules": """WITH r AS (SELECT p_partkey, [contains(lower(p_name), 'a'), NOT contains(lower(p_name), 'zzz'), length(p_name) > 4, regexp_matches(p_name, '[a-z]+'), len(regexp_split_to_array(trim(p_name), '\\s+')) > 1,
-        1 - levenshtein(lower(p_name), 'part 1') / greatest(length(p_name), 6) >= 0.3] AS held FROM part)
+        1 - levenshtein(lower(p_name), 'part 1') / greatest(length(p_name), 6) >= 0.3, starts_with(lower(trim(p_name)), 'part'), ends_with(trim(p_name), '1')] AS held FROM part)
       SELECT p_partkey, list_bool_and(held) AS passed, len(list_filter(held, lambda x: NOT x)) AS failed FROM r""",
     "g9_merge": "SELECT lower(trim(event_type)) AS node, arg_max(user_id, event_id) FILTER (event_id % 3 <> 0) AS owner, arg_max(json_extract_string(props, '$.k'), event_id) AS k FROM events GROUP BY 1",
     "g11_concept_document": """WITH t AS (SELECT DISTINCT node, parent FROM (SELECT p_partkey AS node, p_partkey // 2 AS parent FROM part UNION ALL SELECT p_partkey, p_partkey // 3 FROM part) WHERE parent > 0)

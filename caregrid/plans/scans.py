@@ -76,7 +76,7 @@ _SYSTEMS = """s AS (SELECT * FROM (SELECT 'north' AS pack, 'german' AS system, c
   UNION ALL SELECT 'rest', 'english', count(*) FILTER (regexp_matches(text, ' the ')) FROM f) WHERE files > 0)"""
 _WORKERS = """w AS (SELECT stem AS worker, min(path) AS path, CASE WHEN (contains(stem, 'es') OR contains(stem, 'fr')) AND EXISTS (FROM s WHERE system IN ('spanish', 'french')) THEN 'south' ELSE 'rest' END AS pack FROM f
   WHERE NOT contains(stem, '_7') AND NOT contains(stem, 'src9') AND contains(stem, 'src') GROUP BY stem)"""
-_KEYS = "(SELECT {id}, unnest(list_slice(list_transform(list_filter(range(1, len(w) + 1), lambda i: list_position(w, w[i]) = i), lambda i: w[i]), 1, {n})) AS concept FROM (SELECT {id}, list_filter(regexp_extract_all(lower(text), '[a-z]{{3,}}'), lambda x: x NOT IN ('the', 'and', 'for', 'with', 'that', 'this', 'from', 'was', 'are')) AS w FROM {table}))"
+_KEYS = "(SELECT {id}, unnest(list_slice(list_transform(list_filter(range(1, len(w) + 1), lambda i: list_position(w, w[i]) = i), lambda i: w[i]), 1, {n})) AS concept FROM (SELECT {id}, list_filter(regexp_extract_all(lower(text), '[a-z]{{3,}}'), lambda x: x NOT IN :STOP) AS w FROM {table}))"
 _LINEAGE = f"""ds AS (SELECT DISTINCT * FROM {_KEYS.format(id='conv_id', n=3, table='conversations')}), mn AS (SELECT DISTINCT * FROM {_KEYS.format(id='doc_id', n=5, table='documents')}),
   n AS (SELECT DISTINCT 'session:' || conv_id AS id, 'session' AS label FROM conversations UNION SELECT 'card:' || doc_id, 'card' FROM documents UNION SELECT 'diagram:' || n_nationkey, 'diagram' FROM nation
     UNION SELECT 'entry:' || doc_id, 'entry' FROM labels WHERE quality = 1 UNION SELECT 'concept:' || concept, 'concept' FROM ds UNION SELECT 'concept:' || concept, 'concept' FROM mn),

@@ -6,12 +6,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as sc
+from ..functions.vocabulary import EXPANSIONS
+from ..operators import records as rc
 from ..operators import retrieval as rt
 from ..operators import tables as tb
 from .base import table
 
-#: Short forms and what they stand for.
-ABBREVIATIONS = {"the": "a", "on": "upon", "her": "their"}
 
 
 def p1(spark, d):
@@ -21,7 +21,7 @@ def p1(spark, d):
 
 def p4(spark, d):
     text = F.regexp_replace("text", r"[^A-Za-z ]", " ")
-    return table(spark, d, "documents").select("doc_id", F.md5(sc.expand_words(text, ABBREVIATIONS)).alias("expanded"))
+    return table(spark, d, "documents").select("doc_id", F.md5(sc.expand_words(text, EXPANSIONS)).alias("expanded"))
 
 
 def p6(spark, d):
@@ -43,8 +43,9 @@ def p12(spark, d):
 
 
 def p15(spark, d):
-    hit = (F.col("role") == "user") & F.lower("text").contains("the")
-    return table(spark, d, "conversations").filter(hit).select("conv_id", "turn").orderBy(F.desc("conv_id"), F.desc("turn"))
+    """Turns of users that hold a word, newest first, a turn's role being its category and also its reason."""
+    cards = table(spark, d, "conversations").select("conv_id", "turn", "text", F.col("role").alias("category"), F.col("role").alias("reason"))
+    return rc.card_filter(cards, ["conv_id", "turn"], category="user", search="THE").select("conv_id", "turn")
 
 
 def p16(spark, d):
@@ -171,9 +172,7 @@ def a26(spark, d):
 
 def j7(spark, d):
     """Items without an entry become entries; how many were made and how many were there."""
-    labels = table(spark, d, "labels").select("doc_id").distinct().withColumn("_has", F.lit(True))
-    rows = table(spark, d, "documents").select("doc_id").join(labels, "doc_id", "left")
-    return rows.agg(F.count_if(F.col("_has").isNull()).alias("created"), F.count_if("_has").alias("skipped"))
+    return rc.backfill(table(spark, d, "documents"), table(spark, d, "labels"), "doc_id")[1]
 
 
 QUERIES = {
@@ -186,7 +185,7 @@ QUERIES = {
 
 _DOT = "list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
 _TOP = f"SELECT a.vec_id AS q, b.vec_id AS id, {_DOT} AS score, row_number() OVER (PARTITION BY a.vec_id ORDER BY round({_DOT}, 9) DESC, b.vec_id) AS place FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0"
-_WORDS = "list_filter(regexp_extract_all(lower(text), '[a-z]{3,}'), lambda w: w NOT IN ('the', 'and', 'for', 'with', 'that', 'this', 'from', 'was', 'are'))"
+_WORDS = "list_filter(regexp_extract_all(lower(text), '[a-z]{3,}'), lambda w: w NOT IN :STOP)"
 
 ORACLE = {
     "p5_score_scaling": f"""WITH h AS (SELECT q, id, round(score, 9) AS score, max(round(score, 9)) OVER (PARTITION BY q) AS best FROM ({_TOP}) WHERE place <= 5)
@@ -195,7 +194,7 @@ ORACLE = {
     "j7_backfill": "SELECT count(*) FILTER (doc_id NOT IN (SELECT doc_id FROM labels)) AS created, count(*) FILTER (doc_id IN (SELECT doc_id FROM labels)) AS skipped FROM documents",
     "p1_trailing_tag": "SELECT p_partkey, p_type AS tag, p_name AS term FROM part",
     "p4_expansion": r"""SELECT doc_id, md5(array_to_string(list_transform(regexp_split_to_array(trim(regexp_replace(text, '[^A-Za-z ]', ' ', 'g')), '\s+'),
-      lambda w: CASE lower(w) WHEN 'the' THEN 'a' WHEN 'on' THEN 'upon' WHEN 'her' THEN 'their' ELSE w END), ' ')) AS expanded FROM documents""",
+      lambda w: CASE lower(w) :EXPANSIONS ELSE w END), ' ')) AS expanded FROM documents""",
     "p6_labels": "SELECT event_id, CASE WHEN value / 100 >= 0.7 THEN 'High' WHEN value / 100 >= 0.4 THEN 'Medium' WHEN value / 100 > 0.1 THEN 'Low' ELSE 'Ungrounded' END AS label FROM events",
     "p7_hashes": "SELECT doc_id, sha256(text) AS sha256, left(sha256(text), 16) AS short FROM documents",
     "p11_keywords": f"""SELECT conv_id, turn, array_to_string(list_slice(list_transform(list_filter(range(1, len(w) + 1), lambda i: list_position(w, w[i]) = i), lambda i: w[i]), 1, 3), ' ') AS words

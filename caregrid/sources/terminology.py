@@ -10,11 +10,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import safe_bool, safe_float, safe_int, safe_str
+from ..functions.vocabulary import DRUG_LINKS, DRUG_TYPES, HOSPITAL_FIELDS, PROVIDER_FIELDS, RELATIONSHIPS, SERVICE_FIELDS
 
 #: Identifiers of the release formats.
 FSN_TYPE = "900000000000003001"
 DEFINITION = {"900000000000074008": "PRIMITIVE", "900000000000073002": "FULLY_DEFINED"}
-IS_A = {"116680003": "IS_A"}
 TERM_TYPES = ["PSN", "SCD", "SBD", "IN", "PIN", "MIN", "BN"]
 
 
@@ -43,7 +43,7 @@ def rf2_descriptions(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("id", F.col("conceptId").alias("concept_id"), "term", (F.col("typeId") == FSN_TYPE).alias("is_fsn"))
 
 
-def rf2_relationships(spark: SparkSession, path: str, names: dict[str, str] = IS_A) -> DataFrame:
+def rf2_relationships(spark: SparkSession, path: str, names: dict[str, str] = RELATIONSHIPS) -> DataFrame:
     """Active relationships; a type without a name is REL_<id>."""
     known = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])
     kind = F.coalesce(F.try_element_at(known, F.col("typeId")), F.concat(F.lit("REL_"), F.col("typeId")))
@@ -62,20 +62,20 @@ def _rrf(spark: SparkSession, path: str, name: str, least: int, **places: int) -
     return parts.filter(F.size("f") >= least).select(*[F.col("f")[k].alias(c) for c, k in places.items()])
 
 
-def rrf_atoms(spark: SparkSession, path: str, types: list[str]) -> DataFrame:
+def rrf_atoms(spark: SparkSession, path: str, types: list[str] = DRUG_TYPES) -> DataFrame:
     rows = _rrf(spark, path, "RXNCONSO.RRF", 17, rxcui=0, sab=11, tty=12, code=13, str=14, suppress=16)
     return rows.filter((F.col("sab") == "RXNORM") & (F.col("suppress") == "N") & F.col("tty").isin(types)).select("rxcui", "tty", "str")
 
 
-def rrf_relationships(spark: SparkSession, path: str, relas: list[str]) -> DataFrame:
+def rrf_relationships(spark: SparkSession, path: str, relas: list[str] = DRUG_LINKS) -> DataFrame:
     rows = _rrf(spark, path, "RXNREL.RRF", 15, src=0, dst=4, rela=7, sab=10, suppress=14)
-    ok = (F.col("sab") == "RXNORM") & (F.col("suppress") != "Y") & F.col("rela").isin(relas) & (F.col("src") != "") & (F.col("dst") != "")
+    ok = (F.col("sab") == "RXNORM") & (F.col("suppress") == "N") & F.col("rela").isin(relas) & (F.col("src") != "") & (F.col("dst") != "")
     return rows.filter(ok).select("src", "dst", F.col("rela").alias("type"))
 
 
 def rrf_crosswalk(spark: SparkSession, path: str) -> DataFrame:
     rows = _rrf(spark, path, "RXNCONSO.RRF", 17, rxcui=0, sab=11, code=13, suppress=16)
-    return rows.filter("sab = 'SNOMEDCT_US' AND suppress <> 'Y' AND code <> ''").select("rxcui", "code").distinct()
+    return rows.filter("sab = 'SNOMEDCT_US' AND suppress = 'N' AND code <> ''").select("rxcui", "code").distinct()
 
 
 def concept_lookup(descriptions: DataFrame) -> DataFrame:
@@ -89,9 +89,9 @@ def concept_lookup(descriptions: DataFrame) -> DataFrame:
     return rows.select("concept_id", "fsn", trailing_tag(F.coalesce("fsn", F.lit(""))).alias("tag"), F.coalesce(F.get(synonyms, 0), without_tag(F.col("fsn"))).alias("preferred"), synonyms.alias("synonyms"))
 
 
-def drug_lookup(atoms: DataFrame) -> DataFrame:
+def drug_lookup(atoms: DataFrame, types: list[str] = TERM_TYPES) -> DataFrame:
     """rxcui, preferred, synonyms: the best term by type, the others distinct and never the preferred one."""
-    place = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, TERM_TYPES)), F.col("tty")), F.lit(0)), F.lit(len(TERM_TYPES) + 1))
+    place = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, types)), F.col("tty")), F.lit(0)), F.lit(len(types) + 1))
     rows = atoms.groupBy("rxcui").agg(F.min_by("str", F.struct(place, F.col("str"))).alias("preferred"), F.array_sort(F.collect_set("str")).alias("all"))
     return rows.select("rxcui", "preferred", F.array_except("all", F.array("preferred")).alias("synonyms"))
 
@@ -115,15 +115,35 @@ def drg_weights(spark: SparkSession, path: str) -> DataFrame:
 
 
 def designations(spark: SparkSession, path: str, designation: str) -> DataFrame:
-    """icd10_code, description, designation; the first tab splits."""
-    rows = _latin_tsv(spark, path, 2).select(F.trim(F.col("f")[0]).alias("icd10_code"), F.array_join(F.slice("f", 2, 1000), "\t").alias("description"))
-    return rows.filter(F.col("icd10_code").rlike("^[A-Z][0-9][0-9A-Z.]*$")).withColumn("designation", F.lit(designation))
+    """icd10_code, description, designation of lines that the first tab splits into two texts; the two title lines of a file have no tab or no code."""
+    lines = spark.read.option("encoding", "ISO-8859-1").option("sep", "\u0001").option("quote", "").csv(path, schema="line string")
+    cut = F.locate("\t", "line")
+    rows = lines.filter(cut > 0).select(F.trim(F.substring("line", F.lit(1), cut - 1)).alias("icd10_code"), F.trim(F.substring("line", cut + 1, F.length("line"))).alias("description"))
+    # a code has a digit and no blank, which the words of a heading have not
+    return rows.filter(F.col("icd10_code").rlike("[0-9]") & ~F.col("icd10_code").rlike(r"\s")).withColumn("designation", F.lit(designation))
 
 
 def named_csv(spark: SparkSession, path: str, columns: dict[str, tuple[str, str]], key: str, encoding: str = "UTF-8") -> DataFrame:
     """columns: name in the file -> (our name, int | float | bool | str); rows without the key go; a byte order mark is ignored."""
-    cast = {"int": safe_int, "float": safe_float, "bool": safe_bool, "str": safe_str}
+    whole = lambda c: F.when(F.trim(c).rlike("^[+-]?[0-9]+$"), F.trim(c).try_cast("int"))
+    cast = {"int": safe_int, "float": safe_float, "bool": safe_bool, "str": safe_str, "whole": whole}
     rows = spark.read.option("header", "true").option("encoding", encoding).option("multiLine", "true").csv(path)
     rows = rows.toDF(*[c.lstrip("﻿").strip() for c in rows.columns])
     made: list[Column] = [cast[kind](F.col(f"`{source}`")).alias(name) for source, (name, kind) in columns.items()]
     return rows.select(*made).filter(F.col(key).isNotNull())
+
+
+def hospitals(spark: SparkSession, path: str) -> DataFrame:
+    """The hospital directory: 24 columns; rows without an id go, a name that is missing is 'Unknown'."""
+    return named_csv(spark, path, HOSPITAL_FIELDS, "ccn").withColumn("name", F.coalesce("name", F.lit("Unknown")))
+
+
+def providers(spark: SparkSession, path: str) -> DataFrame:
+    """Provider aggregates: 17 columns, Latin-1; rows without an id go."""
+    return named_csv(spark, path, PROVIDER_FIELDS, "ccn", "ISO-8859-1")
+
+
+def provider_services(spark: SparkSession, path: str) -> DataFrame:
+    """Provider by DRG, Latin-1: rows without an id or a whole number as DRG go; no discharges are 0."""
+    rows = named_csv(spark, path, SERVICE_FIELDS, "ccn", "ISO-8859-1").filter(F.col("drg").isNotNull())
+    return rows.withColumn("discharges", F.coalesce("discharges", F.lit(0)))

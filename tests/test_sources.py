@@ -78,3 +78,34 @@ def test_streams_equal_batches(spark, tmp_path):
         run = jobs.incremental(stream, str(tmp_path / "store"), str(tmp_path / f"c{_}"), "event_id", lambda x: x.select("event_id"))
         run.awaitTermination()
     assert spark.read.parquet(str(tmp_path / "store")).count() == events.count()
+
+
+def test_suppressed_rows_stay_out(spark, tmp_path):
+    """Only rows that are not suppressed count: Y, O and E are."""
+    write(tmp_path / "RXNCONSO.RRF", [atom(str(k), "SNOMEDCT_US", "PT", f"c{k}", "x", s) for k, s in enumerate("NYOE")], "|")
+    assert [tuple(r) for r in tm.rrf_crosswalk(spark, str(tmp_path)).collect()] == [("0", "c0")]
+    rel = lambda src, dst, rela, s: [src, "", "", "", dst, "", "", rela, "", "", "RXNORM", "", "", "", s, ""]
+    write(tmp_path / "RXNREL.RRF", [rel(str(k), "9", "isa", s) for k, s in enumerate("NYOE")] + [rel("7", "9", "unheard_of", "N")], "|")
+    assert [tuple(r) for r in tm.rrf_relationships(spark, str(tmp_path)).collect()] == [("0", "9", "isa")]
+
+
+def test_designation_list(spark, tmp_path):
+    """Codes of any form, both sides trimmed, one split at the first tab, any number of further tabs."""
+    long = "\t".join("x" * 1200)
+    (tmp_path / "cc.txt").write_text(f"TABLE 6J\nICD-10 CM\tDescription\n A00.1 \t Fever, acute \nu071\tnew code\nZ9\t{long}\nno tab here\n", encoding="latin-1")
+    got = {r.icd10_code: r.description for r in tm.designations(spark, str(tmp_path / "cc.txt"), "CC").collect()}
+    assert got == {"A00.1": "Fever, acute", "u071": "new code", "Z9": long}
+
+
+def test_directory_and_provider_files(spark, tmp_path):
+    head = ",".join(tm.HOSPITAL_FIELDS)
+    (tmp_path / "h.csv").write_text(f"﻿{head}\n010001,,1 ROAD,DOTHAN,AL,36301,HOUSTON,(334) 793,Acute Care Hospitals,Gov,Yes,Y,4,7,1,0,8,2,0,11,0,1,8,Not Available\n,NAMED{',' * 22}\n", encoding="utf-8")
+    (row,) = tm.hospitals(spark, str(tmp_path / "h.csv")).collect()
+    assert len(row) == 24 and (row.ccn, row.name, row.zip, row.emergency_services, row.birthing_friendly, row.overall_rating, row.te_measures_count) == ("010001", "Unknown", "36301", True, True, 4, None)
+    (tmp_path / "p.csv").write_text(",".join(tm.PROVIDER_FIELDS) + "\n010001,1200,2500,9.5,8.25,7,1,2,75.5,1.9,40,30,,20,10,5,3\n", encoding="latin-1")
+    (row,) = tm.providers(spark, str(tmp_path / "p.csv")).collect()
+    assert len(row) == 17 and (row.total_beneficiaries, row.avg_beneficiary_age, row.pct_ckd, row.pct_stroke) == (1200, 75.5, None, 3.0)
+    lines = ["010001,470,JOINT R\xc9PLACEMENT,,1.5,2,3", "010001,4.5,not whole,1,1,1,1", "010001,x,y,1,1,1,1", ",470,no id,1,1,1,1", "010002, 039 ,EXTRA,12,1,2,3"]
+    (tmp_path / "s.csv").write_text(",".join(tm.SERVICE_FIELDS) + "\n" + "\n".join(lines) + "\n", encoding="latin-1")
+    got = [(r.ccn, r.drg, r.drg_description, r.discharges) for r in tm.provider_services(spark, str(tmp_path / "s.csv")).orderBy("ccn").collect()]
+    assert got == [("010001", 470, "JOINT R\xc9PLACEMENT", 0), ("010002", 39, "EXTRA", 12)]
