@@ -7,9 +7,10 @@ likely labels, and a text is kept if the base rules pass and at least
 ``share`` of its words lie in content lines.
 
 Features of a line come from its own text, its place, and the corpus: whether
-at least ``RECURS`` different texts hold it, and whether it follows, or comes
-before, many different lines there. Notices, signatures and footers do; the lines of
-copied passages and of near copies have the same neighbours wherever they stand.
+at least ``RECURS`` different texts hold it and it follows, or comes before, many
+different lines there. Notices, signatures and footers do. That a line recurs is no
+sign by itself: the lines of near copies have like neighbours wherever they stand. Neighbours
+are told apart by their longest word, which few edits of a copy change.
 
 The field is fitted here by gradient ascent on its conditional likelihood, on a
 bounded sample: at most ``per_class`` labelled texts a class of at most
@@ -42,16 +43,17 @@ BLANKS = " \t\n\v\f\r"
 LEAST_WORDS = 50
 
 OWN = 9  # features from the line's own text
-SEEN = 3  # features from the corpus
+SEEN = 2  # features from the corpus
 FEATURES = OWN + SEEN
 RECURS = 3
 SALTS = 16
 TURNS = 3
+LOSS = 2.0
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
-def measure(text: str) -> tuple[tuple[int, int, int, int, int], np.ndarray, np.ndarray, list[str]]:
-    """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words); of each line with a word: own features, words, the line."""
+def measure(text: str) -> tuple[tuple[int, int, int, int, int], np.ndarray, np.ndarray, list[str], list[str]]:
+    """(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words); of each line with a word: own features, words, the line, its longest word."""
     lines = text.split("\n")
     words = [WORD_RE.findall(x) for x in lines]
     n = np.fromiter(map(len, words), np.int64, len(words))
@@ -83,7 +85,7 @@ def measure(text: str) -> tuple[tuple[int, int, int, int, int], np.ndarray, np.n
         )
     chars = len(text) - sum(map(text.count, BLANKS))
     counts = (total, chars, sum(map(text.count, SYMBOLS)), dup, int(repeated.sum()))
-    return counts, np.array(rows, np.float32).reshape(-1, OWN), n[n > 0], [x for x, own in zip(lines, words) if own]
+    return counts, np.array(rows, np.float32).reshape(-1, OWN), n[n > 0], [x for x, own in zip(lines, words) if own], [max(own, key=len) for own in words if own]
 
 
 def _in_repeated_windows(words: list[str]) -> np.ndarray:
@@ -103,7 +105,7 @@ def _in_repeated_windows(words: list[str]) -> np.ndarray:
 
 
 def measured(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row a document: _id, _k1, _k2 (the document), mark (its text), counts, words, own (float32) and lines (hashes) of its lines with words."""
+    """One row a document: _id, _k1, _k2 (the document), mark (its text), counts, words, own (float32), lines and heads (hashes of the line and of its longest word) of its lines with words."""
 
     def run(batches):
         for batch in filter(len, batches):
@@ -111,19 +113,19 @@ def measured(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             counts = [pa.array(c, pa.int64()) for c in zip(*(r[0] for r in rows))]
             words = pa.array([r[2].astype(np.int32) for r in rows], pa.list_(pa.int32()))
             own = pa.array([r[1].tobytes() for r in rows], pa.binary())
-            hashes = [np.array([xxhash.xxh3_64_intdigest(x.encode("utf-8", "replace")) for x in r[3]], np.uint64).view(np.int64) for r in rows]
-            yield pa.record_batch([*(batch.column(k) for k in range(4)), *counts, words, own, pa.array(hashes, pa.list_(pa.int64()))], names)
+            hashed = lambda k: pa.array([np.array([xxhash.xxh3_64_intdigest(x.encode("utf-8", "replace")) for x in r[k]], np.uint64).view(np.int64) for r in rows], pa.list_(pa.int64()))  # noqa: E731, B023
+            yield pa.record_batch([*(batch.column(k) for k in range(4)), *counts, words, own, hashed(3), hashed(4)], names)
 
-    names = ["_id", "_k1", "_k2", "mark", *COUNTS, "words", "own", "lines"]
-    schema = "_id long, _k1 long, _k2 long, mark long, " + ", ".join(f"{c} long" for c in COUNTS) + ", words array<int>, own binary, lines array<long>"
+    names = ["_id", "_k1", "_k2", "mark", *COUNTS, "words", "own", "lines", "heads"]
+    schema = "_id long, _k1 long, _k2 long, mark long, " + ", ".join(f"{c} long" for c in COUNTS) + ", words array<int>, own binary, lines array<long>, heads array<long>"
     rows = keyed_rows(docs, id_col, text_col).select("_id", "_k1", "_k2", F.xxhash64(F.lit(2), "_text").alias("mark"), "_text")
     return rows.mapInArrow(run, schema)
 
 
 def recurring(rows: DataFrame) -> DataFrame:
     """mark, flags: for each different text with recurring lines, their hashes with whether many different lines come before or after."""
-    before = F.concat(F.array(F.lit(0).cast("long")), "lines")
-    after = F.concat(F.slice("lines", 2, F.size("lines")), F.array(F.lit(0).cast("long")))
+    before = F.concat(F.array(F.lit(0).cast("long")), "heads")
+    after = F.concat(F.slice("heads", 2, F.size("heads")), F.array(F.lit(0).cast("long")))
     own = rows.filter(F.size("lines") > 0).select("mark", F.inline(F.arrays_zip(F.col("lines").alias("h"), F.slice(before, 1, F.size("lines")).alias("prev"), after.alias("next"))))
     often = own.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") >= RECURS).select("h")
     shared = written(_salted(own, often).select("mark", "h", "prev", "next"), "shared")
@@ -149,15 +151,15 @@ def chains(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     rows = written(measured(docs, id_col, text_col), "measured")
     flags = recurring(rows).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salt = F.pmod(F.xxhash64("_k1", "_id"), F.lit(SALTS)).cast("int")  # a text may repeat in very many rows
-    return written(rows.withColumn("_salt", salt).join(flags, ["mark", "_salt"], "left").drop("_salt"), "chains")
+    return written(rows.withColumn("_salt", salt).join(flags, ["mark", "_salt"], "left").drop("_salt", "heads"), "chains")
 
 
 def features(own: bytes, lines: list[int], flags: list | None) -> np.ndarray:
-    """Lines x FEATURES: the line's own, then whether it recurs, opens and closes."""
+    """Lines x FEATURES: the line's own, then whether many different lines come before or after it."""
     x = np.frombuffer(own, np.float32).reshape(-1, OWN)
     seen = np.zeros((len(x), SEEN), np.float32)
     if flags:
-        told = {f["h"]: (1.0, f["opens"], f["closes"]) for f in flags}
+        told = {f["h"]: (f["opens"], f["closes"]) for f in flags}
         for k, h in enumerate(lines):
             if h in told:
                 seen[k] = told[h]
@@ -219,9 +221,9 @@ def fit_crf(xs: list[np.ndarray], ys: list[np.ndarray], weights: np.ndarray, sta
 def learn(xs: list[np.ndarray], words: list[np.ndarray], labels: list[int], share: float = 0.5) -> dict:
     """The field from texts with one label each: lines are labelled, and the field fitted, in turns."""
     # to begin with: a recurring line with many neighbours on a side is boilerplate, and so is all of a bad text
-    now = [np.where((x[:, OWN + 1 :] > 0).any(axis=1), 0, y).astype(int) for x, y in zip(xs, labels)]
-    good = np.array(labels) == 1
-    weights = np.where(good, 0.5 / max(good.mean(), 1e-9), 0.5 / max(1 - good.mean(), 1e-9))
+    now = [np.where((x[:, OWN:] > 0).any(axis=1), 0, y).astype(int) for x, y in zip(xs, labels)]
+    # a good text that is lost weighs more than a bad one that stays
+    weights = np.where(np.array(labels) == 1, LOSS, 1.0)
     model = fit_crf(xs, now, weights)
     for _ in range(TURNS - 1):
         for k, (x, n, y) in enumerate(zip(xs, words, labels)):
