@@ -12,6 +12,7 @@ from __future__ import annotations
 import os
 import re
 import unicodedata
+from itertools import repeat
 
 import numpy as np
 
@@ -44,8 +45,10 @@ class KeptIds:
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         chunks = [self.cut(t) for t in texts]
-        place = self.place
-        new = list(dict.fromkeys(c for row in chunks for c in row if c not in place))
+        place, unknown = self.place, repeat(-1)
+        found = [np.fromiter(map(place.get, row, unknown), np.int64, len(row)) for row in chunks]
+        missing = [np.flatnonzero(at < 0).tolist() for at in found]
+        new = list(dict.fromkeys(row[k] for row, miss in zip(chunks, missing) for k in miss))
         short = [c for c in new if len(c) <= self.longest]
         cost = sum(map(len, short)) + 150 * len(short)
         if self.held + cost > self.most:
@@ -58,12 +61,13 @@ class KeptIds:
         if once:
             self._add(once)
         out = []
-        for row in chunks:
-            at = np.fromiter(map(place.__getitem__, row), np.int64, len(row))
-            n = self.n[at]
+        for row, at, miss in zip(chunks, found, missing):
+            if miss:
+                at[miss] = [place[row[k]] for k in miss]
+            n = self.n.take(at)
             ends = np.cumsum(n)
             total = int(ends[-1]) if len(row) else 0
-            out.append(self.flat[np.repeat(self.first[at] - ends + n, n) + np.arange(total)])
+            out.append(self.flat.take(np.repeat(self.first.take(at) - ends + n, n) + np.arange(total)))
         if once:  # forgotten, with the room they took
             for c in once:
                 del place[c]
@@ -111,12 +115,15 @@ class TokenizerIds(KeptIds):
 
     def encode(self, chunks: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Chunks are encoded many at a time, as one text; where each ends shows in the widths of the ids."""
-        easy = [self._joins(c) for c in chunks]
-        joined, alone = [c for c, e in zip(chunks, easy) if e], [c for c, e in zip(chunks, easy) if not e]
+        if self.drops:
+            joined, alone = [c for c in chunks if "<" not in c], [c for c in chunks if "<" in c]
+        else:  # ids are the same amid other chunks where spaces come first and only there
+            joined = [c for c in chunks if c[0] in SPACES and c[-1] not in SPACES and "<" not in c]
+            alone = [c for c in chunks if c[0] not in SPACES or c[-1] in SPACES or "<" in c]
         runs = [joined[k : k + 256] for k in range(0, len(joined), 256)]
         flat, counts, order = [], [], []
         for run, ids in zip(runs, self._batch([(" " if self.drops else "").join(run) for run in runs])):
-            ends = np.cumsum(np.fromiter(map(self._bytes, run), np.int64, len(run)))
+            ends = np.cumsum(self._bytes(run))
             reached = np.cumsum(self.width[ids])
             cuts = np.searchsorted(reached, ends, side="right")
             if len(ids) and cuts[0] and cuts[-1] == len(ids) and (reached[cuts - 1] == ends).all():
@@ -132,16 +139,14 @@ class TokenizerIds(KeptIds):
     def _batch(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _joins(self, chunk: str) -> bool:
-        """Whether the chunk's ids are the same amid other chunks."""
-        return "<" not in chunk and (self.drops or (chunk[0] in SPACES and chunk[-1] not in SPACES))
-
-    def _bytes(self, chunk: str) -> int:
-        if chunk.isascii():
-            return len(chunk)
-        if self.drops:
-            chunk = unicodedata.normalize("NFC", chunk).replace("\u03a3", "\u03c3").lower()
-        return len(chunk.encode("utf-8", "replace"))
+    def _bytes(self, run: list[str]) -> list[int]:
+        """Bytes of each chunk as the vocabulary sees it."""
+        if self.drops and not "".join(run).isascii():
+            run = [c if c.isascii() else unicodedata.normalize("NFC", c).replace("\u03a3", "\u03c3").lower() for c in run]
+        try:
+            return list(map(len, map(str.encode, run)))
+        except UnicodeEncodeError:  # lone surrogates
+            return [len(c.encode("utf-8", "replace")) for c in run]
 
 
 _kept: dict = {}
