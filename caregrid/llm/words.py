@@ -27,7 +27,7 @@ SPACES = frozenset(re.findall(f"[{SPACE}]", "".join(map(chr, range(0x3001)))))
 class KeptIds:
     """ids(texts) -> a uint32 array for each text. Subclasses say how to cut and how to encode chunks."""
 
-    most = 48 << 20
+    most = 128 << 20
     longest = 256
 
     def __init__(self) -> None:
