@@ -2,9 +2,9 @@
 
 Each task counts the n-grams of its own texts in a HAT-trie: the root leads from a
 language and a first word to a container, a hash table from the packed ids of the
-words to a count. Containers are burstable: one that grows beyond BURST entries
-gives its largest first words containers of their own. When a trie holds LIMIT
-entries, its largest subtrees leave it whole, each as a run sorted by word, until
+words to a count. Containers are burstable: one that grows beyond ROOM[0] entries
+gives its largest first words containers of their own. When a task's tries hold
+ROOM[1] entries, their largest subtrees leave it whole, each as a run sorted by word, until
 half the room is free. Runs of all tasks are merged where Spark's shuffle brings
 them together: by the language and all words of the phrase, so that a prefix that a
 third of the rows share is spread by what follows it.
@@ -36,9 +36,8 @@ from .common import by_bytes, written
 
 LEAST = 10
 TOP = 2000
-BURST = 1 << 16
-LIMIT = 1 << 20
-WORDS = 1 << 19  # of a task's own word ids; at most 2 ** 21
+#: Entries of a container before it bursts and of a trie before it spills, and a task's own word ids (at most 2 ** 21).
+ROOM = (1 << 16, 1 << 20, 1 << 19)
 BITS = 24
 #: What ends a piece.
 ENDS = b".,;:!?\n\x0b\x0c\r"
@@ -55,8 +54,8 @@ def tokens(texts: list[str]) -> list[bytes]:
 class HatTrie:
     """Counts packed sequences of word ids; the id of the first word is in the highest bits of ``width`` ids."""
 
-    def __init__(self, width: int, burst: int = BURST, limit: int = LIMIT) -> None:
-        self.down, self.burst, self.limit = _SHIFT * (width - 1), burst, limit
+    def __init__(self, width: int, burst: int) -> None:
+        self.down, self.burst = _SHIFT * (width - 1), burst
         self.clear()
 
     def clear(self) -> None:
@@ -193,25 +192,25 @@ def _word_runs(batches):
             box = held.setdefault(lang, Counter())
             box.update(tokens(texts))
             del box[b"."]
-            if len(box) > LIMIT >> 1:
+            if len(box) > ROOM[1] >> 1:
                 yield run(lang)
     for lang in list(held):
         yield run(lang)
 
 
-def _gram_runs(batches, width: int, words: np.ndarray, pairs: np.ndarray | None):
+def _gram_runs(batches, width: int, words: np.ndarray, pairs: np.ndarray | None, room: tuple[int, int, int]):
     """Runs of the n-grams of ``width`` words whose words, and pairs of words if given, may be frequent."""
     tries: dict[str, tuple[_Words, HatTrie]] = {}
 
     def runs(lang, to=0):
         known, trie = tries[lang]
         for keys, counts in trie.spill(to):
-            for a in range(0, len(keys), BURST):  # runs of bounded size
-                yield _rows(lang, known.words, keys[a : a + BURST], counts[a : a + BURST], width)
+            for a in range(0, len(keys), room[0]):  # runs of bounded size
+                yield _rows(lang, known.words, keys[a : a + room[0]], counts[a : a + room[0]], width)
 
     for batch in batches:
         for lang, texts in _by_lang(batch):
-            known, trie = tries.setdefault(lang, (_Words(lang, words), HatTrie(width)))
+            known, trie = tries.setdefault(lang, (_Words(lang, words), HatTrie(width, room[0])))
             ids = known.ids(tokens(texts))
             cols = [ids[k : len(ids) - width + 1 + k] for k in range(width)] if len(ids) >= width else [ids[:0]] * width
             ok = np.logical_and.reduce([c >= 0 for c in cols])
@@ -224,11 +223,11 @@ def _gram_runs(batches, width: int, words: np.ndarray, pairs: np.ndarray | None)
             for c in cols[1:]:
                 packed = packed << _SHIFT | c
             trie.add(packed)
-            if len(known.place) > WORDS:  # ids run out: all leaves
+            if len(known.place) > room[2]:  # ids run out: all leaves
                 yield from runs(lang)
                 known.clear()
                 trie.clear()
-            elif sum(len(t) for _, t in tries.values()) > LIMIT:
+            elif sum(len(t) for _, t in tries.values()) > room[1]:
                 for other in tries:
                     yield from runs(other, len(tries[other][1]) // 2)
     for lang in tries:
@@ -252,7 +251,7 @@ def _bit_map(frequent: DataFrame, width: int) -> Broadcast:
     return frequent.sparkSession.sparkContext.broadcast(out.view(np.uint8))
 
 
-def phrase_counts(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", least: int = LEAST) -> tuple[DataFrame, DataFrame]:
+def phrase_counts(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", least: int = LEAST, room: tuple[int, int, int] = ROOM) -> tuple[DataFrame, DataFrame]:
     """(lang, k, phrase, f) of all n-grams of 1 to 3 words that occur ``least`` times or more, and (lang, n), all words counted."""
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     every = written(rows.mapInArrow(_word_runs, "lang string, w1 string, n long").groupBy("lang", "w1").agg(F.sum("n").alias("f")).filter((F.col("f") >= least) | (F.col("w1") == "")), "words")
@@ -262,7 +261,7 @@ def phrase_counts(docs: DataFrame, lang_col: str = "lang", text_col: str = "text
         names = [f"w{k + 1}" for k in range(width)]
 
         def run(batches, width=width, words=words, pairs=pairs):
-            return _gram_runs(batches, width, words.value, pairs and pairs.value)
+            return _gram_runs(batches, width, words.value, pairs and pairs.value, room)
 
         runs = rows.mapInArrow(run, "lang string, " + ", ".join(f"{w} string" for w in names) + ", n long")
         levels.append(written(runs.groupBy("lang", *names).agg(F.sum("n").alias("f")).filter(F.col("f") >= least), f"grams{width}"))
@@ -277,9 +276,9 @@ def _score(a: Column, left: Column, right: Column) -> Column:
     return F.call_function("div", (a * a).cast("decimal(31,0)") * F.lit(1000000).cast("decimal(7,0)"), (left * right).cast("decimal(32,0)"))
 
 
-def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", least: int = LEAST, top: int = TOP) -> DataFrame:
+def collocations(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", least: int = LEAST, top: int = TOP, room: tuple[int, int, int] = ROOM) -> DataFrame:
     """Each language's first ``top`` phrases of 2 or 3 words: lang, rank, phrase, a, l, r, n, score."""
-    counts, totals = phrase_counts(docs, lang_col, text_col, least)
+    counts, totals = phrase_counts(docs, lang_col, text_col, least, room)
     word = F.split("phrase", " ")
     told = counts.filter("k > 1").select("lang", "phrase", F.col("f").alias("a"), word.alias("_w"), "k")
     join = lambda a, z: F.array_join(F.slice("_w", a, z), " ")

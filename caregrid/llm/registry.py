@@ -97,6 +97,12 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(common.table(spark, sf_dir, "documents"), removed_col="removed_lines").select("doc_id", "text", "removed_lines")
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .spelling import variants
+
+    return variants(common.table(spark, sf_dir, "documents"))
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .collocations import collocations
 
