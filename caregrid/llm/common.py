@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,6 +80,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bit_map(hashes: DataFrame, bits: int = 26) -> np.ndarray:
+    """A map of 2 ** bits bits (as longs) with those set that the first bits of ``hashes``, one long column, name. The driver gets that much at most."""
+    h = F.col(hashes.columns[0])
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(h, 64 - bits).bitwiseAND(63).cast("int"))
+    held = hashes.groupBy(F.shiftrightunsigned(h, 70 - bits).alias("at")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    out = np.zeros(1 << bits >> 6, np.int64)
+    out[held.column("at").to_numpy()] = held.column("bits").to_numpy()
+    return out
+
+
+def in_map(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which longs the map has, with some that it has by chance."""
+    at = hashes.view(np.uint64) >> np.uint64(64 - 6 - (len(table).bit_length() - 1))
+    return table[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)).astype(np.int64) & 1 > 0
+
+
 def by_bytes(texts: list[str], most: int = 1 << 20):
     """(start, end) of runs of texts with about ``most`` characters each; a longer text is a run of its own."""
     start = size = 0

@@ -103,6 +103,12 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants(common.table(spark, sf_dir, "documents"))
 
 
+def op12_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import jaccard_join
+
+    return jaccard_join(common.table(spark, sf_dir, "documents"))
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .collocations import collocations
 

@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pytest
-from caregrid.llm import collocations, registry, spelling
+from caregrid.llm import collocations, jaccard, registry, signature_tree, spelling
 
 SF = "/root/testdata/sf0.001"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -134,3 +134,93 @@ def test_trie_bursts_and_spills():
 
 def test_collocations_of_nothing(spark, empty):
     assert collocations.collocations(empty).collect() == []
+
+
+def set_of(text):
+    w = re.findall(r"[^\x20\x09-\x0d]+", (text or "").translate(LOWER))
+    return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+
+
+def components_of(rows):
+    """By all pairs of different sets that share a shingle."""
+    sets = list({set_of(t) for _, t in rows} - {frozenset()})
+    root = list(range(len(sets)))
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    post = defaultdict(list)
+    for k, s in enumerate(sets):
+        for x in s:
+            post[x].append(k)
+    for k, s in enumerate(sets):
+        for j, both in Counter(j for x in s for j in post[x] if j > k).items():
+            if 100 * both >= 80 * (len(s) + len(sets[j]) - both):
+                root[find(j)] = find(k)
+    place = {s: find(k) for k, s in enumerate(sets)}
+    least = {}
+    for i, t in rows:
+        if (s := set_of(t)) and i is not None:
+            least[place[s]] = min(i, least.get(place[s], i))
+    return Counter((i, len(s := set_of(t)), least.get(place[s]) if s else i) for i, t in rows)
+
+
+def test_jaccard_of_whole_table(spark):
+    rows = duckdb.sql(f"SELECT doc_id, text FROM '{SF.replace('0.001', '0.01')}/documents.parquet'").fetchall()
+    want = components_of(rows)
+    got = registry.op12_jaccard(spark, SF.replace("0.001", "0.01"))
+    assert Counter(map(tuple, got.collect())) == want
+
+
+def family(rng, words, n, changes, copies):
+    """A text and copies of it with some words replaced, near the least similarity."""
+    base = rng.choice(words, n)
+    out = [" ".join(base)]
+    for _ in range(copies):
+        w = base.copy()
+        w[rng.choice(n, int(rng.integers(0, changes + 1)), replace=False)] = rng.choice(words, 1)
+        out.append(" ".join(w))
+    return out
+
+
+def test_jaccard_planted(spark, monkeypatch):
+    """Families near the bound, common passages, chains, small files and files dealt into blocks."""
+    rng = np.random.default_rng(11)
+    words = np.array([f"w{k}" for k in range(4000)])
+    passage = " ".join(rng.choice(words, 60))
+    texts = [t for _ in range(12) for t in family(rng, words, int(rng.integers(5, 400)), 12, 8)]
+    texts += [passage + " " + " ".join(rng.choice(words, int(rng.integers(5, 40)))) for _ in range(120)]  # share most of their text
+    chain = list(rng.choice(words, 200))
+    texts += [" ".join(chain[k : k + 150]) for k in range(0, 50, 3)]
+    texts += ["a b", "A B", "a", "one two three four five", "one two three four five six", None, "", " \n\t", passage, passage]
+    docs = [(k, t, "x") for k, t in enumerate(texts)] + [(None, texts[0], "x"), (None, "only null ids have this text", "x"), (3, texts[3], "x"), (3, texts[3], "x")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, node string").repartition(4)
+    want = components_of([r[:2] for r in docs])
+    assert Counter(map(tuple, jaccard.jaccard_join(df).collect())) == want
+    monkeypatch.setattr(signature_tree, "HOT", 16)
+    assert Counter(map(tuple, jaccard.jaccard_join(df).collect())) == want
+
+
+def test_trees_lose_no_pair():
+    """The dual walk leaves no pair that links, and far fewer than all; maps of one and of two widths."""
+    rng = np.random.default_rng(2)
+    sets = []
+    for _ in range(150):
+        base = rng.integers(0, 1 << 63, int(rng.integers(40, 130)), np.int64).astype(np.uint64)
+        for _ in range(3):
+            sets.append(np.unique(np.concatenate([base[rng.random(len(base)) > 0.08], rng.integers(0, 1 << 63, 3).astype(np.uint64)])))
+    signs = [signature_tree.signature(s) for s in sets]
+    n, over = np.array([len(s) for s in sets]), np.array([k for _, k in signs])
+    ids = np.arange(len(sets))
+    for side in (np.full(len(sets), 2), ids % 2):
+        a, b = signature_tree.file_pairs(ids, n, over, [x for x, _ in signs], ids, side, 80)
+        got = {frozenset(p) for p in zip(a.tolist(), b.tolist())}
+        assert len(got) == len(a) < 0.1 * len(sets) ** 2
+        want = {frozenset((i, j)) for i in ids for j in range(i) if (side[i] == 2 or side[i] != side[j]) and 180 * len(np.intersect1d(sets[i], sets[j])) >= 80 * (n[i] + n[j])}
+        assert len(want) > 50 and want <= got
+
+
+def test_jaccard_of_nothing(spark, empty):
+    assert jaccard.jaccard_join(empty).collect() == []
