@@ -8,24 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import confidence_label
-
-
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
-
-
-def top_k(queries: DataFrame, corpus: DataFrame, k: int, block: int = 1000) -> DataFrame:
-    """queries(q, qvec), corpus(id, vec) -> q, id, score, place: inner product, largest first, ties by id.
-
-    A stated query set against all rows, in blocks of about ``block`` queries, each small enough to broadcast.
-    The row-number filter lets Spark keep each task's own k best a query before anything is shuffled.
-    """
-    n_blocks = -(-queries.count() // block) or 1
-    numbered = queries.withColumn("_block", F.pmod(F.xxhash64("q"), F.lit(n_blocks)))
-    parts = [corpus.crossJoin(F.broadcast(numbered.filter(F.col("_block") == b))) for b in range(n_blocks)]
-    scored = reduce(DataFrame.unionByName, parts).select("q", "id", F.round(dot(F.col("qvec"), F.col("vec")), 9).alias("score"))
-    w = Window.partitionBy("q").orderBy(F.desc("score"), "id")
-    return scored.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)
+from .vectors import top_k
 
 
 def merge_ranked(ranked: DataFrame, k: int) -> DataFrame:
