@@ -4,7 +4,7 @@ Each task counts the n-grams of its own texts in a HAT-trie: the root leads from
 language and a first word to a container, a hash table from the packed ids of the
 words to a count. Containers are burstable: one that grows beyond ROOM[0] entries
 gives its largest first words containers of their own. When a task's tries hold
-ROOM[1] entries, their largest subtrees leave it whole, each as a run sorted by word, until
+ROOM[1] entries, their largest subtrees leave it whole, each as a run sorted by word id, until
 half the room is free. Runs of all tasks are merged where Spark's shuffle brings
 them together: by the language and all words of the phrase, so that a prefix that a
 third of the rows share is spread by what follows it.
@@ -27,6 +27,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
@@ -38,16 +39,17 @@ LEAST = 10
 TOP = 2000
 #: Entries of a container before it bursts and of a trie before it spills, and a task's own word ids (at most 2 ** 21).
 ROOM = (1 << 16, 1 << 20, 1 << 19)
-BITS = 24
+BITS = 27
+RUN = "lang string, phrase string, n long"
 #: What ends a piece.
 ENDS = b".,;:!?\n\x0b\x0c\r"
 _CUT = bytes.maketrans(ENDS, b"." * len(ENDS))
 _SHIFT = 21
 
 
-def tokens(texts: list[str]) -> list[bytes]:
+def tokens(texts: list[bytes]) -> list[bytes]:
     """The words of the texts in order; a full stop stands between pieces."""
-    flat = b".".join(t.encode("utf-8", "replace") for t in texts).lower().translate(_CUT)
+    flat = b".".join(texts).lower().translate(_CUT)
     return flat.replace(b".", b" . ").split()
 
 
@@ -154,23 +156,18 @@ class _Words:
         return got
 
 
-def _rows(lang: str, words: list[bytes], keys: np.ndarray, counts: np.ndarray, width: int) -> pa.RecordBatch:
-    """A sorted run: lang, w1 .. w<width>, n."""
-    names = [f"w{k + 1}" for k in range(width)]
-    parts = [keys >> (_SHIFT * (width - 1 - k)) & ((1 << _SHIFT) - 1) for k in range(width)]
-    used, at = np.unique(np.concatenate(parts), return_inverse=True)
-    text = [words[k] for k in used.tolist()]
-    rank = np.empty(len(text), np.int64)
-    rank[sorted(range(len(text)), key=text.__getitem__)] = np.arange(len(text))
-    ranks = np.split(rank[at.reshape(-1)], width)
-    order = np.lexsort(ranks[::-1])
-    held = pa.array(sorted(text), pa.binary()).cast(pa.string())
-    return pa.record_batch([pa.array([lang]).take(pa.array(np.zeros(len(keys), np.int64))), *(held.take(pa.array(r[order])) for r in ranks), pa.array(counts[order])], ["lang", *names, "n"])
+def _rows(lang: str, words: pa.Array, keys: np.ndarray, counts: np.ndarray, width: int) -> pa.RecordBatch:
+    """A run, sorted by word ids: lang, phrase, n."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    parts = [words.take(pa.array(keys >> (_SHIFT * (width - 1 - k)) & ((1 << _SHIFT) - 1))) for k in range(width)]
+    phrase = pc.binary_join_element_wise(*parts, pa.scalar(b" ", pa.binary()))
+    return pa.record_batch([pa.array([lang]).take(pa.array(np.zeros(len(keys), np.int64))), phrase.cast(pa.string()), pa.array(counts[order])], ["lang", "phrase", "n"])
 
 
 def _by_lang(batch: pa.RecordBatch):
-    texts: dict[str, list[str]] = {}
-    for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+    texts: dict[str, list[bytes]] = {}
+    for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
         texts.setdefault(lang, []).append(text)
     for lang, own in texts.items():
         for a, z in by_bytes(own):
@@ -185,7 +182,7 @@ def _word_runs(batches):
         box = held.pop(lang)
         box[b""] = sum(box.values())
         words = sorted(box)
-        return pa.record_batch([pa.array([lang] * len(words)), pa.array(words, pa.binary()).cast(pa.string()), pa.array([box[w] for w in words], pa.int64())], ["lang", "w1", "n"])
+        return pa.record_batch([pa.array([lang] * len(words)), pa.array(words, pa.binary()).cast(pa.string()), pa.array([box[w] for w in words], pa.int64())], ["lang", "phrase", "n"])
 
     for batch in batches:
         for lang, texts in _by_lang(batch):
@@ -198,19 +195,20 @@ def _word_runs(batches):
         yield run(lang)
 
 
-def _gram_runs(batches, width: int, words: np.ndarray, pairs: np.ndarray | None, room: tuple[int, int, int]):
+def _gram_runs(batches, width: int, singles: np.ndarray, pairs: np.ndarray | None, room: tuple[int, int, int]):
     """Runs of the n-grams of ``width`` words whose words, and pairs of words if given, may be frequent."""
     tries: dict[str, tuple[_Words, HatTrie]] = {}
 
     def runs(lang, to=0):
         known, trie = tries[lang]
+        words = pa.array(known.words, pa.binary())
         for keys, counts in trie.spill(to):
             for a in range(0, len(keys), room[0]):  # runs of bounded size
-                yield _rows(lang, known.words, keys[a : a + room[0]], counts[a : a + room[0]], width)
+                yield _rows(lang, words, keys[a : a + room[0]], counts[a : a + room[0]], width)
 
     for batch in batches:
         for lang, texts in _by_lang(batch):
-            known, trie = tries.setdefault(lang, (_Words(lang, words), HatTrie(width, room[0])))
+            known, trie = tries.setdefault(lang, (_Words(lang, singles), HatTrie(width, room[0])))
             ids = known.ids(tokens(texts))
             cols = [ids[k : len(ids) - width + 1 + k] for k in range(width)] if len(ids) >= width else [ids[:0]] * width
             ok = np.logical_and.reduce([c >= 0 for c in cols])
@@ -240,12 +238,12 @@ def _bit_map(frequent: DataFrame, width: int) -> Broadcast:
     def run(batches):
         for batch in batches:
             langs = batch.column(0).to_pylist()
-            cols = [batch.column(k + 1).to_pylist() for k in range(width)]
-            h = _mix([np.fromiter((_word_hash(x, w.encode()) for x, w in zip(langs, c)), np.uint64, len(langs)) for c in cols])
+            rows = [p.split(b" ") for p in batch.column(1).cast(pa.binary()).to_pylist()]
+            h = _mix([np.fromiter((_word_hash(x, w[k]) for x, w in zip(langs, rows)), np.uint64, len(langs)) for k in range(width)])
             at = (h >> np.uint64(64 - BITS)).astype(np.int64)
             yield pa.record_batch([pa.array(at >> 6), pa.array(np.left_shift(np.int64(1), at & 63))], ["at", "bit"])
 
-    set_ = frequent.select("lang", *[f"w{k + 1}" for k in range(width)]).mapInArrow(run, "at long, bit long").groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
+    set_ = frequent.select("lang", "phrase").mapInArrow(run, "at long, bit long").groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
     out = np.zeros(1 << BITS >> 6, np.int64)
     out[set_.column("at").to_numpy()] = set_.column("bits").to_numpy()
     return frequent.sparkSession.sparkContext.broadcast(out.view(np.uint8))
@@ -254,21 +252,20 @@ def _bit_map(frequent: DataFrame, width: int) -> Broadcast:
 def phrase_counts(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", least: int = LEAST, room: tuple[int, int, int] = ROOM) -> tuple[DataFrame, DataFrame]:
     """(lang, k, phrase, f) of all n-grams of 1 to 3 words that occur ``least`` times or more, and (lang, n), all words counted."""
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    every = written(rows.mapInArrow(_word_runs, "lang string, w1 string, n long").groupBy("lang", "w1").agg(F.sum("n").alias("f")).filter((F.col("f") >= least) | (F.col("w1") == "")), "words")
-    levels = [every.filter("w1 <> ''")]
+    every = written(rows.mapInArrow(_word_runs, RUN).groupBy("lang", "phrase").agg(F.sum("n").alias("f")).filter((F.col("f") >= least) | (F.col("phrase") == "")), "words")
+    levels = [every.filter("phrase <> ''")]
     words, pairs = _bit_map(levels[0], 1), None
     for width in (2, 3):
-        names = [f"w{k + 1}" for k in range(width)]
 
         def run(batches, width=width, words=words, pairs=pairs):
             return _gram_runs(batches, width, words.value, pairs and pairs.value, room)
 
-        runs = rows.mapInArrow(run, "lang string, " + ", ".join(f"{w} string" for w in names) + ", n long")
-        levels.append(written(runs.groupBy("lang", *names).agg(F.sum("n").alias("f")).filter(F.col("f") >= least), f"grams{width}"))
+        counts = rows.mapInArrow(run, RUN).groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
+        levels.append(written(counts.filter(F.col("f") >= least), f"grams{width}"))
         if width == 2:
             pairs = _bit_map(levels[1], 2)
-    told = [x.select("lang", F.lit(k + 1).alias("k"), F.concat_ws(" ", *x.columns[1 : k + 2]).alias("phrase"), "f") for k, x in enumerate(levels)]
-    return told[0].unionByName(told[1]).unionByName(told[2]), every.filter("w1 = ''").select("lang", F.col("f").alias("n"))
+    told = [x.select("lang", F.lit(k + 1).alias("k"), "phrase", "f") for k, x in enumerate(levels)]
+    return told[0].unionByName(told[1]).unionByName(told[2]), every.filter("phrase = ''").select("lang", F.col("f").alias("n"))
 
 
 def _score(a: Column, left: Column, right: Column) -> Column:
