@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.tables import insert_absent
+from ..operators.versions import VersionedTable
+
 
 def daily_ratings(stream: DataFrame, time: str, rating: str, late: str = "1 day") -> DataFrame:
     """Positive and negative ratings a day; rows later than the watermark are dropped."""
@@ -44,3 +47,20 @@ def incremental(source: DataFrame, store: str, checkpoint: str, key: str, work:
         work(fresh if done is None else fresh.join(done, key, "left_anti")).write.mode("append").parquet(store)
 
     return source.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def ingest_unique(stream: DataFrame, time: str, text: str, path: str, checkpoint: str, late: str = "1 day"):
+    """Writes the first document of each content to a versioned table under ``path``, by its hash.
+
+    Repeats within the watermark go in the stream's state, later ones against the table. A batch's version has the
+    batch's number, so a batch that runs again, before or after its version was finished, adds nothing twice.
+    """
+    table = VersionedTable(stream.sparkSession, path)
+
+    def step(batch: DataFrame, number: int) -> None:
+        batch.persist().count()  # all of the stream's state is read once, whatever the write below needs
+        old, fresh = table.read(), batch.dropDuplicates(["hash"])
+        table.write(fresh if old is None else insert_absent(old, fresh, "hash"), number)
+        batch.unpersist()
+
+    return unique_documents(stream, time, text, late).writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
