@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .store import written
+
+HUB = 1 << 16
 
 def ancestors(edges: DataFrame, depth: int, paths: bool = False) -> DataFrame:
     """edges(child, parent) -> node, ancestor, distance for up to 1..5 steps: the least distance of a pair, or a row a path."""
@@ -24,15 +27,25 @@ def descendants(edges: DataFrame, depth: int) -> DataFrame:
     return ancestors(back, depth).withColumnRenamed("ancestor", "descendant")
 
 
-def neighborhood(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
-    """edges(src, dst), seeds(node) -> seed, node, distance within 1..3 undirected steps, each node once a seed."""
+def neighborhood(edges: DataFrame, seeds: DataFrame, depth: int, hub: int = HUB) -> DataFrame:
+    """edges(src, dst), seeds(node) -> seed, node, distance within 1..3 undirected steps, each node once a seed.
+
+    Each frontier is a written table, so that no hop is computed twice, and the search ends at an empty one. The
+    neighbours of a node of more than ``hub`` edges lie in parts by a hash, each joined on its own key.
+    """
     depth = max(1, min(depth, 3))
     both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    seen = seeds.select(F.col("node").alias("seed"), "node", F.lit(0).alias("distance"))
-    front = seen
+    both = written(both, "steps")
+    hubs = written(both.groupBy("src").agg(F.ceil(F.count("*") / hub).cast("int").alias("_m")).filter("_m > 1"), "hubs")
+    parts = lambda rows, c: rows.join(hubs.withColumnRenamed("src", c), c, "left").withColumn("_m", F.coalesce("_m", F.lit(1)))
+    steps = parts(both, "src").withColumn("_p", F.pmod(F.xxhash64("dst"), F.col("_m")).cast("int")).drop("_m")
+    seen = front = seeds.select(F.col("node").alias("seed"), "node", F.lit(0).alias("distance")).distinct()
     for k in range(1, depth + 1):
-        reached = front.join(both, F.col("node") == F.col("src")).select("seed", F.col("dst").alias("node")).distinct()
-        front = reached.join(seen.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("distance", F.lit(k))
+        asked = parts(front.select("seed", F.col("node").alias("src")), "src").withColumn("_p", F.explode(F.sequence(F.lit(0), F.col("_m") - 1)))
+        reached = asked.join(steps, ["src", "_p"]).select("seed", F.col("dst").alias("node")).distinct()
+        front = written(reached.join(seen.select("seed", "node"), ["seed", "node"], "left_anti").withColumn("distance", F.lit(k)), "frontier")
+        if front.isEmpty():
+            break
         seen = seen.unionByName(front)
     return seen.filter("distance > 0")
 
@@ -127,11 +140,12 @@ def artifact_lineage(edges: DataFrame, anchors: DataFrame, nodes: DataFrame, lab
 
 
 def node_search(nodes: DataFrame, edges: DataFrame, search: str, fields: list[str], key: str = "node", n: int = 20) -> DataFrame:
-    """The first n nodes of which a field holds the text in any case, each with the nodes one step away (null: none)."""
+    """The first n nodes of which a field holds the text in any case, each with the nodes one step away in either direction (null: none)."""
     held = lambda c: F.coalesce(F.contains(F.lower(F.col(c)), F.lit(search.lower())), F.lit(False))
     hit = held(fields[0])
     for c in fields[1:]:
         hit = hit | held(c)
     found = nodes.filter(hit).select(key).orderBy(key).limit(n)
-    steps = edges.select(F.col("src").alias(key), F.col("dst").alias("neighbor")).distinct()
+    back = edges.select(F.col("dst").alias(key), F.col("src").alias("neighbor"))
+    steps = edges.select(F.col("src").alias(key), F.col("dst").alias("neighbor")).unionByName(back).distinct()
     return found.join(steps, key, "left")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import ancestors
+from .textjoin import contained, sharing
 
 #: Relationships that a documented concept is expected to have, with their priority.
 EXPECTED = {
@@ -27,7 +28,6 @@ EXPECTED = {
 #: Words that do not count when a rule's condition and a term are compared.
 COMMON = ["of", "the", "a", "an", "in", "on", "with", "and", "or", "to", "for", "acute", "chronic", "type", "unspecified"]
 #: Rules beyond this number are not broadcast.
-MAX_BROADCAST_RULES = 10_000
 STEM = 6
 
 
@@ -138,7 +138,8 @@ def matching_rules(concepts: DataFrame, rules: DataFrame, edges: DataFrame) -> D
 
     Tier 1: the code is a rule's; 2: one of its ancestors within two steps is; 3: the condition is in the term, the term in
     the condition, or more than half of the condition's words (four letters or more, common ones left out) are the term's.
-    Only a concept's first tier with rules counts. The rules are a given set; up to MAX_BROADCAST_RULES are broadcast.
+    Only a concept's first tier with rules counts. Blank conditions and terms match nothing. Tier 3 joins on
+    rare trigrams and words, so the work grows with what matches, for any number of rules.
     """
     known = concepts.select("code", F.lower("term").alias("term")).distinct()
     by_code = rules.select("rule_id", F.explode("codes").alias("code"))
@@ -146,12 +147,14 @@ def matching_rules(concepts: DataFrame, rules: DataFrame, edges: DataFrame) -> D
     up = ancestors(edges, 2).select(F.col("node").alias("code"), "ancestor").join(by_code.withColumnRenamed("code", "ancestor"), "ancestor").select("code", "rule_id").distinct()
     two = known.join(up, "code").select("code", "term", "rule_id", F.lit(2).alias("tier"))
     conditions = rules.select("rule_id", F.lower("condition").alias("_c"))
-    conditions = F.broadcast(conditions) if rules.count() <= MAX_BROADCAST_RULES else conditions
     common = F.array(*map(F.lit, COMMON))
+    named, said = conditions.select("_c").distinct(), known.select("term").distinct()
     words = F.array_distinct(F.filter(F.array_except(F.split("_c", r"\s+"), common), lambda x: F.length(x) >= 4))
-    shared = F.size(F.array_intersect(words, F.split("term", r"\s+")))
-    alike = F.contains("term", F.col("_c")) | F.contains("_c", F.col("term")) | ((F.size(words) > 0) & (shared >= F.floor(F.size(words) / 2) + 1))
-    terms = known.select("term").distinct().join(conditions, alike).select("term", "rule_id")
+    pair = lambda c, t: (F.col(c).alias("_c"), F.col(t).alias("term"))
+    inside = contained(named.withColumnRenamed("_c", "needle"), said.withColumnRenamed("term", "text")).select(*pair("needle", "text"))
+    around = contained(said.withColumnRenamed("term", "needle"), named.withColumnRenamed("_c", "text")).select(*pair("text", "needle"))
+    shared = sharing(named.select(F.col("_c").alias("name"), words.alias("words")), said.select(F.col("term").alias("text"), F.split("term", r"\s+").alias("words")), F.floor(F.size("words") / 2) + 1)
+    terms = inside.unionByName(around).unionByName(shared.select(*pair("name", "text"))).distinct().join(conditions, "_c").select("term", "rule_id")
     three = known.join(terms, "term").select("code", "term", "rule_id", F.lit(3).alias("tier"))
     found = one.unionByName(two).unionByName(three).withColumn("_first", F.min("tier").over(Window.partitionBy("code", "term")))
     return found.filter("tier = _first").drop("_first").distinct()
@@ -225,35 +228,52 @@ def code_suggestions(concepts: DataFrame, least: float = 0.3) -> DataFrame:
     return concepts.filter((F.size(F.coalesce("codes", F.array().cast("array<string>"))) > 0) & F.col("code").isNotNull() & (F.col("confidence") >= least)).select("note", "line", "term", "codes")
 
 
+def _named_in(text: Column, names: list[str], whole: bool) -> Column:
+    """Those of the names that stand in the text (as whole words, if asked), by one pattern in one pass.
+
+    The pattern looks ahead at each place for the longest name there; names that begin another one are added where that one is found.
+    """
+    edge = r"[\p{L}\p{N}_]"
+    before, after = (f"(?<!{edge})", f"(?!{edge})") if whole else ("", "")
+    either = "|".join(rf"\Q{n}\E" for n in sorted(names, key=len, reverse=True))
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit(f"{before}(?=({either}){after})"), F.lit(1)))
+    begin = {n: [m for m in names if m != n and n.startswith(m) and not (whole and (n[len(m)].isalnum() or n[len(m)] == "_"))] for n in names}
+    more = [F.when(F.array_contains(found, n), F.array(*map(F.lit, own))).otherwise(F.array().cast("array<string>")) for n, own in begin.items() if own]
+    return F.array_union(found, F.concat(*more)) if more else found
+
+
 def dictionary_concepts(notes: DataFrame, key: str = "note", text: str = "text", most: int = 50) -> DataFrame:
     """key, place, term, category, negated, qualifier: the first ``most`` different concepts of a note.
 
     In this order: laboratory values with their unit, medications, abbreviations of conditions written out, terms (negated where a cue stands in the
     25 characters before the first mention; with the first qualifier there or in the 15 after it), procedures. A concept found twice counts once.
+    Names are found in one pass a kind; only those found are looked at more closely. A null text has none.
     """
     from ..functions import vocabulary as vo
 
     kind = "struct<term:string,category:string,negated:boolean,qualifier:string>"
-    t, low = F.coalesce(F.col(text), F.lit("")), F.lower(F.coalesce(F.col(text), F.lit("")))
-    word = lambda w: rf"(?<![\p{{L}}\p{{N}}_])\Q{w}\E(?![\p{{L}}\p{{N}}_])"
+    names = [n for own in vo.NOTE_TERMS.values() for n in own]
+    rows = notes.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("_t")).withColumn("_low", F.lower("_t"))
+    rows = rows.withColumns({"_m": _named_in(F.col("_low"), [*vo.MEDICATIONS, *vo.CONDITION_SHORT], True), "_n": _named_in(F.col("_low"), names, False)})
+    t, low, words, held = (F.col(c) for c in ("_t", "_low", "_m", "_n"))
     one = lambda term, category, negated=F.lit(False), qualifier=F.lit(None): F.struct(term, F.lit(category), negated, qualifier.cast("string")).cast(kind)
-    where = lambda hit, concept: F.when(hit, concept)
 
     lab = rf"(?i)(?<![\p{{L}}\p{{N}}_])({'|'.join(vo.LABS)})\s*(?:of\s+)?(\d[\d,]*\.?\d*)\s*({'|'.join(vo.UNITS)})?"
     part = lambda k: F.regexp_extract_all(t, F.lit(lab), F.lit(k))
     labs = F.transform(F.arrays_zip(part(1).alias("a"), part(2).alias("b"), part(3).alias("c")), lambda x: one(F.concat(x["a"], F.lit(" "), x["b"], F.coalesce(x["c"], F.lit(""))), "lab_value"))
-    medications = [where(low.rlike(word(m)), one(F.lit(m), "medication")) for m in vo.MEDICATIONS]
-    shorts = [where(low.rlike(word(a)), one(F.lit(x), "condition", low.rlike(rf"(?:no|denies|without)\s+\Q{a}\E"))) for a, x in vo.CONDITION_SHORT.items()]
+    medications = [F.when(F.array_contains(words, m), one(F.lit(m), "medication")) for m in vo.MEDICATIONS]
+    shorts = [F.when(F.array_contains(words, a), one(F.lit(x), "condition", low.rlike(rf"(?:no|denies|without)\s+\Q{a}\E"))) for a, x in vo.CONDITION_SHORT.items()]
     terms = []
-    for category, names in vo.NOTE_TERMS.items():
-        for name in names:
+    for category, own in vo.NOTE_TERMS.items():
+        for name in own:
             at = F.locate(name, low)
             before = F.substring(low, F.greatest(at - 25, F.lit(1)), at - F.greatest(at - 25, F.lit(1)))
             after = F.substring(low, at, F.lit(len(name) + 15))
             near = F.coalesce(*[F.when(F.contains(before, F.lit(q)) | F.contains(after, F.lit(q)), q) for q in vo.QUALIFIERS])
-            terms.append(where(at > 0, one(F.lit(name), category, before.rlike(vo.NEGATION), near)))
-    procedures = [where(low.rlike(p), one(F.lit(x), "procedure")) for p, x in vo.PROCEDURES.items()]
-    found = F.concat(labs, F.array_compact(F.array(*medications, *shorts, *terms, *procedures)))
-    names = F.transform("found", lambda c: F.lower(F.trim(c["term"])))
-    first = F.filter("found", lambda c, k: F.array_position(names, F.lower(F.trim(c["term"]))) == k + 1)
-    return notes.select(key, found.alias("found")).select(key, F.posexplode(F.slice(first, 1, most)).alias("place", "c")).select(key, "place", "c.*")
+            terms.append(F.when(F.array_contains(held, name), one(F.lit(name), category, before.rlike(vo.NEGATION), near)))
+    procedures = [F.when(low.rlike(p), one(F.lit(x), "procedure")) for p, x in vo.PROCEDURES.items()]
+    any_list = lambda xs, some: F.when(F.size(some) > 0, F.array_compact(F.array(*xs))).otherwise(F.array().cast(f"array<{kind}>"))
+    found = F.concat(labs, any_list(medications + shorts, words), any_list(terms, held), F.array_compact(F.array(*procedures)))
+    said = F.transform("found", lambda c: F.lower(F.trim(c["term"])))
+    first = F.filter("found", lambda c, k: F.array_position(said, F.lower(F.trim(c["term"]))) == k + 1)
+    return rows.select(key, found.alias("found")).select(key, F.posexplode(F.slice(first, 1, most)).alias("place", "c")).select(key, "place", "c.*")

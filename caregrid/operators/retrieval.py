@@ -76,6 +76,16 @@ def grounding(hits: DataFrame, queries: DataFrame) -> DataFrame:
     return rows.select("q", overall.alias("overall"), *rounded).withColumn("label", confidence_label(F.col("overall")))
 
 
+def tool_grounding(calls: DataFrame, most_rounds: int) -> DataFrame:
+    """calls(q, bytes, round) of tools -> q, calls, bytes, overall, label of answers that rest on tools' results.
+
+    High: more than 500 bytes before the last round; medium: more than 100; low: less. A null length is none, a null round the first.
+    """
+    told = calls.groupBy("q").agg(F.count("*").alias("calls"), F.sum(F.coalesce("bytes", F.lit(0))).alias("bytes"), F.max(F.coalesce("round", F.lit(1))).alias("_r"))
+    high, medium = (F.col("bytes") > 500) & (F.col("_r") < most_rounds), F.col("bytes") > 100
+    return told.select("q", "calls", "bytes", F.when(high, 0.95).when(medium, 0.7).otherwise(0.35).alias("overall"), F.when(high, "High").when(medium, "Medium").otherwise("Low").alias("label"))
+
+
 def fixed_chunks(docs: DataFrame, size: int = 2000, overlap: int = 500) -> DataFrame:
     """docs(id, text) -> id, chunk, text: windows of a fixed size; an empty text is one empty chunk."""
     step = size - overlap

@@ -55,10 +55,17 @@ def g7(spark, d):
 
 
 def g8(spark, d):
-    """The first twenty suppliers whose name or nation holds the text, with the parts one step away."""
+    """The first twenty suppliers whose name or nation holds the text, with the parts whose lines name them: edges that end in a hit."""
     s = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
-    steps = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("src"), F.col("l_partkey").alias("dst"))
-    return gr.node_search(s, steps, "5", ["s_name", "n_name"], "s_suppkey")
+    nodes = s.select(F.format_string("s%06d", "s_suppkey").alias("node"), "s_name", "n_name")
+    lines = table(spark, d, "lineitem").select(F.format_string("p%06d", "l_partkey").alias("src"), F.format_string("s%06d", "l_suppkey").alias("dst"))
+    return gr.node_search(nodes, lines, "5", ["s_name", "n_name"])
+
+
+def a24_tools(spark, d):
+    """Events as calls of tools, a user a question: bytes of their results, three rounds at most."""
+    last = F.when(F.col("value") > 95, 3).otherwise(F.col("event_id") % 2 + 1)
+    return rt.tool_grounding(table(spark, d, "events").select(F.col("user_id").alias("q"), F.floor("value").cast("long").alias("bytes"), last.alias("round")), 3)
 
 
 def n9(spark, d):
@@ -73,7 +80,7 @@ def n9(spark, d):
     return cm.gap_impact(gaps, named, weights)
 
 
-QUERIES = {"a24_grounding": a24, "v3_rerank": v3, "v8_chunk_report": v8, "g6_scoped_subgraph": g6, "g7_lineage": g7, "g8_node_search": g8, "n9_gap_impact": n9}
+QUERIES = {"a24_grounding": a24, "a24_tool_results": a24_tools, "v3_rerank": v3, "v8_chunk_report": v8, "g6_scoped_subgraph": g6, "g7_lineage": g7, "g8_node_search": g8, "n9_gap_impact": n9}
 
 _HITS = f"(SELECT t.*, e.label FROM ({text._TOP}) t JOIN embeddings e ON e.vec_id = t.id WHERE place <= 5)"
 _CANDIDATES = text.ORACLE["v10_bm25"].replace("place <= 3", "place <= 15")
@@ -96,7 +103,9 @@ ORACLE = {
     "g6_scoped_subgraph": f"WITH RECURSIVE {_TALK}, {_NEAR.format(where="WHERE type = 'user'", depth=2)} SELECT *, row_number() OVER (PARTITION BY seed ORDER BY distance, node) AS place FROM n QUALIFY place <= 50",
     "g7_lineage": f"WITH RECURSIVE {_TALK}, {_NEAR.format(where='', depth=3)} SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY distance, node) AS place FROM n WHERE regexp_matches(node, '^c[0-9]+$')) WHERE place <= 50",
     "g8_node_search": """WITH f AS (SELECT s_suppkey FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE contains(lower(s_name), '5') OR contains(lower(n_name), '5') ORDER BY s_suppkey LIMIT 20)
-      SELECT DISTINCT s_suppkey, l_partkey AS neighbor FROM f LEFT JOIN lineitem ON l_suppkey = s_suppkey""",
+      SELECT DISTINCT printf('s%06d', s_suppkey) AS node, printf('p%06d', l_partkey) AS neighbor FROM f LEFT JOIN lineitem ON l_suppkey = s_suppkey""",
+    "a24_tool_results": """WITH t AS (SELECT user_id AS q, count(*) AS calls, sum(floor(value)::BIGINT)::BIGINT AS bytes, max(CASE WHEN value > 95 THEN 3 ELSE event_id % 2 + 1 END) >= 3 AS spent FROM events GROUP BY 1)
+      SELECT q, calls, bytes, CASE WHEN bytes > 500 AND NOT spent THEN 0.95 WHEN bytes > 100 THEN 0.7 ELSE 0.35 END::DOUBLE AS overall, CASE WHEN bytes > 500 AND NOT spent THEN 'High' WHEN bytes > 100 THEN 'Medium' ELSE 'Low' END AS label FROM t""",
     "n9_gap_impact": """WITH n AS (SELECT s_suppkey::VARCHAR AS code, CASE WHEN s_acctbal > 5000 THEN 'MCC' WHEN s_acctbal > 0 THEN 'CC' END AS designation FROM supplier),
       w AS (SELECT p_type, min(w) FILTER (k = 2) AS n, min(w) FILTER (k = 1) AS c, min(w) FILTER (k = 0) AS m FROM (SELECT p_type, p_size % 4 AS k, round(p_retailprice / 1000, 4) AS w FROM part) GROUP BY p_type),
       g AS (SELECT p_partkey AS gap_id, CASE WHEN p_size % 5 = 0 THEN 'UNMAPPED' ELSE p_type END AS base, (p_partkey % 100 + 1)::VARCHAR AS c1, p_size::VARCHAR AS c2, (p_partkey % 10 + 1)::VARCHAR AS current FROM part),

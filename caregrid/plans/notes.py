@@ -8,6 +8,8 @@ from ..functions import scalars as sc
 from ..operators import graph as gr
 from ..operators import notes as nt
 from ..operators import retrieval as rt
+from ..operators.ingest import IngestJob
+from ..operators.store import new_path
 from . import text
 from .base import table
 
@@ -165,9 +167,9 @@ def v5r(spark, d):
 
 
 def v6(spark, d):
-    unread = F.when(F.col("doc_id") % 7 != 0, F.col("text"))
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), unread.alias("text"))
-    return rt.ingest_status(docs, rt.fixed_chunks(docs.filter("text IS NOT NULL")))
+    """The states of the ingest job after it has run over all documents."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    return IngestJob(spark, new_path(spark, "ingest")).run(docs)
 
 
 QUERIES = {
@@ -267,5 +269,6 @@ ORACLE = {
       a2 AS (SELECT q, id, row_number() OVER (PARTITION BY q ORDER BY s DESC, id) AS place, 2 AS tier FROM s QUALIFY place <= 4), l AS (FROM a0 UNION ALL FROM a1 UNION ALL FROM a2), o AS (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY q, id ORDER BY tier, place) = 1)
       SELECT q, id, tier, row_number() OVER (PARTITION BY q ORDER BY tier, place, id) AS rank FROM o QUALIFY rank <= 8""",
     "v4_embedding": f"WITH {_DOC_VECTORS} SELECT id, b, round(v, 9) AS v FROM dv",
-    "v6_ingest_status": """SELECT doc_id AS id, CASE WHEN doc_id % 7 = 0 THEN 'error' ELSE 'indexed' END AS status, CASE WHEN doc_id % 7 = 0 THEN 0 ELSE greatest(ceil((length(text) - 500) / 1500.0), 1)::BIGINT END AS chunks, CASE WHEN doc_id % 7 = 0 THEN 'no text' END AS error FROM documents""",
+    "v6_ingest_status": """SELECT doc_id AS id, CASE WHEN text IS NULL THEN 'error' ELSE 'indexed' END AS status, CASE WHEN text IS NULL THEN 0 ELSE greatest(ceil((length(text) - 500) / 1500.0), 1)::BIGINT END AS chunks,
+      CASE WHEN text IS NULL THEN 'no text' END AS error FROM documents""",
 }
