@@ -104,30 +104,8 @@ def _filed(held: DataFrame) -> DataFrame:
     return written(held.select("node", "first").mapInArrow(run, "key long, node long").distinct(), "filed")
 
 
-def compared(percent: int):
-    """Pairs (a, b) of rows (a, b, x, y) whose sets, as bytes of sorted hashes, link."""
-
-    def run(batches):
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append((100 + percent) * both >= percent * (len(x) + len(y)))
-            keep = pa.array(keep, pa.bool_())
-            yield pa.record_batch([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
-
-    return run
-
-
-def exact_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that link, by ``sets`` (node, hashes)."""
-    one = lambda c, name: sets.select(F.col("node").alias(c), F.col("hashes").alias(name))
-    return pairs.join(one("a", "x"), "a").join(one("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(compared(percent), "a long, b long")
-
-
 def _picked(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(node, hashes) of ``wanted`` (node, _k1, _k2), made from the texts."""
+    """``wanted`` (node, _k1, _k2 and others) with hashes, made from the texts."""
     map_ = rows.sparkSession.sparkContext.broadcast(bit_map(wanted.select("_k1")))
 
     def run(batches):
@@ -139,7 +117,7 @@ def _picked(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
 
     made = rows.select("_k1", "_k2", "_text").mapInArrow(run, "_k1 long, _k2 long, hashes binary")
     # rows that repeat id and text have the same keys
-    return written(made.join(wanted, ["_k1", "_k2"]).dropDuplicates(["node"]).select("node", "hashes"), "sets")
+    return made.dropDuplicates(["_k1", "_k2"]).join(wanted, ["_k1", "_k2"]).drop("_k1", "_k2")
 
 
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -153,11 +131,10 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     signs = held.filter("n > 0").select("node", "n", "over", "bits")
     keys = held.groupBy("node").agg(F.min(F.struct("_k1", "_k2")).alias("_m")).select("node", "_m.*")
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        wanted = written(keys.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node"), "wanted")
-        return exact_links(pairs, _picked(rows, wanted, width), percent)
+    def sets_of(nodes: DataFrame) -> DataFrame:
+        return _picked(rows, written(keys.join(nodes, "node"), "wanted"), width)
 
-    links = tree_links(shared(_filed(held)), signs, verify, percent)
+    links = tree_links(shared(_filed(held)), signs, sets_of, percent)
     roots = components(links)
     # a component may hold very many sets: partial minima first, then one row a root
     named = held.groupBy("node").agg(F.min("_id").alias("_least")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

@@ -5,8 +5,8 @@ how many tokens found their bit taken. Sets that share a key form a file, and pa
 sought within files only. A pair may link only if its possible overlap, the bits that
 both maps have plus the tokens without a bit of their own, is large enough.
 
-First each file's sets are tied to one of them. Pairs that pass by their signatures are
-compared exactly, and linked sets form classes. Most files are then in one class and done.
+First each file's sets are tied to one of them. Each set's pair with the one it shares most files with is compared exactly;
+then those pairs that are still apart, if their signatures allow a link. Linked sets form classes. Most files are then in one class and done.
 In the others trees are searched: the sets of a file lie in order of size; FAN of them make
 a node, FAN nodes one above, and each node holds the OR of the maps below it, their range of sizes and the largest number of
 tokens without a bit. Two trees are walked together from the top; a pair of nodes is left as soon as its
@@ -175,18 +175,19 @@ def _searched(percent: int):
 
 
 def _passing(percent: int):
-    """Pairs (a, b) whose signatures allow a link."""
+    """Pairs (a, b), with their number of files c, whose signatures allow a link."""
 
     def run(batches):
         for batch in batches:
             keep = np.zeros(batch.num_rows, bool)
-            n_a, n_b = (batch.column(c).to_numpy() for c in (2, 4))
-            for k, (x, y) in enumerate(zip(batch.column(3).to_pylist(), batch.column(5).to_pylist())):
+            n_a, n_b = (batch.column(c).to_numpy() for c in (3, 5))
+            for k, (x, y) in enumerate(zip(batch.column(4).to_pylist(), batch.column(6).to_pylist())):
                 x, y = np.frombuffer(x, np.uint64)[None], np.frombuffer(y, np.uint64)[None]
                 words, n, m = min(x.shape[1], y.shape[1]), n_a[k : k + 1], n_b[k : k + 1]
                 (x, over_x), (y, over_y) = folded(x, n, words), folded(y, m, words)
                 keep[k] = possible(x, y, (n, n), (m, m), over_x, over_y, percent)[0]
-            yield pa.record_batch([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], ["a", "b"])
+            keep = pa.array(keep)
+            yield pa.record_batch([batch.column(c).filter(keep) for c in range(3)], ["a", "b", "c"])
 
     return run
 
@@ -198,29 +199,79 @@ def shared(filed: DataFrame) -> DataFrame:
     return filed.join(keys, "key")
 
 
-def tree_links(files: DataFrame, signs: DataFrame, verify: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+def compared(percent: int):
+    """Pairs (a, b) of rows (a, b, x, y) whose sets, as bytes of sorted hashes, link."""
+
+    def run(batches):
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3)):
+                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append((100 + percent) * both >= percent * (len(x) + len(y)))
+            keep = pa.array(keep, pa.bool_())
+            yield pa.record_batch([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
+
+    return run
+
+
+def exact_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that link, by ``sets`` (node, hashes)."""
+    one = lambda c, name: sets.select(F.col("node").alias(c), F.col("hashes").alias(name))
+    linked = pairs.select("a", "b").join(one("a", "x"), "a").join(one("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(compared(percent), "a long, b long")
+    return written(linked, "links")
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+
+
+def _more(links: DataFrame, pairs: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+    """``links`` with those of ``pairs`` (a written table) that link."""
+    return links if pairs.isEmpty() else links.unionByName(exact_links(pairs, written(sets_of(_ends(pairs)), "sets"), percent))
+
+
+def _rooted(rows: DataFrame, roots: DataFrame, node: str, root: str) -> DataFrame:
+    return rows.join(roots.select(F.col("node").alias(node), F.col("root").alias(root)), node, "left").withColumn(root, F.coalesce(root, node))
+
+
+def tree_links(files: DataFrame, signs: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
     """(a, b): enough links to join all nodes of ``files`` that are linked within files, in a chain too.
 
-    ``files`` has key, node and _n, as ``shared`` gives them; ``signs`` node, n, over and bits (rows of one node are equal); ``verify`` takes pairs (a, b) and returns those that link.
+    ``files`` has key, node and _n, as ``shared`` gives them; ``signs`` node, n, over and bits (rows of one node are equal); ``sets_of`` takes rows with a node and
+    returns them with its hashes.
     """
     files = written(files, "files")
-    signs = written(signs.join(files.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), "signs")
+    sizes = signs.select("node", "n").dropDuplicates(["node"])
     firsts = files.groupBy("key").agg(F.min("node").alias("a"))
-    star = files.join(firsts, "key").filter("a <> node").select("a", F.col("node").alias("b")).distinct()
-    one = lambda c: signs.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
-    sized = star.join(one("a"), "a").join(one("b"), "b").filter(f"100 * n_a >= {percent} * n_b AND 100 * n_b >= {percent} * n_a")
-    columns = ("a", "b", "n_a", "bits_a", "n_b", "bits_b")
-    links = written(verify(written(sized.select(*columns).mapInArrow(_passing(percent), "a long, b long"), "pairs")), "links")
+    star = files.join(firsts, "key").filter("a <> node").groupBy("a", F.col("node").alias("b")).agg(F.count("*").alias("c"))
+    sized = star.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("n_a")), "a").join(sizes.select(F.col("node").alias("b"), F.col("n").alias("n_b")), "b")
+    star = written(sized.filter(f"100 * n_a >= {percent} * n_b AND 100 * n_b >= {percent} * n_a").select("a", "b", "c"), "stars")
+    # each set with the one it shares most files with: its own hashes travel once, those of the other once for all
+    closest = star.groupBy("b").agg(F.max_by("a", F.struct("c", "a")).alias("a"))
+    asked = _ends(closest).join(closest.select(F.col("b").alias("node"), "a"), "node", "left")
+    sets = written(sets_of(asked), "sets")
+    both = sets.filter("a IS NOT NULL").select("a", F.col("node").alias("b"), F.col("hashes").alias("x")).join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("y")), "a")
+    links = written(both.select("a", "b", "x", "y").mapInArrow(compared(percent), "a long, b long"), "links")
+    roots = written(components(links), "roots")
+    # then what is still apart, if the signatures allow it
+    apart = written(_rooted(_rooted(star, roots, "a", "_x"), roots, "b", "_y").filter("_x <> _y").select("a", "b", "c"), "apart")
+    own = signs.join(_ends(apart), "node", "left_semi").dropDuplicates(["node"])
+    one = lambda c: own.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
+    passing = apart.join(one("a"), "a").join(one("b"), "b").select("a", "b", "c", "n_a", "bits_a", "n_b", "bits_b").mapInArrow(_passing(percent), "a long, b long, c long")
+    links = _more(links, written(passing, "pairs"), sets_of, percent)
     roots = components(links)
-    classed = written(files.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "classed")
+    classed = written(_rooted(files, roots, "node", "root"), "classed")
     mixed = classed.groupBy("key").agg(F.min("root").alias("_a"), F.max("root").alias("_z")).filter("_a <> _z").select("key")
-    open_ = written(classed.join(mixed, "key").join(signs, "node").select("key", "_n", "node", "root", "n", "over", "bits"), "open")
+    open_ = written(classed.join(mixed, "key"), "open")
+    own = signs.join(open_.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    open_ = open_.join(own, "node").select("key", "_n", "node", "root", "n", "over", "bits")
     columns = ("key", "i", "j", "node", "n", "over", "root", "bits", "side")
     small = open_.filter(F.col("_n") <= HOT).select("*", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(2).alias("side")).select(*columns)
     tasks = small.unionByName(_block_tasks(open_.filter(F.col("_n") > HOT)).select(*columns))
     dealt = tasks.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     more = written(dealt.mapInArrow(_searched(percent), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    return links if more.isEmpty() else links.unionByName(written(verify(more), "links"))
+    return _more(links, more, sets_of, percent)
 
 
 def _block_tasks(rows: DataFrame) -> DataFrame:

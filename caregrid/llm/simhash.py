@@ -12,7 +12,7 @@ instead of all pairs. Linked fingerprints are joined into components.
 Null and empty texts, and texts without words, have fingerprint zero and are
 linked like any other. Null ids take part; a component's id is its smallest
 id that is not null. Repeated rows are repeated in the result, extra columns are
-left out, and an empty table gives an empty result.
+left out, texts are taken whole at any length, and an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text, keyed_rows, one_each, written
+from .common import id_and_text, written
 from .components import components
 
 HOT = 1024
@@ -176,11 +176,3 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = named.groupBy("root").agg(F.min("_least").alias("component_id"))
     classes = named.join(least, "root").select("fp", "component_id")
     return held.join(classes, "fp").select(F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, most: int = 3) -> DataFrame:
-    """The rows of ``docs``, all columns, that have the smallest id of their component; ties by text hash; one of each component."""
-    rows = keyed_rows(docs, id_col, text_col)
-    held = written(_with_fp(rows.select("_id", "_k1", "_k2", "_text"), width), "fingerprints")
-    named = _rooted(held.select("fp").distinct(), most)
-    return one_each(rows, held.join(named, "fp"))

@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 import regex
 import xxhash
-from caregrid.llm import bpe, id_files, kd_shards, line_dedup, line_rules, packing, registry, sanitise, simhash, similar, words
+from caregrid.llm import bpe, id_files, jaccard, kd_shards, line_dedup, line_rules, packing, registry, sanitise, signature_tree, simhash, similar, words
 from compare import assert_same
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -94,7 +94,7 @@ def test_keep_one_of_each_component(spark):
     rng = random.Random(2)
     a, b, c, d = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(40)) for _ in range(4))
     rows = [(None, a), (None, b), (None, b), (7, c), (7, d), (8, c), (9, d), (9, d), (3, a.upper())]
-    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    kept = similar.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
     assert sorted((str(r.doc_id), r.text) for r in kept) == sorted([("3", a.upper()), ("None", b), ("7", c), ("7", d)])
 
 
@@ -102,7 +102,7 @@ def test_near_duplicates_of_the_pipeline(spark, monkeypatch):
     """All pairs at five-word similarity 0.8 or more are found, and only these; files of several blocks too."""
     import corpus_pipeline
 
-    monkeypatch.setattr(similar, "SHINGLES", 500)
+    monkeypatch.setattr(signature_tree, "HOT", 4)
     rng = random.Random(7)
     word = lambda: f"w{rng.randrange(10**6)}"
     texts = []
@@ -132,6 +132,16 @@ def test_near_duplicates_of_the_pipeline(spark, monkeypatch):
     assert {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()} == want
 
 
+def test_near_duplicates_of_a_table(spark):
+    """By min-hashes the stage finds what the exact join finds on a whole table."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    exact = jaccard.jaccard_join(docs).collect()
+    empty = [r.doc_id for r in exact if not r.n_shingles]
+    want = {r.component_id for r in exact if r.n_shingles} | {min(empty)} if empty else {r.component_id for r in exact}
+    assert sum(r.component_id != r.doc_id for r in exact) > 50
+    assert {r.doc_id for r in similar.keep_one(docs).collect()} == want
+
+
 def test_line_dedup(spark):
     rng = random.Random(3)
     docs = [(i, "\n".join(rng.choice(["a b c", "d", "e f", "", "g h i j"]) for _ in range(rng.randint(1, 14)))) for i in range(40)]
