@@ -10,6 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .textjoin import contained
+
 from ..functions.scalars import confidence_label
 
 
@@ -158,6 +160,35 @@ def name_search(rows: DataFrame, query: str, state: str | None = None, n: int =
     return found.withColumn("rank", F.when(same, 0).when(starts, 1).otherwise(2)).orderBy("rank", F.desc_nulls_last(order), name).limit(n)
 
 
+def name_searches(rows: DataFrame, queries: DataFrame, n: int = 20, key: str = "provider", name: str = "name", city: str = "city", aliases: str = "aliases", order: str = "discharges") -> DataFrame:
+    """queries(q, query) -> q, place and the rows of ``name_search`` for each query, in one plan; a blank query finds nothing.
+
+    Ids and cities (whole, or up to any blank) are joined as they are, names and aliases by a rare trigram of the query.
+    Keys are unique. Hits that are alike in rank, order and name come in order of the key.
+    """
+    asked = queries.select("q", F.lower(F.trim("query")).alias("_a")).filter("_a <> ''")
+    none = F.array().cast("array<string>")
+    names = F.coalesce(F.transform(aliases, lambda a: F.lower(a)), none) if aliases in rows.columns else none
+    place = F.lower(F.col(city)) if city in rows.columns else F.lit(None).cast("string")
+    parts = F.split(place, " ")
+    heads = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), " "))
+    told = rows.select(F.col(key).alias("_key"), F.lower(F.col(key).cast("string")).alias("_id"), F.coalesce(heads, none).alias("_heads"), F.array_compact(F.array_append(names, F.lower(F.col(name)))).alias("_names"))
+    spread = told.select("_key", F.explode(F.array_distinct("_names")).alias("text"))
+    held = contained(asked.select(F.col("_a").alias("needle")).distinct(), spread.select("text").distinct())
+    by_name = held.join(spread, "text").select(F.col("needle").alias("_a"), "_key")
+    by_id_ = told.select(F.col("_id").alias("_a"), "_key")
+    by_city = told.select(F.explode("_heads").alias("_a"), "_key")
+    wanted = asked.select("_a").distinct()
+    hits = by_name.unionByName(by_id_.join(wanted, "_a", "left_semi")).unionByName(by_city.join(wanted, "_a", "left_semi")).distinct()
+    begins = lambda c: F.coalesce(F.startswith(c, F.col("_a")), F.lit(False))
+    low = F.lower(F.col(name))
+    starts = begins(low) | begins(place) | F.exists(names, lambda a: F.startswith(a, F.col("_a")))
+    rank = F.when(F.lower(F.col(key).cast("string")) == F.col("_a"), 0).when(starts, 1).otherwise(2)
+    found = asked.join(hits, "_a").join(rows.withColumn("_key", F.col(key)), "_key").withColumn("rank", rank)
+    order_ = Window.partitionBy("q").orderBy("rank", F.desc_nulls_last(order), name, "_key")
+    return found.withColumn("place", F.row_number().over(order_)).filter(F.col("place") <= n).drop("_a", "_key")
+
+
 def substring_lookup(rows: DataFrame, text: str, search: str | None = None, code: str | None = None, codes: list | None = None, priority: tuple[str, str] | None = None) -> DataFrame:
     """Rows whose text holds ``search`` in any case (by_text), or whose code is among ``codes``; priority: (column, value) they must have."""
     by_text = F.coalesce(F.contains(F.lower(F.col(text)), F.lit(search.lower())), F.lit(False)) if search else F.lit(False)

@@ -165,6 +165,15 @@ def _note(spark, d):
     return table(spark, d, "part").select("p_partkey", F.concat_ws(". ", "p_name", *said).alias("text"))
 
 
+def w8b(spark, d):
+    """Searches for each nation's name, each fiftieth supplier's id and the letters of each region's name, over all suppliers."""
+    n = table(spark, d, "nation")
+    rows = table(spark, d, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("provider"), F.col("s_name").alias("name"), F.col("n_name").alias("city"), F.col("s_acctbal").alias("discharges"))
+    ids = table(spark, d, "supplier").filter("s_suppkey % 50 = 0").select(F.col("s_suppkey").cast("string").alias("query"))
+    asked = n.select(F.col("n_name").alias("query")).unionByName(ids).unionByName(table(spark, d, "region").select(F.substring("r_name", 1, 1).alias("query"))).distinct()
+    return rc.name_searches(rows, asked.select(F.col("query").alias("q"), "query")).select("q", "provider", "rank", "place")
+
+
 def p13(spark, d):
     return nt.dictionary_concepts(_note(spark, d), "p_partkey")
 
@@ -205,7 +214,7 @@ QUERIES = {
     "j1_enrichment": j1, "j3_code_edges": j3, "j4_cross_edges": j4, "j10_parent_child_pairs": j10, "j13_two_hop_codes": j13, "j14_designation": j14, "j16_context_links": j16, "j17_inheritance": j17,
     "a1_concept_lookup": a1, "a2_best_term": a2, "a12_rule_stats": a12, "a20_negation_conflict": a20, "a21_tag_mismatch": a21, "a22_claim_rollup": a22, "w9_substring_lookup": w9,
     "w10_timeline": w10, "u5_views": u5, "k5_csv_lines": k5, "k6_session_markdown": k6, "p8_reasoning_split": p8, "p9_wrapper_strip": p9, "p10_key_points": p10,
-    "p13_dictionary_concepts": p13, "p14_negation": p14, "n10_answer_rules": n10, "g9_merge": g9, "g11_concept_document": g11, "g12_diagram_rows": g12,
+    "p13_dictionary_concepts": p13, "w8_batch_search": w8b, "p14_negation": p14, "n10_answer_rules": n10, "g9_merge": g9, "g11_concept_document": g11, "g12_diagram_rows": g12,
 }
 
 _MENTIONS = """m AS (SELECT DISTINCT conv_id, turn, concept FROM (SELECT conv_id, turn, unnest(list_slice(list_transform(list_filter(range(1, len(w) + 1), lambda i: list_position(w, w[i]) = i), lambda i: w[i]), 1, 5)) AS concept
@@ -267,6 +276,10 @@ ORACLE = {
     "p9_wrapper_strip": "SELECT event_id, props AS body FROM events",
     "p10_key_points": "SELECT p_partkey, p_name || '|' || p_type AS points FROM part",
     "p13_dictionary_concepts": _dictionary_sql(),
+    "w8_batch_search": """WITH r AS (SELECT s_suppkey AS provider, lower(s_name) AS nm, s_name AS name, lower(n_name) AS city, s_acctbal AS d FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+      a AS (SELECT n_name AS q FROM nation UNION SELECT s_suppkey::VARCHAR FROM supplier WHERE s_suppkey % 50 = 0 UNION SELECT left(r_name, 1) FROM region), j AS (SELECT a.q, lower(trim(a.q)) AS x, r.* FROM a, r),
+      h AS (SELECT *, CASE WHEN provider::VARCHAR = x THEN 0 WHEN starts_with(nm, x) OR starts_with(city, x) THEN 1 ELSE 2 END AS rank FROM j WHERE provider::VARCHAR = x OR contains(nm, x) OR city = x OR starts_with(city, x || ' '))
+      SELECT q, provider, rank, row_number() OVER (PARTITION BY q ORDER BY rank, d DESC NULLS LAST, name, provider) AS place FROM h QUALIFY place <= 20""",
     "p14_negation": "SELECT doc_id, regexp_matches(lower(text), '(?s)and .{0,76}that') AS negated FROM documents",
     "n10_answer_rules": """WITH r AS (SELECT p_partkey, [contains(lower(p_name), 'a'), NOT contains(lower(p_name), 'zzz'), length(p_name) > 4, regexp_matches(p_name, '[a-z]+'), len(regexp_split_to_array(trim(p_name), '\\s+')) > 1,
         1 - levenshtein(lower(p_name), 'part 1') / greatest(length(p_name), 6) >= 0.3, starts_with(lower(trim(p_name)), 'part'), ends_with(trim(p_name), '1')] AS held FROM part)

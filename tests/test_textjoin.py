@@ -7,6 +7,7 @@ import re
 from caregrid.functions import vocabulary as vo
 from caregrid.operators import graph as gr
 from caregrid.operators import notes as nt
+from caregrid.operators import records as rc
 from caregrid.operators import retrieval as rt
 from caregrid.operators import textjoin as tj
 from pyspark.sql import functions as F
@@ -85,3 +86,16 @@ def test_tool_grounding(spark):
     calls = [("a", 400, 1), ("a", 200, 2), ("b", 400, 1), ("b", 200, 3), ("c", 101, 1), ("d", 100, None), ("e", None, 1)]
     got = {r.q: (r.calls, r.bytes, r.overall, r.label) for r in rt.tool_grounding(spark.createDataFrame(calls, "q string, bytes long, round int"), 3).collect()}
     assert got == {"a": (2, 600, 0.95, "High"), "b": (2, 600, 0.7, "Medium"), "c": (1, 101, 0.7, "Medium"), "d": (1, 100, 0.35, "Low"), "e": (1, 0, 0.35, "Low")}
+
+
+def test_many_searches_equal_each(spark):
+    """One plan gives each search's own rows in its order: ids, names, aliases, cities, nulls, blanks."""
+    rows = [("p1", "North Clinic", "San Jose", ["Old North", None], 5), ("p2", "south p1 ward", "San", None, 9), ("p3", None, "San Jose West", ["northern"], None), ("P4", "Jose", None, [], 1), ("p5", "x", "", ["y"], 2)]
+    df = spark.createDataFrame(rows, "provider string, name string, city string, aliases array<string>, discharges int")
+    texts = ["north", " San ", "san jose", "p1", "P4", "o", "or", "zz", "jose", "y"]
+    asked = spark.createDataFrame([*enumerate(texts), (99, "  "), (98, None)], "q long, query string")
+    got = {}
+    for r in rc.name_searches(df, asked).orderBy("q", "place").collect():
+        got.setdefault(r.q, []).append((r.provider, r.rank))
+    want = {k: [(r.provider, r.rank) for r in rc.name_search(df, t).collect()] for k, t in enumerate(texts)}
+    assert got == {k: v for k, v in want.items() if v}
