@@ -8,9 +8,10 @@ its prefix; two prefixes with one id only add candidates, which the last step ch
 A state (word, position, node, edits) says that the word up to the position reads as the
 node's prefix with so many edits. The states without an edit lie on the word's own path, which the
 trie's making gives for all words at once. Round by round the frontier is joined with the edges of its nodes: a
-state without an edit spends it where an edge leaves its path (a letter replaced, put in or left out), a state with
+state without an edit spends it where an edge leaves its path (a letter replaced or left out), a state with
 one goes on only where the label agrees, and states that have used up their word at the node where another
-word ends are neighbours. The rounds end when no state is left; each frontier is a written table.
+word ends are neighbours. A letter put in is one left out of the other word, which finds the pair. No state enters a node that its next letter
+does not leave. The rounds end when no state is left; each frontier is a written table.
 
 A word of L letters that differs from another by one edit shares its first or its last (L - 1) / 2
 letters with it, so the edit is spent in the back half only, in one of the two tries: near the root, where
@@ -35,11 +36,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import UPPER, written
+from .common import written
 
-#: Fixed value: letters of a word.
-RUN = re.compile("[A-Za-zÀ-ÿ]+")
-LOWER = str.maketrans(UPPER, UPPER.lower())
+#: Fixed value: letters of a word, A-Z, a-z and U+00C0 to U+00FF, as UTF-8.
+RUN = re.compile(rb"(?:[A-Za-z]+|\xc3[\x80-\xbf])+")
 LETTERS = 7
 TIMES = 2
 DROP = 31
@@ -49,20 +49,27 @@ HELD = 1 << 19
 
 def _counted(batches):
     held: Counter = Counter()
+
+    def run():
+        return pa.record_batch([pa.array(list(held), pa.binary()).cast(pa.string()), pa.array(list(held.values()), pa.int64())], ["word", "n"])
+
     for batch in batches:
-        for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            own = "" if i is None else i
-            for word, n in Counter(RUN.findall(text.translate(LOWER))).items():
-                h = zlib.crc32(f"{own}:{word}".encode())
+        for i, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
+            begun = zlib.crc32(f"{'' if i is None else i}:".encode())
+            for word, n in Counter(RUN.findall(text.lower())).items():  # bytes: A-Z only
+                if len(word) < LETTERS:
+                    continue
+                h = zlib.crc32(word, begun)
                 if h % DROP == 0:
+                    word = word.decode()
                     k = h % len(word)
-                    word = word[:k] + word[k + 1 :]
-                if len(word) >= LETTERS:
+                    word = (word[:k] + word[k + 1 :]).encode()
+                if len(word) - word.count(b"\xc3") >= LETTERS:
                     held[word] += n
         if len(held) > HELD:
-            yield pa.record_batch([pa.array(list(held)), pa.array(list(held.values()), pa.int64())], ["word", "n"])
+            yield run()
             held.clear()
-    yield pa.record_batch([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], ["word", "n"])
+    yield run()
 
 
 def word_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -99,18 +106,18 @@ def _prefixes(batches):
 
 
 def paths(words: DataFrame) -> DataFrame:
-    """(way, word, letters, path): for each word and way the nodes of its own path, as (depth, node), from the top down.
+    """(way, letters, path): for each word and way the nodes of its own path, as (depth, node), from the top down.
 
     ``letters`` is the word as the way reads it. The top node of a word is its prefix of ``first_depth(LETTERS)`` letters.
     """
-    every = written(words.select("word").mapInArrow(_prefixes, "way int, k1 long, k2 long, depth int, node long, next string"), "prefixes")
+    every = words.select("word").mapInArrow(_prefixes, "way int, k1 long, k2 long, depth int, node long, next string")
     # words end or part here; partial aggregates: a prefix that very many words share sends a row a task
     nodes = every.groupBy("node").agg(F.min("next").alias("a"), F.max("next").alias("z"), F.min("depth").alias("d"))
     nodes = nodes.filter((F.col("a") != F.col("z")) | (F.col("a") == "") | (F.col("d") == first_depth(LETTERS))).select("node")
-    own = every.join(nodes, "node").groupBy("k1", "k2", "way").agg(F.sort_array(F.collect_list(F.struct("depth", "node"))).alias("path"))
+    own = every.select("way", "k1", "k2", "depth", "node").join(nodes, "node").groupBy("k1", "k2", "way").agg(F.sort_array(F.collect_list(F.struct("depth", "node"))).alias("path"))
     named = words.select("word").mapInArrow(_named, "word string, k1 long, k2 long")
     letters = F.when(F.col("way") == 0, F.col("word")).otherwise(F.reverse("word"))
-    return named.join(own, ["k1", "k2"]).select("way", "word", letters.alias("letters"), "path")
+    return named.join(own, ["k1", "k2"]).select("way", letters.alias("letters"), "path")
 
 
 def _named(batches):
@@ -121,29 +128,50 @@ def _named(batches):
 
 
 def edge_lists(own: DataFrame) -> DataFrame:
-    """(node, steps): what leaves each node: an edge as (label, child), or the word that ends there as near."""
+    """(node, steps): what leaves each node: an edge as (label, child), or the word that ends there as near.
+
+    An edge's ``ahead`` has the first letters of what leaves its child, and a full stop if a word ends there.
+    """
     pair = F.explode(F.transform(F.sequence(F.lit(1), F.size("path")), lambda i: F.struct(F.get("path", i - 1).alias("a"), F.get("path", i).alias("z"))))
-    steps = own.select("word", "letters", pair.alias("_s"))
+    steps = own.select("letters", pair.alias("_s"))
     label = F.expr("substring(letters, _s.a.depth + 1, _s.z.depth - _s.a.depth)")  # null past the last node
-    steps = steps.select(F.col("_s.a.node").alias("node"), label.alias("label"), F.col("_s.z.node").alias("child"), F.when(F.col("_s.z").isNull(), F.col("word")).alias("near"))
-    return steps.distinct().groupBy("node").agg(F.collect_list(F.struct("label", "child", "near")).alias("steps"))
+    steps = steps.select(F.col("_s.a.node").alias("node"), label.alias("label"), F.col("_s.z.node").alias("child"), F.when(F.col("_s.z").isNull(), F.col("letters")).alias("near"))
+    steps = written(steps.distinct(), "steps")
+    first = F.when(F.col("near").isNotNull(), ".").otherwise(F.expr("substring(label, 1, 1)"))
+    ahead = steps.groupBy(F.col("node").alias("child")).agg(F.array_join(F.collect_set(first), "").alias("ahead"))
+    edges = steps.filter("near IS NULL").join(ahead, "child")
+    every = edges.unionByName(steps.filter("near IS NOT NULL").withColumn("ahead", F.lit("")))
+    then = F.when(F.length("label") > 1, F.expr("substring(label, 2, 1)")).otherwise(F.col("ahead"))
+    return every.groupBy("node").agg(F.collect_list(F.struct("label", "child", "ahead", "near", first.alias("first"), then.alias("then"))).alias("steps"))
+
+
+def _may_go() -> Column:
+    """Whether an edge's first letters allow any move of ``_moves``."""
+    spent, first = F.col("edits") == 1, F.col("_e.first")
+    replaced = (first > F.col("_c")) & (F.col("_c") != "") & F.contains(F.col("_e.then"), F.col("_d"))
+    return F.when(F.col("_e.near").isNotNull(), F.length("letters") - F.col("pos") + F.col("edits") == 1).when(spent, first == F.col("_c")).otherwise(replaced | ((first == F.col("_d")) & (first != F.col("_c"))))
 
 
 def _moves() -> Column:
-    """The states and neighbours that one step of the trie makes of a state, as (pos, node, near); without those that end."""
+    """The states and neighbours that one step of the trie makes of a state, as (pos, node, near); without those that end.
+
+    Of two words of one length the one with the smaller letter finds the other, and of two lengths the longer one.
+    """
     k, left = F.length("_e.label"), F.length("letters") - F.col("pos")
     own = lambda skip, n="length(_e.label)": F.expr(f"substring(letters, pos + 1 + {skip}, {n})")
-    rest = F.expr("substring(_e.label, 2)")
-    off = (F.col("edits") == 0) & (F.expr("substring(_e.label, 1, 1)") != own(0, "1"))
-    to = lambda ok, pos: F.when(ok, F.struct(pos.alias("pos"), F.col("_e.child").alias("node"), F.lit(None).cast("string").alias("near")))
+    off = F.col("edits") == 0
+
+    def to(ok: Column, skip: int) -> Column:
+        then = F.expr(f"substring(letters, pos + 1 + length(_e.label) + {skip}, 1)")
+        ok = ok & F.contains(F.col("_e.ahead"), F.when(then == "", ".").otherwise(then))
+        return F.when(ok, F.struct((F.col("pos") + k + skip).alias("pos"), F.col("_e.child").alias("node"), F.lit(None).cast("string").alias("near")))
+
     end = F.col("_e.near").isNotNull() & (left + F.col("edits") == 1)
-    at_end = F.struct(F.col("pos"), F.lit(None).cast("long").alias("node"), F.col("_e.near").alias("near"))
     every = F.array(
-        to((F.col("edits") == 1) & (F.col("_e.label") == own(0)), F.col("pos") + k),
-        to(off & (left > 0) & (rest == own(1, "length(_e.label) - 1")), F.col("pos") + k),  # replaced
-        to(off & (rest == own(0, "length(_e.label) - 1")), F.col("pos") + k - 1),  # put in
-        to(off & (F.col("_e.label") == own(1)), F.col("pos") + k + 1),  # left out
-        F.when(end, at_end),
+        to((F.col("edits") == 1) & (F.col("_e.label") == own(0)), 0),
+        to(off & (left > 0) & (F.expr("substring(_e.label, 1, 1)") > own(0, "1")) & (F.expr("substring(_e.label, 2)") == own(1, "length(_e.label) - 1")), 0),  # replaced
+        to(off & (F.expr("substring(_e.label, 1, 1)") != own(0, "1")) & (F.col("_e.label") == own(1)), 1),  # left out
+        F.when(end, F.struct(F.col("pos"), F.lit(None).cast("long").alias("node"), F.col("_e.near").alias("near"))),
     )
     return F.filter(every, lambda x: x.isNotNull())
 
@@ -153,17 +181,21 @@ def neighbours(words: DataFrame) -> DataFrame:
     own = written(paths(words), "paths")
     trie = written(edge_lists(own), "trie")
     held = F.explode(F.filter("path", lambda p: p["depth"] >= F.floor(F.length("letters") / 2)))
-    now = own.select("word", "letters", held.alias("_p")).select("word", "letters", F.col("_p.depth").alias("pos"), F.col("_p.node").alias("node"), F.lit(0).alias("edits"))
+    now = own.select("way", "letters", held.alias("_p")).select("way", "letters", F.col("_p.depth").alias("pos"), F.col("_p.node").alias("node"), F.lit(0).alias("edits"))
     found = None
     while True:
-        met = now.join(trie, "node").select("word", "letters", "pos", "edits", F.explode("steps").alias("_e"))
-        met = written(met.select("word", "letters", F.explode(_moves()).alias("_m")).select("word", "letters", "_m.*"), "frontier")
-        near = met.filter("near IS NOT NULL").select("word", "near")
+        # the next two letters of the state rule out most edges
+        two = F.expr("substring(letters, pos + 1, 1)").alias("_c"), F.expr("if(length(letters) > pos + 1, substring(letters, pos + 2, 1), '.')").alias("_d")
+        met = now.join(trie, "node").select("way", "letters", "pos", "edits", *two, F.explode("steps").alias("_e")).filter(_may_go())
+        met = written(met.select("way", "letters", F.explode(_moves()).alias("_m")).select("way", "letters", "_m.*"), "frontier")
+        near = met.filter("near IS NOT NULL").select("way", "letters", "near")
         found = near if found is None else found.unionByName(near)
-        now = met.filter("node IS NOT NULL").select("word", "letters", "pos", "node", F.lit(1).alias("edits"))
+        now = met.filter("node IS NOT NULL").select("way", "letters", "pos", "node", F.lit(1).alias("edits"))
         if now.isEmpty():
             break
-    return found.filter((F.col("word") != F.col("near")) & (F.levenshtein("word", "near", 1) == 1)).distinct()
+    read = lambda c: F.when(F.col("way") == 0, F.col(c)).otherwise(F.reverse(c))
+    pairs = found.filter(F.levenshtein("letters", "near", 1) == 1).select(read("letters").alias("word"), read("near").alias("near")).distinct()
+    return pairs.unionByName(pairs.select(F.col("near").alias("word"), F.col("word").alias("near")))
 
 
 def variants(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
