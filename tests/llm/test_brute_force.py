@@ -11,7 +11,7 @@ import public_tokenizers
 import pytest
 import regex
 import xxhash
-from caregrid.llm import bpe, id_files, jaccard, kd_shards, line_dedup, line_rules, packing, registry, sanitise, signature_tree, simhash, similar, words
+from caregrid.llm import bpe, id_files, jaccard, kd_shards, line_dedup, line_rules, packing, registry, sanitise, simhash, similar, words
 from compare import assert_same
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -102,7 +102,7 @@ def test_near_duplicates_of_the_pipeline(spark, monkeypatch):
     """All pairs at five-word similarity 0.8 or more are found, and only these; files of several blocks too."""
     import corpus_pipeline
 
-    monkeypatch.setattr(signature_tree, "HOT", 4)
+    monkeypatch.setattr(similar, "SHINGLES", 500)
     rng = random.Random(7)
     word = lambda: f"w{rng.randrange(10**6)}"
     texts = []
