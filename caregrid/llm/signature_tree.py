@@ -1,7 +1,7 @@
 """Links between sets that share a key, by signature trees.
 
-A set's signature is a bit map of its tokens (at least four bits a token, up to MOST bits), its size and
-how many tokens found their bit taken. Sets that share a key form a file, and pairs are
+A set's signature is a bit map of its tokens (at least sixteen bits a token, up to MOST bits, packed by zstandard: nearly all bits
+are zero), its size and how many tokens found their bit taken. Sets that share a key form a file, and pairs are
 sought within files only. A pair may link only if its possible overlap, the bits that
 both maps have plus the tokens without a bit of their own, is large enough.
 
@@ -11,7 +11,8 @@ In the others trees are searched: the sets of a file lie in order of size; FAN o
 a node, FAN nodes one above, and each node holds the OR of the maps below it, their range of sizes and the largest number of
 tokens without a bit. Two trees are walked together from the top; a pair of nodes is left as soon as its
 ranges or its greatest possible overlap exclude every pair below it, or when all below is in one class.
-Pairs of sets that are left at the bottom are compared exactly. Files with equal members count as one.
+Trees hold the maps folded FOLD times, since OR-combined wide maps say no more; pairs left at the bottom are held against the whole maps.
+What is left then is compared exactly. Files with equal members count as one.
 
 A file of more than HOT sets is searched in blocks: classes of size (a pair never lies
 more than one apart) cut by a hash of the class of linked sets; a task holds two blocks.
@@ -24,13 +25,16 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
 from .components import components
 
-MOST = 1 << 16
+MOST = 1 << 18
+SPARE = 16
+FOLD = 4
 FAN = 8
 HOT = 2048
 
@@ -38,7 +42,7 @@ HOT = 2048
 def bit_map(hashes: np.ndarray) -> np.ndarray:
     """The set's tokens by their low bits, as uint64 words; the number of bits is a power of two."""
     bits = 256
-    while bits < min(4 * len(hashes), MOST):
+    while bits < min(SPARE * len(hashes), MOST):
         bits *= 2
     out = np.zeros(bits >> 6, np.uint64)
     at = hashes & np.uint64(bits - 1)
@@ -47,9 +51,15 @@ def bit_map(hashes: np.ndarray) -> np.ndarray:
 
 
 def signature(hashes: np.ndarray) -> tuple[bytes, int]:
-    """The map, and the number of tokens without a bit of their own."""
+    """The map, packed, and the number of tokens without a bit of their own."""
     bits = bit_map(hashes)
-    return bits.tobytes(), len(hashes) - int(np.bitwise_count(bits).sum())
+    return zstandard.ZstdCompressor(1).compress(bits.tobytes()), len(hashes) - int(np.bitwise_count(bits).sum())
+
+
+def unpacked(bits: list[bytes]) -> list[np.ndarray]:
+    """The maps of signatures."""
+    tool = zstandard.ZstdDecompressor()
+    return [np.frombuffer(tool.decompress(b), np.uint64) for b in bits]
 
 
 def folded(bits: np.ndarray, n: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -122,22 +132,33 @@ def walk(x: Tree, y: Tree, percent: int) -> tuple[np.ndarray, np.ndarray]:
 
 def file_pairs(node: np.ndarray, n: np.ndarray, over: np.ndarray, bits: list[bytes], root: np.ndarray, side: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of a file's sets that may link and are in different classes. side: 0 and 1 are two blocks, whose own pairs are not sought; 2 is a whole file."""
-    width = np.array([len(b) for b in bits])
-    parts = [(w, s, at) for w in np.unique(width).tolist() for s in np.unique(side).tolist() if len(at := np.flatnonzero((width == w) & (side == s)))]
-    maps = [np.frombuffer(b"".join(bits[k] for k in at.tolist()), np.uint64).reshape(len(at), -1) for *_, at in parts]
-    trees = [Tree(n[at], over[at], own, root[at]) for (*_, at), own in zip(parts, maps)]
+    maps = unpacked(bits)
+    width = np.array([len(m) for m in maps])
+    parts = [(w, at, np.stack([maps[k] for k in at.tolist()]), s) for w in np.unique(width).tolist() for s in np.unique(side).tolist() if len(at := np.flatnonzero((width == w) & (side == s)))]
+    del maps
+
+    def tree(words: int, at: np.ndarray, whole: np.ndarray) -> Tree:
+        low, lost = folded(whole, n[at], words // FOLD)
+        return Tree(n[at], lost, low, root[at])
+
+    trees = [tree(w, at, whole) for w, at, whole, _ in parts]
     out = [(np.zeros(0, np.int64),) * 2]
-    for (w, s, at), tree in zip(parts, trees):
-        for (v, t, other), own, more in zip(parts, maps, trees):
+    for (w, at, whole, s), one in zip(parts, trees):
+        for (v, other, more, t), two in zip(parts, trees):
             if v not in (w, 2 * w) or (s == t < 2) or (v == w and s > t):
                 continue  # sizes of a link are never more than a factor of two apart
+            lost = over[other]
             if v > w:
-                low, lost = folded(own, n[other], w >> 3)
-                more = Tree(n[other], lost, low, root[other])
-            a, b = walk(tree, more, percent)
-            a, b = at[a], other[b]
-            keep = root[a] != root[b]
-            out.append((node[a[keep]], node[b[keep]]))
+                more, lost = folded(more, n[other], w)
+                two = tree(w, other, more)
+            a, b = walk(one, two, percent)
+            keep = root[at[a]] != root[other[b]]
+            a, b = a[keep], b[keep]
+            step = max(1, (1 << 22) // w)
+            for k in range(0, len(a), step):
+                x, y = a[k : k + step], b[k : k + step]
+                ok = possible(whole[x], more[y], (n[at[x]],) * 2, (n[other[y]],) * 2, over[at[x]], lost[y], percent)
+                out.append((node[at[x[ok]]], node[other[y[ok]]]))
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
@@ -181,8 +202,8 @@ def _passing(percent: int):
         for batch in batches:
             keep = np.zeros(batch.num_rows, bool)
             n_a, n_b = (batch.column(c).to_numpy() for c in (3, 5))
-            for k, (x, y) in enumerate(zip(batch.column(4).to_pylist(), batch.column(6).to_pylist())):
-                x, y = np.frombuffer(x, np.uint64)[None], np.frombuffer(y, np.uint64)[None]
+            for k, (x, y) in enumerate(zip(*(unpacked(batch.column(c).to_pylist()) for c in (4, 6)))):
+                x, y = x[None], y[None]
                 words, n, m = min(x.shape[1], y.shape[1]), n_a[k : k + 1], n_b[k : k + 1]
                 (x, over_x), (y, over_y) = folded(x, n, words), folded(y, m, words)
                 keep[k] = possible(x, y, (n, n), (m, m), over_x, over_y, percent)[0]
