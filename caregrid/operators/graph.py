@@ -111,14 +111,63 @@ def diagram_rows(diagrams: DataFrame) -> tuple[DataFrame, DataFrame]:
     return nodes, edges
 
 
-def diagram_text(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """nodes(graph, node, name), edges(graph, src, dst, type) -> graph, code: one diagram a graph, of a size a reader can take in."""
-    ids = nodes.withColumn("id", F.concat(F.lit("n"), F.row_number().over(Window.partitionBy("graph").orderBy("node"))))
-    boxes = ids.groupBy("graph").agg(F.array_sort(F.collect_list(F.format_string('  %s["%s"]', "id", F.substring("name", 1, 40)))).alias("boxes"))
-    a, b = ids.select("graph", F.col("node").alias("src"), F.col("id").alias("a")), ids.select("graph", F.col("node").alias("dst"), F.col("id").alias("b"))
-    lines = edges.join(a, ["graph", "src"]).join(b, ["graph", "dst"]).groupBy("graph").agg(F.array_sort(F.collect_list(F.format_string("  %s -->|%s| %s", "a", F.lower("type"), "b"))).alias("links"))
-    rows = boxes.join(lines, "graph", "left")
-    return rows.select("graph", F.array_join(F.concat(F.array(F.lit("graph TD")), "boxes", F.coalesce("links", F.array().cast("array<string>"))), "\n").alias("code"))
+#: What stands around a node's name, by the node's label; other labels have square brackets.
+SHAPES = {"Concept": ("[", "]"), "MemoryCard": ("([", "])"), "Session": (">", "]"), "ChatSession": (">", "]"), "Diagram": ("{", "}"), "MindFileEntry": ("((", "))")}
+
+
+def diagram_text(nodes: DataFrame, edges: DataFrame, layout: str = "TD") -> DataFrame:
+    """nodes(graph, node, name, label), edges(graph, src, dst, type) -> graph, code: one diagram a graph, of a size a reader can take in.
+
+    Nodes are numbered in order of ``node``; names of over 40 characters end in dots after 37. Edges whose ends are not among the graph's nodes go. Without a name, a node shows its own id.
+    """
+    ids = nodes.withColumn("k", F.row_number().over(Window.partitionBy("graph").orderBy("node")))
+    name = F.translate(F.replace(F.coalesce("name", F.col("node").cast("string")), F.lit('"'), F.lit("'")), "[]", "()")
+    name = F.when(F.length(name) > 40, F.concat(F.substring(name, 1, 37), F.lit("..."))).otherwise(name)
+    around = lambda side: F.coalesce(F.create_map(*[F.lit(x) for label, ends in SHAPES.items() for x in (label, ends[side])])[F.coalesce("label", F.lit(""))], F.lit("[]"[side]))
+    box = F.concat(F.lit("    N"), "k", around(0), name, around(1))
+    joined = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(c)), lambda x: x["t"]), "\n")
+    boxes = ids.groupBy("graph").agg(joined(F.struct("k", box.alias("t"))).alias("boxes"))
+    a, b = ids.select("graph", F.col("node").alias("src"), F.col("k").alias("a")), ids.select("graph", F.col("node").alias("dst"), F.col("k").alias("b"))
+    line = F.format_string("    N%d -->|%s| N%d", "a", F.lower(F.replace("type", F.lit("_"), F.lit(" "))), "b")
+    links = edges.join(a, ["graph", "src"]).join(b, ["graph", "dst"]).groupBy("graph").agg(joined(F.struct("a", "b", line.alias("t"))).alias("links"))
+    return boxes.join(links, "graph", "left").select("graph", F.concat_ws("\n", F.lit(f"flowchart {layout}"), "boxes", "links").alias("code"))
+
+
+def concept_document(concepts: DataFrame, is_a: DataFrame, others: DataFrame, maps: DataFrame, most: int = 50) -> DataFrame:
+    """One row a concept, for all concepts at once: node and its own columns, parents, children, relationships and codes.
+
+    concepts(node, term, tag and others), is_a(child, parent), others(src, type, dst, grp), maps(node, code, grp, priority, advice). Parents, the first ``most``
+    children and relationships carry the other end's term; ends that are no concepts go, repeated edges are one. Codes are in order of
+    group and priority. A concept without any has empty lists. Only children may be very many, and those are cut to ``most`` before they are shuffled.
+    """
+    ends = concepts.select(F.col("node").alias("end"), "term", "tag")
+    up = is_a.select("child", "parent").distinct()
+    place = F.row_number().over(Window.partitionBy("parent").orderBy("child"))
+    known = up.join(ends.select(F.col("end").alias("child")), "child", "left_semi")
+    down = known.withColumn("_r", place).filter(F.col("_r") <= most).select(F.col("parent").alias("node"), F.col("child").alias("end"))
+    listed = lambda rows, name, *fields: rows.groupBy("node").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias(name))
+    parents = listed(up.select(F.col("child").alias("node"), F.col("parent").alias("end")).join(ends, "end"), "parents", "end", "term", "tag")
+    children = listed(down.join(ends, "end"), "children", "end", "term", "tag")
+    beside = others.select(F.col("src").alias("node"), "type", F.col("dst").alias("end"), "grp").distinct().join(ends, "end")
+    out = concepts.join(parents, "node", "left").join(children, "node", "left").join(listed(beside, "relationships", "type", "end", "grp", "term"), "node", "left")
+    out = out.join(listed(maps.select("node", "grp", "priority", "code", "advice").distinct(), "codes", "grp", "priority", "code", "advice"), "node", "left")
+    empty = lambda c: F.coalesce(c, F.array().cast(out.schema[c].dataType))
+    return out.withColumns({c: empty(c) for c in ("parents", "children", "relationships", "codes")})
+
+
+def drug_document(drugs: DataFrame, links: DataFrame, crosswalk: DataFrame, concepts: DataFrame, most: int = 50) -> DataFrame:
+    """One row a drug, for all drugs at once: node and its own columns, its first ``most`` relationships by type and end, and the concepts it stands for.
+
+    drugs(node, term, kind and others), links(src, type, dst), crosswalk(node, concept), concepts(node, term, tag). Ends that are no drugs, or no concepts, go; repeated rows are one.
+    """
+    ends = drugs.select(F.col("node").alias("end"), F.col("term").alias("end_term"), F.col("kind").alias("end_kind"))
+    known = links.select(F.col("src").alias("node"), "type", F.col("dst").alias("end")).distinct().join(ends, "end")
+    first = known.withColumn("_r", F.row_number().over(Window.partitionBy("node").orderBy("type", "end"))).filter(F.col("_r") <= most)
+    beside = first.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("type", "end", F.col("end_term").alias("term"), F.col("end_kind").alias("kind")))).alias("relationships"))
+    refs = crosswalk.select("node", "concept").distinct().join(concepts.select(F.col("node").alias("concept"), F.col("term").alias("_t"), F.col("tag").alias("_g")), "concept")
+    crossrefs = refs.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("concept", F.col("_t").alias("term"), F.col("_g").alias("tag")))).alias("crossrefs"))
+    out = drugs.join(beside, "node", "left").join(crossrefs, "node", "left")
+    return out.withColumns({c: F.coalesce(c, F.array().cast(out.schema[c].dataType)) for c in ("relationships", "crossrefs")})
 
 
 def scoped(edges: DataFrame, anchors: DataFrame, steps: int, types: list[str] | None = None, n: int = 50) -> tuple[DataFrame, DataFrame]:

@@ -12,6 +12,11 @@ from pyspark.sql import functions as F
 from ..functions.scalars import keywords
 
 
+#: Folders that a census skips, and names that are their own extension.
+SKIPPED = ["node_modules", ".git", "dist", "build", "out", ".next", "coverage", ".turbo", "target", "venv", ".venv", "__pycache__", "vendor", ".mypy_cache"]
+NAMED = ["dockerfile", "makefile"]
+
+
 @dataclass
 class Pack:
     """Patterns of one kind of estate. systems: id -> patterns; imports: (pattern, system id); needs: workers only with one of these systems."""
@@ -34,6 +39,37 @@ def find_systems(files: DataFrame, packs: list[Pack]) -> DataFrame:
     return counted.select(F.explode(rows).alias("r")).select("r.*").filter("files > 0")
 
 
+def omitted_packs(files: DataFrame, packs: list[Pack], chosen: list[str]) -> DataFrame:
+    """pack, systems: packs that a scan left out although files hold patterns of their systems (in the pack's order). Packs without a hit have no row."""
+    left = [(p.name, s, patterns) for p in packs if p.name not in chosen for s, patterns in p.systems.items()]
+    if not left:
+        return files.sparkSession.createDataFrame([], "pack string, systems array<string>")
+    hits = files.agg(*[F.bool_or(F.col("text").rlike("|".join(f"(?:{x})" for x in patterns))).alias(f"_{k}") for k, (_, _, patterns) in enumerate(left)])
+    named = lambda pack: F.array_compact(F.array(*[F.when(F.col(f"_{k}"), s) for k, (name, s, _) in enumerate(left) if name == pack]))
+    rows = F.array(*[F.struct(F.lit(pack).alias("pack"), named(pack).alias("systems")) for pack in dict.fromkeys(name for name, *_ in left)])
+    return hits.select(F.explode(rows).alias("r")).select("r.*").filter(F.size("systems") > 0)
+
+
+def census(files: DataFrame, skip: list[str] = SKIPPED, named: list[str] = NAMED, most: int | None = None) -> DataFrame:
+    """files(path below the root) -> ext, n, total, truncated: files by lower-case extension.
+
+    Files below a skipped or hidden folder do not count, nor names without a dot, but for those in ``named``, which are their own
+    extension. With ``most``, the first so many files by path are counted, and truncated says whether there are more. Repeated paths count once, null paths never.
+    """
+    parts = F.split("path", "/")
+    folders = F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))
+    barred = F.exists(folders, lambda x: x.isin(skip) | F.startswith(x, F.lit(".")))
+    name = F.lower(F.element_at(parts, -1))
+    ext = F.when(name.isin(named), name).when(F.contains(name, F.lit(".")), F.substring_index(name, ".", -1))
+    rows = files.select("path").filter(F.col("path").isNotNull()).distinct().filter(~barred).select("path", ext.alias("ext")).filter("ext IS NOT NULL")
+    seen = rows if most is None else rows.orderBy("path").limit(most)
+    all_ = rows.agg(F.count("*").alias("_all"))
+    counted = seen.groupBy("ext").agg(F.count("*").alias("n"))
+    total = counted.agg(F.sum("n").alias("total"))
+    # both right sides are one row
+    return counted.join(F.broadcast(total), how="inner").join(F.broadcast(all_), how="inner").select("ext", "n", "total", (F.col("_all") > F.col("total")).alias("truncated"))
+
+
 def find_workers(files: DataFrame, systems: DataFrame, packs: list[Pack], excluded: list[str]) -> DataFrame:
     """worker (stem), pack, path: files whose stem has a hint and no excluded part. A pack counts if it needs nothing or a system it needs was found; the earliest one, then the first path, stays."""
     stem = F.lower(F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1))

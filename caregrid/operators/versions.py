@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .tables import insert_absent, upsert
 
 
-def _folder(spark: SparkSession, path: str):
+def folder(spark: SparkSession, path: str):
+    """The file system of a path, the path as its own, and how it makes paths."""
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at, jvm.org.apache.hadoop.fs.Path
@@ -28,7 +29,7 @@ class VersionedTable:
 
     def versions(self) -> list[int]:
         """Finished versions, oldest first."""
-        fs, at, path = _folder(self.spark, self.path)
+        fs, at, path = folder(self.spark, self.path)
         if not fs.exists(at):
             return []
         names = [s.getPath().getName() for s in fs.listStatus(at)]
@@ -62,7 +63,7 @@ class VersionedTable:
 
     def drop_before(self, version: int) -> None:
         """Deletes versions that no reader needs any more."""
-        fs, _, path = _folder(self.spark, self.path)
+        fs, _, path = folder(self.spark, self.path)
         for n in self.versions():
             if n < version:
                 fs.delete(path(f"{self.path}/v-{n}"), True)

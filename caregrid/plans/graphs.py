@@ -72,10 +72,10 @@ def a19(spark, d):
 
 
 def g13(spark, d):
-    n = table(spark, d, "nation").select(F.col("n_regionkey").alias("graph"), F.concat(F.lit("n"), F.col("n_nationkey")).alias("node"), F.col("n_name").alias("name"))
-    r = table(spark, d, "region").select(F.col("r_regionkey").alias("graph"), F.concat(F.lit("r"), F.col("r_regionkey")).alias("node"), F.col("r_name").alias("name"))
+    n = table(spark, d, "nation").select(F.col("n_regionkey").alias("graph"), F.concat(F.lit("n"), F.col("n_nationkey")).alias("node"), F.col("n_name").alias("name"), F.lit("Concept").alias("label"))
+    r = table(spark, d, "region").select(F.col("r_regionkey").alias("graph"), F.concat(F.lit("r"), F.col("r_regionkey")).alias("node"), F.col("r_name").alias("name"), F.lit("Diagram").alias("label"))
     e = n.select("graph", F.col("node").alias("src"), F.concat(F.lit("r"), F.col("graph")).alias("dst"), F.lit("IS_IN").alias("type"))
-    return gr.diagram_text(n.unionByName(r), e).select("graph", F.size(F.split("code", "\n")).alias("lines"))
+    return gr.diagram_text(n.unionByName(r), e)
 
 
 def a11(spark, d):
@@ -169,7 +169,11 @@ ORACLE = {
     "a17_graph_size": f"WITH {_EDGES} SELECT 'edges:' || type AS what, count(*) AS n FROM e GROUP BY type UNION ALL SELECT 'nodes', count(DISTINCT x) FROM (SELECT src AS x FROM e UNION ALL SELECT dst FROM e)",
     "a18_degree_ranking": f"WITH {_KEYS} SELECT concept AS node, count(*) AS degree FROM m GROUP BY concept ORDER BY degree DESC, node LIMIT 20",
     "a19_cooccurrence": f"WITH {_KEYS} SELECT a.concept AS a, b.concept AS b, count(*) AS artifacts FROM m a JOIN m b ON a.artifact = b.artifact AND a.concept < b.concept GROUP BY ALL ORDER BY artifacts DESC, a, b LIMIT 50",
-    "g13_diagram_text": "SELECT n_regionkey AS graph, (count(*) * 2 + 2)::INT AS lines FROM nation GROUP BY n_regionkey",
+    "g13_diagram_text": """WITH i AS (SELECT *, row_number() OVER (PARTITION BY graph ORDER BY node) AS k FROM (SELECT n_regionkey AS graph, 'n' || n_nationkey AS node, '[' || n_name || ']' AS box FROM nation
+        UNION ALL SELECT r_regionkey, 'r' || r_regionkey, '{' || r_name || '}' FROM region)),
+      b AS (SELECT graph, string_agg('    N' || k || box, chr(10) ORDER BY k) AS boxes, max(k) FILTER (node[1] = 'r') AS root FROM i GROUP BY graph),
+      l AS (SELECT i.graph, string_agg('    N' || k || ' -->|is in| N' || root, chr(10) ORDER BY k) AS links FROM i JOIN b ON i.graph = b.graph WHERE node[1] = 'n' GROUP BY i.graph)
+      SELECT b.graph, concat_ws(chr(10), 'flowchart TD', boxes, links) AS code FROM b LEFT JOIN l ON b.graph = l.graph""",
     "a11_profile": "SELECT event_type, count(*) AS n, min(ts) AS first, max(ts) AS last FROM events GROUP BY event_type",
     "a13_feedback_totals": f"WITH {_RATING} SELECT count(*) AS total, count(*) FILTER (rating = 'positive') AS positive, count(*) FILTER (rating = 'negative') AS negative, round(count(*) FILTER (rating = 'positive') / count(*), 3) AS rate FROM f",
     "a14_rating_averages": f"WITH {_RATING} SELECT rating, round(avg(value), 6) AS grounding, floor(avg(c_acctbal))::INT AS duration FROM f JOIN customer ON user_id = c_custkey GROUP BY rating",

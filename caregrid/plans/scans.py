@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import graph as gr
+from ..operators import migration as mg
 from ..operators import scans as sn
+from ..operators.store import new_path
 from .base import table
 
 #: Packs of patterns over the texts, and parts of names that make no worker.
@@ -68,7 +71,58 @@ def s21(spark, d):
     return sn.migrated(rows, e.filter("event_id % 3 = 0"), "event_id", "body", "user long, at string, k int", ["at"])
 
 
-QUERIES = {"n11_systems": n11, "n11_workers": n11_workers, "n11_flows": n11_flows, "g10_lineage": g10, "g10_nodes": g10_nodes, "k8_phase_stats": k8, "s21_json_migration": s21}
+def n11_omitted(spark, d):
+    """A scan by the last pack only: what the others would have found."""
+    return sn.omitted_packs(_files(spark, d), PACKS, ["rest"]).select("pack", F.array_join("systems", ",").alias("systems"))
+
+
+def a26_rules(spark, d):
+    """Documents as files of some folders and names."""
+    pick = lambda xs: F.element_at(F.array(*map(F.lit, xs)), (F.col("doc_id") % len(xs) + 1).cast("int"))
+    return sn.census(table(spark, d, "documents").select(F.concat_ws("/", pick(FOLDERS), "source", "doc_id", pick(NAMES)).alias("path")))
+
+
+def s21_tables(spark, d):
+    """Three tables are moved twice; the second run finds every row in place."""
+    json = lambda t, key, *cs: table(spark, d, t).select(F.concat_ws(":", *key).alias("key"), F.to_json(F.struct(*cs)).alias("body"))
+    at = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+02:00")).alias("at")
+    moves = {
+        "events": mg.Move(json("events", ["event_id"], "user_id", at), "key", "body", "user_id long, at string", ["at"]),
+        "turns": mg.Move(json("conversations", ["conv_id", "turn"], "role", "text"), "key", "body", "role string, text string"),
+        "labels": mg.Move(json("labels", ["doc_id"], "quality"), "key", "body", "quality int"),
+    }
+    job = mg.Migration(spark, new_path(spark, "migration"))
+    job.run(moves)
+    return job.run(moves)
+
+
+def g11_full(spark, d):
+    """Parts as concepts below their halves and thirds, suppliers that they share as relationships, line items as codes."""
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("node"), F.col("p_name").alias("term"), F.col("p_type").alias("tag"))
+    up = p.select(F.col("node").alias("child"), F.explode(F.array(F.expr("node div 2"), F.expr("node div 3"))).alias("parent")).filter("parent > 0")
+    beside = p.select(F.col("node").alias("src"), F.col("tag").alias("type"), F.expr("node div 5").alias("dst"), F.lit(0).alias("grp"))
+    codes = table(spark, d, "lineitem").select(F.col("l_partkey").alias("node"), F.col("l_suppkey").alias("code"), F.col("l_linenumber").alias("grp"), F.col("l_orderkey").alias("priority"), F.col("l_returnflag").alias("advice"))
+    doc = gr.concept_document(p, up, beside, codes)
+    text = lambda c, f: F.array_join(F.transform(c, f), ",").alias(c)
+    end = lambda x: F.concat_ws(":", x["end"], x["term"])
+    return doc.select("node", text("parents", end), text("children", end), text("relationships", lambda x: F.concat_ws(":", x["type"], x["end"])), F.md5(text("codes", lambda x: F.concat_ws(":", x["grp"], x["priority"], x["code"], x["advice"]))).alias("codes"))
+
+
+def g11_drug(spark, d):
+    """Suppliers as drugs that stand beside those of the same order, parts as the concepts they stand for."""
+    drugs = table(spark, d, "supplier").select(F.col("s_suppkey").alias("node"), F.col("s_name").alias("term"), F.col("s_nationkey").alias("kind"))
+    lines = table(spark, d, "lineitem")
+    links = lines.select(F.col("l_suppkey").alias("src"), F.col("l_returnflag").alias("type"), F.expr("l_partkey % 40 + 1").alias("dst"))
+    parts = table(spark, d, "part").select(F.col("p_partkey").alias("node"), F.col("p_name").alias("term"), F.col("p_type").alias("tag"))
+    doc = gr.drug_document(drugs, links, lines.select(F.col("l_suppkey").alias("node"), F.col("l_partkey").alias("concept")), parts)
+    text = lambda c, f: F.md5(F.array_join(F.transform(c, f), ",")).alias(c)
+    return doc.select("node", text("relationships", lambda x: F.concat_ws(":", x["type"], x["end"], x["term"], x["kind"])), text("crossrefs", lambda x: F.concat_ws(":", x["concept"], x["term"], x["tag"])))
+
+
+#: Folders and names of the files above.
+FOLDERS, NAMES = ["src", ".git", "vendor", "lib"], ["a.PY", "Dockerfile", "README", ".bashrc", "x.tar.gz", "Makefile", "b."]
+
+QUERIES = {"n11_systems": n11, "n11_workers": n11_workers, "n11_flows": n11_flows, "g10_lineage": g10, "g10_nodes": g10_nodes, "k8_phase_stats": k8, "s21_json_migration": s21, "n11_omitted": n11_omitted, "a26_census_rules": a26_rules, "s21_verified_migration": s21_tables, "g11_full_document": g11_full, "g11_drug_document": g11_drug}
 
 _FILES = "f AS (SELECT 'src/' || source || '/' || source || '_' || lang || '_' || doc_id % 40 || '.py' AS path, source || '_' || lang || '_' || doc_id % 40 AS stem, replace(text, chr(10), chr(10) || 'import ') AS text FROM documents)"
 _SYSTEMS = """s AS (SELECT * FROM (SELECT 'north' AS pack, 'german' AS system, count(*) FILTER (regexp_matches(text, ' (und|der) ')) AS files FROM f UNION ALL SELECT 'north', 'absent', count(*) FILTER (contains(text, 'zzzzqq')) FROM f
@@ -97,4 +151,23 @@ ORACLE = {
       UNION ALL SELECT 'edges', count(DISTINCT (l_partkey, l_suppkey)) FROM lineitem UNION ALL SELECT 'none', count(*) FROM lineitem WHERE l_quantity < 0)""",
     "s21_json_migration": """SELECT event_id, CASE WHEN event_id % 11 <> 0 THEN user_id END AS user, CASE WHEN event_id % 11 <> 0 THEN date_trunc('second', ts) - INTERVAL 2 HOUR END AS "at",
       CASE WHEN event_id % 11 <> 0 THEN json_extract_string(props, '$.k')::INT END AS k FROM events WHERE event_id % 3 <> 0""",
+    "n11_omitted": f"""WITH {_FILES} SELECT pack, string_agg(system, ',' ORDER BY k) AS systems FROM (SELECT 'north' AS pack, 1 AS k, 'german' AS system, bool_or(regexp_matches(text, ' (und|der) ')) AS hit FROM f
+      UNION ALL SELECT 'north', 2, 'absent', bool_or(contains(text, 'zzzzqq')) FROM f UNION ALL SELECT 'south', 1, 'spanish', bool_or(contains(text, ' que ')) FROM f
+      UNION ALL SELECT 'south', 2, 'french', bool_or(contains(text, ' pour ')) FROM f UNION ALL SELECT 'south', 3, 'german', bool_or(contains(text, 'never')) FROM f) WHERE hit GROUP BY pack""",
+    "a26_census_rules": """WITH f AS (SELECT ['src', '.git', 'vendor', 'lib'][doc_id % 4 + 1] AS dir, lower(['a.PY', 'Dockerfile', 'README', '.bashrc', 'x.tar.gz', 'Makefile', 'b.'][doc_id % 7 + 1]) AS name FROM documents)
+      SELECT CASE WHEN name IN ('dockerfile', 'makefile') THEN name ELSE string_split(name, '.')[-1] END AS ext, count(*) AS n, (sum(count(*)) OVER ())::BIGINT AS total, false AS truncated
+      FROM f WHERE dir NOT IN ('.git', 'vendor') AND name <> 'readme' GROUP BY 1""",
+    "s21_verified_migration": """SELECT name, n AS held, 0::BIGINT AS added, n AS expected, true AS agreed FROM (SELECT 'events' AS name, count(*) AS n FROM events
+      UNION ALL SELECT 'turns', count(*) FROM conversations UNION ALL SELECT 'labels', count(*) FROM labels)""",
+    "g11_full_document": """WITH p AS (SELECT p_partkey AS node, p_name AS term, p_type AS tag FROM part), u AS (SELECT DISTINCT child, parent FROM (SELECT node AS child, node // 2 AS parent FROM p UNION ALL SELECT node, node // 3 FROM p) WHERE parent > 0),
+      a AS (SELECT child AS node, string_agg(parent || ':' || term, ',' ORDER BY parent) AS parents FROM u JOIN p ON parent = p.node GROUP BY child),
+      c AS (SELECT parent AS node, string_agg(child || ':' || term, ',' ORDER BY child) AS children FROM (SELECT *, row_number() OVER (PARTITION BY parent ORDER BY child) AS r FROM u) JOIN p ON child = p.node WHERE r <= 50 GROUP BY parent),
+      o AS (SELECT x.node, x.tag || ':' || y.node AS relationships FROM p x JOIN p y ON y.node = x.node // 5),
+      m AS (SELECT node, string_agg(g || ':' || o || ':' || s || ':' || a, ',' ORDER BY g, o, s, a) AS codes FROM (SELECT DISTINCT l_partkey AS node, l_linenumber AS g, l_orderkey AS o, l_suppkey AS s, l_returnflag AS a FROM lineitem) GROUP BY node)
+      SELECT node, coalesce(parents, '') AS parents, coalesce(children, '') AS children, coalesce(relationships, '') AS relationships, md5(coalesce(codes, '')) AS codes FROM p LEFT JOIN a USING (node) LEFT JOIN c USING (node) LEFT JOIN o USING (node) LEFT JOIN m USING (node)""",
+    "g11_drug_document": """WITH l AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY type, dst) AS r FROM (SELECT DISTINCT l_suppkey AS src, l_returnflag AS type, l_partkey % 40 + 1 AS dst FROM lineitem)
+        WHERE dst IN (SELECT s_suppkey FROM supplier)),
+      a AS (SELECT src AS node, string_agg(type || ':' || dst || ':' || s_name || ':' || s_nationkey, ',' ORDER BY type, dst) AS t FROM l JOIN supplier ON s_suppkey = dst WHERE r <= 50 GROUP BY src),
+      c AS (SELECT node, string_agg(p_partkey || ':' || p_name || ':' || p_type, ',' ORDER BY p_partkey) AS t FROM (SELECT DISTINCT l_suppkey AS node, l_partkey FROM lineitem) JOIN part ON p_partkey = l_partkey GROUP BY node)
+      SELECT s_suppkey AS node, md5(coalesce(a.t, '')) AS relationships, md5(coalesce(c.t, '')) AS crossrefs FROM supplier LEFT JOIN a ON a.node = s_suppkey LEFT JOIN c ON c.node = s_suppkey""",
 }
