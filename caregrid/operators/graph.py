@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import edge_type
 from .store import written
 
 HUB = 1 << 16
@@ -69,6 +70,23 @@ def size_by_type(edges: DataFrame) -> DataFrame:
     return edges.groupBy(F.concat(F.lit("edges:"), F.col("type")).alias("what")).agg(F.count("*").alias("n")).unionByName(nodes)
 
 
+def graph_size(nodes: DataFrame, edges: DataFrame, membership: list[str], vectors: DataFrame) -> DataFrame:
+    """what, n: nodes(node), edges(src, dst, type), edges of other types than ``membership``, and vectors(source) by source. Nothing to count is 0, a null source its own."""
+    count = lambda rows, name: rows.agg(F.lit(name).alias("what"), F.count("*").alias("n"))
+    inner = F.count_if(F.coalesce(~F.col("type").isin(membership), F.lit(True)))
+    both = edges.agg(F.count("*").alias("edges"), inner.alias("relations")).select(F.inline(F.array(*[F.struct(F.lit(c).alias("what"), F.col(c).alias("n")) for c in ("edges", "relations")])))
+    by = vectors.groupBy(F.concat(F.lit("vectors:"), F.coalesce("source", F.lit(""))).alias("what")).agg(F.count("*").alias("n"))
+    return count(nodes.select("node").distinct(), "nodes").unionByName(both).unionByName(by)
+
+
+def typed_edges(edges: DataFrame, allowed: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Edges with their type trimmed and in upper case; and those whose type is not among ``allowed`` (without it: is not well formed), as they came, with the reason."""
+    clean = edge_type(F.col("type"))
+    ok = clean.isNotNull() if allowed is None else F.coalesce(clean.isin(allowed), F.lit(False))
+    reason = F.when(F.col("type").isNull(), "no type").when(clean.isNull(), "malformed").otherwise("unknown")
+    return edges.filter(ok).withColumn("type", clean), edges.filter(~ok).withColumn("reason", reason)
+
+
 def degree_ranking(nodes: DataFrame, edges: DataFrame, n: int) -> DataFrame:
     """Nodes by number of undirected edges, those without any included."""
     ends = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node")))

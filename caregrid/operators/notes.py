@@ -204,6 +204,12 @@ def note_report(mapped: DataFrame, covered: DataFrame, verdicts: DataFrame, spec
     return rows.select("note", overall.alias("overall"), F.concat_ws(", ", counted, state).alias("summary"))
 
 
+def signed_report(report: DataFrame, notes: DataFrame) -> DataFrame:
+    """``note_report`` with the first 16 hex digits of the SHA-256 of the note's text (notes(note, text); null: empty), for the audit trail."""
+    signs = notes.select("note", F.substring(F.sha2(F.coalesce("text", F.lit("")), 256), 1, 16).alias("note_hash"))
+    return report.join(signs, "note", "left")
+
+
 def validated_claims(claims: DataFrame, hits: DataFrame, mentions: DataFrame, nodes: DataFrame, weak: float = 0.2, support: float = 0.5) -> DataFrame:
     """claims(q), hits(q, id, score), mentions(q, concept), nodes(name) -> q, evidence, found, missing, supported, confidence.
 

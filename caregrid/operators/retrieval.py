@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -51,14 +52,34 @@ def overlap_score(query: Column, text: Column) -> Column:
     return F.coalesce(F.try_divide(F.size(F.array_intersect(words(query), words(text))), F.size(words(query))), F.lit(0.0))
 
 
-def rerank(candidates: DataFrame, queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """candidates(q, id), queries(q, text), docs(id, text) -> q, id, score, place: the k with the best overlap, ties by id."""
+def rerank(candidates: DataFrame, queries: DataFrame, docs: DataFrame, k: int, scorer: Callable[[Column, Column], Column] = overlap_score) -> DataFrame:
+    """candidates(q, id), queries(q, text), docs(id, text) -> q, id, score, place: the k with the best score, ties by id. ``scorer`` takes the query's text and the document's; a pandas UDF of a trained model will do."""
     pairs = candidates.select("q", "id").join(queries.select("q", F.col("text").alias("_asked")), "q").join(docs.select("id", F.col("text").alias("_text")), "id")
-    scored = pairs.select("q", "id", F.round(overlap_score(F.col("_asked"), F.col("_text")), 9).alias("score"))
+    scored = pairs.select("q", "id", F.round(scorer(F.col("_asked"), F.col("_text")), 9).alias("score"))
     w = Window.partitionBy("q").orderBy(F.desc("score"), "id")
     return scored.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)
 
 
+def scaled_scores(hits: DataFrame, best: Column | None = None) -> DataFrame:
+    """hits(q, id, score) with ratio, the share of the query's best score times 0.95, and unit, the score itself where the best is within 1.5, else its share; both in 0 to 1. ``best`` stands for the best score."""
+    best = F.max("score").over(Window.partitionBy("q")) if best is None else best
+    share = F.try_divide(F.col("score"), best)
+    clamp = lambda c: F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0))
+    return hits.withColumns({"ratio": clamp(share * 0.95), "unit": F.when(best <= 1.5, clamp(F.col("score"))).otherwise(share)})
+
+
+def mean_scores(queries: DataFrame, hits: DataFrame) -> DataFrame:
+    """q, retrieval of every row of queries(q): the mean unit score of its hits. Scores that are null or zero are not scores; without any the mean is 0."""
+    found = scaled_scores(hits.filter("score <> 0")).groupBy("q").agg(F.round(F.avg("unit"), 6).alias("retrieval"))
+    return queries.select("q").join(found, "q", "left").fillna({"retrieval": 0.0})
+
+
+def chunk_report(hits: DataFrame, chunks: DataFrame, most: int = 300) -> DataFrame:
+    """hits(q, id, score, place), chunks(id, source, tag, text) -> q, rank, score, source, tag, excerpt: the first ``most`` characters. Hits without a chunk have nulls there."""
+    shown = chunks.select("id", "source", "tag", F.substring("text", 1, most).alias("excerpt"))
+    return hits.join(shown, "id", "left").select("q", F.col("place").alias("rank"), "score", "source", "tag", "excerpt")
+
+
 def grounding(hits: DataFrame, queries: DataFrame) -> DataFrame:
     """hits(q, score, source, curated), queries(q, coverage, reasoned) -> q, overall, parts of it and a label.
 
@@ -107,6 +128,12 @@ def embed(texts: DataFrame, dim: int = 64) -> DataFrame:
     return whole.select("id", F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_divide(F.try_element_at("m", i), F.col("l")), F.lit(0.0))).alias("vec"))
 
 
+def embed_new(texts: DataFrame, done: DataFrame, skip: list[str], encoder: Callable[[DataFrame], DataFrame] = embed) -> DataFrame:
+    """id, vec of texts(id, text, tag) whose id done(id) lacks and whose tag is not in ``skip``; ``encoder`` takes id and text. Of an id's texts the smallest is taken; null ids go."""
+    fresh = texts.filter(F.col("id").isNotNull() & ~F.coalesce(F.col("tag").isin(skip), F.lit(False))).join(done.select("id"), "id", "left_anti")
+    return encoder(fresh.groupBy("id").agg(F.min("text").alias("text")))
+
+
 def retrieve(queries: DataFrame, docs: DataFrame, curated: list[Column], k: int = 8, own: int = 2) -> DataFrame:
     """queries(q, text, qvec), docs(id, text, vec) -> q, id, tier, rank: the curated parts' best ``own``, then the reranked best of all.
 

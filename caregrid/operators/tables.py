@@ -53,6 +53,12 @@ def merge_lists(rows: DataFrame, more: DataFrame, key: str, col: str) -> DataFra
     return both.withColumn(col, F.array_union(F.coalesce(col, F.array().cast("array<string>")), F.coalesce("_more", F.array().cast("array<string>")))).drop("_more")
 
 
+def unknown_keys(rows: DataFrame, more: DataFrame, key: str) -> DataFrame:
+    """known, unknown: how many different keys of ``more`` the table has, and how many it lacks; null keys are none."""
+    seen = more.select(key).filter(F.col(key).isNotNull()).distinct().join(rows.select(key).distinct().withColumn("_in", F.lit(1)), key, "left")
+    return seen.agg(F.count("_in").alias("known"), F.count_if(F.col("_in").isNull()).alias("unknown"))
+
+
 def dedup_by_hash(rows: DataFrame, key: str, text: str) -> DataFrame:
     """key, hash, kept_id, duplicate: the smallest key of each content stays."""
     keyed = rows.select(key, F.sha2(F.col(text).cast("string"), 256).alias("hash"))

@@ -33,6 +33,25 @@ def v8(spark, d):
     return hits.select("q", "place", F.to_json(F.struct(F.col("place").alias("rank"), F.col("id").alias("source"), F.col("label").alias("tag"))).alias("report"))
 
 
+def v8_full(spark, d):
+    """Hits with the document of the vector's id as their chunk."""
+    chunks = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "source", F.col("lang").alias("tag"), "text")
+    return rt.chunk_report(text._hits(spark, d), chunks).select("q", "rank", F.round("score", 6).alias("score"), "source", "tag", F.md5("excerpt").alias("excerpt"))
+
+
+def p5_mean(spark, d):
+    """Mean scores ten times as large as they are, so that they are divided by the best."""
+    hits = text._hits(spark, d).withColumn("score", F.col("score") * 10)
+    return rt.mean_scores(table(spark, d, "embeddings").select(F.col("vec_id").alias("q")), hits)
+
+
+def v4_new(spark, d):
+    """Documents without a label that are not in English are encoded; how many words count in their vectors' length."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", F.col("lang").alias("tag"))
+    vectors = rt.embed_new(docs, table(spark, d, "labels").select(F.col("doc_id").alias("id")), ["en"])
+    return vectors.select("id", F.round(F.aggregate("vec", F.lit(0.0), lambda s, x: s + x * x), 6).alias("norm"))
+
+
 def _talk(spark, d):
     """Conversations and the concepts that their turns mention."""
     c = table(spark, d, "conversations")
@@ -80,7 +99,7 @@ def n9(spark, d):
     return cm.gap_impact(gaps, named, weights)
 
 
-QUERIES = {"a24_grounding": a24, "a24_tool_results": a24_tools, "v3_rerank": v3, "v8_chunk_report": v8, "g6_scoped_subgraph": g6, "g7_lineage": g7, "g8_node_search": g8, "n9_gap_impact": n9}
+QUERIES = {"a24_grounding": a24, "a24_tool_results": a24_tools, "v3_rerank": v3, "v8_chunk_report": v8, "v8_full_report": v8_full, "p5_mean_score": p5_mean, "v4_new_vectors": v4_new, "g6_scoped_subgraph": g6, "g7_lineage": g7, "g8_node_search": g8, "n9_gap_impact": n9}
 
 _HITS = f"(SELECT t.*, e.label FROM ({text._TOP}) t JOIN embeddings e ON e.vec_id = t.id WHERE place <= 5)"
 _CANDIDATES = text.ORACLE["v10_bm25"].replace("place <= 3", "place <= 15")
@@ -117,4 +136,9 @@ ORACLE = {
       SELECT gap_id, CASE WHEN mapped THEN 'principal' WHEN shift IS NOT NULL THEN 'comorbidity' ELSE 'none' END AS kind,
         CASE WHEN mapped OR shift IS NOT NULL THEN CASE WHEN d1 = goal THEN c1 WHEN d2 = goal THEN c2 ELSE c1 END END AS target_code, round(CASE WHEN mapped THEN high - low ELSE shift END, 4)::DOUBLE AS weight_delta,
         round(round(CASE WHEN mapped THEN high - low ELSE shift END, 4)::DOUBLE * 7200, 2) AS revenue FROM x""",
+    "v8_full_report": f"SELECT q, place AS rank, round(score, 6) AS score, source, lang AS tag, md5(substr(text, 1, 300)) AS excerpt FROM ({text._TOP}) LEFT JOIN documents ON doc_id = id WHERE place <= 5",
+    "p5_mean_score": f"""WITH h AS (SELECT q, score * 10 AS s, max(score * 10) OVER (PARTITION BY q) AS best FROM ({text._TOP}) WHERE place <= 5)
+      SELECT vec_id AS q, coalesce(m, 0) AS retrieval FROM embeddings LEFT JOIN (SELECT q, round(avg(CASE WHEN best <= 1.5 THEN least(greatest(s, 0), 1) ELSE s / best END), 6) AS m FROM h GROUP BY q) ON q = vec_id""",
+    "v4_new_vectors": """SELECT doc_id AS id, CASE WHEN regexp_matches(lower(text), '[a-z0-9]{2,}') THEN 1.0 ELSE 0.0 END::DOUBLE AS norm FROM documents
+      WHERE doc_id NOT IN (SELECT doc_id FROM labels) AND lang <> 'en'""",
 }

@@ -57,6 +57,18 @@ def a17(spark, d):
     return gr.size_by_type(_edges(spark, d))
 
 
+def a17_full(spark, d):
+    """Parts and suppliers, line items as edges of which those with flag N are membership, vectors by label."""
+    nodes = table(spark, d, "part").select(F.concat(F.lit("p"), "p_partkey").alias("node")).unionByName(table(spark, d, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("node")))
+    return gr.graph_size(nodes, _edges(spark, d), ["N"], table(spark, d, "embeddings").select(F.col("label").cast("string").alias("source")))
+
+
+def p18_rejects(spark, d):
+    """Events whose type is no known one, with the reason; each seventh type has a blank in it."""
+    kind = F.when(F.col("event_id") % 7 == 0, F.concat("event_type", F.lit(" x"))).otherwise(F.concat(F.lit(" "), "event_type"))
+    return gr.typed_edges(table(spark, d, "events").select("event_id", kind.alias("type")), ["CLICK", "VIEW"])[1]
+
+
 def _mentions(spark, d):
     c = table(spark, d, "conversations")
     return c.select(F.concat_ws(":", "conv_id", "turn").alias("artifact"), F.explode(sc.keywords(F.col("text"), 5)).alias("concept"))
@@ -143,7 +155,7 @@ def n12(spark, d):
 
 
 QUERIES = {
-    "g1_ancestors": g1, "g2_descendants": g2, "g3_ancestor_set": g3, "g4_neighborhood": g4, "g5_induced": g5, "j2_checked_edges": j2, "a17_graph_size": a17, "a18_degree_ranking": a18,
+    "g1_ancestors": g1, "g2_descendants": g2, "g3_ancestor_set": g3, "g4_neighborhood": g4, "g5_induced": g5, "j2_checked_edges": j2, "a17_graph_size": a17, "a17_full_size": a17_full, "p18_rejects": p18_rejects, "a18_degree_ranking": a18,
     "a19_cooccurrence": a19, "g13_diagram_text": g13, "a11_profile": a11, "a13_feedback_totals": a13, "a14_rating_averages": a14, "a15_daily_trend": a15, "a16_monthly_trend": a16,
     "a23_diversity": a23, "j15_feedback_calls": j15, "w3_cap_per_group": w3, "w5_turn_history": w5, "w6_session_list": w6, "w7_newest_first": w7, "k7_markdown_by_category": k7, "n12_first_decision": n12,
 }
@@ -166,6 +178,10 @@ ORACLE = {
     "g5_induced": "SELECT l_returnflag AS type, count(*) AS n FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey WHERE p_size > 10 AND s_acctbal > 0 GROUP BY 1",
     "j2_checked_edges": f"""WITH {_EDGES} SELECT src, dst, type, arg_max(l_orderkey, l_orderkey * 10 + l_linenumber) AS l_orderkey, max(l_orderkey * 10 + l_linenumber) AS ord FROM e
       WHERE src IN (SELECT 'p' || p_partkey FROM part WHERE p_size > 10) AND dst IN (SELECT 's' || s_suppkey FROM supplier WHERE s_acctbal > 0) GROUP BY src, dst, type""",
+    "a17_full_size": f"""WITH {_EDGES} SELECT 'nodes' AS what, (SELECT count(*) FROM part) + (SELECT count(*) FROM supplier) AS n UNION ALL SELECT 'edges', count(*) FROM e
+      UNION ALL SELECT 'relations', count(*) FROM e WHERE type <> 'N' UNION ALL SELECT 'vectors:' || label, count(*) FROM embeddings GROUP BY label""",
+    "p18_rejects": """SELECT event_id, CASE WHEN event_id % 7 = 0 THEN event_type || ' x' ELSE ' ' || event_type END AS type, CASE WHEN event_id % 7 = 0 THEN 'malformed' ELSE 'unknown' END AS reason
+      FROM events WHERE event_id % 7 = 0 OR upper(event_type) NOT IN ('CLICK', 'VIEW')""",
     "a17_graph_size": f"WITH {_EDGES} SELECT 'edges:' || type AS what, count(*) AS n FROM e GROUP BY type UNION ALL SELECT 'nodes', count(DISTINCT x) FROM (SELECT src AS x FROM e UNION ALL SELECT dst FROM e)",
     "a18_degree_ranking": f"WITH {_KEYS} SELECT concept AS node, count(*) AS degree FROM m GROUP BY concept ORDER BY degree DESC, node LIMIT 20",
     "a19_cooccurrence": f"WITH {_KEYS} SELECT a.concept AS a, b.concept AS b, count(*) AS artifacts FROM m a JOIN m b ON a.artifact = b.artifact AND a.concept < b.concept GROUP BY ALL ORDER BY artifacts DESC, a, b LIMIT 50",

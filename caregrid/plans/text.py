@@ -114,6 +114,11 @@ def u3(spark, d):
     return tb.merge_lists(rows, more, "s_suppkey", "aliases").select("s_suppkey", F.array_join("aliases", "|").alias("aliases"))
 
 
+def u3_unknown(spark, d):
+    """Line items' parts that the table of suppliers, taken as ids, has and lacks."""
+    return tb.unknown_keys(table(spark, d, "supplier").select(F.col("s_suppkey").alias("k")), table(spark, d, "lineitem").select(F.col("l_partkey").alias("k")), "k")
+
+
 def _hits(spark, d, k=5):
     e = table(spark, d, "embeddings")
     q = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("qvec"))
@@ -204,7 +209,7 @@ QUERIES = {
     "p5_score_scaling": p5, "a26_extension_census": a26, "j7_backfill": j7,
     "p1_trailing_tag": p1, "p4_expansion": p4, "p6_labels": p6, "p7_hashes": p7, "p11_keywords": p11, "p12_claims": p12, "p15_filter": p15, "p16_previews": p16, "p18_edge_types": p18,
     "s14_safe_casts": s14, "v9_hash_dedup": v9, "j6_incremental": j6, "k1_upsert": k1, "k2_insert_absent": k2, "k3_replace_vintage": k3, "k4_delete_prefix": k4,
-    "u1_precedence_union": u1, "u2_curated_union": u2, "u3_alias_merge": u3, "v1_vector_top_k": v1, "w1_best_candidate": w1, "v7_filtered_retrieval": v7, "u4_ranked_merge": u4,
+    "u1_precedence_union": u1, "u2_curated_union": u2, "u3_alias_merge": u3, "u3_unknown_ids": u3_unknown, "v1_vector_top_k": v1, "w1_best_candidate": w1, "v7_filtered_retrieval": v7, "u4_ranked_merge": u4,
     "a25_hit_at_1": a25, "v10_bm25": v10, "v10_postings": v10p, "v1_index": v1i, "v5_fixed_chunks": v5,
 }
 
@@ -242,6 +247,7 @@ ORACLE = {
     "k4_delete_prefix": "SELECT count(*) AS deleted FROM documents WHERE starts_with(source, 'src1')",
     "u1_precedence_union": """SELECT o_custkey AS code, CASE WHEN min(left(o_orderpriority, 1)) = '1' THEN 'MCC' ELSE 'CC' END AS designation FROM orders WHERE left(o_orderpriority, 1) IN ('1', '2') GROUP BY 1""",
     "u2_curated_union": "SELECT s_suppkey AS id, s_name AS name, 'hospital' AS type FROM supplier UNION ALL SELECT c_custkey, c_name, 'listed' FROM customer WHERE c_custkey NOT IN (SELECT s_suppkey FROM supplier)",
+    "u3_unknown_ids": "SELECT count(*) FILTER (k IN (SELECT s_suppkey FROM supplier)) AS known, count(*) FILTER (k NOT IN (SELECT s_suppkey FROM supplier)) AS unknown FROM (SELECT DISTINCT l_partkey AS k FROM lineitem)",
     "u3_alias_merge": "SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN s_name || '|extra' ELSE s_name END AS aliases FROM supplier",
     "v1_vector_top_k": f"SELECT q, id, round(score, 6) AS score, place FROM ({_TOP}) WHERE place <= 5",
     "w1_best_candidate": f"SELECT q, id FROM ({_TOP}) WHERE place = 1",
