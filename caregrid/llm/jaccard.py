@@ -104,7 +104,7 @@ def _filed(held: DataFrame) -> DataFrame:
     return written(held.select("node", "first").mapInArrow(run, "key long, node long").distinct(), "filed")
 
 
-def _picked(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+def picked(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """``wanted`` (node, _k1, _k2 and others) with hashes, made from the texts."""
     map_ = rows.sparkSession.sparkContext.broadcast(bit_map(wanted.select("_k1")))
 
@@ -132,7 +132,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     keys = held.groupBy("node").agg(F.min(F.struct("_k1", "_k2")).alias("_m")).select("node", "_m.*")
 
     def sets_of(nodes: DataFrame) -> DataFrame:
-        return _picked(rows, written(keys.join(nodes, "node"), "wanted"), width)
+        return picked(rows, written(keys.join(nodes, "node"), "wanted"), width)
 
     links = tree_links(shared(_filed(held)), signs, sets_of, percent)
     roots = components(links)
