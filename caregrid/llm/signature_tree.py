@@ -12,7 +12,9 @@ a node, FAN nodes one above, and each node holds the OR of the maps below it, th
 tokens without a bit. Two trees are walked together from the top; a pair of nodes is left as soon as its
 ranges or its greatest possible overlap exclude every pair below it, or when all below is in one class.
 Trees hold the maps folded FOLD times, since OR-combined wide maps say no more; pairs left at the bottom are held against the whole maps.
-What is left then is compared exactly. Files with equal members count as one.
+What is left then is compared exactly, the best pairs first: a search gives a spanning forest of a file's classes, made of the pairs with the
+greatest possible overlap, so no more pairs than rows. Files that had further pairs are searched again with the classes found by then, and all pairs that are
+still apart are compared. Files with equal members count as one.
 
 A file of more than HOT sets is searched in blocks: classes of size (a pair never lies
 more than one apart) cut by a hash of the class of linked sets; a task holds two blocks.
@@ -68,12 +70,16 @@ def folded(bits: np.ndarray, n: np.ndarray, words: int) -> tuple[np.ndarray, np.
     return bits, n - np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
 
 
+def overlap(bits_a, bits_b, hi_a, hi_b, over_a, over_b) -> np.ndarray:
+    """The greatest possible overlap."""
+    most = np.bitwise_count(bits_a & bits_b).sum(axis=1, dtype=np.int64) + np.minimum(over_a, over_b)
+    return np.minimum(most, np.minimum(hi_a, hi_b))
+
+
 def possible(bits_a, bits_b, n_a, n_b, over_a, over_b, percent: int) -> np.ndarray:
     """Whether the greatest possible overlap allows a link; for nodes n is (least, most) of the sizes below."""
     (lo_a, hi_a), (lo_b, hi_b) = n_a, n_b
-    most = np.bitwise_count(bits_a & bits_b).sum(axis=1, dtype=np.int64) + np.minimum(over_a, over_b)
-    most = np.minimum(most, np.minimum(hi_a, hi_b))
-    return (100 + percent) * most >= percent * (lo_a + lo_b)
+    return (100 + percent) * overlap(bits_a, bits_b, hi_a, hi_b, over_a, over_b) >= percent * (lo_a + lo_b)
 
 
 class Tree:
@@ -130,8 +136,11 @@ def walk(x: Tree, y: Tree, percent: int) -> tuple[np.ndarray, np.ndarray]:
     return x.order[a], y.order[b]
 
 
-def file_pairs(node: np.ndarray, n: np.ndarray, over: np.ndarray, bits: list[bytes], root: np.ndarray, side: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a file's sets that may link and are in different classes. side: 0 and 1 are two blocks, whose own pairs are not sought; 2 is a whole file."""
+def placed_pairs(n: np.ndarray, over: np.ndarray, bits: list[bytes], root: np.ndarray, side: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of places of a file's sets that may link and are in different classes, and their greatest possible similarity.
+
+    side: 0 and 1 are two blocks, whose own pairs are not sought; 2 is a whole file.
+    """
     maps = unpacked(bits)
     width = np.array([len(m) for m in maps])
     parts = [(w, at, np.stack([maps[k] for k in at.tolist()]), s) for w in np.unique(width).tolist() for s in np.unique(side).tolist() if len(at := np.flatnonzero((width == w) & (side == s)))]
@@ -142,7 +151,7 @@ def file_pairs(node: np.ndarray, n: np.ndarray, over: np.ndarray, bits: list[byt
         return Tree(n[at], lost, low, root[at])
 
     trees = [tree(w, at, whole) for w, at, whole, _ in parts]
-    out = [(np.zeros(0, np.int64),) * 2]
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
     for (w, at, whole, s), one in zip(parts, trees):
         for (v, other, more, t), two in zip(parts, trees):
             if v not in (w, 2 * w) or (s == t < 2) or (v == w and s > t):
@@ -157,11 +166,18 @@ def file_pairs(node: np.ndarray, n: np.ndarray, over: np.ndarray, bits: list[byt
             step = max(1, (1 << 22) // w)
             for k in range(0, len(a), step):
                 x, y = a[k : k + step], b[k : k + step]
-                ok = possible(whole[x], more[y], (n[at[x]],) * 2, (n[other[y]],) * 2, over[at[x]], lost[y], percent)
-                out.append((node[at[x[ok]]], node[other[y[ok]]]))
+                most, sizes = overlap(whole[x], more[y], n[at[x]], n[other[y]], over[at[x]], lost[y]), n[at[x]] + n[other[y]]
+                ok = (100 + percent) * most >= percent * sizes
+                out.append((at[x[ok]], other[y[ok]], most[ok] / (sizes - most)[ok]))
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
+def file_pairs(node: np.ndarray, n: np.ndarray, over: np.ndarray, bits: list[bytes], root: np.ndarray, side: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of all ``placed_pairs``."""
+    a, b, _ = placed_pairs(n, over, bits, root, side, percent)
+    return node[a], node[b]
+
+
 def groups(batches, keys: int):
     """Runs of rows that agree in their first ``keys`` columns, each as one table; rows lie in order of these."""
     held: list[pa.RecordBatch] = []
@@ -184,13 +200,44 @@ def groups(batches, keys: int):
         yield pa.Table.from_batches(held)
 
 
-def _searched(percent: int):
+def spanning(a: np.ndarray, b: np.ndarray, score: np.ndarray) -> np.ndarray:
+    """Places of pairs (a, b) that make a spanning forest, the ones of highest score: each class takes its best pair, again and again."""
+    names, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = at[: len(a)], at[len(a) :]
+    label, live, out = np.arange(len(names)), np.argsort(-score, kind="stable"), [np.zeros(0, np.int64)]
+    while True:
+        live = live[label[a[live]] != label[b[live]]]
+        if not len(live):
+            return np.concatenate(out)
+        ends = np.stack([label[a[live]], label[b[live]]], axis=1)
+        best = np.unique(np.unique(ends, return_index=True)[1] // 2)
+        out.append(live[best])
+        x, y = ends[best].T
+        while (label[x] != label[y]).any():  # x and y are labels: their own entries lead to the merged one
+            least = np.minimum(label[x], label[y])
+            np.minimum.at(label, x, least)
+            np.minimum.at(label, y, least)
+        label = label[label]
+
+
+def _searched(percent: int, best: bool):
+    """Pairs (a, b) that may link; with ``best`` a forest of them, and the keys of files that have more."""
+
     def run(batches):
         for group in groups(batches, 3):
             node, n, over, root, side = (group.column(c).to_numpy() for c in ("node", "n", "over", "root", "side"))
-            a, b = file_pairs(node, n, over, group.column("bits").to_pylist(), root, side, percent)
+            bits, more = group.column("bits").to_pylist(), False
+            if best:
+                a, b, score = placed_pairs(n, over, bits, root, side, percent)
+                some = spanning(root[a], root[b], score)
+                more, a, b = len(some) < len(a), node[a[some]], node[b[some]]
+            else:
+                a, b = file_pairs(node, n, over, bits, root, side, percent)
             for s in range(0, len(a), 1 << 16):
-                yield pa.record_batch([pa.array(a[s : s + (1 << 16)]), pa.array(b[s : s + (1 << 16)])], ["a", "b"])
+                x, y = a[s : s + (1 << 16)], b[s : s + (1 << 16)]
+                yield pa.record_batch([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.nulls(len(x), pa.int64())], ["a", "b", "key"])
+            if more:
+                yield pa.record_batch([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([group.column("key")[0].as_py()])], ["a", "b", "key"])
 
     return run
 
@@ -281,8 +328,19 @@ def tree_links(files: DataFrame, signs: DataFrame, sets_of: Callable[[DataFrame]
     one = lambda c: own.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
     passing = apart.join(one("a"), "a").join(one("b"), "b").select("a", "b", "c", "n_a", "bits_a", "n_b", "bits_b").mapInArrow(_passing(percent), "a long, b long, c long")
     links = _more(links, written(passing, "pairs"), sets_of, percent)
-    roots = components(links)
-    classed = written(_rooted(files, roots, "node", "root"), "classed")
+    found = _search(files, signs, links, percent, True)
+    pairs = written(found.filter("key IS NULL").select("a", "b").distinct(), "pairs")
+    links = _more(links, pairs, sets_of, percent)
+    again = files.join(found.filter("key IS NOT NULL").select("key").distinct(), "key")
+    if again.isEmpty():
+        return links
+    rest = _search(again, signs, links, percent, False).select("a", "b").distinct()
+    return _more(links, written(rest.join(pairs, ["a", "b"], "left_anti"), "pairs"), sets_of, percent)
+
+
+def _search(files: DataFrame, signs: DataFrame, links: DataFrame, percent: int, best: bool) -> DataFrame:
+    """(a, b, key) as ``_searched`` gives them, of files with sets in different classes by ``links``."""
+    classed = written(_rooted(files, components(links), "node", "root"), "classed")
     mixed = classed.groupBy("key").agg(F.min("root").alias("_a"), F.max("root").alias("_z")).filter("_a <> _z").select("key")
     open_ = written(classed.join(mixed, "key"), "open")
     own = signs.join(open_.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
@@ -291,8 +349,7 @@ def tree_links(files: DataFrame, signs: DataFrame, sets_of: Callable[[DataFrame]
     small = open_.filter(F.col("_n") <= HOT).select("*", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(2).alias("side")).select(*columns)
     tasks = small.unionByName(_block_tasks(open_.filter(F.col("_n") > HOT)).select(*columns))
     dealt = tasks.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    more = written(dealt.mapInArrow(_searched(percent), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    return _more(links, more, sets_of, percent)
+    return written(dealt.mapInArrow(_searched(percent, best), "a long, b long, key long"), "found")
 
 
 def _block_tasks(rows: DataFrame) -> DataFrame:
