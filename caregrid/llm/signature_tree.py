@@ -5,9 +5,12 @@ are zero), its size and how many tokens found their bit taken. Sets that share a
 sought within files only. A pair may link only if its possible overlap, the bits that
 both maps have plus the tokens without a bit of their own, is large enough.
 
-First each file's sets are tied to one of them. Each set's pair with the one it shares most files with is compared exactly;
-then those pairs that are still apart, if their signatures allow a link. Linked sets form classes. Most files are then in one class and done.
-In the others trees are searched: the sets of a file lie in order of size; FAN of them make
+Files of up to SMALL sets are searched by counts alone: of their pairs, summed over all these files, those go on that share enough keys. Of two
+sets, take the one whose keys end first in the common order: tokens among its keys that the other has are shared keys, so the overlap is at most the number of
+shared keys and the tokens past its keys. A row of a pair is smaller than a signature, and most pairs fall there. Larger files' sets
+are each tied to one of them. Of these pairs each set's with the one it shares most keys with is compared exactly;
+then those that are still apart, both if their signatures allow a link. Linked sets form classes. Most files are then in one class and done.
+In the others that are not small trees are searched, without the sets that sizes and numbers of keys keep from all others of the file: the sets of a file lie in order of size; FAN of them make
 a node, FAN nodes one above, and each node holds the OR of the maps below it, their range of sizes and the largest number of
 tokens without a bit. Two trees are walked together from the top; a pair of nodes is left as soon as its
 ranges or its greatest possible overlap exclude every pair below it, or when all below is in one class.
@@ -38,6 +41,7 @@ MOST = 1 << 18
 SPARE = 16
 FOLD = 4
 FAN = 8
+SMALL = 128
 HOT = 2048
 
 
@@ -261,9 +265,9 @@ def _passing(percent: int):
 
 
 def shared(filed: DataFrame) -> DataFrame:
-    """The rows of ``filed`` (key, node: long, different) of each key that two nodes or more have; of keys with equal nodes, one."""
+    """The rows of ``filed`` (key, node: long, different) of each key that two nodes or more have, with their number _n; of keys with equal nodes, one, and their number _w."""
     held = filed.groupBy("key").agg(F.count("*").alias("_n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("_x"), F.sum(F.xxhash64(F.lit(1), "node").cast("decimal(38,0)")).alias("_y"))
-    keys = held.filter("_n > 1").groupBy("_n", "_x", "_y").agg(F.min("key").alias("key")).select("key", "_n")
+    keys = held.filter("_n > 1").groupBy("_n", "_x", "_y").agg(F.min("key").alias("key"), F.count("*").alias("_w")).select("key", "_n", "_w")
     return filed.join(keys, "key")
 
 
@@ -299,6 +303,51 @@ def _more(links: DataFrame, pairs: DataFrame, sets_of: Callable[[DataFrame], Dat
     return links if pairs.isEmpty() else links.unionByName(exact_links(pairs, written(sets_of(_ends(pairs)), "sets"), percent))
 
 
+def _sized(percent: int) -> str:
+    return f"100 * n_a >= {percent} * n_b AND 100 * n_b >= {percent} * n_a"
+
+
+def _needed(percent: int) -> str:
+    """The least number of shared keys of a link between sets of n_a and n_b tokens; a set has ceil(percent * n / 100) - 1 tokens past its keys."""
+    overlap = f"({percent} * (n_a + n_b) + {99 + percent}) div {100 + percent}"
+    return f"{overlap} - ({percent} * greatest(n_a, n_b) + 99) div 100 + 1"
+
+
+def _counted(files: DataFrame, percent: int, most: int) -> DataFrame:
+    """(a, b, c): pairs with the number of keys they share in files of at most ``most`` sets, and those of larger files' sets with the smallest of the file.
+
+    ``files`` has _all, the number of a node's shared keys, and _large, of those in larger files. A pair of small files is left out if it can't share enough keys in all.
+    """
+    near, one = f"{_sized(percent)} AND least(all_a, all_b) >= {_needed(percent)}", ("node", "n", "_all", "_large")
+    named = lambda rows, c, *more: rows.select("key", *more, *[F.col(x).alias(y) for x, y in zip(one, (c, f"n_{c}", f"all_{c}", f"large_{c}"))])
+    small, large = files.filter(F.col("_n") <= most), files.filter(F.col("_n") > most)
+    met = named(small, "a").join(named(small, "b", "_w"), "key").filter("a < b").filter(near)
+    met = met.select("a", "b", "_w", F.expr(f"{_needed(percent)} - least(large_a, large_b)").alias("_least"))
+    pairs = met.groupBy("a", "b").agg(F.sum("_w").alias("c"), F.max("_least").alias("_least")).filter("c >= _least").select("a", "b", "c")
+    firsts = large.groupBy("key").agg(F.min(F.struct(*one)).alias("_s")).select("key", *[F.col(f"_s.{x}").alias(x) for x in one])
+    tied = named(firsts, "a").join(named(large, "b", "_w"), "key").filter("a <> b").filter(near).groupBy("a", "b").agg(F.sum("_w").alias("c"))
+    return pairs.unionByName(tied).groupBy("a", "b").agg(F.sum("c").alias("c"))
+
+
+def _partnered(percent: int):
+    """The rows of a file that may link with another one in another class, by sizes and numbers of shared keys."""
+
+    def run(batches):
+        for group in groups(batches, 1):
+            n, most, root = (group.column(c).to_numpy() for c in ("n", "_all", "root"))
+            past, keep = (percent * n + 99) // 100 - 1, np.zeros(len(n), bool)
+            for a in range(0, len(n), 256):
+                own = slice(a, a + 256)
+                least = percent * (n[own, None] + n)
+                ok = (100 + percent) * (np.minimum(most[own, None], most) + np.maximum(past[own, None], past)) >= least
+                ok &= 100 * np.minimum(n[own, None], n) >= percent * np.maximum(n[own, None], n)
+                keep[own] = (ok & (root[own, None] != root)).any(axis=1)
+            for batch in group.filter(pa.array(keep)).to_batches():
+                yield batch
+
+    return run
+
+
 def _rooted(rows: DataFrame, roots: DataFrame, node: str, root: str) -> DataFrame:
     return rows.join(roots.select(F.col("node").alias(node), F.col("root").alias(root)), node, "left").withColumn(root, F.coalesce(root, node))
 
@@ -306,28 +355,35 @@ def _rooted(rows: DataFrame, roots: DataFrame, node: str, root: str) -> DataFram
 def tree_links(files: DataFrame, signs: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
     """(a, b): enough links to join all nodes of ``files`` that are linked within files, in a chain too.
 
-    ``files`` has key, node and _n, as ``shared`` gives them; ``signs`` node, n, over and bits (rows of one node are equal); ``sets_of`` takes rows with a node and
+    ``files`` has key, node, _n and _w, as ``shared`` gives them, with all keys of each node that other nodes have; ``signs`` node, n, over and bits (rows of one node are equal); ``sets_of`` takes rows with a node and
     returns them with its hashes.
     """
-    files = written(files, "files")
-    sizes = signs.select("node", "n").dropDuplicates(["node"])
-    firsts = files.groupBy("key").agg(F.min("node").alias("a"))
-    star = files.join(firsts, "key").filter("a <> node").groupBy("a", F.col("node").alias("b")).agg(F.count("*").alias("c"))
-    sized = star.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("n_a")), "a").join(sizes.select(F.col("node").alias("b"), F.col("n").alias("n_b")), "b")
-    star = written(sized.filter(f"100 * n_a >= {percent} * n_b AND 100 * n_b >= {percent} * n_a").select("a", "b", "c"), "stars")
-    # each set with the one it shares most files with: its own hashes travel once, those of the other once for all
-    closest = star.groupBy("b").agg(F.max_by("a", F.struct("c", "a")).alias("a"))
-    asked = _ends(closest).join(closest.select(F.col("b").alias("node"), "a"), "node", "left")
+    files, most = written(files, "files"), min(SMALL, HOT)
+    every = files.groupBy("node").agg(F.sum("_w").alias("_all"), F.sum(F.when(F.col("_n") > most, F.col("_w")).otherwise(0)).alias("_large"))
+    files = written(files.join(every.join(signs.select("node", "n").dropDuplicates(["node"]), "node"), "node"), "weighed")
+    star = written(_counted(files, percent, most), "stars")
+    own = written(signs.join(_ends(star), "node", "left_semi").dropDuplicates(["node"]), "signs")
+    one = lambda c: own.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
+
+    def allowed(pairs: DataFrame, name: str) -> DataFrame:
+        both = pairs.join(one("a"), "a").join(one("b"), "b").select("a", "b", "c", "n_a", "bits_a", "n_b", "bits_b")
+        return written(both.mapInArrow(_passing(percent), "a long, b long, c long"), name)
+
+    # each set with the one it shares most keys with: its own hashes travel once, those of the other once for all
+    closest = written(star.groupBy("b").agg(F.max_by(F.struct("a", "c"), F.struct("c", "a")).alias("_m")).select("_m.a", "b", "_m.c"), "closest")
+    near = allowed(closest, "near")
+    asked = _ends(near).join(near.select(F.col("b").alias("node"), "a"), "node", "left")
     sets = written(sets_of(asked), "sets")
     both = sets.filter("a IS NOT NULL").select("a", F.col("node").alias("b"), F.col("hashes").alias("x")).join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("y")), "a")
     links = written(both.select("a", "b", "x", "y").mapInArrow(compared(percent), "a long, b long"), "links")
     roots = written(components(links), "roots")
-    # then what is still apart, if the signatures allow it
-    apart = written(_rooted(_rooted(star, roots, "a", "_x"), roots, "b", "_y").filter("_x <> _y").select("a", "b", "c"), "apart")
-    own = signs.join(_ends(apart), "node", "left_semi").dropDuplicates(["node"])
-    one = lambda c: own.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
-    passing = apart.join(one("a"), "a").join(one("b"), "b").select("a", "b", "c", "n_a", "bits_a", "n_b", "bits_b").mapInArrow(_passing(percent), "a long, b long, c long")
-    links = _more(links, written(passing, "pairs"), sets_of, percent)
+    # then what is still apart
+    rest = star.join(closest, ["a", "b"], "left_anti")
+    apart = written(_rooted(_rooted(rest, roots, "a", "_x"), roots, "b", "_y").filter("_x <> _y").select("a", "b", "c"), "apart")
+    links = _more(links, allowed(apart, "pairs"), sets_of, percent)
+    files = files.filter(F.col("_n") > most)
+    if files.isEmpty():
+        return links
     found = _search(files, signs, links, percent, True)
     pairs = written(found.filter("key IS NULL").select("a", "b").distinct(), "pairs")
     links = _more(links, pairs, sets_of, percent)
@@ -340,9 +396,11 @@ def tree_links(files: DataFrame, signs: DataFrame, sets_of: Callable[[DataFrame]
 
 def _search(files: DataFrame, signs: DataFrame, links: DataFrame, percent: int, best: bool) -> DataFrame:
     """(a, b, key) as ``_searched`` gives them, of files with sets in different classes by ``links``."""
-    classed = written(_rooted(files, components(links), "node", "root"), "classed")
+    classed = written(_rooted(files.select("key", "node", "_n", "n", "_all"), components(links), "node", "root"), "classed")
     mixed = classed.groupBy("key").agg(F.min("root").alias("_a"), F.max("root").alias("_z")).filter("_a <> _z").select("key")
-    open_ = written(classed.join(mixed, "key"), "open")
+    open_ = classed.join(mixed, "key")
+    whole = open_.filter(F.col("_n") <= HOT).repartition("key").sortWithinPartitions("key")
+    open_ = written(open_.filter(F.col("_n") > HOT).unionByName(whole.mapInArrow(_partnered(percent), whole.schema)).drop("n", "_all"), "open")
     own = signs.join(open_.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
     open_ = open_.join(own, "node").select("key", "_n", "node", "root", "n", "over", "bits")
     columns = ("key", "i", "j", "node", "n", "over", "root", "bits", "side")
