@@ -26,7 +26,6 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections import Counter
 
@@ -38,8 +37,8 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-#: Fixed value: letters of a word, A-Z, a-z and U+00C0 to U+00FF, as UTF-8.
-RUN = re.compile(rb"(?:[A-Za-z]+|\xc3[\x80-\xbf])+")
+#: Fixed value: what each code point up to U+00FF becomes: letters of a word A-Z (lower-cased), a-z and U+00C0 to U+00FF, blanks for all others.
+RUN = bytes(c if 97 <= c <= 122 or c >= 0xC0 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 LETTERS = 7
 TIMES = 2
 DROP = 31
@@ -54,18 +53,19 @@ def _counted(batches):
         return pa.record_batch([pa.array(list(held), pa.binary()).cast(pa.string()), pa.array(list(held.values()), pa.int64())], ["word", "n"])
 
     for batch in batches:
-        for i, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
+        for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             begun = zlib.crc32(f"{'' if i is None else i}:".encode())
-            for word, n in Counter(RUN.findall(text.lower())).items():  # bytes: A-Z only
-                if len(word) < LETTERS:
-                    continue
+            runs = text.encode("latin-1", "replace").translate(RUN).split()  # a byte a code point; those beyond are no letters
+            for word, n in Counter([r for r in runs if len(r) >= LETTERS]).items():
+                word = word if word.isascii() else word.decode("latin-1").encode()
                 h = zlib.crc32(word, begun)
                 if h % DROP == 0:
                     word = word.decode()
                     k = h % len(word)
                     word = (word[:k] + word[k + 1 :]).encode()
-                if len(word) - word.count(b"\xc3") >= LETTERS:
-                    held[word] += n
+                    if len(word) - word.count(b"\xc3") < LETTERS:
+                        continue
+                held[word] += n
         if len(held) > HELD:
             yield run()
             held.clear()
@@ -83,26 +83,38 @@ def first_depth(letters: int) -> int:
     return letters // 2  # (L - 1) / 2 rounded up
 
 
+def _letter_hashes(letters: np.ndarray, place: np.ndarray, seed: int) -> np.ndarray:
+    x = (letters.astype(np.uint64) << np.uint64(40)) + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed)
+    for shift, times in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(times)
+    return x ^ (x >> np.uint64(31))
+
+
 def _prefixes(batches):
-    """way, k1, k2 (the word), depth, node, next (the letter that follows, empty at the end) for each prefix deep enough."""
+    """way, k1, k2 (the word), depth, node, next (the letter that follows, empty at the end) for each prefix deep enough.
+
+    A node's hash is the sum of hashes of its letters at their places, so sums along all words at once give all prefixes.
+    """
+    top = first_depth(LETTERS)
     for batch in batches:
-        out: list[list] = [[] for _ in range(6)]
-        for word in batch.column(0).to_pylist():
-            names = [xxhash.xxh3_64_intdigest(word.encode(), seed) for seed in (1, 2)]
-            for way, letters in enumerate((word, word[::-1])):
-                x = xxhash.xxh3_64(seed=3 + way)
-                x.update(letters[: first_depth(LETTERS)].encode())
-                for depth in range(first_depth(LETTERS), len(letters) + 1):
-                    out[4].append(x.intdigest())
-                    out[5].append(letters[depth : depth + 1])
-                    x.update(letters[depth : depth + 1].encode())
-                n = len(letters) + 1 - first_depth(LETTERS)
-                out[0] += [way] * n
-                out[1] += [names[0]] * n
-                out[2] += [names[1]] * n
-                out[3] += range(first_depth(LETTERS), len(letters) + 1)
-        longs = [pa.array(np.array(out[k], np.uint64).view(np.int64)) for k in (1, 2, 4)]
-        yield pa.record_batch([pa.array(out[0], pa.int32()), longs[0], longs[1], pa.array(out[3], pa.int32()), longs[2], pa.array(out[5], pa.string())], ["way", "k1", "k2", "depth", "node", "next"])
+        words = batch.column(0).to_pylist()
+        n = np.fromiter(map(len, words), np.int64, len(words))
+        flat = np.frombuffer("".join(words).encode("utf-32-le"), "<u4")
+        kinds, kind = np.unique(flat, return_inverse=True)
+        letters = pa.array([*map(chr, kinds.tolist()), ""], pa.string())
+        begin, rows = np.cumsum(n) - n, np.maximum(n + 1 - top, 0)
+        place = np.arange(len(flat)) - np.repeat(begin, n)
+        word = np.repeat(np.arange(len(words)), rows)
+        depth = top + np.arange(len(word)) - np.repeat(np.cumsum(rows) - rows, rows)
+        at, ends = begin[word] + depth, depth == n[word]
+        keys = [np.array([xxhash.xxh3_64_intdigest(w.encode(), seed) for w in words], np.uint64).view(np.int64)[word] for seed in (1, 2)]
+        for way in (0, 1):
+            read = np.arange(len(flat)) if way == 0 else np.repeat(begin + n - 1, n) - place
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_letter_hashes(flat[read], place, 3 + way), dtype=np.uint64)])
+            then = np.append(kind[read], len(kinds))[np.where(ends, len(flat), at)]
+            after = pa.DictionaryArray.from_arrays(pa.array(then.astype(np.int32)), letters).cast(pa.string())
+            columns = [np.full(len(word), way, np.int32), *keys, depth.astype(np.int32), (sums[at] - sums[begin[word]]).view(np.int64)]
+            yield pa.record_batch([*map(pa.array, columns), after], ["way", "k1", "k2", "depth", "node", "next"])
 
 
 def paths(words: DataFrame) -> DataFrame:
