@@ -266,7 +266,7 @@ def _passing(percent: int):
 
 def shared(filed: DataFrame) -> DataFrame:
     """The rows of ``filed`` (key, node: long, different) of each key that two nodes or more have, with their number _n; of keys with equal nodes, one, and their number _w."""
-    held = filed.groupBy("key").agg(F.count("*").alias("_n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("_x"), F.sum(F.xxhash64(F.lit(1), "node").cast("decimal(38,0)")).alias("_y"))
+    held = filed.groupBy("key").agg(F.count("*").alias("_n"), F.bit_xor(F.xxhash64("node")).alias("_x"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("_y"))
     keys = held.filter("_n > 1").groupBy("_n", "_x", "_y").agg(F.min("key").alias("key"), F.count("*").alias("_w")).select("key", "_n", "_w")
     return filed.join(keys, "key")
 
