@@ -51,15 +51,15 @@ def one_each(rows: DataFrame, found: DataFrame) -> DataFrame:
     alike = written(found.groupBy("root", "_id", "_k1", "_k2").agg(F.count("*").alias("_n")), "alike")
     first = F.min(F.struct(F.col("_id").isNull(), F.col("_id"), F.col("_k1"), F.col("_k2"), F.col("_n")))
     least = written(alike.groupBy("root").agg(first.alias("_m"), F.sum("_n").alias("_rows")), "least")
-    held_roots = _holds(least.filter("_rows > 1").select("root"))
-    held = _holds(alike.filter(held_roots("root")).select("_k1"))
+    held_roots = holds(least.filter("_rows > 1").select("root"))
+    held = holds(alike.filter(held_roots("root")).select("_k1"))
     kept = rows.select("_row", "_k1", "_k2").filter(held("_k1")).join(least.select("_m._k1", "_m._k2", "_m._n"), ["_k1", "_k2"])
     again = kept.filter("_n > 1").dropDuplicates(["_k1", "_k2"])  # rows equal in id and text: any one of them
     alone = rows.select("_row", "_k1").filter(~held("_k1"))
     return alone.select("_row.*").unionByName(kept.filter("_n = 1").select("_row.*")).unionByName(again.select("_row.*"))
 
 
-def _holds(hashes: DataFrame) -> Callable[[str], Column]:
+def holds(hashes: DataFrame) -> Callable[[str], Column]:
     """Whether a long column is among ``hashes``, true for some others by chance."""
     map_ = hashes.sparkSession.sparkContext.broadcast(bit_map(hashes))
 

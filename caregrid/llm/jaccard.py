@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bit_map, by_bytes, in_map, keyed_rows, written
+from .common import bit_map, by_bytes, holds, in_map, keyed_rows, written
 from .components import components
 from .signature_tree import shared, signature, tree_links
 
@@ -89,10 +89,18 @@ def _sketches(width: int, percent: int, order):
     return run
 
 
+def _different(held: DataFrame) -> DataFrame:
+    """(node, first), one row a node: only rows of nodes that several rows have, and some others by chance, move."""
+    again = held.groupBy("node").agg(F.count("*").alias("_n")).filter("_n > 1").select("node")
+    copied, rows = holds(written(again, "copied"))("node"), held.select("node", "first")
+    return rows.filter(~copied).unionByName(rows.filter(copied).dropDuplicates(["node"]))
+
+
 def _filed(held: DataFrame) -> DataFrame:
-    """(key, node), different ones: what sets are filed under, without most keys that only one row has."""
-    again = held.select(F.explode("first").alias("key")).groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    map_ = held.sparkSession.sparkContext.broadcast(bit_map(again.select("key")))
+    """(key, node), different ones: what sets are filed under, without most keys that only one set has."""
+    sets = _different(held)
+    again = sets.select(F.explode("first").alias("key")).groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    map_ = held.sparkSession.sparkContext.broadcast(bit_map(written(again.select("key"), "again")))
 
     def run(batches):
         for batch in batches:
@@ -101,7 +109,7 @@ def _filed(held: DataFrame) -> DataFrame:
             hit = pa.array(in_map(map_.value, key.to_numpy()))
             yield pa.record_batch([key.filter(hit), node.filter(hit)], ["key", "node"])
 
-    return written(held.select("node", "first").mapInArrow(run, "key long, node long").distinct(), "filed")
+    return written(sets.select("node", "first").mapInArrow(run, "key long, node long"), "filed")
 
 
 def picked(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -123,7 +131,7 @@ def picked(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """One row a document: id, n_shingles, component_id (the smallest id reachable by links, itself included)."""
     rows = keyed_rows(docs, id_col, text_col).select("_id", "_k1", "_k2", "_text")
-    counts = rows.select("_text").mapInArrow(_counts(width), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    counts = written(rows.select("_text").mapInArrow(_counts(width), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")), "counts").toArrow()
     rank = np.zeros(1 << SLOTS, np.uint8)
     rank[counts.column("slot").to_numpy()] = np.log2(counts.column("n").to_numpy().astype(float) + 1).astype(np.uint8)
     order = docs.sparkSession.sparkContext.broadcast(rank)

@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import holds, written
 from .components import components
 
 MOST = 1 << 18
@@ -303,6 +303,12 @@ def _more(links: DataFrame, pairs: DataFrame, sets_of: Callable[[DataFrame], Dat
     return links if pairs.isEmpty() else links.unionByName(exact_links(pairs, written(sets_of(_ends(pairs)), "sets"), percent))
 
 
+def _signs_of(nodes: DataFrame, signs: DataFrame) -> DataFrame:
+    """The signatures of ``nodes``, one row a node; most others stay where they are."""
+    nodes = written(nodes, "nodes")
+    return signs.filter(holds(nodes)("node")).join(nodes, "node", "left_semi").dropDuplicates(["node"])
+
+
 def _sized(percent: int) -> str:
     return f"100 * n_a >= {percent} * n_b AND 100 * n_b >= {percent} * n_a"
 
@@ -362,7 +368,7 @@ def tree_links(files: DataFrame, signs: DataFrame, sets_of: Callable[[DataFrame]
     every = files.groupBy("node").agg(F.sum("_w").alias("_all"), F.sum(F.when(F.col("_n") > most, F.col("_w")).otherwise(0)).alias("_large"))
     files = written(files.join(every.join(signs.select("node", "n").dropDuplicates(["node"]), "node"), "node"), "weighed")
     star = written(_counted(files, percent, most), "stars")
-    own = written(signs.join(_ends(star), "node", "left_semi").dropDuplicates(["node"]), "signs")
+    own = written(_signs_of(_ends(star), signs), "signs")
     one = lambda c: own.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
 
     def allowed(pairs: DataFrame, name: str) -> DataFrame:
@@ -401,7 +407,7 @@ def _search(files: DataFrame, signs: DataFrame, links: DataFrame, percent: int,
     open_ = classed.join(mixed, "key")
     whole = open_.filter(F.col("_n") <= HOT).repartition("key").sortWithinPartitions("key")
     open_ = written(open_.filter(F.col("_n") > HOT).unionByName(whole.mapInArrow(_partnered(percent), whole.schema)).drop("n", "_all"), "open")
-    own = signs.join(open_.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    own = _signs_of(open_.select("node").distinct(), signs)
     open_ = open_.join(own, "node").select("key", "_n", "node", "root", "n", "over", "bits")
     columns = ("key", "i", "j", "node", "n", "over", "root", "bits", "side")
     small = open_.filter(F.col("_n") <= HOT).select("*", F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(2).alias("side")).select(*columns)
