@@ -21,6 +21,11 @@ SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Cuts before each run of white space.
 CHUNK = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 SOLID = re.compile(f"[^{SPACE}]+")
+#: Letters by any version of Unicode, and marks that no rule of a tokenizer ties to the letters before them.
+LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+MARKS = ".,;:!?%*&#$"
+#: As CHUNK, but marks that end a word of letters are chunks of their own: far fewer chunks differ.
+PARTED = re.compile(f"[{SPACE}]*+[{LETTERS}]++(?=[{MARKS}]*+(?:[{SPACE}]|\\Z))|[{MARKS}]++(?=[{SPACE}]|\\Z)|{CHUNK.pattern}")
 SPACES = frozenset(re.findall(f"[{SPACE}]", "".join(map(chr, range(0x3001)))))
 
 
@@ -103,6 +108,7 @@ class TokenizerIds(KeptIds):
         super().__init__()
         self.tok = Tokenizer.from_file(path)
         self.drops = not self.tok.encode(" \n ", add_special_tokens=False).ids
+        self.chunk = SOLID if self.drops else PARTED if self._parts_marks() else CHUNK
         vocab = self.tok.get_vocab(with_added_tokens=True)
         end = getattr(self.tok.model, "end_of_word_suffix", None) or ""
         #: Bytes that each id stands for: byte-level tokens have a letter a byte.
@@ -111,7 +117,13 @@ class TokenizerIds(KeptIds):
             self.width[i] = len(token.removesuffix(end))
 
     def cut(self, text: str) -> list[str]:
-        return (SOLID if self.drops else CHUNK).findall(text)
+        return self.chunk.findall(text)
+
+    def _parts_marks(self) -> bool:
+        """Whether the tokenizer itself cuts between letters and marks, and has no token of its own that would span the cut."""
+        words = [f" {w}" for w in ("a", "He", "\u00c0\u00ff", "\u024f")]
+        cuts = self.tok.pre_tokenizer and all([at for _, at in self.tok.pre_tokenizer.pre_tokenize_str(w + MARKS)] == [(0, len(w)), (len(w), len(w + MARKS))] for w in words)
+        return bool(cuts) and not self.tok.normalizer and not any(set(MARKS) & set(t.content) for t in self.tok.get_added_tokens_decoder().values())
 
     def encode(self, chunks: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Chunks are encoded many at a time, as one text; where each ends shows in the widths of the ids."""
