@@ -11,9 +11,12 @@ LEVELS = {"p10": 0.10, "p25": 0.25, "median": 0.50, "p75": 0.75, "p90": 0.90}
 
 
 def case_mix_index(mix: DataFrame, weights: DataFrame) -> DataFrame:
-    """mix(provider, year, drg, discharges), weights(drg, weight) -> provider, year, cmi, discharges, n_drgs; cmi is null without discharges."""
+    """mix(provider, year, drg, discharges), weights(drg, weight) -> provider, year, cmi, discharges, n_drgs; cmi is null without discharges.
+
+    The index is rounded half up to four places, after twelve: a sum's last bits depend on the order of its rows, and would move an exact tie either way.
+    """
     joined = mix.join(weights, "drg")
-    cmi = F.try_divide(F.sum(F.col("weight") * F.col("discharges")), F.sum("discharges"))
+    cmi = F.round(F.try_divide(F.sum(F.col("weight") * F.col("discharges")), F.sum("discharges")), 12)
     return joined.groupBy("provider", "year").agg(F.round(cmi, 4).alias("cmi"), F.sum("discharges").alias("discharges"), F.count_distinct("drg").alias("n_drgs"))
 
 

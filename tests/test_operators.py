@@ -9,6 +9,16 @@ def test_cmi_case(spark):
     assert got == {1: (1.25, 400.0, 2), 2: (None, 0.0, 1)}
 
 
+def test_cmi_ties_go_up(spark):
+    """Exactly 1.23325, 1.53865, 1.89795 and 1.35355, of which sums of doubles are just below in any order."""
+    cases = [([1.02175, 1.57165], [8, 5]), ([1.22922, 1.84808], [24, 24]), ([1.8769, 1.90637], [12, 30]), ([1.35415, 1.3534], [12, 48])]
+    rows = [(p, 2 * p + k, w, float(d)) for p, case in enumerate(cases) for k, (w, d) in enumerate(zip(*case))]
+    mix = spark.createDataFrame([(p, 2024, g, d) for p, g, _, d in rows], "provider int, year int, drg int, discharges double")
+    weights = spark.createDataFrame([(g, w) for _, g, w, _ in rows], "drg int, weight double")
+    got = {r.provider: r.cmi for r in casemix.case_mix_index(mix, weights).collect()}
+    assert got == {0: 1.2333, 1: 1.5387, 2: 1.898, 3: 1.3536}
+
+
 def test_ancestors(spark):
     edges = spark.createDataFrame([(4, 2), (4, 3), (2, 1), (3, 1)], "child int, parent int")
     assert {(r.ancestor, r.distance) for r in graph.ancestors(edges, 5).filter("node = 4").collect()} == {(2, 1), (3, 1), (1, 2)}
