@@ -19,6 +19,15 @@ def test_cmi_ties_go_up(spark):
     assert got == {0: 1.2333, 1: 1.5387, 2: 1.898, 3: 1.3536}
 
 
+def test_benchmark_of_tied_indexes(spark):
+    """Two providers at exactly 1.53865 and 1.23325: ranks and gaps go by 1.5387 and 1.2333."""
+    mix = spark.createDataFrame([(1, 2024, 1, 72.0), (1, 2024, 2, 72.0), (2, 2024, 3, 80.0), (2, 2024, 4, 50.0), (3, 2024, 5, 200.0)], "provider int, year int, drg int, discharges double")
+    weights = spark.createDataFrame([(1, 1.22922), (2, 1.84808), (3, 1.02175), (4, 1.57165), (5, 1.2333)], "drg int, weight double")
+    place = spark.createDataFrame([(p, f"n{p}", "X", "T") for p in (1, 2, 3)], "provider int, name string, state string, type string")
+    rows = casemix.benchmark(casemix.case_mix_index(mix, weights), place).select("provider", "cmi", "national", "in_state", "gap", "revenue_gap").collect()
+    assert sorted(map(tuple, rows)) == [(1, 1.5387, 100, 100, -0.3054, -316638.72), (2, 1.2333, 67, 67, 0.0, 0.0), (3, 1.2333, 67, 67, 0.0, 0.0)]
+
+
 def test_ancestors(spark):
     edges = spark.createDataFrame([(4, 2), (4, 3), (2, 1), (3, 1)], "child int, parent int")
     assert {(r.ancestor, r.distance) for r in graph.ancestors(edges, 5).filter("node = 4").collect()} == {(2, 1), (3, 1), (1, 2)}
