@@ -17,7 +17,7 @@ A word of L letters that differs from another by one edit shares its first or it
 letters with it, so the edit is spent in the back half only, in one of the two tries: near the root, where
 a node has very many words, no state ever stands. A node has at most one edge a letter. The sides of
 all joins have one row a key on the right (a node's edges in one list, a word's count), so that adaptive execution can split
-a hot node.
+a hot node. No join is a broadcast: no table here is small by nature.
 
 Null texts have no words. A null id is read as the empty string when letters are left out. Repeated rows count
 each time; other columns are left out, whatever their names; words of any length are whole. An
@@ -72,6 +72,11 @@ def _counted(batches):
     yield run()
 
 
+def _merged(rows: DataFrame) -> DataFrame:
+    """``rows`` for a join by sorted shuffles at any size: rows made by explode or Arrow functions count as few, and Spark would broadcast very many of them."""
+    return rows.hint("merge")
+
+
 def word_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(word, n) of the words of at least LETTERS letters that occur TIMES times or more."""
     rows = docs.select(F.col(id_col).cast("string").alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
@@ -126,10 +131,10 @@ def paths(words: DataFrame) -> DataFrame:
     # words end or part here; partial aggregates: a prefix that very many words share sends a row a task
     nodes = every.groupBy("node").agg(F.min("next").alias("a"), F.max("next").alias("z"), F.min("depth").alias("d"))
     nodes = nodes.filter((F.col("a") != F.col("z")) | (F.col("a") == "") | (F.col("d") == first_depth(LETTERS))).select("node")
-    own = every.select("way", "k1", "k2", "depth", "node").join(nodes, "node").groupBy("k1", "k2", "way").agg(F.sort_array(F.collect_list(F.struct("depth", "node"))).alias("path"))
+    own = every.select("way", "k1", "k2", "depth", "node").join(_merged(nodes), "node").groupBy("k1", "k2", "way").agg(F.sort_array(F.collect_list(F.struct("depth", "node"))).alias("path"))
     named = words.select("word").mapInArrow(_named, "word string, k1 long, k2 long")
     letters = F.when(F.col("way") == 0, F.col("word")).otherwise(F.reverse("word"))
-    return named.join(own, ["k1", "k2"]).select("way", letters.alias("letters"), "path")
+    return named.join(_merged(own), ["k1", "k2"]).select("way", letters.alias("letters"), "path")
 
 
 def _named(batches):
@@ -151,7 +156,7 @@ def edge_lists(own: DataFrame) -> DataFrame:
     steps = written(steps.distinct(), "steps")
     first = F.when(F.col("near").isNotNull(), ".").otherwise(F.expr("substring(label, 1, 1)"))
     ahead = steps.groupBy(F.col("node").alias("child")).agg(F.array_join(F.collect_set(first), "").alias("ahead"))
-    edges = steps.filter("near IS NULL").join(ahead, "child")
+    edges = steps.filter("near IS NULL").join(_merged(ahead), "child")
     every = edges.unionByName(steps.filter("near IS NOT NULL").withColumn("ahead", F.lit("")))
     then = F.when(F.length("label") > 1, F.expr("substring(label, 2, 1)")).otherwise(F.col("ahead"))
     return every.groupBy("node").agg(F.collect_list(F.struct("label", "child", "ahead", "near", first.alias("first"), then.alias("then"))).alias("steps"))
@@ -198,7 +203,7 @@ def neighbours(words: DataFrame) -> DataFrame:
     while True:
         # the next two letters of the state rule out most edges
         two = F.expr("substring(letters, pos + 1, 1)").alias("_c"), F.expr("if(length(letters) > pos + 1, substring(letters, pos + 2, 1), '.')").alias("_d")
-        met = now.join(trie, "node").select("way", "letters", "pos", "edits", *two, F.explode("steps").alias("_e")).filter(_may_go())
+        met = now.join(_merged(trie), "node").select("way", "letters", "pos", "edits", *two, F.explode("steps").alias("_e")).filter(_may_go())
         met = written(met.select("way", "letters", F.explode(_moves()).alias("_m")).select("way", "letters", "_m.*"), "frontier")
         near = met.filter("near IS NOT NULL").select("way", "letters", "near")
         found = near if found is None else found.unionByName(near)
@@ -214,9 +219,9 @@ def variants(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """One row a word: word, form (its near word of largest n, if that is RATIO times its own), root (the end of its forms), n, n_near, form_n."""
     words = written(word_counts(docs, id_col, text_col), "words")
     pairs = neighbours(words)
-    counted = pairs.join(words.select(F.col("word").alias("near"), F.col("n").alias("near_n")), "near")
+    counted = pairs.join(_merged(words.select(F.col("word").alias("near"), F.col("n").alias("near_n"))), "near")
     best = counted.groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("_n"), F.col("near"))).alias("_b"))
-    told = words.join(best, "word", "left").withColumn("_ok", -F.col("_b._n") >= RATIO * F.col("n"))
+    told = words.join(_merged(best), "word", "left").withColumn("_ok", -F.col("_b._n") >= RATIO * F.col("n"))
     told = told.select("word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.when(F.col("_ok"), F.col("_b.near")).alias("form"), F.when(F.col("_ok"), -F.col("_b._n")).alias("form_n"))
     told = written(told, "forms")
     # counts grow tenfold at each form, so there are few forms in a row, and each round doubles how many are followed
@@ -224,7 +229,7 @@ def variants(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     while True:
         roots = written(roots, "roots")
         onward = roots.select(F.col("word").alias("root"), F.col("root").alias("_to"))
-        if roots.join(onward, "root", "left_semi").isEmpty():
+        if roots.join(_merged(onward), "root", "left_semi").isEmpty():
             break
-        roots = roots.join(onward, "root", "left").select("word", F.coalesce("_to", "root").alias("root"))
-    return told.join(roots, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+        roots = roots.join(_merged(onward), "root", "left").select("word", F.coalesce("_to", "root").alias("root"))
+    return told.join(_merged(roots), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")

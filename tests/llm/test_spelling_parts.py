@@ -44,3 +44,15 @@ def test_prefixes_of_all_words():
     assert all(len(x) == 1 for x in nodes.values())
     assert len(nodes) == len({(way, w[::step][:d]) for w in words for way, step in ((0, 1), (1, -1)) for d in range(3, len(w) + 1)})
     assert len(rows) == sum(2 * (len(w) - 2) for w in words)
+
+
+def test_nothing_is_broadcast(spark, monkeypatch):
+    """Spark takes rows made by explode or Arrow functions for few; at any estimate joins are by shuffles."""
+    plans, real = [], spelling.written
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(spelling, "written", lambda df, name: plans.append(plan(df)) or real(df, name))
+    rows = [(k, "hospital " * 30 + "hospitel hospitel") for k in range(4)]
+    found = spelling.variants(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sum("SortMergeJoin" in p for p in [*plans, plan(found)]) >= 5
+    assert not any("Broadcast" in p for p in [*plans, plan(found)])
+    assert {r.word: r.form for r in found.collect()}["hospitel"] == "hospital"
