@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -70,7 +71,21 @@ def _counts(width: int):
     return run
 
 
-def _sketches(width: int, percent: int, order):
+def ranked(rows: DataFrame, width: int) -> Broadcast:
+    """A rank for each slot of hashes by its number of shingles in all sets of ``rows`` (_text), for ``firsts``."""
+    counts = written(rows.select("_text").mapInArrow(_counts(width), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")), "counts").toArrow()
+    rank = np.zeros(1 << SLOTS, np.uint8)
+    rank[counts.column("slot").to_numpy()] = np.log2(counts.column("n").to_numpy().astype(float) + 1).astype(np.uint8)
+    return rows.sparkSession.sparkContext.broadcast(rank)
+
+
+def firsts(s: np.ndarray, percent: int, order: Broadcast) -> np.ndarray:
+    """The shingles that a set is filed under, as signed longs."""
+    rank = order.value[(s >> np.uint64(64 - SLOTS)).astype(np.int64)]
+    return s[np.lexsort((s, rank))[: len(s) + -percent * len(s) // 100 + 1 if len(s) else 0]].view(np.int64)
+
+
+def _sketches(width: int, percent: int, order: Broadcast):
     """The row's keys with node (names the set), n, over, bits and first, the shingles it is filed under."""
 
     def run(batches):
@@ -78,10 +93,7 @@ def _sketches(width: int, percent: int, order):
             for a, texts in _texts(batch, 3):
                 sets = [shingles(t, width) for t in texts]
                 signs = [signature(s) for s in sets]
-                first = []
-                for s in sets:
-                    rank = order.value[(s >> np.uint64(64 - SLOTS)).astype(np.int64)]
-                    first.append(s[np.lexsort((s, rank))[: len(s) + -percent * len(s) // 100 + 1 if len(s) else 0]].view(np.int64))
+                first = [firsts(s, percent, order) for s in sets]
                 node = pa.array(np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64))
                 columns = [node, pa.array([len(s) for s in sets], pa.int64()), pa.array([k for _, k in signs], pa.int64()), pa.array([b for b, _ in signs], pa.binary()), pa.array(first, pa.list_(pa.int64()))]
                 yield pa.record_batch([*(batch.column(c).slice(a, len(texts)) for c in range(3)), *columns], ["_id", "_k1", "_k2", "node", "n", "over", "bits", "first"])
@@ -96,7 +108,7 @@ def _different(held: DataFrame) -> DataFrame:
     return rows.filter(~copied).unionByName(rows.filter(copied).dropDuplicates(["node"]))
 
 
-def _filed(held: DataFrame) -> DataFrame:
+def filed(held: DataFrame) -> DataFrame:
     """(key, node), different ones: what sets are filed under, without most keys that only one set has."""
     sets = _different(held)
     again = sets.select(F.explode("first").alias("key")).groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
@@ -131,10 +143,7 @@ def picked(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
 def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """One row a document: id, n_shingles, component_id (the smallest id reachable by links, itself included)."""
     rows = keyed_rows(docs, id_col, text_col).select("_id", "_k1", "_k2", "_text")
-    counts = written(rows.select("_text").mapInArrow(_counts(width), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")), "counts").toArrow()
-    rank = np.zeros(1 << SLOTS, np.uint8)
-    rank[counts.column("slot").to_numpy()] = np.log2(counts.column("n").to_numpy().astype(float) + 1).astype(np.uint8)
-    order = docs.sparkSession.sparkContext.broadcast(rank)
+    order = ranked(rows, width)
     held = written(rows.mapInArrow(_sketches(width, percent, order), "_id long, _k1 long, _k2 long, node long, n long, over long, bits binary, first array<long>"), "sketches")
     signs = held.filter("n > 0").select("node", "n", "over", "bits")
     keys = held.groupBy("node").agg(F.min(F.struct("_k1", "_k2")).alias("_m")).select("node", "_m.*")
@@ -142,7 +151,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def sets_of(nodes: DataFrame) -> DataFrame:
         return picked(rows, written(keys.join(nodes, "node"), "wanted"), width)
 
-    links = tree_links(shared(_filed(held)), signs, sets_of, percent)
+    links = tree_links(shared(filed(held)), signs, sets_of, percent)
     roots = components(links)
     # a component may hold very many sets: partial minima first, then one row a root
     named = held.groupBy("node").agg(F.min("_id").alias("_least")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

@@ -358,16 +358,34 @@ def _rooted(rows: DataFrame, roots: DataFrame, node: str, root: str) -> DataFram
     return rows.join(roots.select(F.col("node").alias(node), F.col("root").alias(root)), node, "left").withColumn(root, F.coalesce(root, node))
 
 
-def tree_links(files: DataFrame, signs: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs (a, b, c) whose nodes are in different classes."""
+    return _rooted(_rooted(pairs, roots, "a", "_x"), roots, "b", "_y").filter("_x <> _y").select("a", "b", "c")
+
+
+def mixed_files(files: DataFrame, roots: DataFrame) -> DataFrame:
+    """Those of ``files`` (key, node and others) that have nodes of different classes by ``roots`` (node, root)."""
+    files = written(files, "files")
+    classed = _rooted(files.select("key", "node"), roots, "node", "root")
+    mixed = classed.groupBy("key").agg(F.min("root").alias("_a"), F.max("root").alias("_z")).filter("_a <> _z").select("key")
+    return files.join(written(mixed, "mixed"), "key")
+
+
+def tree_links(files: DataFrame, signs: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, known: DataFrame | None = None) -> DataFrame:
     """(a, b): enough links to join all nodes of ``files`` that are linked within files, in a chain too.
 
     ``files`` has key, node, _n and _w, as ``shared`` gives them, with all keys of each node that other nodes have; ``signs`` node, n, over and bits (rows of one node are equal); ``sets_of`` takes rows with a node and
-    returns them with its hashes.
+    returns them with its hashes. ``known`` (node, root: written) has classes found before: their links are part of the result, pairs in one class are not compared, and keys of one class may be missing in ``files``.
     """
     files, most = written(files, "files"), min(SMALL, HOT)
+    before = None if known is None else known.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    if before is not None and files.isEmpty():
+        return before
     every = files.groupBy("node").agg(F.sum("_w").alias("_all"), F.sum(F.when(F.col("_n") > most, F.col("_w")).otherwise(0)).alias("_large"))
     files = written(files.join(every.join(signs.select("node", "n").dropDuplicates(["node"]), "node"), "node"), "weighed")
     star = written(_counted(files, percent, most), "stars")
+    if known is not None:
+        star = written(_apart(star, known), "apart")
     own = written(_signs_of(_ends(star), signs), "signs")
     one = lambda c: own.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
 
@@ -382,10 +400,11 @@ def tree_links(files: DataFrame, signs: DataFrame, sets_of: Callable[[DataFrame]
     sets = written(sets_of(asked), "sets")
     both = sets.filter("a IS NOT NULL").select("a", F.col("node").alias("b"), F.col("hashes").alias("x")).join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("y")), "a")
     links = written(both.select("a", "b", "x", "y").mapInArrow(compared(percent), "a long, b long"), "links")
+    links = links if before is None else before.unionByName(links)
     roots = written(components(links), "roots")
     # then what is still apart
     rest = star.join(closest, ["a", "b"], "left_anti")
-    apart = written(_rooted(_rooted(rest, roots, "a", "_x"), roots, "b", "_y").filter("_x <> _y").select("a", "b", "c"), "apart")
+    apart = written(_apart(rest, roots), "apart")
     links = _more(links, allowed(apart, "pairs"), sets_of, percent)
     files = files.filter(F.col("_n") > most)
     if files.isEmpty():
