@@ -101,27 +101,30 @@ def _sketches(width: int, percent: int, order: Broadcast):
     return run
 
 
-def _different(held: DataFrame) -> DataFrame:
-    """(node, first), one row a node: only rows of nodes that several rows have, and some others by chance, move."""
-    again = held.groupBy("node").agg(F.count("*").alias("_n")).filter("_n > 1").select("node")
-    copied, rows = holds(written(again, "copied"))("node"), held.select("node", "first")
-    return rows.filter(~copied).unionByName(rows.filter(copied).dropDuplicates(["node"]))
-
-
 def filed(held: DataFrame) -> DataFrame:
-    """(key, node), different ones: what sets are filed under, without most keys that only one set has."""
-    sets = _different(held)
-    again = sets.select(F.explode("first").alias("key")).groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    map_ = held.sparkSession.sparkContext.broadcast(bit_map(written(again.select("key"), "again")))
+    """(key, node), different ones: what sets are filed under, without most keys that only one set has.
 
-    def run(batches):
+    Only rows of nodes that several rows have, and some others by chance, move. No task has two Python workers at work: those that
+    a chain of Python steps leaves behind hold memory for a minute.
+    """
+    again = held.groupBy("node").agg(F.count("*").alias("_n")).filter("_n > 1").select("node")
+    again, rows = written(again, "copied"), held.select("node", "first")
+    copied, context = holds(again)("node"), held.sparkSession.sparkContext
+    twice = written(rows.filter(copied).dropDuplicates(["node"]), "twice")
+    keys = rows.filter(~copied).unionByName(twice).select(F.explode("first").alias("key")).groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    alone, map_ = context.broadcast(bit_map(again)), context.broadcast(bit_map(written(keys.select("key"), "again")))
+
+    def run(batches, skip=None):
         for batch in batches:
+            if skip:
+                batch = batch.filter(pa.array(~in_map(skip.value, batch.column(0).to_numpy())))
             first = batch.column(1)
             key, node = first.flatten(), batch.column(0).take(pc.list_parent_indices(first))
             hit = pa.array(in_map(map_.value, key.to_numpy()))
             yield pa.record_batch([key.filter(hit), node.filter(hit)], ["key", "node"])
 
-    return written(sets.select("node", "first").mapInArrow(run, "key long, node long"), "filed")
+    kinds = "key long, node long"
+    return written(rows.mapInArrow(lambda batches: run(batches, alone), kinds).unionByName(twice.mapInArrow(run, kinds)), "filed")
 
 
 def picked(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
