@@ -271,10 +271,33 @@ def scoped(edges: DataFrame, anchors: DataFrame, steps: int, types: list[str] |
 
 
 def artifact_lineage(edges: DataFrame, anchors: DataFrame, nodes: DataFrame, labels: list[str], steps: int = 3, n: int = 50) -> DataFrame:
-    """The nearest n nodes of each anchor within ``steps`` that carry one of the labels; nodes: node, label."""
-    wanted = nodes.filter(F.col("label").isin(labels)).select("node", "label").distinct()
+    """The nearest n nodes of each anchor within ``steps`` (1..3) that carry one of the labels; nodes: node, label.
+
+    Of a node's labelled neighbours only the first n + 1 are looked at: what comes before another one there is as near to the anchor, or nearer, so later
+    ones are not among its n, even if the anchor is one of them. An anchor that has n is done; only the others go on, and of those no neighbour was left out.
+    """
+    depth, found_all = max(1, min(steps, 3)), None
+    wanted = written(nodes.filter(F.col("label").isin(labels)).select("node", "label").distinct(), "wanted")
+    step = _Steps(edges, HUB)
+    first = step.rows.join(wanted.select(F.col("node").alias("dst")).distinct(), "dst", "left_semi")
+    first = first.withColumn("_r", F.row_number().over(Window.partitionBy("src").orderBy("dst"))).filter(F.col("_r") <= n + 1)
+    first = written(first.select("src", "dst"), "first")
+    seen = front = _seed_groups(anchors)
+    known = front.select("seed", "node")
+    for k in range(1, depth + 1):
+        near = front.select("seed", F.col("node").alias("src")).join(first, "src").select("seed", F.col("dst").alias("node")).distinct()
+        near = near.join(known, ["seed", "node"], "left_anti").withColumn("_r", F.row_number().over(Window.partitionBy("seed").orderBy("node"))).filter(F.col("_r") <= n)
+        near = written(near.select("seed", "node", F.lit(k).alias("distance")), "near")
+        found_all = near if found_all is None else found_all.unionByName(near)
+        known = known.unionByName(near.select("seed", "node"))
+        if k < depth:
+            done = written(found_all.groupBy("seed").agg(F.count("*").alias("_n")).filter(F.col("_n") >= n).select("seed"), "done")
+            front = written(_onward(front.join(done, "seed", "left_anti"), seen.join(done, "seed", "left_anti"), step), "frontier")
+            if front.isEmpty():
+                break
+            seen = seen.unionByName(front)
     place = F.row_number().over(Window.partitionBy("seed").orderBy("distance", "node"))
-    return neighborhood(edges, anchors, steps).join(wanted, "node").withColumn("place", place).filter(F.col("place") <= n)
+    return found_all.join(wanted, "node").withColumn("place", place).filter(F.col("place") <= n)
 
 
 def node_search(nodes: DataFrame, edges: DataFrame, search: str, fields: list[str], key: str = "node", n: int = 20) -> DataFrame:

@@ -48,3 +48,28 @@ def test_neighborhood_of_many_groups(spark, monkeypatch, tables, kind):
         got = graph.neighborhood(rows, spark.createDataFrame([(s,) for s in [*seeds, seeds[0]]], f"node {kind}"), depth, hub=8).collect()
         assert sorted(map(tuple, got)) == sorted((s, v, k) for s in seeds for v, k in walked(edges, s, depth).items())
         assert len(tables["frontier"]) == depth - 1
+
+
+def test_lineage_of_any_labels(spark, monkeypatch):
+    monkeypatch.setattr(graph, "SEEDS", 4)
+    rng = random.Random(9)
+    edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(90)] + [(0, k) for k in range(0, 60, 4)]
+    labels = {k: "a" if k % 3 else "b" for k in range(60)}
+    nodes, anchors = spark.createDataFrame(list(labels.items()), "node int, label string"), [0, 1, 2, 9, 30, 45, 59]
+    rows = spark.createDataFrame(edges, "src int, dst int")
+    for steps, n in ((1, 3), (2, 4), (3, 2), (3, 50)):
+        got = graph.artifact_lineage(rows, spark.createDataFrame([(s,) for s in anchors], "node int"), nodes, ["b"], steps, n).select("seed", "node", "label", "distance", "place").collect()
+        want = []
+        for s in anchors:
+            near = sorted((k, v) for v, k in walked(edges, s, steps).items() if labels[v] == "b")[:n]
+            want += [(s, v, "b", k, place) for place, (k, v) in enumerate(near, 1)]
+        assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_lineage_does_not_list_all_pairs(spark, tables):
+    """300 sessions that share a word: an anchor looks at the first few, not at all."""
+    rows = spark.createDataFrame([(f"c{k:03d}", "word") for k in range(300)], "src string, dst string")
+    nodes = rows.selectExpr("src AS node", "'session' AS label")
+    got = graph.artifact_lineage(rows, nodes.select("node"), nodes, ["session"], 3, 5)
+    assert {r.node for r in got.filter("seed = 'c200'").collect()} == {f"c{k:03d}" for k in range(5)} and got.count() == 1500
+    assert max(map(max, tables.values())) <= 1500
