@@ -88,3 +88,15 @@ def test_postings_equal_bm25(spark, tmp_path):
     assert len(got) == len(want) and all(a[:3] == b[:3] and abs(a[3] - b[3]) < 1e-5 for a, b in zip(got, want))
     rest = ps.search(spark, store, asked, 5).filter("q >= 104").select("q", "id", "score", "place").collect()
     assert list(map(tuple, rest)) == [(104, 903, 1.0, 1)]
+
+
+def test_postings_are_made_once(spark, tmp_path):
+    """Counts are not written beside the postings; a text's row has its counts, and rows with one id and as many words are one text."""
+    rows = [(1, "a1 b2 b2 c3"), (1, "a1 a1 c3 d4"), (2, "B2 x"), (3, None), (4, "-")]
+    store = ps.write_postings(spark.createDataFrame(rows, "id long, text string"), str(tmp_path / "p"), hot=1)
+    assert sorted(p.name for p in (tmp_path / "p").iterdir()) == ["postings", "terms", "texts"]
+    got = sorted(map(tuple, store.read(spark, "postings").select("id", "term", "tf", "len").collect()))
+    assert got == [(1, "a1", 3, 4), (1, "b2", 2, 4), (1, "c3", 2, 4), (1, "d4", 1, 4), (2, "b2", 1, 1)]
+    assert {r.term: r.df for r in store.read(spark, "terms").collect()} == {"a1": 1, "b2": 2, "c3": 1, "d4": 1}
+    found = ps.search(spark, store, spark.createDataFrame([(9, "b2 d4"), (8, "-")], "q int, text string"), 5)
+    assert [(r.q, r.id, r.place) for r in found.orderBy("q", "place").collect()] == [(8, 4, 1), (9, 1, 1), (9, 2, 2)]
