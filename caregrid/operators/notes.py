@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import ancestors
+from .store import written
 from .textjoin import contained, sharing
 
 #: Relationships that a documented concept is expected to have, with their priority.
@@ -72,7 +73,9 @@ def _documented(concepts: DataFrame, least: float, checkable: Column) -> DataFra
     """note, _codes, _terms, _checked: what each note documents, terms in lower case."""
     sure = F.col("code").isNotNull() & (F.col("confidence") >= least)
     low = lambda c: F.collect_set(F.when(sure, F.lower(c)))
-    rows = concepts.groupBy("note").agg(F.collect_set(F.when(sure, F.col("code"))).alias("_codes"), low("term").alias("_a"), low("mapped_term").alias("_b"), F.collect_set(F.when(checkable, F.lower("term"))).alias("_checked"))
+    # whole rows are shuffled: they pack better than sets, and a note's concepts lie in few tasks
+    rows = concepts.select("note", "code", "confidence", "category", "negated", "term", "mapped_term").repartition("note")
+    rows = rows.groupBy("note").agg(F.collect_set(F.when(sure, F.col("code"))).alias("_codes"), low("term").alias("_a"), low("mapped_term").alias("_b"), F.collect_set(F.when(checkable, F.lower("term"))).alias("_checked"))
     return rows.select("note", "_codes", F.array_union("_a", "_b").alias("_terms"), "_checked")
 
 
@@ -91,23 +94,28 @@ def coverage(concepts: DataFrame, expectations: DataFrame, categories: list[str]
     w = Window.partitionBy("code", scored).orderBy(order, "kind", "target")
     asked = expectations.withColumn("_n", F.row_number().over(w)).filter(~scored | (F.col("_n") <= cap)).drop("_n")
     checked = concepts.filter(checkable).select("note", "line", "code", F.lower("term").alias("_term"))
-    rows = checked.join(asked, "code", "left").join(_documented(concepts, least, checkable), "note")
+    documented = _documented(concepts, least, checkable)
     core = F.trim(F.substring_index(F.lower("target_term"), "(", 1))
     names = F.concat(F.array(core), F.transform(F.coalesce("synonyms", F.array().cast("array<string>")), F.lower))
-    blob = F.array_join(F.concat("_terms", F.when(scored, F.array("_term")).otherwise(F.col("_checked"))), " ||| ")
     stems = F.transform(F.filter(F.split(F.array_join("_names", " "), " "), lambda x: F.length(x) >= STEM), lambda x: F.substring(x, 1, STEM))
-    rows = rows.withColumn("_names", names).withColumn("_blob", blob)
-    met = (
-        F.array_contains("_codes", F.col("target")) | F.coalesce(F.array_contains("_terms", F.lower("target_term")), F.lit(False))
-        | F.exists("_names", lambda x: (F.length(x) >= 3) & F.contains(F.col("_blob"), x)) | F.exists(stems, lambda x: F.contains(F.col("_blob"), x))
-    )
-    rows = rows.select("note", "line", "kind", "priority", "target", "target_term", scored.alias("_scored"), F.coalesce(met, F.lit(False)).alias("_met"))
+
+    def told(asked: DataFrame, own: Column) -> DataFrame:
+        """Each concept's expectations, with whether the note's terms or ``own`` meet them."""
+        blob = F.array_join(F.concat("_terms", own), " ||| ")
+        rows = checked.join(asked, "code", "left").join(documented, "note").withColumn("_names", names).withColumn("_blob", blob)
+        met = (
+            F.array_contains("_codes", F.col("target")) | F.coalesce(F.array_contains("_terms", F.lower("target_term")), F.lit(False))
+            | F.exists("_names", lambda x: (F.length(x) >= 3) & F.contains(F.col("_blob"), x)) | F.exists(stems, lambda x: F.contains(F.col("_blob"), x))
+        )
+        return rows.select("note", "line", "kind", "priority", "target", "target_term", scored.alias("_scored"), F.coalesce(met, F.lit(False)).alias("_met"))
+
+    rows = told(asked.filter(scored), F.array("_term"))  # scores need no other ones
     scored_met = F.try_divide(F.count_if(F.col("_scored") & F.col("_met")), F.count_if(F.col("_scored")))
     share = rows.groupBy("note", "line").agg(F.coalesce(scored_met, F.lit(1.0)).alias("s"))
     per_note = share.groupBy("note").agg(F.round(F.round(F.avg("s"), 9), 3).alias("coverage"), F.count("*").alias("checked"))
     notes = concepts.select("note").distinct().join(per_note, "note", "left")
     scores = notes.select("note", F.coalesce("coverage", F.lit(1.0)).alias("coverage"), F.coalesce("checked", F.lit(0)).alias("checked"))
-    missing = rows.filter(F.col("kind").isNotNull() & ~F.col("_met"))
+    missing = told(asked, F.when(scored, F.array("_term")).otherwise(F.col("_checked"))).filter(F.col("kind").isNotNull() & ~F.col("_met"))
     rank = F.row_number().over(Window.partitionBy("note", "priority").orderBy("line", "kind", "target"))
     suggested = (F.col("priority") == "high") & (F.col("_r") <= 5) | (F.col("priority") == "medium") & (F.col("_r") <= 3)
     missing = missing.withColumn("_r", rank).select("note", "line", "kind", "priority", "target", "target_term", suggested.alias("suggested"))
@@ -173,11 +181,15 @@ def specificity(concepts: DataFrame, notes: DataFrame, rules: DataFrame, edges:
     sure = F.col("code").isNotNull() & (F.col("confidence") >= least) & F.col("category").isin(categories) & ~F.col("negated")
     picked = concepts.filter(sure).select("note", "line", "code", F.lower("term").alias("term"), F.lower("qualifier").alias("_q"))
     texts = notes.select("note", F.lower("text").alias("_text"))
-    picked = picked.join(texts, "note").filter(~F.coalesce(denied(F.col("_text"), F.col("term"), cues), F.lit(False)))
-    found = picked.join(matching_rules(picked, rules, edges), ["code", "term"])
-    once = found.groupBy("note", "rule_id").agg(F.min_by(F.struct("line", "term", "_q", "_text"), "line").alias("c")).select("note", "rule_id", "c.*")
+    # a note's text stands beside its concepts for the check only: no shuffle has it once a concept
+    picked = picked.join(texts, "note").filter(~F.coalesce(denied(F.col("_text"), F.col("term"), cues), F.lit(False))).drop("_text")
+    picked = written(picked, "picked")
+    found = picked.join(written(matching_rules(picked, rules, edges), "matched"), ["code", "term"])
+    once = found.groupBy("note", "rule_id").agg(F.min_by(F.struct("line", "term", "_q"), "line").alias("c")).select("note", "rule_id", "c.*")
+    once = written(once, "once")
     said = concepts.filter("code IS NOT NULL AND NOT negated").groupBy("note").agg(F.collect_set("code").alias("_said"))
-    rows = once.join(rules.select("rule_id", "attributes"), "rule_id").join(said, "note", "left")
+    # rules have long patterns: they are joined last, on the rows of notes that meet one
+    rows = once.join(said, "note", "left").join(texts, "note").join(rules.select("rule_id", "attributes"), "rule_id")
     group = lambda p: F.when(p.rlike(r"(?<!\\)\((?!\?)"), 1).otherwise(0)
     by_text = lambda a: F.get(F.filter(F.transform(a["patterns"], lambda p: F.trim(F.call_function("regexp_extract", F.col("_text"), p, group(p)))), lambda x: x != ""), 0)
     by_value = lambda a: F.when(F.exists(a["values"], lambda v: F.lower(v) == F.col("_q")), F.col("_q"))

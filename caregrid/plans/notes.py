@@ -9,7 +9,7 @@ from ..operators import graph as gr
 from ..operators import notes as nt
 from ..operators import retrieval as rt
 from ..operators.ingest import IngestJob
-from ..operators.store import new_path
+from ..operators.store import new_path, written
 from . import text
 from .base import table
 
@@ -62,8 +62,8 @@ def _rules(spark, d):
     return p.select(F.concat(F.lit("r"), "n_nationkey").alias("rule_id"), F.concat_ws(" ", "p_name", "p_type").alias("condition"), F.array((F.col("p_partkey") * 7).cast("string")).alias("codes"), attributes.alias("attributes"))
 
 
-def _note_texts(spark, d):
-    return _concepts(spark, d).groupBy("note").agg(F.array_join(F.array_sort(F.collect_set("term")), ". ").alias("text"))
+def _note_texts(concepts):
+    return concepts.groupBy("note").agg(F.array_join(F.array_sort(F.collect_set("term")), ". ").alias("text"))
 
 
 def j11(spark, d):
@@ -95,8 +95,8 @@ def p19(spark, d):
     return gr.node_names(nodes)
 
 
-def _coverage(spark, d):
-    return nt.coverage(_concepts(spark, d), _expectations(spark, d), ["condition", "procedure"])
+def _coverage(spark, d, concepts=None):
+    return nt.coverage(concepts or _concepts(spark, d), _expectations(spark, d), ["condition", "procedure"])
 
 
 def n2(spark, d):
@@ -107,16 +107,17 @@ def n2_missing(spark, d):
     return _coverage(spark, d)[1]
 
 
-def _consistency(spark, d):
-    return nt.consistency(_concepts(spark, d), _tree(spark, d), TAGS)
+def _consistency(spark, d, concepts=None):
+    return nt.consistency(concepts or _concepts(spark, d), _tree(spark, d), TAGS)
 
 
 def n3(spark, d):
     return _consistency(spark, d)[0]
 
 
-def _specificity(spark, d):
-    return nt.specificity(_concepts(spark, d), _note_texts(spark, d), _rules(spark, d), _tree(spark, d), ["condition", "symptom"], CUE)
+def _specificity(spark, d, concepts=None):
+    concepts = concepts or written(_concepts(spark, d), "concepts")
+    return nt.specificity(concepts, _note_texts(concepts), _rules(spark, d), _tree(spark, d), ["condition", "symptom"], CUE)
 
 
 def n4(spark, d):
@@ -128,8 +129,12 @@ def n4_gaps(spark, d):
 
 
 def n5(spark, d):
-    mapped = _concepts(spark, d).groupBy("note").agg(F.count_if(F.col("confidence") >= 0.9).alias("mapped"), F.count("*").alias("concepts"))
-    return nt.note_report(mapped, n2(spark, d), _consistency(spark, d)[1], n4(spark, d))
+    """Each check is written on its own, a row a note, so that only one check's shuffles are there at a time."""
+    concepts = written(_concepts(spark, d), "concepts")
+    mapped = concepts.groupBy("note").agg(F.count_if(F.col("confidence") >= 0.9).alias("mapped"), F.count("*").alias("concepts"))
+    covered = written(_coverage(spark, d, concepts)[0], "covered")
+    verdicts = written(_consistency(spark, d, concepts)[1], "verdicts")
+    return nt.note_report(written(mapped, "mapped"), covered, verdicts, written(_specificity(spark, d, concepts)[0], "specific"))
 
 
 def _claims(spark, d):

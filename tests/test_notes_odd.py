@@ -34,3 +34,13 @@ def test_claims_without_evidence(spark):
     nodes = spark.createDataFrame([("a",)], "name string")
     got = {r.q: (r.evidence, r.found, r.supported, r.confidence) for r in nt.validated_claims(claims, hits, mentions, nodes).collect()}
     assert got == {1: (0, 0, False, 0.1), 2: (1, 1, True, 1.0)}
+
+
+def test_checks_of_a_report_are_written_one_by_one(spark):
+    """The report joins the checks' written rows, so that no check's shuffles are there with another's."""
+    from caregrid.plans import notes as plans
+
+    report = plans.n5(spark, "/root/testdata/sf0.001")
+    plan = report._jdf.queryExecution().executedPlan().toString()
+    assert "l_orderkey" not in plan and "p_name" not in plan
+    assert report.count() == spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").select("l_orderkey").distinct().count()
